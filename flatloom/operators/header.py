@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITESPACE, trim_whitespace
 
 _NAME = r'(?s),("(?:[^"]++|"")*+"(?=,|$)|[^,]*+)'
-_BLANK = rf'(?:{WHITESPACE}*+|"{WHITESPACE}*+")'
+# Quoted first: a possessive loop does not come back to try the other form.
+_BLANK = rf'(?:"{WHITESPACE}*+"|{WHITESPACE}*+)'
 
 
 def header_names(text: Column) -> Column:

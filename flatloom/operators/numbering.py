@@ -26,19 +26,29 @@ def carry_in(totals: DataFrame, value: str, out: str, *, block: str) -> DataFram
     return totals.withColumn(out, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
 
 
-def number_rows(scan: DataFrame, out: str = "rec_no") -> DataFrame:
+def row_blocks(scan: DataFrame) -> DataFrame:
+    """Number of rows ``n`` and first ``ord`` of every file split of a scan."""
+    return materialise(
+        scan.groupBy("src_file", "split_start", "task").agg(
+            F.min("ord").alias("first_ord"), F.count("*").alias("n")
+        ),
+        "row-blocks",
+    )
+
+
+def row_counts(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("src_file").agg(F.sum("n").alias("n_records"))
+
+
+def number_rows(scan: DataFrame, blocks: DataFrame, out: str = "rec_no") -> DataFrame:
     """1-based row number per file, in input order, without shuffling the rows.
 
     ``scan`` has ``src_file, split_start, task, ord`` with ``ord`` taken after
-    its filters, so within a split it rises by one. Only a table with one row
-    per split is shuffled. The scan runs twice; if the second run is cut into
+    its filters, so within a split it rises by one. Only ``blocks``, a table with
+    one row per split, is shuffled. The scan runs twice; if the second run is cut into
     other splits than the first, the query fails instead of misnumbering.
     """
     keys = ["src_file", "split_start", "task"]
-    blocks = materialise(
-        scan.groupBy(*keys).agg(F.min("ord").alias("first_ord"), F.count("*").alias("n")),
-        "row-numbers",
-    )
     offsets = carry_in(blocks, "n", "before", block="split_start").drop("n")
     number = F.col("ord") - F.col("first_ord") + F.col("before") + 1
     checked = F.when(

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import errors
 from ..functions.text import count_of, is_blank
 from ..operators.header import bind, blank_text, header_names
-from ..operators.numbering import number_rows, running_sum
+from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import materialise
-from .files import Paths, list_files, paths_of, text_pieces
+from .files import Paths, file_rejects, list_files, paths_of, text_pieces
 from .stitch import stitch
 
 CSV_READ = {
@@ -40,11 +40,15 @@ _WELL_QUOTED = rf"^{_FIELD}(?:,{_FIELD})*+$"
 
 @dataclass
 class CsvScan:
-    """``records``: src_file, split_start, ord, [rec_no], rec. ``files``: one verdict per file."""
+    """``records``: src_file, split_start, ord, [rec_no], rec. ``files``: one verdict per file.
+
+    ``counts`` has the number of records per file when they are numbered.
+    """
 
     records: DataFrame
     files: DataFrame
     rejects: DataFrame
+    counts: DataFrame
 
 
 def inspect_csv(
@@ -145,7 +149,8 @@ def scan_csv(
     def of_route(route: str) -> Paths:
         return paths if len(fates) == 1 else paths_of(good.filter(F.col("route") == route))
 
-    scans, rejects = [], _file_rejects(files)
+    scans, rejects = [], file_rejects(files)
+    counts = spark.createDataFrame([], "src_file string, n_records bigint")
     for route in (LINES, WHOLE):
         if route in fates:
             reader = spark.read.options(**CSV_READ).option("multiLine", route == WHOLE)
@@ -157,11 +162,20 @@ def scan_csv(
                 "_ragged",
             )
             rows = _drop_blank(rows).withColumn("ord", F.monotonically_increasing_id())
-            scans.append(number_rows(rows) if numbered else rows)
+            if numbered:
+                blocks = row_blocks(rows)
+                rows = number_rows(rows, blocks)
+                counts = counts.unionByName(row_counts(blocks))
+            scans.append(rows)
     if STITCH in fates:
         rows, stray = _stitched(spark, of_route(STITCH), width, keep_crlf)
         rejects = rejects.unionByName(stray)
-        scans.append(running_sum(rows, "ord", F.lit(1), "rec_no") if numbered else rows)
+        if numbered:
+            counts = counts.unionByName(
+                rows.groupBy("src_file").agg(F.count("*").alias("n_records"))
+            )
+            rows = running_sum(rows, "ord", F.lit(1), "rec_no")
+        scans.append(rows)
 
     columns = ["src_file", "split_start", "ord", *(["rec_no"] if numbered else []), "fields"]
     if not scans:
@@ -170,7 +184,7 @@ def scan_csv(
     rows = scans[0].select(*columns)
     for more in scans[1:]:
         rows = rows.unionByName(more.select(*columns))
-    return CsvScan(bind(rows, good), files, rejects)
+    return CsvScan(bind(rows, good), files, rejects, counts)
 
 
 def _ddl(width: int) -> str:
@@ -227,12 +241,3 @@ def _stitched(
         errors.message(errors.SPLIT_STRAY_QUOTE).alias("error_msg"),
     )
     return rows, rejects
-
-
-def _file_rejects(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("error").isNotNull()).select(
-        "src_file",
-        F.lit(None).cast("bigint").alias("rec_no"),
-        F.lit(errors.INVALID_INPUT).alias("error_kind"),
-        errors.message(F.col("error")).alias("error_msg"),
-    )

@@ -8,6 +8,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import errors
+
 Paths = str | list[str]
 
 
@@ -59,3 +61,13 @@ def paths_of(files: DataFrame) -> list[str]:
     """
     names = (unquote(r.src_file) for r in files.select("src_file").toLocalIterator())
     return [re.sub(r"([\\*?\[\]{}])", r"\\\1", name) for name in names]
+
+
+def file_rejects(verdicts: DataFrame) -> DataFrame:
+    """Reject rows of files ruled out as a whole."""
+    return verdicts.filter(F.col("error").isNotNull()).select(
+        "src_file",
+        F.lit(None).cast("bigint").alias("rec_no"),
+        F.lit(errors.INVALID_INPUT).alias("error_kind"),
+        errors.message(F.col("error")).alias("error_msg"),
+    )

@@ -26,9 +26,9 @@ from ..functions.json import (
     parse_strict,
 )
 from ..functions.text import count_of
-from ..operators.numbering import number_rows, running_sum
+from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import configure, materialise
-from .files import Paths, list_files, paths_of, text_pieces
+from .files import Paths, file_rejects, list_files, paths_of, text_pieces
 from .stitch import stitch
 
 PIECES, STITCH = "pieces", "stitch"
@@ -41,13 +41,15 @@ _BYTE_ORDER_MARK = 3  # bytes, dropped by the text scan
 class JsonScan:
     """``records``: src_file, split_start, ord, [rec_no], text of one flat object.
 
-    ``files`` holds one verdict per file and its numbers of records and of
-    records with at least one key.
+    ``files`` holds one verdict per file, whether it is an array, and its numbers
+    of records and of records with at least one key. ``firsts`` gives the first
+    record kept per file where that may not be number 1.
     """
 
     records: DataFrame
     files: DataFrame
     rejects: DataFrame
+    firsts: DataFrame
 
 
 def _unescaped_quotes(piece: Column) -> Column:
@@ -128,6 +130,7 @@ def inspect_json(spark: SparkSession, paths: Paths) -> DataFrame:
         .alias("error"),
         F.when(F.coalesce(regular, F.lit(False)), PIECES).otherwise(STITCH).alias("route"),
         terminated.alias("terminated"),
+        (F.col("array_starts") == 1).alias("is_array"),
         "n_records",
         "n_nonempty",
     )
@@ -146,9 +149,10 @@ def scan_json(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> J
         return paths if fates == {route} else paths_of(good.filter(F.col("route") == route))
 
     verdicts = files.filter((F.col("error").isNotNull()) | (F.col("route") == PIECES)).select(
-        "src_file", "error", "n_records", "n_nonempty"
+        "src_file", "error", "is_array", "n_records", "n_nonempty"
     )
     scans, rejects = [], []
+    firsts = spark.createDataFrame([], "src_file string, first_no bigint")
     if PIECES in fates:
         rows = (
             text_pieces(spark, of_route(PIECES), "}")
@@ -156,11 +160,12 @@ def scan_json(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> J
             .withColumn("ord", F.monotonically_increasing_id())
             .withColumn("text", _object_text(F.col("piece")))
         )
-        scans.append((number_rows(rows) if numbered else rows).select(*columns))
+        scans.append((number_rows(rows, row_blocks(rows)) if numbered else rows).select(*columns))
     if STITCH in fates:
         rows, bad, checked = _stitched(spark, of_route(STITCH), good)
         scans.append(rows.select(*columns))
         rejects.append(bad)
+        firsts = rows.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
         verdicts = verdicts.unionByName(checked)
 
     empty = "src_file string, split_start bigint, ord bigint, rec_no bigint, text string"
@@ -172,7 +177,7 @@ def scan_json(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> J
     all_rejects = file_rejects(verdicts)
     for more in rejects:
         all_rejects = all_rejects.unionByName(more)
-    return JsonScan(records, verdicts, all_rejects)
+    return JsonScan(records, verdicts, all_rejects, firsts)
 
 
 def _stitched(
@@ -231,6 +236,7 @@ def _stitched(
     checked = elements.groupBy("src_file").agg(
         F.max("malformed").alias("malformed"),
         F.max("scalar").alias("scalar"),
+        F.max("is_array").alias("is_array"),
         F.sum("n_items").alias("n_records"),
         F.sum("n_keys").alias("n_nonempty"),
     )
@@ -240,6 +246,7 @@ def _stitched(
             F.when(F.col("malformed"), errors.MALFORMED_JSON)
             .when(F.col("scalar"), errors.NOT_OBJECT_OR_ARRAY)
             .alias("error"),
+            "is_array",
             "n_records",
             "n_nonempty",
         ),
@@ -325,6 +332,7 @@ def _element_bodies(elements: DataFrame) -> DataFrame:
         F.greatest(F.coalesce(F.size(filled), F.lit(0)), F.lit(0)).alias("n_keys"),
         malformed.alias("malformed"),
         scalar.alias("scalar"),
+        is_array.alias("is_array"),
     )
 
 
@@ -337,7 +345,8 @@ def scan_json_lines(spark: SparkSession, paths: Paths) -> JsonScan:
         .filter(F.col("text") != "")
         .withColumn("ord", F.monotonically_increasing_id())
     )
-    lines = number_rows(lines).select("src_file", "split_start", "ord", "rec_no", "text")
+    blocks = row_blocks(lines)
+    lines = number_rows(lines, blocks).select("src_file", "split_start", "ord", "rec_no", "text")
     text, valid = F.col("text"), F.is_valid_utf8(F.col("text"))
     plain = valid & is_flat_object(text) & F.try_parse_json(text).isNotNull()
     value = parse_strict(text)
@@ -352,13 +361,16 @@ def scan_json_lines(spark: SparkSession, paths: Paths) -> JsonScan:
             .otherwise(errors.nested_field(F.get(nested_keys(F.col("value")), F.lit(0))))
         ).alias("error_msg"),
     )
-    files = list_files(spark, paths).select(
+    files = list_files(spark, paths).join(row_counts(blocks), "src_file", "left").select(
         "src_file",
         F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("bigint").alias("n_records"),
-        F.lit(None).cast("bigint").alias("n_nonempty"),
+        F.lit(True).alias("is_array"),
+        "n_records",
+        F.col("n_records").alias("n_nonempty"),
     )
-    return JsonScan(lines.filter(plain), files, failed)
+    records = lines.filter(plain)
+    firsts = records.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
+    return JsonScan(records, files, failed, firsts)
 
 
 def _record_error(is_obj: Column, nested: Column, position: Column) -> list[Column]:
@@ -368,12 +380,3 @@ def _record_error(is_obj: Column, nested: Column, position: Column) -> list[Colu
             F.when(is_obj, errors.nested_field(nested)).otherwise(errors.not_an_object(position))
         ).alias("error_msg"),
     ]
-
-
-def file_rejects(verdicts: DataFrame) -> DataFrame:
-    return verdicts.filter(F.col("error").isNotNull()).select(
-        "src_file",
-        F.lit(None).cast("bigint").alias("rec_no"),
-        F.lit(errors.INVALID_INPUT).alias("error_kind"),
-        errors.message(F.col("error")).alias("error_msg"),
-    )
