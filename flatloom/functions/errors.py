@@ -16,6 +16,7 @@ NOT_UTF8 = "Input is not valid UTF-8 text."
 
 # Our own wording.
 MALFORMED_JSON = "JSON is malformed."
+LONG_RECORD = "A record is too long for one row."
 SPLIT_STRAY_QUOTE = "CSV record has a stray quote and spans lines."
 
 REJECT_COLUMNS = ["src_file", "rec_no", "error_kind", "error_msg"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ _MARK = "\u0001"
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use ``value`` several times in ``body`` but compute it once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[ \t\n\r]++|[ \t\n\r]++$", "")
 
@@ -43,10 +50,14 @@ def parse_strict(c: Column) -> Column:
     """
     in_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"d":'), c, F.lit("}")))
-    second = F.try_variant_get(in_array, "$[1]", "variant")
-    return F.when(
-        in_object.isNotNull() & second.isNull(), F.try_variant_get(in_array, "$[0]", "variant")
+    only = let(
+        in_array,
+        lambda v: F.when(
+            F.try_variant_get(v, "$[1]", "variant").isNull(),
+            F.try_variant_get(v, "$[0]", "variant"),
+        ),
     )
+    return F.when(in_object.isNotNull(), only)
 
 
 def kind(v: Column) -> Column:

@@ -50,17 +50,15 @@ def bind_fields(keys: Column, positions: Column, fields: Column) -> Column:
     )
 
 
-def bind(rows: DataFrame, files: DataFrame) -> DataFrame:
+def bind(rows: DataFrame, files: DataFrame, shared: list[str] | None = None) -> DataFrame:
     """Replace ``fields`` by ``rec``, using the names of the row's own file.
 
-    ``files`` has ``src_file`` and ``names``. When all files share one header it
-    becomes a constant and the rows are neither joined nor shuffled.
+    ``files`` has ``src_file`` and ``names``. A header ``shared`` by all files is a
+    constant, and the rows are neither joined nor shuffled.
     """
-    first_two = files.select("names").distinct().limit(2).collect()
     others = [c for c in rows.columns if c != "fields"]
-    if len(first_two) == 1:
-        names = first_two[0].names
-        last = {name: i for i, name in enumerate(names)}
+    if shared is not None:
+        last = {name: i for i, name in enumerate(shared)}
         keys = sorted(last, key=lambda k: k.encode())
         values = [F.coalesce(F.get("fields", F.lit(last[k])), F.lit("")) for k in keys]
         rec = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*values))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..functions.json import is_object, kind, nested_keys, parse_strict
+from ..functions.json import is_nested, is_object, kind, let, nested_keys, parse_strict
 from ..functions.text import count_of
 
 
@@ -23,39 +23,43 @@ def csv_error(text: Column) -> Column:
 
 def unwrap(value: Column) -> Column:
     """Records of a document variant: the items of an array, or the one object."""
-    return F.when(
-        kind(value).startswith("ARRAY<"), F.try_variant_get(value, "$", "array<variant>")
-    ).otherwise(F.array(value))
+    return let(
+        value,
+        lambda v: F.when(
+            kind(v).startswith("ARRAY<"), F.try_variant_get(v, "$", "array<variant>")
+        ).otherwise(F.array(v)),
+    )
 
 
 def _item_error(item: Column, position: Column) -> Column:
     nested = F.get(nested_keys(item), F.lit(0))
-    return F.when(~is_object(item), errors.not_an_object(position)).when(
-        nested.isNotNull(), errors.nested_field(nested)
+    return F.when(~is_object(item), errors.not_an_object(position)).otherwise(
+        errors.nested_field(nested)
     )
 
 
 def first_record_error(value: Column) -> Column:
     """Message for the first record, in order, that is no flat object."""
     found = F.transform(unwrap(value), lambda item, i: _item_error(item, i + 1))
-    return F.get(F.filter(found, lambda e: e.isNotNull()), F.lit(0))
+    return F.get(F.array_compact(found), F.lit(0))
 
 
 def json_error(text: Column) -> Column:
     """Error of a JSON document: encoding, syntax, top-level shape, first bad record."""
-    value = parse_strict(text)
-    shaped = kind(value).rlike("^(OBJECT|ARRAY)<")
+
+    def judge(value: Column) -> Column:
+        return (
+            F.when(value.isNull(), errors.message(errors.MALFORMED_JSON))
+            .when(~is_nested(value), errors.message(errors.NOT_OBJECT_OR_ARRAY))
+            .otherwise(errors.message(first_record_error(value)))
+        )
+
     return F.when(~F.is_valid_utf8(text), errors.message(errors.NOT_UTF8)).otherwise(
-        F.when(value.isNull(), errors.message(errors.MALFORMED_JSON))
-        .when(~shaped, errors.message(errors.NOT_OBJECT_OR_ARRAY))
-        .otherwise(errors.message(first_record_error(value)))
+        let(parse_strict(text), judge)
     )
 
 
 def no_records_error(text: Column) -> Column:
     """Error of a sound JSON document without any record, for JSON to CSV."""
-    value = parse_strict(text)
-    return F.when(
-        F.size(F.filter(unwrap(value), lambda i: kind(i) != "OBJECT<>")) == 0,
-        errors.message(errors.NO_RECORDS),
-    )
+    filled = F.filter(unwrap(parse_strict(text)), lambda i: kind(i) != "OBJECT<>")
+    return F.when(F.size(filled) == 0, errors.message(errors.NO_RECORDS))

@@ -57,6 +57,7 @@ def _admitted(spark: SparkSession, src: Paths, action: Action) -> tuple[Paths, D
     error = extension_error(
         plain_path(F.col("src_file")), F.lit(action.label), F.array(*map(F.lit, action.allowed))
     )
+    # The listing is a local table, so judging it runs no job.
     judged = files.withColumn("error_msg", error)
     refused = judged.filter(F.col("error_msg").isNotNull()).select(
         "src_file",

@@ -46,19 +46,32 @@ def json_scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(records, ["event_id", "event_type", "value", "k"], "rec_no")
 
 
-@query(f"""
+_PROPS_SQL = f"""
     SELECT CAST(event_id AS VARCHAR) AS event_id, props,
            ROW_NUMBER() OVER (PARTITION BY event_id // {_BLOCK} ORDER BY event_id) AS rec_no
     FROM events
-""")
-def json_stitch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Braces inside strings: pieces stitched back to records."""
+"""
+
+
+def _events_with_braces(spark: SparkSession, sf_dir: str, **scan_options) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "props")
     path = stage_arrays(events, "event_id", _rows(events))
-    records = scan_json(spark, path, numbered=True).records
+    records = scan_json(spark, path, numbered=True, **scan_options).records
     return _texts(records, ["event_id", "props"], "rec_no")
 
 
+@query(_PROPS_SQL)
+def json_whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Braces inside strings, in files that one task can read as one text."""
+    return _events_with_braces(spark, sf_dir)
+
+
+@query(_PROPS_SQL)
+def json_stitch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every file treated as too large for that."""
+    return _events_with_braces(spark, sf_dir, whole_file_limit=0)
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents")
 def json_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with escaped quotes and line breaks."""

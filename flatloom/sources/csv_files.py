@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors
@@ -58,6 +59,11 @@ def inspect_csv(
 
     One splittable pass with map-side sums; only one row per file split is shuffled.
     """
+    files = _inspect(spark, paths, whole_file_limit)
+    return _with_cut_headers(spark, files).drop("cut_header")
+
+
+def _inspect(spark: SparkSession, paths: Paths, whole_file_limit: int) -> DataFrame:
     line = F.col("piece")
     quotes = count_of(line, '"')
     cr_at = F.instr(line, "\r")
@@ -65,6 +71,7 @@ def inspect_csv(
         text_pieces(spark, paths, "\n")
         .groupBy("src_file", "split_start")
         .agg(
+            F.max("file_size").alias("file_size"),
             F.sum(quotes).alias("quotes"),
             F.sum(quotes % 2).alias("odd_lines"),
             F.sum(((cr_at > 0) & (cr_at < F.length(line))).cast("int")).alias("inner_cr"),
@@ -77,6 +84,7 @@ def inspect_csv(
         )
     )
     per_file = per_split.groupBy("src_file").agg(
+        F.max("file_size").alias("file_size"),
         F.sum("quotes").alias("quotes"),
         F.sum("odd_lines").alias("odd_lines"),
         F.sum("inner_cr").alias("inner_cr"),
@@ -85,39 +93,54 @@ def inspect_csv(
         ),
         F.flatten(F.collect_list("faults")).alias("faults"),
     )
-    checked = list_files(spark, paths).join(per_file, "src_file", "left").select(
-        "src_file",
-        "file_size",
+    error = (
         F.when(F.size("faults") > 0, errors.NOT_UTF8)
         .when(F.col("quotes") % 2 == 1, errors.UNCLOSED_QUOTE)
         .when(F.col("first_line").isNull(), errors.EMPTY_CSV)
-        .alias("error"),
-        F.when((F.col("odd_lines") == 0) & ((F.col("inner_cr") == 0) | (F.col("quotes") == 0)), LINES)
+    )
+    lines_do = (F.col("odd_lines") == 0) & ((F.col("inner_cr") == 0) | (F.col("quotes") == 0))
+    route = (
+        F.when(lines_do, LINES)
         .when((F.col("file_size") <= whole_file_limit) | (F.col("inner_cr") > 0), WHOLE)
         .otherwise(STITCH)
-        .alias("route"),
-        "first_line",
     )
-    checked = materialise(checked, "csv-files")
+    return materialise(
+        list_files(spark, paths)
+        .join(per_file, "src_file", "left")
+        .select(
+            "src_file",
+            error.alias("error"),
+            route.alias("route"),
+            F.when(error.isNull(), _names("first_line")).alias("names"),
+            (error.isNull() & (count_of(F.col("first_line"), '"') % 2 == 1)).alias("cut_header"),
+        ),
+        "csv-files",
+    )
 
-    cut_header = (F.col("error").isNull()) & (count_of(F.col("first_line"), '"') % 2 == 1)
-    cut = paths_of(checked.filter(cut_header))
-    if cut:
-        checked = checked.join(_first_records(spark, cut), "src_file", "left").withColumn(
-            "first_line", F.coalesce("first_record", "first_line")
-        )
-    header = F.regexp_extract("first_line", _FIRST_RECORD, 1)
-    return checked.withColumn("names", F.when(F.col("error").isNull(), header_names(header))).select(
-        "src_file", "file_size", "error", "route", "names"
+
+def _names(first_record: str) -> Column:
+    return header_names(F.regexp_extract(first_record, _FIRST_RECORD, 1))
+
+
+def _with_cut_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Complete the names of files whose header spans lines."""
+    cut = paths_of(files.filter("cut_header"))
+    if not cut:
+        return files
+    whole = _first_records(spark, cut).select("src_file", _names("first_record").alias("whole"))
+    return (
+        files.join(whole, "src_file", "left")
+        .withColumn("names", F.coalesce("whole", "names"))
+        .drop("whole")
     )
 
 
 def _first_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """First record of files whose header spans lines, looked for in their first split."""
     head = text_pieces(spark, paths, "\n").filter("split_start = 0")
+    records, _ = stitch(head, count_of(F.col("piece"), '"'), "\n")
     return materialise(
-        stitch(head, count_of(F.col("piece"), '"'), "\n")
-        .filter(~is_blank(F.col("text")))
+        records.filter(~is_blank(F.col("text")))
         .groupBy("src_file")
         .agg(F.min_by("text", "rec_no").alias("first_record")),
         "csv-headers",
@@ -138,18 +161,20 @@ def scan_csv(
     ``keep_crlf`` keeps it, by stitching the lines of such files instead.
     """
     whole_file_limit = 0 if keep_crlf else whole_file_limit
-    files = materialise(inspect_csv(spark, paths, whole_file_limit), "csv-verdicts")
+    files = _inspect(spark, paths, whole_file_limit)
+    fates = _fates(files)
+    if any(f.cut for f in fates.values()):
+        files = materialise(_with_cut_headers(spark, files), "csv-verdicts")
+        fates = _fates(files)
     good = files.filter(F.col("error").isNull())
-    summary = files.groupBy(F.coalesce("error", "route").alias("fate")).agg(
-        F.count("*").alias("n"), F.max(F.size("names")).alias("width")
-    )
-    fates = {r.fate: r for r in summary.collect()}
-    width = max((r.width or 0 for r in fates.values()), default=0)
+    width = max((f.width or 0 for f in fates.values()), default=0)
+    headers = [h for f in fates.values() if f.names_min is not None for h in (f.names_min, f.names_max)]
+    shared = headers[0] if headers and all(h == headers[0] for h in headers) else None
 
     def of_route(route: str) -> Paths:
         return paths if len(fates) == 1 else paths_of(good.filter(F.col("route") == route))
 
-    scans, rejects = [], file_rejects(files)
+    scans, strays = [], []
     counts = spark.createDataFrame([], "src_file string, n_records bigint")
     for route in (LINES, WHOLE):
         if route in fates:
@@ -158,18 +183,23 @@ def scan_csv(
                 F.col("_metadata.file_path").alias("src_file"),
                 F.col("_metadata.file_block_start").alias("split_start"),
                 F.spark_partition_id().alias("task"),
-                _fields(width).alias("fields"),
+                *_cells(width),
                 "_ragged",
             )
-            rows = _drop_blank(rows).withColumn("ord", F.monotonically_increasing_id())
+            rows = _fields_of(rows, width).withColumn("ord", F.monotonically_increasing_id())
             if numbered:
                 blocks = row_blocks(rows)
                 rows = number_rows(rows, blocks)
                 counts = counts.unionByName(row_counts(blocks))
             scans.append(rows)
     if STITCH in fates:
-        rows, stray = _stitched(spark, of_route(STITCH), width, keep_crlf)
-        rejects = rejects.unionByName(stray)
+        rows, stray, too_long = _stitched(spark, of_route(STITCH), width, keep_crlf)
+        strays.append(stray)
+        if too_long is not None:
+            too_long = too_long.withColumn("long", F.lit(errors.LONG_RECORD))
+            files = files.join(too_long, "src_file", "left").withColumn(
+                "error", F.coalesce("error", "long")
+            ).drop("long")
         if numbered:
             counts = counts.unionByName(
                 rows.groupBy("src_file").agg(F.count("*").alias("n_records"))
@@ -184,30 +214,56 @@ def scan_csv(
     rows = scans[0].select(*columns)
     for more in scans[1:]:
         rows = rows.unionByName(more.select(*columns))
-    return CsvScan(bind(rows, good), files, rejects, counts)
+    rejects = file_rejects(files)
+    for stray in strays:
+        rejects = rejects.unionByName(stray)
+    return CsvScan(bind(rows, good, shared), files.drop("cut_header"), rejects, counts)
+
+
+def _fates(files: DataFrame) -> dict[str, Row]:
+    """Per route or error: number of columns, the extremes of the headers, any cut header."""
+    return {
+        r.fate: r
+        for r in files.groupBy(F.coalesce("error", "route").alias("fate"))
+        .agg(
+            F.max(F.size("names")).alias("width"),
+            F.min("names").alias("names_min"),
+            F.max("names").alias("names_max"),
+            F.max("cut_header").alias("cut"),
+        )
+        .collect()
+    }
 
 
 def _ddl(width: int) -> str:
     return ", ".join([*(f"_c{i} string" for i in range(width)), "_ragged string"])
 
 
-def _fields(width: int, row: str = "") -> Column:
-    return F.array(*[F.coalesce(F.col(f"{row}_c{i}"), F.lit("")) for i in range(width)])
+def _cells(width: int, row: str = "") -> list[Column]:
+    return [F.coalesce(F.col(f"{row}_c{i}"), F.lit("")).alias(f"_c{i}") for i in range(width)]
 
 
-def _drop_blank(rows: DataFrame) -> DataFrame:
-    """Drop data rows whose fields are all blank, fields beyond the header included."""
-    all_blank = ~F.exists("fields", lambda v: ~is_blank(v))
-    no_more = F.col("_ragged").isNull() | blank_text(F.col("_ragged"))
-    return rows.filter(~(all_blank & no_more))
+def _fields_of(rows: DataFrame, width: int) -> DataFrame:
+    """Gather the cells and drop rows where all are blank, cells beyond the header included."""
+    cells = [F.col(f"_c{i}") for i in range(width)]
+    if width <= 64:  # stays in generated code, and mostly ends at the first cell
+        filled = reduce(lambda a, b: a | b, [~is_blank(c) for c in cells])
+    else:
+        filled = F.exists(F.array(*cells), lambda v: ~is_blank(v))
+    more = F.col("_ragged").isNotNull() & ~blank_text(F.col("_ragged"))
+    return (
+        rows.filter(filled | more)
+        .withColumn("fields", F.array(*cells))
+        .drop("_ragged", *[f"_c{i}" for i in range(width)])
+    )
 
 
 def _stitched(
     spark: SparkSession, paths: Paths, width: int, keep_crlf: bool
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     lines = text_pieces(spark, paths, "\n")
-    records = stitch(lines, count_of(F.col("piece"), '"'), "\n").filter(~is_blank(F.col("text")))
-    records = records.withColumn("crlf", F.col("text").endswith("\r")).withColumn(
+    records, too_long = stitch(lines, count_of(F.col("piece"), '"'), "\n")
+    records = records.filter(~is_blank(F.col("text"))).withColumn("crlf", F.col("text").endswith("\r")).withColumn(
         "text", F.regexp_replace("text", "\r$", "")
     )
     if not keep_crlf:
@@ -217,22 +273,22 @@ def _stitched(
                 F.col("text")
             ),
         )
-    records = materialise(records, "csv-records")
     headers = records.groupBy("src_file").agg(F.min("rec_no").alias("header_no"))
     body = records.join(headers, "src_file").filter(F.col("rec_no") > F.col("header_no"))
 
     stray = F.col("text").contains("\n") & ~F.col("text").rlike(_WELL_QUOTED)
     options = {**CSV_READ, "multiLine": "true", "lineSep": "\n"}
-    rows = _drop_blank(
+    rows = _fields_of(
         body.filter(~stray)
         .withColumn("row", F.from_csv("text", _ddl(width), options))
         .select(
             "src_file",
             F.lit(0).cast("bigint").alias("split_start"),
             F.col("rec_no").alias("ord"),
-            _fields(width, "row.").alias("fields"),
+            *_cells(width, "row."),
             F.col("row._ragged").alias("_ragged"),
-        )
+        ),
+        width,
     )
     rejects = body.filter(stray).select(
         "src_file",
@@ -240,4 +296,4 @@ def _stitched(
         F.lit(errors.INVALID_INPUT).alias("error_kind"),
         errors.message(errors.SPLIT_STRAY_QUOTE).alias("error_msg"),
     )
-    return rows, rejects
+    return rows, rejects, too_long

@@ -14,25 +14,23 @@ Paths = str | list[str]
 
 
 def list_files(spark: SparkSession, paths: Paths) -> DataFrame:
-    """One row per file: src_file, file_size. Reads no content.
+    """One row per file: src_file. Files of no bytes are listed too.
 
-    Spark's scans skip files of no bytes, so the names come from its file index.
+    Spark's scans skip empty files, so the names come from its file index, which
+    the driver holds for any scan.
     """
-    found = spark.read.format("binaryFile").load(paths)
+    found = spark.read.format("binaryFile").load(paths).inputFiles()
     # A local path is written file:/// by the index and file:/ by the scan.
-    listed = [(re.sub("^file:/+", "file:/", n),) for n in found.inputFiles()]
-    names = spark.createDataFrame(listed, "src_file string")
-    sizes = found.select(
-        F.col("_metadata.file_path").alias("src_file"), F.col("length").alias("file_size")
-    )
-    return names.join(sizes, "src_file", "left").na.fill(0, ["file_size"])
+    names = [(re.sub("^file:/+", "file:/", n),) for n in found]
+    return spark.createDataFrame(names, "src_file string")
 
 
 def text_pieces(spark: SparkSession, paths: Paths, separator: str) -> DataFrame:
     """The text of every file cut at a one-byte separator, in parallel within files.
 
     ``src_file, split_start, split_len`` name the byte range a piece was read
-    from, ``ord`` rises within it and ``task`` is the reading partition.
+    from, ``ord`` rises within it and ``task`` is the reading partition. A byte
+    order mark is dropped.
     """
     return (
         spark.read.option("lineSep", separator)
@@ -41,6 +39,7 @@ def text_pieces(spark: SparkSession, paths: Paths, separator: str) -> DataFrame:
             F.col("_metadata.file_path").alias("src_file"),
             F.col("_metadata.file_block_start").alias("split_start"),
             F.col("_metadata.file_block_length").alias("split_len"),
+            F.col("_metadata.file_size").alias("file_size"),
             F.spark_partition_id().alias("task"),
             F.monotonically_increasing_id().alias("ord"),
             F.col("value").alias("piece"),

@@ -3,8 +3,9 @@
 A flat object ends at its first closing brace outside a string. So the files are
 read as text cut at closing braces, which splits any file, also one huge array on
 a single line. A file whose pieces all have the outline of flat objects needs no
-more than that ("pieces"). In the others, braces occur in strings or values are
-nested; their pieces are stitched to array elements ("stitch").
+more than that ("pieces"). Otherwise braces occur in strings or values are nested:
+a file of moderate size with flat records only is cut by one task ("whole"), all
+others have their pieces stitched to array elements ("stitch").
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import errors
 from ..functions.json import (
     FLAT_BODY,
+    FLAT_OBJECT,
     WS,
     is_flat_object,
     is_object,
@@ -29,11 +31,16 @@ from ..functions.text import count_of
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import configure, materialise
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
-from .stitch import stitch
+from .stitch import files_with_long_records, stitch
 
-PIECES, STITCH = "pieces", "stitch"
+# A file with braces in strings is read as one text up to this size.
+WHOLE_FILE_LIMIT = 32 << 20
+
+PIECES, WHOLE, STITCH = "pieces", "whole", "stitch"
 
 _FIRST_OR_NEXT = rf"^{WS}[\[,]?+{WS}\{{{FLAT_BODY}$"
+_LIST = rf"{FLAT_OBJECT}{WS}(?:,{WS}{FLAT_OBJECT}{WS})*+"
+_FLAT_DOCUMENT = rf"^{WS}(?:{FLAT_OBJECT}|\[{WS}(?:{_LIST})?+\]){WS}$"
 _BYTE_ORDER_MARK = 3  # bytes, dropped by the text scan
 
 
@@ -57,89 +64,154 @@ def _unescaped_quotes(piece: Column) -> Column:
 
 
 def _object_text(piece: Column) -> Column:
-    return F.concat(F.expr("substring(piece, instr(piece, '{'))"), F.lit("}"))
+    return F.concat(F.substring(piece, F.instr(piece, "{"), F.length(piece)), F.lit("}"))
 
 
-def inspect_json(spark: SparkSession, paths: Paths) -> DataFrame:
-    """One row per file: how to scan it, or the error that rules it out.
+def _count(condition: Column) -> Column:
+    return F.sum(condition.cast("int"))
 
-    One splittable pass that keeps fixed-size sums per file split.
-    """
-    piece, ord_ = F.col("piece"), F.col("ord")
+
+def _outline(piece: Column, order: Column) -> list[Column]:
+    """Sums over pieces that tell whether they make up one flat document."""
     lead = lead_char(piece)
     shaped = piece.rlike(_FIRST_OR_NEXT)
     rest = F.trim(F.translate(piece, "\t\n\r", "   "))
     tail = (rest == "") | (rest == "]")
+    return [
+        _count(~shaped & ~tail).alias("odd_shape"),
+        _count(shaped & (lead == "[")).alias("array_starts"),
+        _count(shaped & (lead == "{")).alias("object_starts"),
+        _count(shaped).alias("n_records"),
+        _count(shaped & ~piece.rlike(r"\{[ \t\n\r]*+$")).alias("n_nonempty"),
+        _count(shaped & F.try_parse_json(_object_text(piece)).isNull()).alias("malformed"),
+        _count(tail).alias("tails"),
+        _count(rest == "]").alias("array_ends"),
+        F.min(F.when(shaped & (lead != ","), order)).alias("start_ord"),
+        F.max(F.when(tail, order)).alias("tail_ord"),
+        F.min(order).alias("min_ord"),
+        F.max(order).alias("max_ord"),
+    ]
+
+
+_OUTLINE_SUMS = ["odd_shape", "array_starts", "object_starts", "n_records", "n_nonempty"]
+_OUTLINE_SUMS += ["malformed", "tails", "array_ends"]
+
+
+def _is_flat_document(starts_first: Column, tail_last: Column) -> Column:
+    """The outline is that of one flat object or one array of them, and nothing else."""
+    one_tail = (F.col("tails") == 1) & tail_last & ~F.col("terminated")
+    whole_object = (
+        (F.col("object_starts") == 1)
+        & (F.col("n_records") == 1)
+        & (F.col("array_ends") == 0)
+        & (((F.col("tails") == 0) & F.col("terminated")) | one_tail)
+    )
+    whole_array = (
+        (F.col("array_starts") == 1)
+        & (F.col("object_starts") == 0)
+        & (F.col("array_ends") == 1)
+        & one_tail
+    )
+    flat = (F.col("odd_shape") == 0) & starts_first & (whole_object | whole_array)
+    return F.coalesce(flat, F.lit(False))
 
-    def count(condition: Column) -> Column:
-        return F.sum(condition.cast("int"))
 
+def inspect_json(
+    spark: SparkSession, paths: Paths, whole_file_limit: int = WHOLE_FILE_LIMIT
+) -> DataFrame:
+    """One row per file: how to scan it, or the error that rules it out.
+
+    One splittable pass that keeps fixed-size sums per file split.
+    """
+    piece = F.col("piece")
     per_split = (
         text_pieces(spark, paths, "}")
         .groupBy("src_file", "split_start")
         .agg(
+            F.max("file_size").alias("file_size"),
             F.sum(F.octet_length(piece) + 1).alias("bytes"),
-            count(~F.is_valid_utf8(piece)).alias("not_utf8"),
+            _count(~F.is_valid_utf8(piece)).alias("not_utf8"),
             F.sum(_unescaped_quotes(piece)).alias("quotes"),
-            count(~shaped & ~tail).alias("odd_shape"),
-            count(shaped & (lead == "[")).alias("array_starts"),
-            count(shaped & (lead == "{")).alias("object_starts"),
-            count(shaped).alias("n_records"),
-            count(shaped & ~piece.rlike(r"\{[ \t\n\r]*+$")).alias("n_nonempty"),
-            count(shaped & F.try_parse_json(_object_text(piece)).isNull()).alias("malformed"),
-            count(tail).alias("tails"),
-            count(rest == "]").alias("array_ends"),
-            F.min(F.when(shaped & (lead != ","), ord_)).alias("start_ord"),
-            F.max(F.when(tail, ord_)).alias("tail_ord"),
-            F.min(ord_).alias("min_ord"),
-            F.max(ord_).alias("max_ord"),
+            *_outline(piece, F.col("ord")),
         )
     )
-    sums = ["bytes", "not_utf8", "quotes", "odd_shape", "array_starts", "object_starts"]
-    sums += ["n_records", "n_nonempty", "malformed", "tails", "array_ends"]
     per_file = per_split.groupBy("src_file").agg(
-        *[F.sum(c).alias(c) for c in sums],
+        F.max("file_size").alias("file_size"),
+        *[F.sum(c).alias(c) for c in ["bytes", "not_utf8", "quotes", *_OUTLINE_SUMS]],
         F.min_by(F.col("start_ord") == F.col("min_ord"), "split_start").alias("starts_first"),
         F.max_by(F.col("tail_ord") == F.col("max_ord"), "split_start").alias("tail_last"),
     )
     # The scan gives one piece for '{"a":1}' and for '{"a":1'; the size tells them apart.
     beyond = F.col("file_size") - F.col("bytes")
-    terminated = beyond.isin(0, _BYTE_ORDER_MARK)
-    one_tail = (F.col("tails") == 1) & F.col("tail_last") & ~terminated
-    whole_object = (
-        (F.col("object_starts") == 1)
-        & (F.col("n_records") == 1)
-        & (F.col("array_ends") == 0)
-        & (((F.col("tails") == 0) & terminated) | one_tail)
-    )
-    whole_array = (
-        (F.col("array_starts") == 1)
-        & (F.col("object_starts") == 0)
-        & (F.col("array_ends") == 1)
-        & one_tail
+    flat = _is_flat_document(F.col("starts_first"), F.col("tail_last"))
+    return (
+        list_files(spark, paths)
+        .join(
+            per_file.withColumn("terminated", beyond.isin(0, _BYTE_ORDER_MARK)), "src_file", "left"
+        )
+        .select(
+            "src_file",
+            F.when(F.col("bytes").isNull(), errors.MALFORMED_JSON)
+            .when(F.col("not_utf8") > 0, errors.NOT_UTF8)
+            .when(F.col("quotes") % 2 == 1, errors.MALFORMED_JSON)
+            .when(flat & (F.col("malformed") > 0), errors.MALFORMED_JSON)
+            .alias("error"),
+            F.when(flat, PIECES)
+            .when(F.col("file_size") <= whole_file_limit, WHOLE)
+            .otherwise(STITCH)
+            .alias("route"),
+            "terminated",
+            (F.col("array_starts") == 1).alias("is_array"),
+            "n_records",
+            "n_nonempty",
+        )
     )
-    regular = (
-        (F.col("odd_shape") == 0) & F.col("starts_first") & (whole_object | whole_array)
+
+
+def _whole_texts(spark: SparkSession, paths: Paths) -> DataFrame:
+    """One row per file with its text and the texts of its flat objects."""
+    text = F.regexp_replace("value", "^\ufeff", "")
+    return spark.read.text(paths, wholetext=True).select(
+        F.col("_metadata.file_path").alias("src_file"),
+        text.alias("document"),
+        F.regexp_extract_all(text, F.lit(FLAT_OBJECT), F.lit(0)).alias("texts"),
     )
-    return list_files(spark, paths).join(per_file, "src_file", "left").select(
-        "src_file",
-        F.when(F.col("bytes").isNull(), errors.MALFORMED_JSON)
-        .when(F.col("not_utf8") > 0, errors.NOT_UTF8)
-        .when(F.col("quotes") % 2 == 1, errors.MALFORMED_JSON)
-        .when(regular & (F.col("malformed") > 0), errors.MALFORMED_JSON)
-        .alias("error"),
-        F.when(F.coalesce(regular, F.lit(False)), PIECES).otherwise(STITCH).alias("route"),
-        terminated.alias("terminated"),
-        (F.col("array_starts") == 1).alias("is_array"),
-        "n_records",
-        "n_nonempty",
+
+
+def _inspect_whole(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Verdicts on files read as one text; ``flat`` where that is enough to scan them."""
+    document = F.col("document")
+    broken = F.exists("texts", lambda t: F.try_parse_json(t).isNull())
+    return materialise(
+        _whole_texts(spark, paths)
+        .withColumn("flat", document.rlike(_FLAT_DOCUMENT))
+        .select(
+            "src_file",
+            "flat",
+            F.when(F.col("flat") & broken, errors.MALFORMED_JSON).alias("error"),
+            (lead_char(document) == "[").alias("is_array"),
+            F.size("texts").cast("bigint").alias("n_records"),
+            F.size(F.filter("texts", lambda t: ~t.rlike(rf"^\{{{WS}\}}$")))
+            .cast("bigint")
+            .alias("n_nonempty"),
+        ),
+        "json-whole",
     )
 
 
-def scan_json(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> JsonScan:
+_VERDICT = ["src_file", "error", "is_array", "n_records", "n_nonempty"]
+
+
+def scan_json(
+    spark: SparkSession,
+    paths: Paths,
+    *,
+    numbered: bool = False,
+    whole_file_limit: int = WHOLE_FILE_LIMIT,
+) -> JsonScan:
     """Texts of all flat records; everything else becomes a reject."""
     configure(spark)
-    files = materialise(inspect_json(spark, paths), "json-files")
+    files = materialise(inspect_json(spark, paths, whole_file_limit), "json-files")
     fate = F.when(F.col("error").isNotNull(), "error").otherwise(F.col("route"))
     fates = {r.fate for r in files.select(fate.alias("fate")).distinct().collect()}
     good = files.filter(F.col("error").isNull())
@@ -149,7 +221,7 @@ def scan_json(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> J
         return paths if fates == {route} else paths_of(good.filter(F.col("route") == route))
 
     verdicts = files.filter((F.col("error").isNotNull()) | (F.col("route") == PIECES)).select(
-        "src_file", "error", "is_array", "n_records", "n_nonempty"
+        *_VERDICT
     )
     scans, rejects = [], []
     firsts = spark.createDataFrame([], "src_file string, first_no bigint")
@@ -161,8 +233,33 @@ def scan_json(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> J
             .withColumn("text", _object_text(F.col("piece")))
         )
         scans.append((number_rows(rows, row_blocks(rows)) if numbered else rows).select(*columns))
-    if STITCH in fates:
-        rows, bad, checked = _stitched(spark, of_route(STITCH), good)
+    to_stitch: Paths = of_route(STITCH) if STITCH in fates else []
+    if WHOLE in fates:
+        candidates = of_route(WHOLE)
+        seen = _inspect_whole(spark, candidates)
+        verdicts = verdicts.unionByName(seen.filter("flat").select(*_VERDICT))
+        if seen.filter("not flat or error is not null").isEmpty():
+            knotty, flat = [], candidates
+        else:
+            knotty = paths_of(seen.filter("not flat"))
+            flat = paths_of(seen.filter("flat and error is null"))
+        to_stitch = knotty + ([to_stitch] if isinstance(to_stitch, str) else to_stitch)
+        if flat:
+            rows = _whole_texts(spark, flat).select(
+                "src_file", F.posexplode("texts").alias("pos", "text")
+            )
+            number = (F.col("pos") + 1).cast("bigint")
+            scans.append(
+                rows.select(
+                    "src_file",
+                    F.lit(0).cast("bigint").alias("split_start"),
+                    number.alias("ord"),
+                    number.alias("rec_no"),
+                    "text",
+                ).select(*columns)
+            )
+    if to_stitch:
+        rows, bad, checked = _stitched(spark, to_stitch, good)
         scans.append(rows.select(*columns))
         rejects.append(bad)
         firsts = rows.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
@@ -183,41 +280,115 @@ def scan_json(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> J
 def _stitched(
     spark: SparkSession, paths: Paths, files: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records, rejects and file verdicts of files that are not plain flat pieces."""
+    """Records, rejects and file verdicts of files that are not plain flat pieces.
+
+    The segments between closing braces outside strings are the records already
+    when values are flat; only files where they are not need the bracket depth.
+    """
     pieces = text_pieces(spark, paths, "}")
-    segments = materialise(stitch(pieces, _unescaped_quotes(F.col("piece")), "}"), "json-segments")
-    outline = (
-        segments.groupBy("src_file")
-        .agg(
-            F.max("rec_no").alias("last_no"),
-            F.max(F.when(F.col("rec_no") == 1, lead_char(F.col("text")))).alias("opening"),
-        )
-        .join(files.select("src_file", "terminated"), "src_file")
+    segments, too_long = stitch(pieces, _unescaped_quotes(F.col("piece")), "}")
+    segments = materialise(segments, "json-segments")
+    outline = segments.groupBy("src_file").agg(
+        *_outline(F.col("text"), F.col("rec_no")),
+        F.max("rec_no").alias("last_no"),
+        F.max(F.when(F.col("rec_no") == 1, lead_char(F.col("text")))).alias("opening"),
+    )
+    outline = outline.join(files.select("src_file", "terminated"), "src_file")
+    flat = _is_flat_document(
+        F.col("start_ord") == F.col("min_ord"), F.col("tail_ord") == F.col("max_ord")
     )
     outline = materialise(
-        outline.withColumn("base", F.when(F.col("opening") == "[", 1).otherwise(0)), "json-outline"
+        outline.withColumn("flat", flat).withColumn(
+            "error", F.when(F.col("flat") & (F.col("malformed") > 0), errors.MALFORMED_JSON)
+        ),
+        "json-outline",
     )
+    verdicts = (
+        outline.filter("flat")
+        .withColumn("is_array", F.col("array_starts") == 1)
+        .select(*_VERDICT)
+    )
+    if too_long is not None:
+        verdicts = verdicts.unionByName(_too_long(too_long))
+    sound = outline.filter(F.col("flat") & F.col("error").isNull()).select("src_file")
+    records = (
+        segments.filter(F.instr("text", "{") > 0)
+        .join(sound, "src_file", "left_semi")
+        .select(
+            "src_file",
+            F.lit(0).cast("bigint").alias("split_start"),
+            F.col("rec_no").alias("ord"),
+            "rec_no",
+            _object_text(F.col("text")).alias("text"),
+        )
+    )
+    deep = outline.filter("not flat")
+    if deep.isEmpty():
+        rejects = file_rejects(spark.createDataFrame([], "src_file string, error string"))
+        return records, rejects, verdicts
+    more, rejects, checked = _nested(
+        segments, deep.select("src_file", "last_no", "opening", "terminated")
+    )
+    return records.unionByName(more), rejects, verdicts.unionByName(checked)
+
+
+def _too_long(files: DataFrame) -> DataFrame:
+    return files.select(
+        "src_file",
+        F.lit(errors.LONG_RECORD).alias("error"),
+        F.lit(None).cast("boolean").alias("is_array"),
+        F.lit(None).cast("bigint").alias("n_records"),
+        F.lit(None).cast("bigint").alias("n_nonempty"),
+    )
+
 
-    # Depth of brackets outside strings, after each segment.
+def _nested(
+    segments: DataFrame, outline: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Array elements by bracket depth: records, rejects and verdicts."""
+    base = F.when(F.col("opening") == "[", 1).otherwise(0)
+    segments = segments.join(outline.withColumn("base", base), "src_file").withColumn(
+        "is_tail", (F.col("rec_no") == F.col("last_no")) & ~F.col("terminated")
+    )
+
+    # Depth of brackets outside strings after each segment. The sums run over
+    # numbers only; the texts are joined to their element afterwards.
     no_strings = F.regexp_replace(
         F.regexp_replace("text", r"(?s)\\.", ""), r'"[^"]*+"?+', ""
     )
     opened = F.regexp_count(no_strings, F.lit(r"[\[{]"))
-    closed = F.regexp_count(no_strings, F.lit(r"[\]}]"))
-    segments = (
-        segments.join(outline, "src_file")
-        .withColumn("is_tail", (F.col("rec_no") == F.col("last_no")) & ~F.col("terminated"))
-        .withColumn(
-            "text",
-            F.when(F.col("is_tail"), F.col("text")).otherwise(F.concat("text", F.lit("}"))),
-        )
+    # The separator itself closes a bracket, except after the tail.
+    closed = F.regexp_count(no_strings, F.lit(r"[\]}]")) + (~F.col("is_tail")).cast("int")
+    marks = materialise(
+        segments.select(
+            "src_file",
+            "rec_no",
+            "base",
+            "is_tail",
+            (opened - closed).alias("delta"),
+            F.octet_length("text").alias("size"),
+        ),
+        "json-brackets",
     )
-    deep = running_sum(segments, "rec_no", opened - closed, "depth").withColumn(
+    deep = running_sum(marks, "rec_no", F.col("delta"), "depth").withColumn(
         "ends", (F.col("depth") == F.col("base")) & ~F.col("is_tail")
     )
-    placed = running_sum(deep, "rec_no", F.col("ends").cast("int"), "n_ended").withColumn(
-        "elem_no", F.col("n_ended") - F.col("ends").cast("int") + 1
+    placed = running_sum(deep, "rec_no", F.col("ends").cast("int"), "n_ended").select(
+        "src_file",
+        "rec_no",
+        "ends",
+        "depth",
+        "size",
+        (F.col("n_ended") - F.col("ends").cast("int") + 1).alias("elem_no"),
+    )
+    placed = materialise(placed, "json-places")
+    too_long = files_with_long_records(placed, "elem_no", F.col("size"))
+    if not too_long.isEmpty():
+        placed = placed.join(too_long, "src_file", "left_anti")
+    texts = segments.withColumn(
+        "text", F.when(F.col("is_tail"), F.col("text")).otherwise(F.concat("text", F.lit("}")))
     )
+    placed = texts.join(placed, ["src_file", "rec_no"])
     elements = placed.groupBy("src_file", "elem_no", "opening", "terminated").agg(
         F.array_join(
             F.transform(
@@ -253,9 +424,11 @@ def _stitched(
         "json-verdicts",
     )
 
-    sound = elements.join(verdicts.filter(F.col("error").isNull()).select("src_file"), "src_file")
-    counted = running_sum(sound, "elem_no", F.col("n_items"), "n_so_far")
-    items = counted.select(
+    sizes = elements.select("src_file", "elem_no", "n_items").join(
+        verdicts.filter(F.col("error").isNull()), "src_file", "left_semi"
+    )
+    counted = running_sum(sizes, "elem_no", F.col("n_items"), "n_so_far").drop("n_items")
+    items = elements.join(counted, ["src_file", "elem_no"]).select(
         "src_file",
         "n_items",
         "body",
@@ -280,7 +453,7 @@ def _stitched(
     rejects = items.filter(~F.col("is_object") | F.col("nested").isNotNull()).select(
         "src_file", "rec_no", *_record_error(F.col("is_object"), F.col("nested"), F.col("rec_no"))
     )
-    return records, rejects, verdicts
+    return records, rejects, verdicts.select(*_VERDICT).unionByName(_too_long(too_long))
 
 
 def _items(body: Column) -> Column:
@@ -341,13 +514,17 @@ def scan_json_lines(spark: SparkSession, paths: Paths) -> JsonScan:
     configure(spark)
     lines = (
         text_pieces(spark, paths, "\n")
+        # Checked before trimming, which would replace a bad byte.
+        .withColumn("valid", F.is_valid_utf8("piece"))
         .withColumn("text", json_trim(F.col("piece")))
         .filter(F.col("text") != "")
         .withColumn("ord", F.monotonically_increasing_id())
     )
     blocks = row_blocks(lines)
-    lines = number_rows(lines, blocks).select("src_file", "split_start", "ord", "rec_no", "text")
-    text, valid = F.col("text"), F.is_valid_utf8(F.col("text"))
+    lines = number_rows(lines, blocks).select(
+        "src_file", "split_start", "ord", "rec_no", "text", "valid"
+    )
+    text, valid = F.col("text"), F.col("valid")
     plain = valid & is_flat_object(text) & F.try_parse_json(text).isNotNull()
     value = parse_strict(text)
     failed = lines.filter(~plain).withColumn("value", F.when(valid, value)).select(
@@ -368,7 +545,7 @@ def scan_json_lines(spark: SparkSession, paths: Paths) -> JsonScan:
         "n_records",
         F.col("n_records").alias("n_nonempty"),
     )
-    records = lines.filter(plain)
+    records = lines.filter(plain).drop("valid")
     firsts = records.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
     return JsonScan(records, files, failed, firsts)
 

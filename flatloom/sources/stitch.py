@@ -14,11 +14,27 @@ from ..operators.numbering import carry_in
 from ..session import materialise
 
 
-def stitch(pieces: DataFrame, n_quotes: Column, separator: str) -> DataFrame:
+# A quote opened early and closed late makes most of a file one record. Such a
+# record is not gathered in one task; its file is reported instead.
+MAX_RECORD_BYTES = 256 << 20
+
+
+def files_with_long_records(parts: DataFrame, record: str, size: Column) -> DataFrame:
+    """Files with a record over the size limit. The sizes are summed map-side."""
+    sizes = parts.groupBy("src_file", record).agg(F.sum(size).alias("size"))
+    return materialise(
+        sizes.filter(F.col("size") > MAX_RECORD_BYTES).select("src_file").distinct(), "long-records"
+    )
+
+
+def stitch(
+    pieces: DataFrame, n_quotes: Column, separator: str
+) -> tuple[DataFrame, DataFrame | None]:
     """Records as ``src_file, rec_no, text``; ``rec_no`` counts from 1 per file.
 
     The pieces are shuffled once, by split, so a task never holds more than one
     split of a file. Only records that cross a split border are shuffled again.
+    The second result lists files left out for a record too long, if there are any.
     """
     split = ["src_file", "split_start", "split_len"]
     counted = pieces.withColumn("quotes", n_quotes)
@@ -63,6 +79,13 @@ def stitch(pieces: DataFrame, n_quotes: Column, separator: str) -> DataFrame:
             (F.col("nth") == 0) | ((F.col("nth") == F.col("starts")) & (F.col("odd_out") == 1)),
         )
     )
+    too_long = files_with_long_records(
+        numbered.filter("crosses"), "rec_no", F.octet_length("part")
+    )
+    if too_long.isEmpty():
+        too_long = None
+    else:
+        numbered = numbered.join(too_long, "src_file", "left_anti")
     whole = numbered.filter(~F.col("crosses")).select(
         "src_file", "rec_no", F.col("part").alias("text")
     )
@@ -79,4 +102,4 @@ def stitch(pieces: DataFrame, n_quotes: Column, separator: str) -> DataFrame:
             ).alias("text")
         )
     )
-    return whole.unionByName(joined)
+    return whole.unionByName(joined), too_long
