@@ -109,6 +109,7 @@ def _inspect(spark: SparkSession, paths: Paths, whole_file_limit: int) -> DataFr
         .join(per_file, "src_file", "left")
         .select(
             "src_file",
+            F.coalesce("file_size", F.lit(0)).alias("file_size"),
             error.alias("error"),
             route.alias("route"),
             F.when(error.isNull(), _names("first_line")).alias("names"),
@@ -138,7 +139,8 @@ def _with_cut_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
 def _first_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """First record of files whose header spans lines, looked for in their first split."""
     head = text_pieces(spark, paths, "\n").filter("split_start = 0")
-    records, _ = stitch(head, count_of(F.col("piece"), '"'), "\n")
+    # One split cannot hold a record too long for a row.
+    records, _ = stitch(head, count_of(F.col("piece"), '"'), "\n", 0)
     return materialise(
         records.filter(~is_blank(F.col("text")))
         .groupBy("src_file")
@@ -193,7 +195,9 @@ def scan_csv(
                 counts = counts.unionByName(row_counts(blocks))
             scans.append(rows)
     if STITCH in fates:
-        rows, stray, too_long = _stitched(spark, of_route(STITCH), width, keep_crlf)
+        rows, stray, too_long = _stitched(
+            spark, of_route(STITCH), width, keep_crlf, fates[STITCH].largest
+        )
         strays.append(stray)
         if too_long is not None:
             too_long = too_long.withColumn("long", F.lit(errors.LONG_RECORD))
@@ -221,7 +225,7 @@ def scan_csv(
 
 
 def _fates(files: DataFrame) -> dict[str, Row]:
-    """Per route or error: number of columns, the extremes of the headers, any cut header."""
+    """Per route or error: columns, the extremes of the headers, cut headers, largest file."""
     return {
         r.fate: r
         for r in files.groupBy(F.coalesce("error", "route").alias("fate"))
@@ -230,6 +234,7 @@ def _fates(files: DataFrame) -> dict[str, Row]:
             F.min("names").alias("names_min"),
             F.max("names").alias("names_max"),
             F.max("cut_header").alias("cut"),
+            F.max("file_size").alias("largest"),
         )
         .collect()
     }
@@ -259,10 +264,10 @@ def _fields_of(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _stitched(
-    spark: SparkSession, paths: Paths, width: int, keep_crlf: bool
+    spark: SparkSession, paths: Paths, width: int, keep_crlf: bool, largest_file: int
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     lines = text_pieces(spark, paths, "\n")
-    records, too_long = stitch(lines, count_of(F.col("piece"), '"'), "\n")
+    records, too_long = stitch(lines, count_of(F.col("piece"), '"'), "\n", largest_file)
     records = records.filter(~is_blank(F.col("text"))).withColumn("crlf", F.col("text").endswith("\r")).withColumn(
         "text", F.regexp_replace("text", "\r$", "")
     )

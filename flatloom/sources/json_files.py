@@ -30,6 +30,7 @@ from ..functions.json import (
 from ..functions.text import count_of
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import configure, materialise
+from . import stitch as stitching
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
 from .stitch import files_with_long_records, stitch
 
@@ -160,6 +161,7 @@ def inspect_json(
             .when(F.col("file_size") <= whole_file_limit, WHOLE)
             .otherwise(STITCH)
             .alias("route"),
+            F.coalesce("file_size", F.lit(0)).alias("file_size"),
             "terminated",
             (F.col("array_starts") == 1).alias("is_array"),
             "n_records",
@@ -213,7 +215,9 @@ def scan_json(
     configure(spark)
     files = materialise(inspect_json(spark, paths, whole_file_limit), "json-files")
     fate = F.when(F.col("error").isNotNull(), "error").otherwise(F.col("route"))
-    fates = {r.fate for r in files.select(fate.alias("fate")).distinct().collect()}
+    summary = files.groupBy(fate.alias("fate")).agg(F.max("file_size").alias("largest")).collect()
+    fates = {r.fate for r in summary}
+    largest_file = max((r.largest for r in summary), default=0)
     good = files.filter(F.col("error").isNull())
     columns = ["src_file", "split_start", "ord", *(["rec_no"] if numbered else []), "text"]
 
@@ -259,7 +263,7 @@ def scan_json(
                 ).select(*columns)
             )
     if to_stitch:
-        rows, bad, checked = _stitched(spark, to_stitch, good)
+        rows, bad, checked = _stitched(spark, to_stitch, good, largest_file)
         scans.append(rows.select(*columns))
         rejects.append(bad)
         firsts = rows.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
@@ -278,7 +282,7 @@ def scan_json(
 
 
 def _stitched(
-    spark: SparkSession, paths: Paths, files: DataFrame
+    spark: SparkSession, paths: Paths, files: DataFrame, largest_file: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, rejects and file verdicts of files that are not plain flat pieces.
 
@@ -286,8 +290,9 @@ def _stitched(
     when values are flat; only files where they are not need the bracket depth.
     """
     pieces = text_pieces(spark, paths, "}")
-    segments, too_long = stitch(pieces, _unescaped_quotes(F.col("piece")), "}")
-    segments = materialise(segments, "json-segments")
+    segments, too_long = stitch(
+        pieces, _unescaped_quotes(F.col("piece")), "}", largest_file
+    )
     outline = segments.groupBy("src_file").agg(
         *_outline(F.col("text"), F.col("rec_no")),
         F.max("rec_no").alias("last_no"),
@@ -327,7 +332,7 @@ def _stitched(
         rejects = file_rejects(spark.createDataFrame([], "src_file string, error string"))
         return records, rejects, verdicts
     more, rejects, checked = _nested(
-        segments, deep.select("src_file", "last_no", "opening", "terminated")
+        segments, deep.select("src_file", "last_no", "opening", "terminated"), largest_file
     )
     return records.unionByName(more), rejects, verdicts.unionByName(checked)
 
@@ -343,7 +348,7 @@ def _too_long(files: DataFrame) -> DataFrame:
 
 
 def _nested(
-    segments: DataFrame, outline: DataFrame
+    segments: DataFrame, outline: DataFrame, largest_file: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Array elements by bracket depth: records, rejects and verdicts."""
     base = F.when(F.col("opening") == "[", 1).otherwise(0)
@@ -381,9 +386,10 @@ def _nested(
         "size",
         (F.col("n_ended") - F.col("ends").cast("int") + 1).alias("elem_no"),
     )
-    placed = materialise(placed, "json-places")
-    too_long = files_with_long_records(placed, "elem_no", F.col("size"))
-    if not too_long.isEmpty():
+    too_long = None
+    if largest_file > stitching.MAX_RECORD_BYTES:
+        placed = materialise(placed, "json-places")
+        too_long = files_with_long_records(placed, "elem_no", F.col("size"))
         placed = placed.join(too_long, "src_file", "left_anti")
     texts = segments.withColumn(
         "text", F.when(F.col("is_tail"), F.col("text")).otherwise(F.concat("text", F.lit("}")))
@@ -411,17 +417,14 @@ def _nested(
         F.sum("n_items").alias("n_records"),
         F.sum("n_keys").alias("n_nonempty"),
     )
-    verdicts = materialise(
-        checked.select(
-            "src_file",
-            F.when(F.col("malformed"), errors.MALFORMED_JSON)
-            .when(F.col("scalar"), errors.NOT_OBJECT_OR_ARRAY)
-            .alias("error"),
-            "is_array",
-            "n_records",
-            "n_nonempty",
-        ),
-        "json-verdicts",
+    verdicts = checked.select(
+        "src_file",
+        F.when(F.col("malformed"), errors.MALFORMED_JSON)
+        .when(F.col("scalar"), errors.NOT_OBJECT_OR_ARRAY)
+        .alias("error"),
+        "is_array",
+        "n_records",
+        "n_nonempty",
     )
 
     sizes = elements.select("src_file", "elem_no", "n_items").join(
@@ -453,7 +456,10 @@ def _nested(
     rejects = items.filter(~F.col("is_object") | F.col("nested").isNotNull()).select(
         "src_file", "rec_no", *_record_error(F.col("is_object"), F.col("nested"), F.col("rec_no"))
     )
-    return records, rejects, verdicts.select(*_VERDICT).unionByName(_too_long(too_long))
+    verdicts = verdicts.select(*_VERDICT)
+    if too_long is not None:
+        verdicts = verdicts.unionByName(_too_long(too_long))
+    return records, rejects, verdicts
 
 
 def _items(body: Column) -> Column:

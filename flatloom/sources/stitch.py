@@ -28,17 +28,18 @@ def files_with_long_records(parts: DataFrame, record: str, size: Column) -> Data
 
 
 def stitch(
-    pieces: DataFrame, n_quotes: Column, separator: str
+    pieces: DataFrame, n_quotes: Column, separator: str, largest_file: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """Records as ``src_file, rec_no, text``; ``rec_no`` counts from 1 per file.
 
     The pieces are shuffled once, by split, so a task never holds more than one
     split of a file. Only records that cross a split border are shuffled again.
-    The second result lists files left out for a record too long, if there are any.
+    The second result lists files left out for a record too long, if there are any;
+    it takes a file of more bytes than the limit to hold one.
     """
     split = ["src_file", "split_start", "split_len"]
     counted = pieces.withColumn("quotes", n_quotes)
-    quotes = materialise(counted.groupBy(*split).agg(F.sum("quotes").alias("quotes")), "quotes")
+    quotes = counted.groupBy(*split).agg(F.sum("quotes").alias("quotes"))
     parity = carry_in(quotes, "quotes", "quotes_before", block="split_start").select(
         *split,
         (F.col("quotes_before") % 2).alias("odd_in"),
@@ -79,12 +80,11 @@ def stitch(
             (F.col("nth") == 0) | ((F.col("nth") == F.col("starts")) & (F.col("odd_out") == 1)),
         )
     )
-    too_long = files_with_long_records(
-        numbered.filter("crosses"), "rec_no", F.octet_length("part")
-    )
-    if too_long.isEmpty():
-        too_long = None
-    else:
+    too_long = None
+    if largest_file > MAX_RECORD_BYTES:
+        too_long = files_with_long_records(
+            numbered.filter("crosses"), "rec_no", F.octet_length("part")
+        )
         numbered = numbered.join(too_long, "src_file", "left_anti")
     whole = numbered.filter(~F.col("crosses")).select(
         "src_file", "rec_no", F.col("part").alias("text")
