@@ -120,18 +120,15 @@ def sorted_json(v: Column, text: Column) -> Column:
     A variant keeps its keys in UTF-16 order, which differs from byte order only
     for characters beyond U+FFFF; such records are put together key by key.
     """
-    rec = v.cast("map<string,variant>")
-    by_key = F.transform(
-        F.array_sort(F.map_keys(rec)),
-        lambda k: F.concat(
-            F.regexp_extract(
-                F.to_json(F.create_map(k, F.lit(0))), r"(?s)^\{(.*):0\}$", 1
-            ),
-            F.lit(":"),
-            F.to_json(F.element_at(rec, k)),
-        ),
-    )
-    rebuilt = F.concat(F.lit("{"), F.array_join(by_key, ","), F.lit("}"))
+    def fields(rec: Column) -> Column:
+        def field(k: Column) -> Column:
+            key = F.regexp_extract(F.to_json(F.create_map(k, F.lit(0))), r"(?s)^\{(.*):0\}$", 1)
+            return F.concat(key, F.lit(":"), F.to_json(F.element_at(rec, k)))
+
+        return F.transform(F.array_sort(F.map_keys(rec)), field)
+
+    listed = F.array_join(let(v.cast("map<string,variant>"), fields), ",")
+    rebuilt = F.concat(F.lit("{"), listed, F.lit("}"))
     beyond_bmp = text.rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
     return F.when(beyond_bmp, rebuilt).otherwise(F.to_json(v))
 

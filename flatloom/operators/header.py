@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE, trim_whitespace
+from ..session import broadcast_if_small
 
 _NAME = r'(?s),("(?:[^"]++|"")*+"(?=,|$)|[^,]*+)'
 # Quoted first: a possessive loop does not come back to try the other form.
@@ -68,8 +69,6 @@ def bind(rows: DataFrame, files: DataFrame, shared: list[str] | None = None) ->
         record_keys(F.col("names")).alias("keys"),
         last_positions(F.col("names")).alias("positions"),
     )
-    # One row per file. Spark broadcasts it below its size threshold; beyond it
-    # adaptive execution splits the partition of a hot file.
-    return rows.join(headers, "src_file").select(
+    return rows.join(broadcast_if_small(headers), "src_file").select(
         *others, bind_fields(F.col("keys"), F.col("positions"), F.col("fields")).alias("rec")
     )

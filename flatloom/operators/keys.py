@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.errors import InvalidInput
-from ..functions.json import scalar_texts
+from ..functions.json import last_value, let, scalar_texts
+from ..session import materialise
 
 # The key list of a dataset becomes part of the plan, so its size is checked.
 MAX_COLUMNS = 20_000
@@ -28,12 +29,41 @@ def keys_by_file(records: DataFrame) -> DataFrame:
     return pairs.distinct().groupBy("src_file").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
-def sorted_keys(records: DataFrame) -> list[str]:
-    """The key union on the driver, in UTF-8 byte order."""
-    keys = [r.key for r in key_union(records).limit(MAX_COLUMNS + 1).collect()]
-    if len(keys) > MAX_COLUMNS:
-        raise InvalidInput(f"The records have more than {MAX_COLUMNS} different keys.")
-    return sorted(keys, key=lambda k: k.encode())
+def sorted_keys(keys: DataFrame, limit: int = MAX_COLUMNS) -> list[str]:
+    """Distinct keys on the driver, in UTF-8 byte order."""
+    found = [r.key for r in keys.limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise InvalidInput(f"The records have more than {limit} different keys.")
+    return sorted(found, key=lambda k: k.encode())
+
+
+# Up to this many keys over all files, records are parsed into fixed fields.
+FIXED_FIELDS = 1_000
+
+
+def file_keys(records: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """``src_file, keys, positions`` and the union of all keys, or None when it is wide."""
+    keyed = materialise(keys_by_file(records), "file-keys")
+    union = keyed.select(F.explode("keys").alias("key")).distinct()
+    if union.limit(FIXED_FIELDS + 1).count() > FIXED_FIELDS:
+        return keyed.withColumn("positions", F.lit(None).cast("array<int>")), None
+    names = sorted_keys(union, FIXED_FIELDS)
+    known = F.array(*map(F.lit, names))
+    at = F.transform("keys", lambda k: (F.array_position(known, k) - 1).cast("int"))
+    return keyed.withColumn("positions", at), names
+
+
+def values_of_file(text: Column, union: list[str] | None) -> Column:
+    """Texts of one record under the ``keys`` (at ``positions`` of ``union``) of its file."""
+    if union is not None:
+        return let(
+            F.array(*cells(union, text)),
+            lambda values: F.transform("positions", lambda i: F.get(values, i)),
+        )
+    return let(
+        scalar_texts(text, "map<string,string>"),
+        lambda rec: F.transform("keys", lambda k: F.coalesce(last_value(rec, k), F.lit(""))),
+    )
 
 
 def text_schema(keys: list[str]) -> T.StructType:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 BLOCK_ROWS = 1 << 16
 
@@ -55,6 +55,7 @@ def number_rows(scan: DataFrame, blocks: DataFrame, out: str = "rec_no") -> Data
         F.col("first_ord").isNull(),
         F.raise_error(F.lit("The file splits changed between two scans; run again.")).cast("long"),
     ).otherwise(number)
+    offsets = broadcast_if_small(offsets)
     return scan.join(offsets, keys, "left").withColumn(out, checked).drop("first_ord", "before")
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..functions.json import last_value, pretty, scalar_texts, sorted_json
+from ..functions.json import pretty, sorted_json
 from ..functions.text import base_name, csv_line_of
-from ..operators.keys import cells, keys_by_file, sorted_keys
+from ..operators.keys import cells, file_keys, key_union, sorted_keys, values_of_file
 from ..operators.ledger import record_runs
-from ..session import case_sensitive, configure
+from ..session import broadcast_if_small, case_sensitive, configure
 from ..sinks.documents import array_lines, csv_lines, write_csv, write_documents, write_lines
 from ..sources.csv_files import scan_csv
 from ..sources.files import Paths, list_files, paths_of, plain_path
@@ -57,7 +57,6 @@ def _admitted(spark: SparkSession, src: Paths, action: Action) -> tuple[Paths, D
     error = extension_error(
         plain_path(F.col("src_file")), F.lit(action.label), F.array(*map(F.lit, action.allowed))
     )
-    # The listing is a local table, so judging it runs no job.
     judged = files.withColumn("error_msg", error)
     refused = judged.filter(F.col("error_msg").isNotNull()).select(
         "src_file",
@@ -159,17 +158,19 @@ def json_to_csv(
     good = _named(sound.filter(has_keys), JSON_TO_CSV)
     rejects = refused.unionByName(scan.rejects).unionByName(barren)
     if per_file:
-        keyed = good.join(keys_by_file(scan.records), "src_file").select(
-            "src_file", "out_name", "keys", csv_line_of(F.col("keys")).alias("header")
-        )
-        output = scan.records.join(keyed.select("src_file", "keys"), "src_file").select(
-            "src_file",
-            "rec_no",
-            csv_line_of(_values(F.col("keys"), F.col("text"))).alias("line"),
+        keyed, union = file_keys(scan.records)
+        keyed = good.join(keyed, "src_file").select(
+            "src_file", "out_name", "keys", "positions", csv_line_of(F.col("keys")).alias("header")
         )
+        small = broadcast_if_small(keyed.select("src_file", "keys", "positions"))
+        with case_sensitive(spark):
+            values = values_of_file(F.col("text"), union)
+            output = scan.records.join(small, "src_file").select(
+                "src_file", "rec_no", csv_line_of(values).alias("line")
+            )
         documents = csv_lines(output, keyed)
     else:
-        keys = sorted_keys(scan.records)
+        keys = sorted_keys(key_union(scan.records))
         with case_sensitive(spark):
             # '{}' next to records with keys is a row of empty fields, but alone in
             # a file it is no record at all.
@@ -185,12 +186,6 @@ def json_to_csv(
     )
 
 
-def _values(keys: Column, text: Column) -> Column:
-    """Texts of the given keys of one record, for keys that differ by file."""
-    rec = scalar_texts(text, "map<string,string>")
-    return F.transform(keys, lambda k: F.coalesce(last_value(rec, k), F.lit("")))
-
-
 def format_json(
     spark: SparkSession, src: Paths, *, layout: str = "lines", lines: bool = False
 ) -> Conversion:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Needed while a job runs, not only while it is built: a repeated key in a
 # JSON object keeps its last value instead of failing the parse.
@@ -57,6 +58,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A table sent to every executor stays below this, as measured.
+BROADCAST_BYTES = 256 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a materialised small table for broadcast when its measured size allows it.
+
+    Tables here have one row per file or split, which Spark's default threshold
+    would shuffle-join, and with it all records. Beyond the limit the join is left
+    to Spark, where adaptive execution splits the partition of a hot file.
+    """
+    text = F.to_json(F.struct(*df.columns))
+    size = df.agg(F.sum(F.octet_length(text)).alias("bytes")).first().bytes or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 @contextmanager
 def case_sensitive(spark: SparkSession) -> Iterator[None]:
     """Resolve column names by exact case while a plan is built or written."""

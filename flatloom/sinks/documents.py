@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 # Defaults would write \" for a quote, "" for empty text, and trim values.
 CSV_WRITE = {
     "quote": '"',
@@ -28,7 +30,7 @@ def array_lines(records: DataFrame, files: DataFrame, first_no: Column | int = 1
     """
     names = files.select("src_file", "out_name", "is_array", "n_records")
     separator = F.when(~F.col("is_array") | (F.col("rec_no") == first_no), "").otherwise(",")
-    body = records.join(names, "src_file").select(
+    body = records.join(broadcast_if_small(names), "src_file").select(
         "out_name", F.col("rec_no").alias("line_no"), F.concat(separator, "json").alias("line")
     )
     brackets = F.array(
@@ -47,7 +49,8 @@ def csv_lines(records: DataFrame, files: DataFrame) -> DataFrame:
 
     ``records`` has ``src_file, rec_no, line``; ``files`` has ``src_file, out_name, header``.
     """
-    body = records.join(files.select("src_file", "out_name"), "src_file").select(
+    names = broadcast_if_small(files.select("src_file", "out_name"))
+    body = records.join(names, "src_file").select(
         "out_name", F.col("rec_no").alias("line_no"), "line"
     )
     head = files.select(
