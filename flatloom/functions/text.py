@@ -16,7 +16,9 @@ def trim_whitespace(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return ~c.rlike(f"[^{WHITESPACE[1:]}")
+    """Nothing but whitespace. A first byte of visible ASCII settles it without a pattern."""
+    visible = (c >= "!") & (c < "\x7f")
+    return ~(visible | c.rlike(f"[^{WHITESPACE[1:]}"))
 
 
 def count_of(c: Column, char: str) -> Column:

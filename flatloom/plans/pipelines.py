@@ -109,9 +109,8 @@ def csv_to_json(
     if not paths:
         return _nothing(spark, CSV_TO_JSON, layout, refused)
     as_array = layout == "array"
-    scan = scan_csv(spark, paths, numbered=as_array, keep_crlf=keep_crlf)
-    text = F.to_json("rec")
-    output = scan.records.withColumn("json", text).drop("rec")
+    scan = scan_csv(spark, paths, numbered=as_array, keep_crlf=keep_crlf, as_json=True)
+    output = scan.records
     good = _named(scan.files.filter(F.col("error").isNull()), CSV_TO_JSON)
     documents = None
     if as_array:

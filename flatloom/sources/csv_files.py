@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors
 from ..functions.text import count_of, is_blank
-from ..operators.header import bind, blank_text, header_names
+from ..operators.header import bind, bind_json, blank_text, header_names
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import materialise
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
@@ -65,23 +65,26 @@ def inspect_csv(
 
 def _inspect(spark: SparkSession, paths: Paths, whole_file_limit: int) -> DataFrame:
     line = F.col("piece")
-    quotes = count_of(line, '"')
     cr_at = F.instr(line, "\r")
-    per_split = (
-        text_pieces(spark, paths, "\n")
-        .groupBy("src_file", "split_start")
-        .agg(
-            F.max("file_size").alias("file_size"),
-            F.sum(quotes).alias("quotes"),
-            F.sum(quotes % 2).alias("odd_lines"),
-            F.sum(((cr_at > 0) & (cr_at < F.length(line))).cast("int")).alias("inner_cr"),
-            F.min_by(line, F.when(F.trim(F.rtrim(line, F.lit("\r"))) != "", F.col("ord"))).alias(
-                "first_line"
-            ),
-            # A collecting aggregate also keeps Spark on hash aggregation, which
-            # min_by over text alone would turn into a sort of all lines.
-            F.collect_set(F.when(~F.is_valid_utf8(line), F.lit(errors.NOT_UTF8))).alias("faults"),
-        )
+    lines = text_pieces(spark, paths, "\n").select(
+        "src_file",
+        "split_start",
+        "file_size",
+        line,
+        F.when(F.instr(line, '"') > 0, count_of(line, '"')).otherwise(0).alias("quotes"),
+        F.when(cr_at > 0, (cr_at < F.length(line)).cast("int")).otherwise(0).alias("inner_cr"),
+        F.when(~F.is_valid_utf8(line), errors.NOT_UTF8).alias("fault"),
+        F.when(F.trim(F.rtrim(line, F.lit("\r"))) != "", F.col("ord")).alias("filled_ord"),
+    )
+    per_split = lines.groupBy("src_file", "split_start").agg(
+        F.max("file_size").alias("file_size"),
+        F.sum("quotes").alias("quotes"),
+        F.sum(F.col("quotes") % 2).alias("odd_lines"),
+        F.sum("inner_cr").alias("inner_cr"),
+        F.min_by(line, "filled_ord").alias("first_line"),
+        # A collecting aggregate also keeps Spark on hash aggregation, which
+        # min_by over text alone would turn into a sort of all lines.
+        F.collect_set("fault").alias("faults"),
     )
     per_file = per_split.groupBy("src_file").agg(
         F.max("file_size").alias("file_size"),
@@ -156,9 +159,12 @@ def scan_csv(
     numbered: bool = False,
     keep_crlf: bool = False,
     whole_file_limit: int = WHOLE_FILE_LIMIT,
+    as_json: bool = False,
 ) -> CsvScan:
     """Records of every valid CSV file, bound to the file's own header.
 
+    ``records`` have their text map ``rec`` or, with ``as_json``, its ``json`` text.
+
     Spark's reader turns a CRLF inside quotes into LF when lines end in CRLF;
     ``keep_crlf`` keeps it, by stitching the lines of such files instead.
     """
@@ -188,7 +194,7 @@ def scan_csv(
                 *_cells(width),
                 "_ragged",
             )
-            rows = _fields_of(rows, width).withColumn("ord", F.monotonically_increasing_id())
+            rows = _filled(rows, width).withColumn("ord", F.monotonically_increasing_id())
             if numbered:
                 blocks = row_blocks(rows)
                 rows = number_rows(rows, blocks)
@@ -211,17 +217,21 @@ def scan_csv(
             rows = running_sum(rows, "ord", F.lit(1), "rec_no")
         scans.append(rows)
 
-    columns = ["src_file", "split_start", "ord", *(["rec_no"] if numbered else []), "fields"]
-    if not scans:
-        empty = "src_file string, split_start bigint, ord bigint, rec_no bigint, fields array<string>"
-        scans = [spark.createDataFrame([], empty)]
-    rows = scans[0].select(*columns)
-    for more in scans[1:]:
-        rows = rows.unionByName(more.select(*columns))
+    order = ["src_file", "split_start", "ord", *(["rec_no"] if numbered else [])]
+    if scans:
+        columns = [*order, *_names_of_cells(width)]
+        rows = scans[0].select(*columns)
+        for more in scans[1:]:
+            rows = rows.unionByName(more.select(*columns))
+        records = (bind_json if as_json else bind)(rows, width, good, shared)
+    else:
+        empty = "src_file string, split_start bigint, ord bigint, rec_no bigint, "
+        empty += "json string" if as_json else "rec map<string,string>"
+        records = spark.createDataFrame([], empty)
     rejects = file_rejects(files)
     for stray in strays:
         rejects = rejects.unionByName(stray)
-    return CsvScan(bind(rows, good, shared), files.drop("cut_header"), rejects, counts)
+    return CsvScan(records, files.drop("cut_header"), rejects, counts)
 
 
 def _fates(files: DataFrame) -> dict[str, Row]:
@@ -244,23 +254,23 @@ def _ddl(width: int) -> str:
     return ", ".join([*(f"_c{i} string" for i in range(width)), "_ragged string"])
 
 
+def _names_of_cells(width: int) -> list[str]:
+    return [f"_c{i}" for i in range(width)]
+
+
 def _cells(width: int, row: str = "") -> list[Column]:
-    return [F.coalesce(F.col(f"{row}_c{i}"), F.lit("")).alias(f"_c{i}") for i in range(width)]
+    return [F.coalesce(F.col(f"{row}{c}"), F.lit("")).alias(c) for c in _names_of_cells(width)]
 
 
-def _fields_of(rows: DataFrame, width: int) -> DataFrame:
-    """Gather the cells and drop rows where all are blank, cells beyond the header included."""
-    cells = [F.col(f"_c{i}") for i in range(width)]
+def _filled(rows: DataFrame, width: int) -> DataFrame:
+    """Drop rows whose cells are all blank, cells beyond the header included."""
+    cells = [F.col(c) for c in _names_of_cells(width)]
     if width <= 64:  # stays in generated code, and mostly ends at the first cell
         filled = reduce(lambda a, b: a | b, [~is_blank(c) for c in cells])
     else:
         filled = F.exists(F.array(*cells), lambda v: ~is_blank(v))
     more = F.col("_ragged").isNotNull() & ~blank_text(F.col("_ragged"))
-    return (
-        rows.filter(filled | more)
-        .withColumn("fields", F.array(*cells))
-        .drop("_ragged", *[f"_c{i}" for i in range(width)])
-    )
+    return rows.filter(filled | more).drop("_ragged")
 
 
 def _stitched(
@@ -283,7 +293,7 @@ def _stitched(
 
     stray = F.col("text").contains("\n") & ~F.col("text").rlike(_WELL_QUOTED)
     options = {**CSV_READ, "multiLine": "true", "lineSep": "\n"}
-    rows = _fields_of(
+    rows = _filled(
         body.filter(~stray)
         .withColumn("row", F.from_csv("text", _ddl(width), options))
         .select(

@@ -44,10 +44,10 @@ def folder(tmp_path):
 
 @pytest.fixture
 def small_splits(spark):
-    """Cut every file into splits of a few bytes, so that records cross borders."""
+    """Cut files into splits of 1500 bytes, so that records cross borders."""
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
-    spark.conf.set(name, "24b")
+    spark.conf.set(name, "1500b")
     yield
     spark.conf.set(name, before)
 

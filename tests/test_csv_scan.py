@@ -99,17 +99,21 @@ def test_stitched(spark, fixture_folder):
 
 
 def test_stitched_across_splits(spark, folder, small_splits):
-    names = ("c03", "c13", "c23")
-    path = folder({f"{n}.csv": FILES[n] for n in names})
-    check(scan_csv(spark, path, numbered=True, whole_file_limit=0), names)
+    wide = "\n".join(f"line {i}, \"\"quoted\"\"" for i in range(150))
+    rows = [(str(i), f"a{i}\nb, {i}\n") for i in range(400)] + [("wide", wide.replace('""', '"'))]
+    text = "id,note\n" + "".join(f'{i},"{n}"\n' for i, n in rows[:-1]) + f'wide,"{wide}"\nend,x\n'
+    scan = scan_csv(spark, folder({"x.csv": text}), numbered=True, whole_file_limit=0)
+    got = sorted((r.rec_no, r.rec["id"], r.rec["note"]) for r in scan.records.collect())
+    assert got == [(n + 1, i, t) for n, (i, t) in enumerate([*rows, ("end", "x")])]
+    assert scan.rejects.count() == 0
 
 
 def test_record_numbers_count_kept_rows(spark, folder, small_splits):
-    path = folder({"n.csv": "a,b\n" + "".join(f"{i},x\n,\n" for i in range(20))})
+    path = folder({"n.csv": "a,b\n" + "".join(f"{i},x\n,\n" for i in range(900))})
     scan = scan_csv(spark, path, numbered=True)
     got = sorted((r.rec_no, r.rec["a"]) for r in scan.records.collect())
-    assert got == [(i + 1, str(i)) for i in range(20)]
-    assert [r.n_records for r in scan.counts.collect()] == [20]
+    assert got == [(i + 1, str(i)) for i in range(900)]
+    assert [r.n_records for r in scan.counts.collect()] == [900]
 
 
 def test_many_headers_are_joined(spark, folder):
@@ -138,8 +142,8 @@ def test_stray_quote_over_lines_is_reported_when_stitched(spark, folder):
 
 
 def test_record_too_long_for_one_row(spark, folder, small_splits, monkeypatch):
-    monkeypatch.setattr(stitch, "MAX_RECORD_BYTES", 60)
-    path = folder({"long.csv": 'a\n"' + "x\n" * 50 + '"\n', "ok.csv": 'a\n"1\n2"\n'})
+    monkeypatch.setattr(stitch, "MAX_RECORD_BYTES", 2000)
+    path = folder({"long.csv": 'a\n"' + "x\n" * 3000 + '"\n', "ok.csv": 'a\n"1\n2"\n'})
     scan = scan_csv(spark, path, whole_file_limit=0)
     assert [r.rec for r in scan.records.collect()] == [{"a": "1\n2"}]
     assert by_file(scan.rejects.collect(), "error_msg") == {

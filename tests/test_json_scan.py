@@ -91,27 +91,27 @@ def test_stitched(spark, fixture_folder):
 
 
 def test_stitched_across_splits(spark, folder, small_splits):
-    """Records, nested values and strings that lie over several splits of 16 bytes."""
-    long = "".join(f'{{"k{i}":"{{}} \\" }}, {i}","v":{i}.50}},\n' for i in range(4))
+    """Records, nested values and strings that lie over several splits."""
+    long = "".join(f'{{"k{i}":"{{}} \\" }}, {i}","v":{i}.50}},\n' for i in range(200))
     scan = scan_json(
         spark,
         folder(
             {
                 "flat.json": f'[{long}{{"end":null}}]',
-                "deep.json": f'[{long}{{"end":{{"x":[{{}},{{"}}":1}}]}}}}, {{"last":1}}]',
-                "plain.json": "[" + ",".join(f'{{"n":{i}}}' for i in range(8)) + "]",
+                "deep.json": f'[{long}{{"end":{{"x":[{"{}," * 900}{{"}}":1}}]}}}}, {{"last":1}}]',
+                "plain.json": "[" + ",".join(f'{{"n":{i}}}' for i in range(800)) + "]",
             }
         ),
         numbered=True,
         whole_file_limit=0,
     )
     records = by_file(scan.records.collect(), "rec_no", "text")
-    assert [n for n, _ in records["flat"]] == list(range(1, 6))
+    assert [n for n, _ in records["flat"]] == list(range(1, 202))
     assert records["flat"][0][1] == '{"k0":"{} \\" }, 0","v":0.50}'
-    assert [n for n, _ in records["deep"]] == [*range(1, 5), 6]
-    assert records["plain"] == [(i + 1, f'{{"n":{i}}}') for i in range(8)]
+    assert [n for n, _ in records["deep"]] == [*range(1, 201), 202]
+    assert records["plain"] == [(i + 1, f'{{"n":{i}}}') for i in range(800)]
     assert by_file(scan.rejects.collect(), "rec_no", "error_msg") == {
-        "deep": [(5, NESTED.format("end"))]
+        "deep": [(201, NESTED.format("end"))]
     }
 
 

@@ -42,6 +42,13 @@ def test_csv_to_json_lines(spark, folder, tmp_path):
     }
 
 
+def test_csv_to_json_unusual_names(spark, folder):
+    path = folder({"x.csv": ',A,a,"q""\n",A\n1,2,3,4,5\n'})
+    assert [r.json for r in fl.csv_to_json(spark, path).output.collect()] == [
+        '{"":"1","A":"5","a":"3","q\\"":"4"}'
+    ]
+
+
 def test_csv_to_json_arrays(spark, folder, tmp_path):
     out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
     fl.convert(spark, "csvToJSON", folder(CSV), out, layout="array", ledger=ledger)
