@@ -8,8 +8,7 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_module
-
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from flatloom.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +27,8 @@ def rows(names, values):
 
 def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)
