@@ -40,3 +40,21 @@ DECONTAMINATION = f"""
            sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN k USING (doc_id) LEFT JOIN g USING (doc_id)
 """
+
+EMBEDDING_DEDUP = """
+    WITH RECURSIVE v AS MATERIALIZED (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS MATERIALIZED (
+        SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+        WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    m AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+    n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+           vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""

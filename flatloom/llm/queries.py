@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registry import Query, table
 from . import oracles
+from .class_lm import learn, scores
 from .decontaminate import contamination
+from .embedding_dedup import similar_embeddings
 from .near_dedup import near_duplicates
 
 QUERIES: dict[str, Query] = {}
@@ -24,11 +26,21 @@ def query(sql: str | None = None):
     return add
 
 
+def remainder(doc_id: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
+
+
 @query(oracles.NEAR_DEDUP)
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(oracles.EMBEDDING_DEDUP)
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 @query(oracles.DECONTAMINATION)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,3 +52,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op8_class_bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scores(documents, learn(documents.filter(remainder() != 1)))
+    return found.withColumn("held_out", remainder() == 1)
