@@ -10,7 +10,10 @@ from . import oracles
 from .class_lm import learn, scores
 from .decontaminate import contamination
 from .embedding_dedup import similar_embeddings
+from .licenses import license_scan
 from .near_dedup import near_duplicates
+from .quality import learn as learn_quality
+from .quality import quality_scores
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +34,14 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+@query()
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder() != 0)
+    found = quality_scores(documents, learn_quality(documents, labels))
+    return found.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query(oracles.NEAR_DEDUP)
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,6 +52,24 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op6_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    # Certainty: 1 for a phrase, else the share of the best notice's characters without edits.
+    near = F.expr("array_max(transform(notices, x -> 1 - x.edits / greatest(x.end - x.begin, 1)))")
+    base = F.size("places") > 0
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.expr("array_min(transform(places, x -> x.word))").alias("first_word"),
+        F.expr("array_max(transform(places, x -> x.word))").alias("last_word"),
+        F.expr("array_join(array_sort(array_distinct(transform(places, x -> x.label))), ',')").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        F.when(base, 1.0).otherwise(F.greatest(F.coalesce(near, F.lit(0.0)), F.lit(0.0))).alias("score"),
+    )
+
+
 @query(oracles.DECONTAMINATION)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
