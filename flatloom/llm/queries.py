@@ -10,6 +10,7 @@ from . import oracles
 from .class_lm import learn, scores
 from .decontaminate import contamination
 from .embedding_dedup import similar_embeddings
+from .html_text import extract
 from .licenses import license_scan
 from .near_dedup import near_duplicates
 from .quality import learn as learn_quality
@@ -88,3 +89,8 @@ def op8_class_bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scores(documents, learn(documents.filter(remainder() != 1)))
     return found.withColumn("held_out", remainder() == 1)
+
+
+@query()
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
