@@ -11,6 +11,7 @@ from .class_lm import learn, scores
 from .decontaminate import contamination
 from .embedding_dedup import similar_embeddings
 from .html_text import extract
+from .kd_shards import kd_shards
 from .licenses import license_scan
 from .near_dedup import near_duplicates
 from .quality import learn as learn_quality
@@ -43,6 +44,12 @@ def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query()
+def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 @query(oracles.NEAR_DEDUP)
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
