@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .line_dedup import SHORT
+from .mixing import BUDGET, DIMENSIONS, ROUNDS, TEMPER, TOPICS
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
 _ALNUM = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -58,3 +61,60 @@ EMBEDDING_DEDUP = """
            vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
     FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
 """
+
+
+def _mixing() -> str:
+    """The rounds of raking, written out one after the other."""
+    topics = " ".join(
+        f"WHEN {' OR '.join(f"contains(text, '{p}')" for p in parts)} THEN '{name}'" for name, parts in TOPICS.items()
+    )
+    steps, last = [], "w0"
+    for i in range(ROUNDS * len(DIMENSIONS)):
+        d, name = DIMENSIONS[i % len(DIMENSIONS)], f"w{i + 1}"
+        steps.append(
+            f"{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 "
+            f"THEN w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {last})"
+        )
+        last = name
+    targets = ", ".join(
+        f"t{d} AS (SELECT {d}, pow(sum(n), {TEMPER}) / sum(pow(sum(n), {TEMPER})) OVER () AS t_{d} FROM c GROUP BY {d} HAVING sum(n) > 0)" for d in DIMENSIONS
+    )
+    joins = " ".join(f"LEFT JOIN t{d} USING ({d})" for d in DIMENSIONS)
+    names = ", ".join(f"coalesce(t_{d}, 0) AS t_{d}" for d in DIMENSIONS)
+    return rf"""
+    WITH d AS MATERIALIZED (
+        SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topics} ELSE 'prose' END AS topic,
+               len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n
+        FROM documents),
+    c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS n FROM d GROUP BY ALL),
+    {targets},
+    w0 AS MATERIALIZED (SELECT source, lang, topic, n AS tokens, n AS w, {names} FROM c {joins}),
+    {", ".join(steps)},
+    p AS (
+        SELECT source, lang, topic, CASE WHEN tokens > 0
+            THEN least(1, {BUDGET} * sum(tokens) OVER () * (CASE WHEN sum(w) OVER () > 0 THEN w / sum(w) OVER () ELSE 0 END) / tokens) ELSE 1 END AS p
+        FROM {last})
+    SELECT doc_id, topic, n AS n_tokens, round(p, 6) AS probability,
+           CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 < p AS sampled
+    FROM d JOIN p USING (source, lang, topic)
+"""
+
+
+MIXING = _mixing()
+
+LINE_DEDUP = rf"""
+    WITH l AS MATERIALIZED (
+        SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS line
+        FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)),
+    f AS MATERIALIZED (
+        SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM l WHERE NOT regexp_full_match(line, '\s*') GROUP BY line),
+    e AS (
+        SELECT DISTINCT x.line FROM f x JOIN f y ON y.n BETWEEN x.n - 1 AND x.n + 1 AND y.first < x.first
+        WHERE x.n >= {SHORT} AND y.n >= {SHORT} AND levenshtein(x.line, y.line) <= 1),
+    k AS (
+        SELECT doc_id, pos, l.line, f.line IS NOT NULL AND ((doc_id, pos) > f.first OR e.line IS NOT NULL) AS dropped
+        FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN e ON e.line = l.line)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+           md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_md5
+    FROM k GROUP BY doc_id
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registry import Query, table
+from ..session import materialise
 from . import oracles
 from .class_lm import learn, scores
 from .decontaminate import contamination
@@ -13,6 +14,8 @@ from .embedding_dedup import similar_embeddings
 from .html_text import extract
 from .kd_shards import kd_shards
 from .licenses import license_scan
+from .line_dedup import dedup_lines
+from .mixing import calibrated_cells, sampled, with_dimensions
 from .near_dedup import near_duplicates
 from .quality import learn as learn_quality
 from .quality import quality_scores
@@ -50,6 +53,16 @@ def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query(oracles.MIXING)
+def op3_raked_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = with_dimensions(table(spark, sf_dir, "documents")).select("doc_id", "mix_cell")
+    documents = materialise(documents, "mix-rows")
+    found = sampled(documents, calibrated_cells(documents.select("mix_cell.*")))
+    return found.select(
+        "doc_id", "mix_cell.topic", F.col("mix_cell.tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled")
+    )
+
+
 @query(oracles.NEAR_DEDUP)
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -101,3 +114,9 @@ def op8_class_bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query(oracles.LINE_DEDUP)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
