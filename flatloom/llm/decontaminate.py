@@ -7,7 +7,7 @@ any size is scanned for block by block, and only the hits of each block meet aga
 
 Edge cases: a null or empty text, and an item without words, has no windows. Items with equal
 texts all count. A null item id counts as the empty string. Repeated rows give repeated rows.
-Columns other than the named ones are ignored by the report.
+Other columns are kept; one named `contamination` is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -86,61 +87,67 @@ class WindowSet:
         return found
 
 
-_SCAN = "n_words bigint, spans array<struct<first_word:bigint,n:bigint>>, items array<string>"
+_FOUND = "struct<n_words:bigint,spans:array<struct<first_word:bigint,n:bigint>>,items:array<string>>"
 
 
-def _scan(docs: DataFrame, block: pa.Table) -> DataFrame:
-    """Per row of (id, text): words, verified windows and the items they come from."""
-    known = docs.sparkSession.sparkContext.broadcast(block)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def _scan(text: Column, block: Broadcast) -> Column:
+    """Per text: number of words, verified windows and the items they come from."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = WindowSet(known.value)
-        for batch in batches:
-            n_words = np.zeros(len(batch), dtype=np.int64)
-            spans: list[list[dict]] = [[] for _ in range(len(batch))]
-            items: list[set[str]] = [set() for _ in range(len(batch))]
-            for w in word_slices(batch.column(1), ALNUM):
+    def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        wanted = WindowSet(block.value)
+        for column in columns:
+            n_words = np.zeros(len(column), dtype=np.int64)
+            spans: list[list[dict]] = [[] for _ in range(len(column))]
+            items: list[set[str]] = [set() for _ in range(len(column))]
+            for w in word_slices(column, ALNUM):
                 n_words[w.lo : w.hi] = np.diff(w.first)
                 for row, word, size, names in wanted.hits(w):
                     spans[w.lo + row].append({"first_word": word, "n": size})
                     items[w.lo + row].update(names)
             span = pa.list_(pa.struct([("first_word", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n_words), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=["doc_id", "text_key", "n_words", "spans", "items"],
+            yield pa.StructArray.from_arrays(
+                [pa.array(n_words), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                names=["n_words", "spans", "items"],
             )
 
-    return docs.mapInArrow(scan, f"doc_id {id_type}, text_key bigint, {_SCAN}")
+    # The annotations are read as types, which this module keeps as text.
+    scan.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(scan, _FOUND)(text)
 
 
 def contamination(documents: DataFrame, items: DataFrame, n: int = NGRAM, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per document: n_words, n_hit, spans (first word and number of words of every hit window)
-    and items (ids of the items with a window in it, sorted as strings)."""
+    """The columns of `documents` and a struct `contamination`: n_words, n_hit, spans (first word
+    and number of words of every hit window) and items (ids of the items with a window in the
+    text, sorted as strings)."""
     text = F.col("text").cast("string")
-    docs = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
-    found = materialise(item_windows(items, n), "item-windows")
-    n_blocks = max(1, -(-found.count() // block_windows))
+    windows_found = materialise(item_windows(items, n), "item-windows")
+    n_blocks = max(1, -(-windows_found.count() // block_windows))
     block = F.pmod(F.xxhash64("hash"), F.lit(n_blocks))
-    scans = [_scan(docs, found.filter(block == i).toArrow()) for i in range(n_blocks)]
-    whole = scans[0]
-    if n_blocks > 1:
-        kinds = {c: whole.schema[c].dataType.simpleString() for c in ("spans", "items")}
-        hits = scans[0].filter(F.size("spans") > 0)
-        for s in scans[1:]:
-            hits = hits.unionByName(s.filter(F.size("spans") > 0))
-        hits = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(
-            F.array_distinct(F.flatten(F.collect_set("spans"))).alias("hit_spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"),
-        )
-        same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("text_key").eqNullSafe(F.col("hit_key"))
-        whole = whole.select("doc_id", "text_key", "n_words").join(hits, same, "left").select(
-            "doc_id", "n_words", *[F.coalesce(f"hit_{c}", F.expr(f"cast(array() as {kinds[c]})")).alias(c) for c in ("spans", "items")]
+    send = documents.sparkSession.sparkContext.broadcast
+    blocks = [send(windows_found.filter(block == i).toArrow()) for i in range(n_blocks)]
+    if n_blocks == 1:
+        out = documents.withColumn("contamination", _scan(text, blocks[0]))
+    else:
+        key = F.struct(F.col("doc_id").cast("string").alias("id"), F.xxhash64(text).alias("text"))
+        hits = None
+        for b in blocks:
+            own = documents.select(key.alias("hit_key"), _scan(text, b).alias("found")).filter("size(found.spans) > 0")
+            hits = own if hits is None else hits.unionByName(own)
+        hits = hits.groupBy("hit_key").agg(
+            F.array_distinct(F.flatten(F.collect_set("found.spans"))).alias("hit_spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("found.items")))).alias("hit_items"),
         )
+        # The words of every text, by a block that holds no window.
+        none = send(windows_found.limit(0).toArrow())
+        out = documents.withColumn("contamination", _scan(text, none)).withColumn("hit_own", key)
+        same = F.col("hit_own.id").eqNullSafe(F.col("hit_key.id")) & (F.col("hit_own.text") == F.col("hit_key.text"))
+        merged = [F.coalesce(f"hit_{c}", f"contamination.{c}").alias(c) for c in ("spans", "items")]
+        out = out.join(hits, same, "left").withColumn("contamination", F.struct("contamination.n_words", *merged))
+        out = out.drop("hit_own", "hit_key", "hit_spans", "hit_items")
     # Words covered by sorted windows: each adds what lies beyond the furthest word so far.
     covered = F.expr(
-        "aggregate(array_sort(spans), named_struct('upto', 0L, 'n', 0L), (s, x) -> named_struct("
+        "aggregate(array_sort(contamination.spans), named_struct('upto', 0L, 'n', 0L), (s, x) -> named_struct("
         "'upto', greatest(s.upto, x.first_word + x.n),"
         "'n', s.n + greatest(0L, x.first_word + x.n - greatest(s.upto, x.first_word))), s -> s.n)"
     )
-    return whole.select("doc_id", "n_words", covered.alias("n_hit"), "spans", "items")
+    return out.withColumn("contamination", F.struct("contamination.n_words", covered.alias("n_hit"), "contamination.spans", "contamination.items"))

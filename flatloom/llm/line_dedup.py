@@ -22,7 +22,8 @@ them are inner or left joins, which adaptive execution splits.
 
 Edge cases: null and empty texts have one blank line or none and stay as they are. Rows that
 repeat an id are the same places and are kept alike; null ids come first. Columns other than
-text are kept. An empty table gives an empty result.
+text are kept; those named n_lines and n_dropped are replaced. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -115,11 +116,11 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     firsts = firsts.drop("keys").join(near.withColumnsRenamed({"doc_id": "d", "pos": "p"}), same, "left")
     firsts = firsts.select("h1", "h2", F.struct(*place).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     dropped = found.drop("keys").join(firsts, ["h1", "h2"]).filter(F.col("near") | (F.struct(*place) > F.col("first")))
-    dropped = dropped.groupBy(F.col("doc_id").alias("dropped_id")).agg(F.collect_set("pos").alias("dropped"))
-    out = documents.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left").drop("dropped_id")
+    dropped = dropped.groupBy(F.col("doc_id").alias("_dropped_id")).agg(F.collect_set("pos").alias("_dropped"))
+    out = documents.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped_id")), "left").drop("_dropped_id")
     split = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.when(F.col("dropped").isNull(), F.col("text").cast("string")).otherwise(
-        F.array_join(F.filter(split, lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    kept = F.when(F.col("_dropped").isNull(), F.col("text").cast("string")).otherwise(
+        F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_dropped", i)), "\n")
     )
-    sizes = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0))}
-    return out.withColumns({k: F.greatest(v, F.lit(0)).cast("bigint") for k, v in sizes.items()}).withColumn("text", kept).drop("dropped")
+    sizes = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0))}
+    return out.withColumns({k: F.greatest(v, F.lit(0)).cast("bigint") for k, v in sizes.items()}).withColumn("text", kept).drop("_dropped")

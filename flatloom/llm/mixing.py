@@ -12,7 +12,8 @@ of all rows is a few rows; rounds work on the cells, and each is a table in the
 Edge cases: null dimensions and ids count as the empty string; null and empty texts have no
 tokens; cells without tokens and values without a target get probability 0, but a cell without
 tokens is taken whole, as it costs nothing. Targets of absent values are left out and the rest
-scaled up. Repeated rows share a decision. Columns of other names are kept as they are. An empty
+scaled up. Repeated rows share a decision. Other columns are kept; those named `mix_...` are
+replaced. An empty
 table gives an empty result.
 """
 
@@ -95,8 +96,8 @@ def calibrated_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | Non
     return fitted.crossJoin(F.broadcast(total)).withColumn("share", share).select(*DIMENSIONS, "tokens", "share", probability.alias("probability"))
 
 
-def with_dimensions(documents: DataFrame) -> DataFrame:
-    """A column `mix_cell` (source, lang, topic, tokens) beside the columns of `documents`."""
+def with_cell(documents: DataFrame) -> DataFrame:
+    """`documents` and a struct `mix_cell`: source, lang, topic and tokens."""
     text = F.col("text").cast("string")
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")]
     topic = F.coalesce(topic_of(text), F.lit("prose")).alias("topic")
@@ -105,7 +106,7 @@ def with_dimensions(documents: DataFrame) -> DataFrame:
 
 def sampled(documents: DataFrame, cells: DataFrame) -> DataFrame:
     """`documents` with mix_cell, and columns mix_probability and mix_sampled."""
-    rates = cells.select(F.struct(*DIMENSIONS).alias("cell"), F.col("probability").alias("mix_probability"))
-    same = [F.col(f"mix_cell.{d}") == F.col(f"cell.{d}") for d in DIMENSIONS]
-    out = documents.join(rates, same[0] & same[1] & same[2]).drop("cell")
+    rates = cells.select(F.struct(*DIMENSIONS).alias("mix_rate_cell"), F.col("probability").alias("mix_probability"))
+    same = [F.col(f"mix_cell.{d}") == F.col(f"mix_rate_cell.{d}") for d in DIMENSIONS]
+    out = documents.drop("mix_probability").join(rates, same[0] & same[1] & same[2]).drop("mix_rate_cell")
     return out.withColumn("mix_sampled", sampling_number(F.col("doc_id")) < F.col("mix_probability"))

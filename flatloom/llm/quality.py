@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import SPACED, Words, mix, word_slices
@@ -188,19 +188,19 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_
     return bytes(found.weights) if found else None
 
 
-def quality_scores(documents: DataFrame, weights: bytes | None) -> DataFrame:
-    """Per row: the columns of `documents` other than text and those it adds, and score."""
+def quality_score(weights: bytes | None, text: Column) -> Column:
+    """The score of each text, from 0 to 1."""
     if weights is None:
-        return documents.select("doc_id", F.lit(0.5).alias("score"))
-    id_type = documents.schema["doc_id"].dataType.simpleString()
+        return F.lit(0.5)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model.load(weights)
-        for batch in batches:
-            for w in word_slices(batch.column(1), SPACED):
-                x, begin = passages(w)
-                p = model.forward(x, begin)["p"].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(p)], names=["doc_id", "score"])
-
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(scan, f"doc_id {id_type}, score double")
+        for column in columns:
+            found = [np.zeros(0)]
+            for w in word_slices(column, SPACED):
+                found.append(model.forward(*passages(w))["p"].astype(np.float64))
+            yield pa.array(np.concatenate(found))
+
+    # The annotations are read as types, which this module keeps as text.
+    score.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(score, "double")(text.cast("string"))

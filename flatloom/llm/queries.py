@@ -15,10 +15,13 @@ from .html_text import extract
 from .kd_shards import kd_shards
 from .licenses import license_scan
 from .line_dedup import dedup_lines
-from .mixing import calibrated_cells, sampled, with_dimensions
+from .mixing import calibrated_cells, sampled, with_cell
 from .near_dedup import near_duplicates
 from .quality import learn as learn_quality
-from .quality import quality_scores
+from .quality import quality_score
+
+#: Score from which a document is taken for good.
+KEEP = 0.3
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -43,8 +46,9 @@ def remainder(doc_id: str = "doc_id") -> Column:
 def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder() != 0)
-    found = quality_scores(documents, learn_quality(documents, labels))
-    return found.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    score = quality_score(learn_quality(documents, labels), F.col("text"))
+    found = documents.select("doc_id", (remainder() == 0).alias("held_out"), score.alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
 
 
 @query()
@@ -55,7 +59,7 @@ def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.MIXING)
 def op3_raked_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = with_dimensions(table(spark, sf_dir, "documents")).select("doc_id", "mix_cell")
+    documents = with_cell(table(spark, sf_dir, "documents")).select("doc_id", "mix_cell")
     documents = materialise(documents, "mix-rows")
     found = sampled(documents, calibrated_cells(documents.select("mix_cell.*")))
     return found.select(
@@ -93,8 +97,8 @@ def op6_fuzzy_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.DECONTAMINATION)
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contamination.*").select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -104,6 +108,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+
 @query()
 def op8_class_bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
