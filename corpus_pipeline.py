@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flatloom.llm.decontaminate import contamination
+from flatloom.llm.joins import send_if_few
 from flatloom.llm.kd_shards import kd_shards
 from flatloom.llm.mixing import calibrated_cells, sampled, with_cell
 from flatloom.llm.near_dedup import near_duplicates
@@ -22,13 +23,6 @@ from flatloom.session import materialise
 
 #: Bytes of a shard.
 SHARD_BYTES = 16 << 20
-#: Ids sent to every executor at most; beyond, documents are joined with them by a shuffle.
-SENT_IDS = 1 << 21
-
-
-def _some(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.3 or more; labels of held-out documents are not learned from."""
@@ -43,10 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = materialise(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
     again = materialise(again, "again")
-    left = docs.join(_some(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(send_if_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = F.col("doc_id") == F.col("_again")
-    first = left.join(_some(again), repeated, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(_some(again), repeated, "left_anti").unionByName(first).select(*docs.columns)
+    first = left.join(send_if_few(again), repeated, "left_semi").dropDuplicates(["doc_id"])
+    return left.join(send_if_few(again), repeated, "left_anti").unionByName(first).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@
    and not all pairs. A last round pairs what is still apart, so no candidate is left out.
 4. Signature batches of a pair are compared one after the other. After each batch the posterior
    of the similarity (uniform prior) is known; a pair that reaches the threshold with less than
-   the chosen miss probability is pruned.
+   the chosen miss probability is pruned. The first batch is one bit of each of 128 hashes, and
+   is compared within the join that makes the pairs, so that members of a bucket that only share
+   a passage make no rows. The further batches are the hashes themselves.
 5. Survivors are verified on their full shingle sets, made anew from the whole texts.
 6. Links give components by joins.
 
-Banding is the only step that can miss a link: with 24 bands of 5, a pair of similarity 0.85 is
-missed with probability 8e-7, a more similar one with less.
+Banding is the only step that can miss a link: with 28 bands of 6, a pair of similarity 0.85 is
+missed with probability 2e-6, a more similar one with less.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with
 nothing; a null id links with nothing, its component is null and it is kept. Rows that repeat an
@@ -32,17 +34,19 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import components
+from .joins import send_if_few
 from .tokens import SPACED, Words, mix, windows, word_slices
 
 SHINGLE = 5
-BANDS = 24
-ROWS = 5
-BATCH = 20
+BANDS = 28
+ROWS = 6
+BATCH = 24
+BITS = 128
 MISS = 1e-6
 
 _U = np.uint64
-_SEEDS = np.random.default_rng(20240607).integers(0, 1 << 63, size=(BANDS * ROWS, 2), dtype=np.int64).astype(_U)
-_MULTIPLY, _ADD = _SEEDS[:, 0] * _U(2) + _U(1), _SEEDS[:, 1]
+_SEEDS = np.random.default_rng(20240607).integers(0, 1 << 31, size=(BANDS * ROWS, 2), dtype=np.uint32)
+_MULTIPLY, _ADD = _SEEDS[:, 0] * np.uint32(2) + np.uint32(1), _SEEDS[:, 1] * np.uint32(2)
 
 
 def shingle_sets(w: Words, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -57,11 +61,21 @@ def shingle_sets(w: Words, n: int = SHINGLE) -> Iterator[np.ndarray]:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The minimum of each hash function over a set."""
-    low = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, dtype=_U)
-    for a in range(0, len(shingles), 512):
-        block = shingles[a : a + 512, None] * _MULTIPLY + _ADD
+    low = np.full(len(_MULTIPLY), np.iinfo(np.uint32).max, dtype=np.uint32)
+    short = (shingles >> _U(32)).astype(np.uint32)
+    for a in range(0, len(short), 256):
+        block = short[a : a + 256, None] * _MULTIPLY
+        block += _ADD
         np.minimum(low, block.min(axis=0), out=low)
-    return (low >> _U(32)).astype(np.uint32)
+    return low
+
+
+def _sketches(signatures: np.ndarray) -> np.ndarray:
+    """One bit of each of the first hashes, as two 64-bit numbers for each signature."""
+    m = signatures[:, :BITS]
+    m = (m ^ (m >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    m = (m ^ (m >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return np.packbits(m >> np.uint32(31) > 0, axis=1).view(np.int64)
 
 
 def _bands(signatures: np.ndarray) -> np.ndarray:
@@ -85,7 +99,7 @@ def features(documents: DataFrame) -> DataFrame:
                     keys.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
                     signatures.append(signature(s))
                 keys, signatures = np.array(keys), np.array(signatures)
-                bands = _bands(signatures).view(np.int64)
+                bands, sketches = _bands(signatures).view(np.int64), _sketches(signatures)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(w.lo, w.hi - w.lo),
@@ -93,16 +107,34 @@ def features(documents: DataFrame) -> DataFrame:
                         pa.array(keys[:, 0]),
                         pa.array(keys[:, 1]),
                         pa.array([s.tobytes() for s in signatures], pa.binary()),
+                        pa.array(sketches[:, 0]),
+                        pa.array(sketches[:, 1]),
                         pa.array(list(bands), pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "key_1", "key_2", "signature", "bands"],
+                    names=["doc_id", "n_shingles", "key_1", "key_2", "signature", "bits_1", "bits_2", "bands"],
                 )
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    columns = "n_shingles bigint, key_1 bigint, key_2 bigint, signature binary, bands array<bigint>"
+    columns = "n_shingles bigint, key_1 bigint, key_2 bigint, signature binary, bits_1 bigint, bits_2 bigint, bands array<bigint>"
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id {id_type}, {columns}")
 
 
+def most_differences(threshold: float, miss: float = MISS) -> int:
+    """The most differing bits with which a pair is not pruned by the first batch.
+
+    Bits of a pair of similarity x agree with probability (1 + x) / 2.
+    """
+    x = (np.arange(20_000) + 0.5) / 20_000
+    found = 0
+    for k in range(BITS + 1):
+        log = k * np.log((1 - x) / 2) + (BITS - k) * np.log((1 + x) / 2)
+        density = np.exp(log - log.max())
+        if density[x >= threshold].sum() < miss * density.sum():
+            break
+        found = k
+    return found
+
+
 def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     """For each number of compared hashes, the fewest matches with which a pair is not pruned.
 
@@ -177,41 +209,42 @@ def near_duplicates(documents: DataFrame, percent: int = 85, star_rounds: int =
     classes = materialise(real.select("doc_id", *keys).join(copies, keys, "left").select("doc_id", *keys, first.alias("class_id")), "near-classes")
     # A class is its first document; rows that repeat it count once.
     others = classes.filter("doc_id <> class_id").select("doc_id", *keys).distinct()
-    own = real.join(others, ["doc_id", *keys], "left_anti").select("doc_id", "n_shingles", "signature", "bands")
+    own = real.join(others, ["doc_id", *keys], "left_anti")
 
-    rows = own.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    rows = own.select("doc_id", F.explode("bands").alias("bucket"))
     pivots = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    members = materialise(rows.join(pivots.select("bucket"), "bucket").select("bucket", "doc_id", "n_shingles").distinct(), "near-members")
-    ids = members.select("doc_id").distinct()
-    signatures = materialise(own.select("doc_id", "signature").distinct().join(ids, "doc_id"), "near-signatures")
-
-    close = F.expr(f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)")
+    shared = materialise(rows.join(pivots.select("bucket"), "bucket").distinct(), "near-shared")
+    ids = shared.select("doc_id").distinct()
+    own = own.select("doc_id", "n_shingles", "bits_1", "bits_2", "signature").distinct()
+    own = materialise(own.join(ids, "doc_id"), "near-signatures")
+    facts = ["n_shingles", "bits_1", "bits_2"]
+    members = materialise(shared.join(own.select("doc_id", *facts), "doc_id"), "near-members")
+
+    close = F.expr(
+        f"100 * least(a.n_shingles, b.n_shingles) >= {int(percent)} * greatest(a.n_shingles, b.n_shingles) and "
+        f"bit_count(a.bits_1 ^ b.bits_1) + bit_count(a.bits_2 ^ b.bits_2) <= {most_differences(percent / 100)}"
+    )
     empty = members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    tested, links, labels = empty, empty, None
+    tested, links, labels = empty, empty, components(empty)
     for step in range(star_rounds + 1):
-        label = F.col("doc_id") if labels is None else F.coalesce("component", "doc_id")
-        now = members if labels is None else members.join(labels, F.col("doc_id") == F.col("node"), "left")
-        now = now.select("bucket", "doc_id", "n_shingles", label.alias("label"))
-        rank = F.struct("doc_id", "n_shingles", "label") if step == 0 else F.struct(F.xxhash64("doc_id", F.lit(step)), "doc_id", "n_shingles", "label")
+        last = step == star_rounds
+        now = members.join(labels, F.col("doc_id") == F.col("node"), "left")
+        now = now.select("bucket", "doc_id", *facts, F.coalesce("component", "doc_id").alias("label"))
+        rank = F.struct(F.xxhash64("doc_id", F.lit(step)) if step else F.col("doc_id"), F.struct("doc_id", *facts, "label").alias("row"))
         apart = now.groupBy("bucket").agg(F.min(rank).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        if step < star_rounds:
-            some = apart.select("bucket", *[F.col(f"pivot.{c}").alias(d) for c, d in (("doc_id", "a"), ("n_shingles", "n_a"), ("label", "label_a"))])
-        else:
-            some = now.join(apart.select("bucket"), "bucket").select(
-                "bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("label_a")
-            )
-        rest = now.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"))
-        order = "label_a <> label_b" if step < star_rounds else "label_a < label_b"
-        pairs = some.join(rest, "bucket").filter(F.expr(order) & close)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
+        some = now.join(apart.select("bucket"), "bucket") if last else apart.select("bucket", "pivot.row.*")
+        order = F.expr("a.label < b.label" if last else "a.label <> b.label")
+        pairs = some.alias("a").join(now.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & order & close)
+        pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         if pairs.isEmpty():
             continue
-        survivors = materialise(likely(pairs, signatures, percent / 100), "near-survivors")
-        needed = survivors.select(F.col("a").alias("doc_id")).union(survivors.select("b")).distinct()
-        texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(needed, "doc_id").distinct()
+        survivors = materialise(likely(pairs, own, percent / 100), "near-survivors")
+        needed = materialise(survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct(), "near-needed")
+        texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+        texts = texts.join(send_if_few(needed), F.col("doc_id") == F.col("id")).drop("id").distinct()
         links = materialise(links.unionByName(verified(survivors, texts, percent)), "near-links")
-        tested = pairs if step == 0 else tested.unionByName(pairs)
+        tested = tested.unionByName(pairs)
         labels = components(links)
 
     labels = labels.withColumnsRenamed({"node": "class_id", "component": "component_class"})
