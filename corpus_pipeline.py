@@ -24,6 +24,7 @@ from flatloom.session import materialise
 #: Bytes of a shard.
 SHARD_BYTES = 16 << 20
 
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.3 or more; labels of held-out documents are not learned from."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder() != 0)
