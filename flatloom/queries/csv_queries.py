@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json import object_json
-from ..functions.text import csv_escape, csv_line, trim_whitespace
+from ..functions.text import csv_escape, csv_line, file_name, trim_whitespace
 from ..operators.header import header_names
 from ..plans.pipelines import convert, csv_to_json
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources.csv_files import inspect_csv, scan_csv
 from ..sources.json_files import scan_json
 from .registry import query, table
-from .stage import as_text, stage_csv, stage_lines, staged_group
+from .stage import as_text, small_splits, stage_csv, stage_lines, staged_group
 
 # Same block size as in stage.py, for the SQL side.
 _BLOCK = "50000"
@@ -24,9 +24,12 @@ def _text_sql(name: str, columns: str) -> str:
     return f"SELECT {cells} FROM {name}"
 
 
-def _round_trip(spark: SparkSession, df: DataFrame, **scan_options) -> DataFrame:
-    scan = scan_csv(spark, stage_csv(as_text(df), "round-trip"), **scan_options)
-    return scan.records.select(*[F.element_at("rec", F.lit(c)).alias(c) for c in df.columns])
+def _cells(records: DataFrame, names: list[str]) -> DataFrame:
+    return records.select(*[F.element_at("rec", F.lit(c)).alias(c) for c in names])
+
+
+def _round_trip(spark: SparkSession, df: DataFrame) -> DataFrame:
+    return _cells(scan_csv(spark, stage_csv(as_text(df), "round-trip")).records, df.columns)
 
 
 @query(_text_sql("documents", "doc_id text lang source n_chars"))
@@ -62,18 +65,78 @@ def csv_roundtrip_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_text_sql("documents", "doc_id text lang source n_chars"))
 def csv_stitch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan for files too large for one task, applied to every file."""
-    return _round_trip(spark, table(spark, sf_dir, "documents"), whole_file_limit=0)
+    """Many splits, so that most texts cross a border."""
+    documents = table(spark, sf_dir, "documents")
+    path = stage_csv(as_text(documents), "stitch")
+    with small_splits(spark):
+        return materialise(_cells(scan_csv(spark, path).records, documents.columns), "stitched")
+
+
+_STRAY_SQL = """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents
+    UNION ALL SELECT 'a"' || CAST(doc_id AS VARCHAR), lang || '"', source, 'x' FROM documents
+    UNION ALL SELECT '"b" ' || CAST(doc_id AS VARCHAR), '', source, 'two' || chr(10) || 'lines' FROM documents
+"""
+
+
+def _stray_quotes(spark: SparkSession, sf_dir: str) -> str:
+    """Documents, each followed by a record with quotes inside its fields and one with text
+    after a closing quote and a line break inside quotes."""
+    documents = as_text(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    line = F.concat(
+        csv_line([F.col(c) for c in documents.columns]),
+        F.lit('\na"'), "doc_id", F.lit(","), "lang", F.lit('",'), "source", F.lit(",x"),
+        F.lit('\n"b" '), "doc_id", F.lit(',"",'), "source", F.lit(',"two\nlines"'),
+    )
+    return stage_lines(documents, "doc_id", F.lit(",".join(documents.columns)), line, group=F.col("lang"))
+
+
+@query(_STRAY_SQL)
+def csv_stray_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes that do not begin a field are data, over any number of lines."""
+    return _cells(scan_csv(spark, _stray_quotes(spark, sf_dir)).records, ["doc_id", "lang", "source", "text"])
+
+
+@query(_STRAY_SQL)
+def csv_route_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files in many splits give the same records."""
+    path = _stray_quotes(spark, sf_dir)
+    with small_splits(spark):
+        records = scan_csv(spark, path).records
+        return materialise(_cells(records, ["doc_id", "lang", "source", "text"]), "parity")
+
+
+@query(_text_sql("documents", "doc_id text lang source n_chars"))
+def csv_leading_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank lines of every kind before the header and between records."""
+    documents = as_text(table(spark, sf_dir, "documents"))
+    blank = F.when(F.col("lang") == "en", "  \n").when(F.col("lang") == "de", "\t\n\u00a0\n").otherwise("\n\r\n\u2003 \n")
+    header = F.concat(blank, F.lit(",".join(documents.columns)))
+    line = F.concat(csv_line([F.col(c) for c in documents.columns]), F.lit("\n"), F.substring_index(blank, "\n", 1))
+    path = stage_lines(documents, "doc_id", header, line, group=F.col("lang"))
+    return _cells(scan_csv(spark, path).records, documents.columns)
 
 
-@query(_text_sql("orders", "o_orderkey o_custkey o_orderstatus o_orderdate"))
+@query("""
+    SELECT chr(31) AS c_custkey, '' AS c_name, '' AS c_acctbal FROM customer
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, CAST(c_acctbal AS VARCHAR) FROM customer
+""")
+def csv_control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of one control character is a record and no blank line."""
+    names = ["c_custkey", "c_name", "c_acctbal"]
+    customer = as_text(table(spark, sf_dir, "customer").select(*names))
+    line = F.concat(csv_line([F.col(c) for c in names]), F.lit("\n\x1f"))
+    path = stage_lines(customer, "c_custkey", F.lit(",".join(names)), line)
+    return _cells(scan_csv(spark, path).records, names)
+
+
+_ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"
+
+
+@query(_text_sql("orders", _ORDERS))
 def csv_scan_line_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that end in CRLF."""
-    orders = as_text(
-        table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"
-        )
-    )
+    orders = as_text(table(spark, sf_dir, "orders").select(*_ORDERS.split()))
     path = stage_lines(
         orders,
         "o_orderkey",
@@ -170,12 +233,14 @@ def trim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
            CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderstatus = 'F' THEN '' ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice,
+           CASE WHEN o_orderstatus = 'F' THEN '' ELSE CAST(o_orderdate AS VARCHAR) END AS o_orderdate,
            CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS o_orderpriority
     FROM orders
 """)
 def csv_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows shorter than the header are padded, longer ones cut."""
-    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    names = _ORDERS.split()
     orders = as_text(table(spark, sf_dir, "orders").select(*names))
     full = csv_line([F.col(c) for c in names])
     line = (
@@ -203,12 +268,13 @@ def csv_duplicate_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+           CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
     FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
 """)
 def blank_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of blank fields only are no records."""
-    names = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    names = _ORDERS.split()
     orders = as_text(table(spark, sf_dir, "orders").select(*names))
     line = (
         F.when(F.col("o_orderpriority") == "1-URGENT", " ,\t, ")
@@ -271,14 +337,16 @@ def json_object_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT c_mktsegment, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
-           ROW_NUMBER() OVER (PARTITION BY c_mktsegment, c_custkey // {_BLOCK} ORDER BY c_custkey) AS rec_no
+    SELECT c_mktsegment || '-' || CAST(c_custkey // {_BLOCK} AS VARCHAR) AS doc,
+           ROW_NUMBER() OVER (PARTITION BY c_mktsegment, c_custkey // {_BLOCK} ORDER BY c_custkey) AS rec_no,
+           CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+           CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment
     FROM customer
 """)
 def csv_to_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pretty JSON array per CSV file, written and read back in order."""
-    names = ["c_custkey", "c_name", "c_mktsegment"]
-    customer = as_text(table(spark, sf_dir, "customer").select(*names))
+    customer = as_text(table(spark, sf_dir, "customer"))
+    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     path = stage_lines(
         customer,
         "c_custkey",
@@ -287,10 +355,12 @@ def csv_to_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         group=F.col("c_mktsegment"),
     )
     out = scratch_path(spark, "json-arrays")
-    convert(spark, "csvToJSON", path, out, layout="array")
+    planned = convert(spark, "csvToJSON", path, out, layout="array")
     records = scan_json(spark, out, numbered=True).records
-    row = F.from_json("text", "c_custkey string, c_name string, c_mktsegment string")
-    return records.select(row.alias("r"), "rec_no").select("r.*", "rec_no")
+    staged = planned.files.select(staged_group(F.col("src_file")).alias("doc"), "out_name")
+    row = F.from_json("text", ", ".join(f"{c} string" for c in names))
+    name = F.url_decode(file_name(F.col("src_file")))
+    return records.select(name.alias("out_name"), "rec_no", row.alias("r")).join(staged, "out_name").select("doc", "rec_no", "r.*")
 
 
 @query(f"""

@@ -14,15 +14,26 @@ from pyspark.sql import functions as F
 # JSON object keeps its last value instead of failing the parse.
 SESSION_CONFS = {"spark.sql.variant.allowDuplicateKeys": "true"}
 
+# Spark cuts files by the current number of cores, which changes as executors come
+# and go. Two scans of one file must be cut alike.
+PINNED = "spark.sql.files.minPartitionNum"
+
 _own_folders: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
     for name, value in SESSION_CONFS.items():
         spark.conf.set(name, value)
+    pin_splits(spark)
     return spark
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix the way files are cut into splits for the rest of the session."""
+    if spark.conf.get(PINNED, None) is None:
+        spark.conf.set(PINNED, str(spark.sparkContext.defaultParallelism))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

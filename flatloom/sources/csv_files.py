@@ -12,9 +12,9 @@ from ..functions import errors
 from ..functions.text import count_of, is_blank
 from ..operators.header import bind, bind_json, blank_text, header_names
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
-from ..session import materialise
+from ..session import broadcast_if_small, materialise, pin_splits
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
-from .stitch import stitch
+from .stitch import stitch_lines
 
 CSV_READ = {
     "quote": '"',
@@ -27,16 +27,16 @@ CSV_READ = {
     "columnNameOfCorruptRecord": "_ragged",
 }
 
-# A file with line breaks inside quotes is read by one task up to this size;
-# a larger one is cut at its lines and stitched.
-WHOLE_FILE_LIMIT = 256 << 20
+LINES, STITCH = "lines", "stitch"
 
-LINES, WHOLE, STITCH = "lines", "whole", "stitch"
-
-# One line break outside quotes ends the header.
-_FIRST_RECORD = r'^((?:[^"\r\n]++|"[^"]*+")*+)'
-_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\r\n]*+)'
-_WELL_QUOTED = rf"^{_FIELD}(?:,{_FIELD})*+$"
+# A field is quoted if it begins with a quote; text after its closing quote, and
+# quotes in other fields, are data.
+_QUOTED = r'"(?:[^"]++|"")*+'
+_FIELD = rf'(?:{_QUOTED}"[^,]*+|[^",][^,]*+|)'
+_OPENS = rf"^(?:{_FIELD},)*+{_QUOTED}$"
+_TO_CLOSING_QUOTE = r'^(?:[^"]++|"")*+"[^,]*+'
+# Lines of control characters, which Spark's reader takes for empty.
+_READ_AS_EMPTY = r"^[\x00-\x20]*+$"
 
 
 @dataclass
@@ -52,48 +52,71 @@ class CsvScan:
     counts: DataFrame
 
 
-def inspect_csv(
-    spark: SparkSession, paths: Paths, whole_file_limit: int = WHOLE_FILE_LIMIT
-) -> DataFrame:
-    """One row per file: header names, how to scan it, and the error that rules it out.
+def _lines(spark: SparkSession, paths: Paths, keep_crlf: bool = False) -> DataFrame:
+    """Lines as ``line`` with the break after it as ``sep``: LF, CRLF or a lone CR.
 
-    One splittable pass with map-side sums; only one row per file split is shuffled.
+    ``opens`` tells whether a line that begins a record ends inside quotes, ``stays``
+    whether one that begins inside quotes does.
     """
-    files = _inspect(spark, paths, whole_file_limit)
-    return _with_cut_headers(spark, files).drop("cut_header")
-
-
-def _inspect(spark: SparkSession, paths: Paths, whole_file_limit: int) -> DataFrame:
-    line = F.col("piece")
-    cr_at = F.instr(line, "\r")
-    lines = text_pieces(spark, paths, "\n").select(
-        "src_file",
-        "split_start",
-        "file_size",
-        line,
+    piece = F.col("piece")
+    body = F.regexp_replace(piece, "\r$", "")
+    parts = F.when(F.instr(body, "\r") > 0, F.split(body, "\r", -1)).otherwise(F.array(body))
+    rows = text_pieces(spark, paths, "\n").withColumn("parts", parts)
+    rows = rows.select("*", F.posexplode("parts").alias("sub", "line"))
+    end = F.when(piece.endswith("\r") & F.lit(keep_crlf), "\r\n").otherwise("\n")
+    line = F.col("line")
+    has_quote = F.instr(line, '"') > 0
+    after = F.regexp_replace(line, _TO_CLOSING_QUOTE, "x")
+    closes = line.rlike(_TO_CLOSING_QUOTE)
+    return rows.select(
+        "src_file", "split_start", "split_len", "file_size", "ord", "sub", "line",
+        # Asked of the bytes as read; functions of text may replace bad ones.
+        F.is_valid_utf8(piece).alias("valid"),
+        F.when(F.col("sub") < F.size("parts") - 1, "\r").otherwise(end).alias("sep"),
+        (has_quote & line.rlike(_OPENS)).alias("opens"),
+        (~has_quote | ~closes | after.rlike(_OPENS)).alias("stays"),
+    )
+
+
+def inspect_csv(spark: SparkSession, paths: Paths) -> DataFrame:
+    """One row per file: header names, how to scan it, and the error that rules it out."""
+    return scan_csv(spark, paths).files
+
+
+def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Verdicts by one splittable pass with map-side sums; only one row per file split is
+    shuffled. Files to stitch get their names later."""
+    line, place = F.col("line"), F.struct("ord", "sub")
+    filled = ~is_blank(line)
+    lines = _lines(spark, paths).select(
+        "src_file", "split_start", "file_size", "line", "ord", "sub", "opens",
         F.when(F.instr(line, '"') > 0, count_of(line, '"')).otherwise(0).alias("quotes"),
-        F.when(cr_at > 0, (cr_at < F.length(line)).cast("int")).otherwise(0).alias("inner_cr"),
-        F.when(~F.is_valid_utf8(line), errors.NOT_UTF8).alias("fault"),
-        F.when(F.trim(F.rtrim(line, F.lit("\r"))) != "", F.col("ord")).alias("filled_ord"),
-    )
+        F.when(~F.col("valid"), errors.NOT_UTF8).alias("fault"),
+        filled.alias("filled"),
+        ((line < "!") & line.rlike(_READ_AS_EMPTY) & filled).alias("misread"),
+    )
+    # A number of one type keeps Spark on hash aggregation.
+    place = F.col("ord") * F.lit(1 << 20) + F.col("sub")
     per_split = lines.groupBy("src_file", "split_start").agg(
         F.max("file_size").alias("file_size"),
         F.sum("quotes").alias("quotes"),
-        F.sum(F.col("quotes") % 2).alias("odd_lines"),
-        F.sum("inner_cr").alias("inner_cr"),
-        F.min_by(line, "filled_ord").alias("first_line"),
+        F.max("opens").alias("opens"),
+        F.max("misread").alias("misread"),
+        F.min(place).alias("first"),
+        F.min(F.when(F.col("filled"), place)).alias("first_filled"),
+        F.min_by(line, F.when(F.col("filled"), place)).alias("first_line"),
         # A collecting aggregate also keeps Spark on hash aggregation, which
         # min_by over text alone would turn into a sort of all lines.
         F.collect_set("fault").alias("faults"),
     )
+    split = F.when(F.col("first_line").isNotNull(), F.col("split_start"))
     per_file = per_split.groupBy("src_file").agg(
         F.max("file_size").alias("file_size"),
         F.sum("quotes").alias("quotes"),
-        F.sum("odd_lines").alias("odd_lines"),
-        F.sum("inner_cr").alias("inner_cr"),
-        F.min_by("first_line", F.when(F.col("first_line").isNotNull(), F.col("split_start"))).alias(
-            "first_line"
-        ),
+        F.max("opens").alias("opens"),
+        F.max("misread").alias("misread"),
+        F.min_by("first_line", split).alias("first_line"),
+        F.min_by(F.col("first") == F.col("first_filled"), "split_start").alias("first_is_header"),
         F.flatten(F.collect_list("faults")).alias("faults"),
     )
     error = (
@@ -101,12 +124,7 @@ def _inspect(spark: SparkSession, paths: Paths, whole_file_limit: int) -> DataFr
         .when(F.col("quotes") % 2 == 1, errors.UNCLOSED_QUOTE)
         .when(F.col("first_line").isNull(), errors.EMPTY_CSV)
     )
-    lines_do = (F.col("odd_lines") == 0) & ((F.col("inner_cr") == 0) | (F.col("quotes") == 0))
-    route = (
-        F.when(lines_do, LINES)
-        .when((F.col("file_size") <= whole_file_limit) | (F.col("inner_cr") > 0), WHOLE)
-        .otherwise(STITCH)
-    )
+    plain = ~F.col("opens") & ~F.col("misread") & F.coalesce("first_is_header", F.lit(False))
     return materialise(
         list_files(spark, paths)
         .join(per_file, "src_file", "left")
@@ -114,102 +132,73 @@ def _inspect(spark: SparkSession, paths: Paths, whole_file_limit: int) -> DataFr
             "src_file",
             F.coalesce("file_size", F.lit(0)).alias("file_size"),
             error.alias("error"),
-            route.alias("route"),
-            F.when(error.isNull(), _names("first_line")).alias("names"),
-            (error.isNull() & (count_of(F.col("first_line"), '"') % 2 == 1)).alias("cut_header"),
+            F.when(plain, LINES).otherwise(STITCH).alias("route"),
+            F.when(error.isNull() & plain, header_names(F.col("first_line"))).alias("names"),
         ),
         "csv-files",
     )
 
 
-def _names(first_record: str) -> Column:
-    return header_names(F.regexp_extract(first_record, _FIRST_RECORD, 1))
-
-
-def _with_cut_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Complete the names of files whose header spans lines."""
-    cut = paths_of(files.filter("cut_header"))
-    if not cut:
-        return files
-    whole = _first_records(spark, cut).select("src_file", _names("first_record").alias("whole"))
-    return (
-        files.join(whole, "src_file", "left")
-        .withColumn("names", F.coalesce("whole", "names"))
-        .drop("whole")
-    )
-
-
-def _first_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """First record of files whose header spans lines, looked for in their first split."""
-    head = text_pieces(spark, paths, "\n").filter("split_start = 0")
-    # One split cannot hold a record too long for a row.
-    records, _ = stitch(head, count_of(F.col("piece"), '"'), "\n", 0)
-    return materialise(
-        records.filter(~is_blank(F.col("text")))
-        .groupBy("src_file")
-        .agg(F.min_by("text", "rec_no").alias("first_record")),
-        "csv-headers",
-    )
-
-
 def scan_csv(
     spark: SparkSession,
     paths: Paths,
     *,
     numbered: bool = False,
     keep_crlf: bool = False,
-    whole_file_limit: int = WHOLE_FILE_LIMIT,
     as_json: bool = False,
 ) -> CsvScan:
     """Records of every valid CSV file, bound to the file's own header.
 
     ``records`` have their text map ``rec`` or, with ``as_json``, its ``json`` text.
-
-    Spark's reader turns a CRLF inside quotes into LF when lines end in CRLF;
-    ``keep_crlf`` keeps it, by stitching the lines of such files instead.
+    Files whose lines are records are read by Spark's CSV reader. In all others the
+    lines are stitched to records, by the same rules and at every size. A CRLF inside
+    quotes becomes LF unless ``keep_crlf``.
     """
-    whole_file_limit = 0 if keep_crlf else whole_file_limit
-    files = _inspect(spark, paths, whole_file_limit)
+    pin_splits(spark)
+    files = _inspect(spark, paths)
     fates = _fates(files)
-    if any(f.cut for f in fates.values()):
-        files = materialise(_with_cut_headers(spark, files), "csv-verdicts")
+
+    def of_route(files: DataFrame, route: str) -> Paths:
+        good = files.filter(F.col("error").isNull() & (F.col("route") == route))
+        return paths if len(fates) == 1 else paths_of(good)
+
+    stitched, too_long = None, None
+    if STITCH in fates:
+        stitched, too_long, heads = _stitched(spark, of_route(files, STITCH), keep_crlf)
+        found = heads.withColumnRenamed("names", "stitched_names").withColumnRenamed("error", "stitched_error")
+        files = files.join(found.drop("header_no"), "src_file", "left").select(
+            "src_file",
+            "file_size",
+            F.coalesce("error", "stitched_error").alias("error"),
+            "route",
+            F.coalesce("names", "stitched_names").alias("names"),
+        )
+        files = materialise(files, "csv-verdicts")
         fates = _fates(files)
     good = files.filter(F.col("error").isNull())
     width = max((f.width or 0 for f in fates.values()), default=0)
     headers = [h for f in fates.values() if f.names_min is not None for h in (f.names_min, f.names_max)]
     shared = headers[0] if headers and all(h == headers[0] for h in headers) else None
 
-    def of_route(route: str) -> Paths:
-        return paths if len(fates) == 1 else paths_of(good.filter(F.col("route") == route))
-
-    scans, strays = [], []
+    scans = []
     counts = spark.createDataFrame([], "src_file string, n_records bigint")
-    for route in (LINES, WHOLE):
-        if route in fates:
-            reader = spark.read.options(**CSV_READ).option("multiLine", route == WHOLE)
-            rows = reader.csv(of_route(route), schema=_ddl(width), header=True).select(
-                F.col("_metadata.file_path").alias("src_file"),
-                F.col("_metadata.file_block_start").alias("split_start"),
-                F.spark_partition_id().alias("task"),
-                *_cells(width),
-                "_ragged",
-            )
-            rows = _filled(rows, width).withColumn("ord", F.monotonically_increasing_id())
-            if numbered:
-                blocks = row_blocks(rows)
-                rows = number_rows(rows, blocks)
-                counts = counts.unionByName(row_counts(blocks))
-            scans.append(rows)
-    if STITCH in fates:
-        rows, stray, too_long = _stitched(
-            spark, of_route(STITCH), width, keep_crlf, fates[STITCH].largest
+    if LINES in fates:
+        reader = spark.read.options(**CSV_READ)
+        rows = reader.csv(of_route(files, LINES), schema=_ddl(width), header=True).select(
+            F.col("_metadata.file_path").alias("src_file"),
+            F.col("_metadata.file_block_start").alias("split_start"),
+            F.spark_partition_id().alias("task"),
+            *_cells(width),
+            "_ragged",
         )
-        strays.append(stray)
-        if too_long is not None:
-            too_long = too_long.withColumn("long", F.lit(errors.LONG_RECORD))
-            files = files.join(too_long, "src_file", "left").withColumn(
-                "error", F.coalesce("error", "long")
-            ).drop("long")
+        rows = _filled(rows, width).withColumn("ord", F.monotonically_increasing_id())
+        if numbered:
+            blocks = row_blocks(rows)
+            rows = number_rows(rows, blocks)
+            counts = counts.unionByName(row_counts(blocks))
+        scans.append(rows)
+    if stitched is not None and STITCH in fates:
+        rows = _stitched_rows(stitched, heads, width)
         if numbered:
             counts = counts.unionByName(
                 rows.groupBy("src_file").agg(F.count("*").alias("n_records"))
@@ -229,13 +218,13 @@ def scan_csv(
         empty += "json string" if as_json else "rec map<string,string>"
         records = spark.createDataFrame([], empty)
     rejects = file_rejects(files)
-    for stray in strays:
-        rejects = rejects.unionByName(stray)
-    return CsvScan(records, files.drop("cut_header"), rejects, counts)
+    if too_long is not None:
+        rejects = rejects.unionByName(too_long)
+    return CsvScan(records, files, rejects, counts)
 
 
 def _fates(files: DataFrame) -> dict[str, Row]:
-    """Per route or error: columns, the extremes of the headers, cut headers, largest file."""
+    """Per route or error: columns and the extremes of the headers."""
     return {
         r.fate: r
         for r in files.groupBy(F.coalesce("error", "route").alias("fate"))
@@ -243,8 +232,6 @@ def _fates(files: DataFrame) -> dict[str, Row]:
             F.max(F.size("names")).alias("width"),
             F.min("names").alias("names_min"),
             F.max("names").alias("names_max"),
-            F.max("cut_header").alias("cut"),
-            F.max("file_size").alias("largest"),
         )
         .collect()
     }
@@ -274,41 +261,39 @@ def _filled(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _stitched(
-    spark: SparkSession, paths: Paths, width: int, keep_crlf: bool, largest_file: int
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    lines = text_pieces(spark, paths, "\n")
-    records, too_long = stitch(lines, count_of(F.col("piece"), '"'), "\n", largest_file)
-    records = records.filter(~is_blank(F.col("text"))).withColumn("crlf", F.col("text").endswith("\r")).withColumn(
-        "text", F.regexp_replace("text", "\r$", "")
+    spark: SparkSession, paths: Paths, keep_crlf: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records that are not blank, rejects of records too long, and the header of each file."""
+    records, too_long, unclosed = stitch_lines(_lines(spark, paths, keep_crlf))
+    records = records.filter(~is_blank(F.col("text")))
+    heads = records.groupBy("src_file").agg(F.min_by("text", "rec_no").alias("header"), F.min("rec_no").alias("header_no"))
+    heads = unclosed.join(heads, "src_file", "left").select(
+        "src_file",
+        "header_no",
+        header_names(F.col("header")).alias("names"),
+        F.when(F.col("unclosed"), errors.UNCLOSED_QUOTE).when(F.col("header").isNull(), errors.EMPTY_CSV).alias("error"),
     )
-    if not keep_crlf:
-        records = records.withColumn(
-            "text",
-            F.when(F.col("crlf"), F.replace("text", F.lit("\r\n"), F.lit("\n"))).otherwise(
-                F.col("text")
-            ),
-        )
-    headers = records.groupBy("src_file").agg(F.min("rec_no").alias("header_no"))
-    body = records.join(headers, "src_file").filter(F.col("rec_no") > F.col("header_no"))
+    heads = materialise(heads, "csv-headers")
+    after = F.col("rec_no") - F.coalesce("header_no", F.lit(0))
+    rejects = too_long.join(heads, "src_file", "left").filter(F.col("error").isNull()).select(
+        "src_file",
+        after.alias("rec_no"),
+        F.lit(errors.INVALID_INPUT).alias("error_kind"),
+        errors.message(errors.LONG_RECORD).alias("error_msg"),
+    )
+    return records, rejects, heads
 
-    stray = F.col("text").contains("\n") & ~F.col("text").rlike(_WELL_QUOTED)
+
+def _stitched_rows(records: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+    """Cells of the records after the header."""
+    sound = broadcast_if_small(heads.filter(F.col("error").isNull()).select("src_file", "header_no"))
+    body = records.join(sound, "src_file").filter(F.col("rec_no") > F.col("header_no"))
     options = {**CSV_READ, "multiLine": "true", "lineSep": "\n"}
-    rows = _filled(
-        body.filter(~stray)
-        .withColumn("row", F.from_csv("text", _ddl(width), options))
-        .select(
-            "src_file",
-            F.lit(0).cast("bigint").alias("split_start"),
-            F.col("rec_no").alias("ord"),
-            *_cells(width, "row."),
-            F.col("row._ragged").alias("_ragged"),
-        ),
-        width,
-    )
-    rejects = body.filter(stray).select(
+    rows = body.withColumn("row", F.from_csv("text", _ddl(width), options)).select(
         "src_file",
-        (F.col("rec_no") - F.col("header_no")).alias("rec_no"),
-        F.lit(errors.INVALID_INPUT).alias("error_kind"),
-        errors.message(errors.SPLIT_STRAY_QUOTE).alias("error_msg"),
+        F.lit(0).cast("bigint").alias("split_start"),
+        F.col("rec_no").alias("ord"),
+        *_cells(width, "row."),
+        F.col("row._ragged").alias("_ragged"),
     )
-    return rows, rejects, too_long
+    return _filled(rows, width)

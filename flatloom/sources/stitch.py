@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import carry_in
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 
 # A quote opened early and closed late makes most of a file one record. Such a
@@ -103,3 +103,91 @@ def stitch(
         )
     )
     return whole.unionByName(joined), too_long
+
+
+def _line_state(lines: Column) -> Column:
+    """What a run of lines does: ``f0`` and ``f1`` tell whether it ends inside quotes if it
+    begins outside or inside of them."""
+    return F.aggregate(
+        lines,
+        F.struct(F.lit(False).alias("f0"), F.lit(True).alias("f1")),
+        lambda s, x: F.struct(
+            F.when(s["f0"], x["stays"]).otherwise(x["opens"]).alias("f0"),
+            F.when(s["f1"], x["stays"]).otherwise(x["opens"]).alias("f1"),
+        ),
+    )
+
+
+def stitch_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CSV records as ``src_file, rec_no, text`` from lines that know what they do to quotes.
+
+    Whether a line begins inside quotes follows from the lines before it; what a run
+    of lines does can be put together, so splits are summed up first and the lines of a
+    split are placed then. The lines are shuffled once, by split; only records that cross a
+    split border are shuffled again. The second result has ``src_file, rec_no`` of records
+    too long for a row, the third whether each file ends inside quotes.
+    """
+    split = ["src_file", "split_start", "split_len"]
+    acting = F.collect_list(F.when(F.col("opens") | ~F.col("stays"), F.struct("ord", "sub", "opens", "stays")))
+    runs = lines.groupBy(*split).agg(_line_state(F.array_sort(acting)).alias("run"))
+    in_file = runs.groupBy("src_file").agg(
+        F.array_sort(F.collect_list(F.struct("split_start", "split_len", F.col("run.f0").alias("opens"), F.col("run.f1").alias("stays")))).alias("runs")
+    )
+    # Splits of one file are few; the state is carried through them in one fold.
+    fold = F.aggregate(
+        "runs",
+        F.struct(F.lit(False).alias("s"), F.array().cast("array<boolean>").alias("ins")),
+        lambda a, x: F.struct(F.when(a["s"], x["stays"]).otherwise(x["opens"]).alias("s"), F.array_append(a["ins"], a["s"]).alias("ins")),
+    )
+    in_file = in_file.withColumn("fold", fold)
+    unclosed = materialise(in_file.select("src_file", F.col("fold.s").alias("unclosed")), "file-ends")
+    places = in_file.select("src_file", F.explode(F.arrays_zip("runs", F.col("fold.ins").alias("ins"))).alias("x"))
+    places = places.select("src_file", "x.runs.split_start", "x.runs.split_len", F.col("x.ins").alias("inside_in"))
+    places = broadcast_if_small(materialise(places, "split-states"))
+
+    in_split = Window.partitionBy(*split).orderBy("ord", "sub")
+    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A line either sets the state or, now and then, turns it over.
+    sets = F.when(F.col("opens") == F.col("stays"), F.struct("opens", F.col("turns").alias("turned")))
+    known = F.coalesce(F.col("last_set.opens"), F.col("inside_in"))
+    since = F.coalesce(F.col("turns_before"), F.lit(0)) - F.coalesce(F.col("last_set.turned"), F.lit(0))
+    inside = F.when(since % 2 == 1, ~known).otherwise(known)
+    checked = F.when(F.col("inside_in").isNull(), F.raise_error(F.lit("The file splits changed between two scans; run again.")).cast("boolean"))
+    marked = (
+        lines.join(places, split, "left")
+        .withColumn("inside_in", F.coalesce(checked, F.col("inside_in")))
+        .withColumn("turn", (F.col("opens") & ~F.col("stays")).cast("int"))
+        .withColumn("turns", F.sum("turn").over(so_far))
+        .withColumn("turns_before", F.sum("turn").over(earlier))
+        .withColumn("last_set", F.last(sets, ignorenulls=True).over(earlier))
+        .withColumn("start", F.when(inside, 0).otherwise(1))
+        .withColumn("ends_inside", F.when(inside, F.col("stays")).otherwise(F.col("opens")))
+        .withColumn("nth", F.sum("start").over(so_far))
+    )
+    # nth = 0 is the rest of a record that began in an earlier split.
+    parts = materialise(
+        marked.groupBy(*split, "nth").agg(
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("ord", "sub", "line", "sep"))), lambda p: F.concat(p["line"], p["sep"])), ""
+            ).alias("part"),
+            F.max_by("ends_inside", F.struct("ord", "sub")).alias("open_end"),
+        ),
+        "record-parts",
+    )
+    per_split = parts.groupBy(*split).agg(F.max("nth").alias("starts"))
+    carried = broadcast_if_small(materialise(carry_in(per_split, "starts", "before", block="split_start"), "split-starts"))
+    numbered = parts.join(carried, split).withColumn("rec_no", F.col("before") + F.col("nth")).withColumn(
+        "crosses", (F.col("nth") == 0) | F.col("open_end")
+    )
+    sizes = numbered.filter("crosses").groupBy("src_file", "rec_no").agg(F.sum(F.octet_length("part")).alias("size"))
+    too_long = materialise(sizes.filter(F.col("size") > MAX_RECORD_BYTES).select("src_file", "rec_no"), "long-records")
+    joined = (
+        numbered.filter("crosses")
+        .join(broadcast_if_small(too_long), ["src_file", "rec_no"], "left_anti")
+        .groupBy("src_file", "rec_no")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split_start", "part"))), lambda p: p["part"]), "").alias("text"))
+    )
+    whole = numbered.filter(~F.col("crosses")).select("src_file", "rec_no", F.col("part").alias("text"))
+    ended = F.regexp_replace("text", r"(?:\r\n|\n|\r)\z", "")
+    return whole.unionByName(joined).withColumn("text", ended), too_long, unclosed

@@ -97,7 +97,7 @@ def main() -> None:
             )
             report(
                 f"csv_to_json_stitched_{name}_{n}_files", path, rows,
-                lambda p=path: run(fl.scan_csv(spark, p, whole_file_limit=0).records),
+                lambda p=path: run(fl.scan_csv(spark, p).records),
             )
 
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

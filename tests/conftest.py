@@ -52,6 +52,16 @@ def small_splits(spark):
     spark.conf.set(name, before)
 
 
+@pytest.fixture
+def tiny_splits(spark):
+    """Cut files into splits of 40 bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40b")
+    yield
+    spark.conf.set(name, before)
+
+
 def by_file(rows, *columns):
     """{file id: sorted tuples of the given columns}"""
     found = {}

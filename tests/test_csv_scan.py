@@ -1,11 +1,13 @@
 """Byte fixtures of the CSV rules, for every way a file can be scanned."""
 
+import random
+
 import pytest
 from conftest import by_file
 
 from flatloom.functions import errors
 from flatloom.sources import csv_files, stitch
-from flatloom.sources.csv_files import LINES, STITCH, WHOLE, inspect_csv, scan_csv
+from flatloom.sources.csv_files import LINES, STITCH, inspect_csv, scan_csv
 
 FILES = {
     "c01": b"a,b\n1,2\n",
@@ -83,26 +85,67 @@ def test_routes(spark, fixture_folder):
     verdicts = {r.src_file.rsplit("/", 1)[1][:3]: r for r in inspect_csv(spark, fixture_folder).collect()}
     assert verdicts["c01"].route == LINES
     assert verdicts["c15"].route == LINES
-    assert verdicts["c04"].route == WHOLE
+    assert verdicts["c04"].route == STITCH
     assert verdicts["c07"].names == ["a", "b"]
     assert verdicts["c20"].names == ["h\n1", "b"]
-    large = {r.src_file.rsplit("/", 1)[1][:3]: r.route for r in inspect_csv(spark, fixture_folder, 0).collect()}
-    assert large["c04"] == STITCH and large["c01"] == LINES
 
 
-def test_whole_files(spark, fixture_folder):
+def test_fixtures(spark, fixture_folder):
     check(scan_csv(spark, fixture_folder, numbered=True))
 
 
-def test_stitched(spark, fixture_folder):
-    check(scan_csv(spark, fixture_folder, numbered=True, whole_file_limit=0))
+def test_fixtures_with_tiny_splits(spark, fixture_folder, tiny_splits):
+    check(scan_csv(spark, fixture_folder, numbered=True))
+
+
+def reader_records(text: str) -> list[list[str]]:
+    """Records by the rules for quotes, character by character."""
+    rows, row, field, i, begin, n = [], [], "", 0, True, len(text)
+    while i < n:
+        c = text[i]
+        if begin and c == '"':
+            begin, j, field = False, i + 1, ""
+            while j < n and (text[j] != '"' or text[j + 1 : j + 2] == '"'):
+                field, j = field + text[j], j + (2 if text[j] == '"' else 1)
+            i = j + 1
+            if i < n and text[i] not in ",\n":  # text after the closing quote: all is data
+                field = f'"{field}"'
+            continue
+        begin = False
+        if c in ",\n":
+            row.append(field)
+            field, begin = "", True
+            if c == "\n":
+                rows.append(row)
+                row = []
+        else:
+            field += c
+        i += 1
+    return rows
+
+
+def test_random_quotes_at_any_split_size(spark, folder, tiny_splits):
+    rng, texts = random.Random(11), {}
+    for n in range(120):
+        body = "".join(rng.choice(['"', '"', ",", "\n", "x", "y", '""', ' "']) for _ in range(rng.randrange(5, 90)))
+        texts[f"r{n:03d}"] = "a,b,c\n" + body + "\n"
+    scan = scan_csv(spark, folder({f"{k}.csv": v for k, v in texts.items()}), numbered=True)
+    got = {}
+    for r in scan.records.collect():
+        got.setdefault(r.src_file.rsplit("/", 1)[1][:-4], []).append((r.rec_no, [r.rec[c] for c in "abc"]))
+    lost = {r.src_file.rsplit("/", 1)[1][:-4] for r in scan.rejects.collect()}
+    assert 20 < len(texts) - len(lost)
+    for k, v in texts.items():
+        if k not in lost:
+            rows = [(r + ["", "", ""])[:3] for r in reader_records(v)[1:] if any(f.strip() for f in r)]
+            assert [x for _, x in sorted(got.get(k, []))] == rows, v
 
 
 def test_stitched_across_splits(spark, folder, small_splits):
     wide = "\n".join(f"line {i}, \"\"quoted\"\"" for i in range(150))
     rows = [(str(i), f"a{i}\nb, {i}\n") for i in range(400)] + [("wide", wide.replace('""', '"'))]
     text = "id,note\n" + "".join(f'{i},"{n}"\n' for i, n in rows[:-1]) + f'wide,"{wide}"\nend,x\n'
-    scan = scan_csv(spark, folder({"x.csv": text}), numbered=True, whole_file_limit=0)
+    scan = scan_csv(spark, folder({"x.csv": text}), numbered=True)
     got = sorted((r.rec_no, r.rec["id"], r.rec["note"]) for r in scan.records.collect())
     assert got == [(n + 1, i, t) for n, (i, t) in enumerate([*rows, ("end", "x")])]
     assert scan.rejects.count() == 0
@@ -132,22 +175,42 @@ def test_keep_crlf(spark, folder):
     assert kept == {"3": "l1\r\nl2", "5": "4"}
 
 
-def test_stray_quote_over_lines_is_reported_when_stitched(spark, folder):
+def test_stray_quotes_over_lines(spark, folder):
     path = folder({"s.csv": b'a,b\n1,"2\n3"\nx"y,1\nz"w,2\n'})
-    scan = scan_csv(spark, path, numbered=True, whole_file_limit=0)
-    assert [r.rec for r in scan.records.collect()] == [{"a": "1", "b": "2\n3"}]
-    assert [(r.rec_no, r.error_msg) for r in scan.rejects.collect()] == [
-        (2, "Invalid input: CSV record has a stray quote and spans lines.")
-    ]
+    scan = scan_csv(spark, path, numbered=True)
+    found = sorted((r.rec_no, r.rec["a"], r.rec["b"]) for r in scan.records.collect())
+    assert found == [(1, "1", "2\n3"), (2, 'x"y', "1"), (3, 'z"w', "2")]
+    assert scan.rejects.count() == 0
+
+
+BLANK_LINES = {
+    "space": ("  \na,b\n1,2\n3,4\n", [("1", "2"), ("3", "4")]),
+    "space quoted": ('  \na,b\n1,"x\ny"\n3,4\n', [("1", "x\ny"), ("3", "4")]),
+    "tab": ("\t\na,b\n1,2\n3,4\n", [("1", "2"), ("3", "4")]),
+    "nbsp": ("\u00a0\n\u2003\na,b\n\u00a0\n1,2\n", [("1", "2")]),
+    "crlf": ("\r\n\r\na,b\r\n1,2\r\n", [("1", "2")]),
+    "cr": ("\ra,b\r1,2\r\r3,4\r", [("1", "2"), ("3", "4")]),
+    "cr quoted": ('a,b\r1,"x\ry"\r3,4', [("1", "x\ry"), ("3", "4")]),
+    "control": ("a,b\n\x1f\nx,y\n", [("\x1f", ""), ("x", "y")]),
+    "control first": ("\x01\nx\n", None),
+}
+
+
+@pytest.mark.parametrize("name", BLANK_LINES)
+def test_blank_lines(spark, folder, name):
+    text, rows = BLANK_LINES[name]
+    scan = scan_csv(spark, folder({"x.csv": text}), numbered=True)
+    found = [r.rec for _, r in sorted((r.rec_no, r) for r in scan.records.collect())]
+    assert found == ([{"\x01": "x"}] if rows is None else [{"a": a, "b": b} for a, b in rows])
 
 
 def test_record_too_long_for_one_row(spark, folder, small_splits, monkeypatch):
     monkeypatch.setattr(stitch, "MAX_RECORD_BYTES", 2000)
-    path = folder({"long.csv": 'a\n"' + "x\n" * 3000 + '"\n', "ok.csv": 'a\n"1\n2"\n'})
-    scan = scan_csv(spark, path, whole_file_limit=0)
-    assert [r.rec for r in scan.records.collect()] == [{"a": "1\n2"}]
-    assert by_file(scan.rejects.collect(), "error_msg") == {
-        "long": [(f"Invalid input: {errors.LONG_RECORD}",)]
+    path = folder({"long.csv": 'a\nfirst\n"' + "x\n" * 3000 + '"\nlast\n', "ok.csv": 'a\n"1\n2"\n'})
+    scan = scan_csv(spark, path)
+    assert sorted(r.rec["a"] for r in scan.records.collect()) == ["1\n2", "first", "last"]
+    assert by_file(scan.rejects.collect(), "rec_no", "error_msg") == {
+        "long": [(2, f"Invalid input: {errors.LONG_RECORD}")]
     }
 
 
