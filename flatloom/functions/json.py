@@ -19,7 +19,10 @@ NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
 _MARK = "\u0001"
 
 # Spark's JSON functions accept more than JSON by default.
-STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# The parser's own limits would call long texts and numbers malformed. That on depth,
+# 1000 levels, stays: the parser calls itself, and deeper values can end an executor.
+LIMITS = {"maxStringLen": str(2**31 - 1), "maxNumLen": str(2**31 - 1)}
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", **LIMITS}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,6 +44,11 @@ def is_flat_object(c: Column) -> Column:
     return c.rlike(f"^{WS}{FLAT_OBJECT}{WS}$")
 
 
+def parse_json(c: Column) -> Column:
+    """Variant of the first JSON value, without the parser's limits on length and depth."""
+    return F.from_json(c, "variant", STRICT)
+
+
 def parse_strict(c: Column) -> Column:
     """Variant of exactly one JSON value; null when malformed or followed by more text.
 
@@ -48,8 +56,8 @@ def parse_strict(c: Column) -> Column:
     parsed inside an array and inside an object: text after the value breaks at
     least one of the two.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"d":'), c, F.lit("}")))
+    in_array = parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    in_object = parse_json(F.concat(F.lit('{"d":'), c, F.lit("}")))
     only = let(
         in_array,
         lambda v: F.when(
@@ -64,13 +72,18 @@ def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def fields_of(v: Column) -> Column:
+    """Fields of an object by key, null for other kinds. Unlike ``kind`` it looks no deeper."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def is_object(v: Column) -> Column:
-    return kind(v).startswith("OBJECT<")
+    return F.coalesce(fields_of(v).isNotNull(), F.lit(False))
 
 
 def is_nested(v: Column) -> Column:
     """Nested values are objects and arrays, empty ones included."""
-    return kind(v).rlike("^(OBJECT|ARRAY)<")
+    return fields_of(v).isNotNull() | F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def nested_keys(v: Column) -> Column:
@@ -114,23 +127,44 @@ def object_json(rec: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(rec))))
 
 
+def _raw_numbers(text: Column) -> Column:
+    """Map of the keys of a flat record that hold a number, to its literal; the last wins."""
+    pair = rf"({STRING}){WS}:{WS}({STRING}|[^,}}\s]++)"
+    keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
+    values = F.regexp_extract_all(text, F.lit(pair), F.lit(2))
+    names = F.from_json(F.concat(F.lit("["), F.array_join(keys, ","), F.lit("]")), "array<string>", LIMITS)
+    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
+    numbers = F.filter(pairs, lambda p: p["value"].rlike(f"^{NUMBER}$"))
+    known = F.transform(numbers, lambda p: p["key"])
+    last = F.filter(numbers, lambda p, i: ~F.array_contains(F.slice(known, i + 2, F.size(known)), p["key"]))
+    return F.map_from_entries(last)
+
+
 def sorted_json(v: Column, text: Column) -> Column:
     """JSON text of a flat object variant, keys in UTF-8 byte order, types kept.
 
     A variant keeps its keys in UTF-16 order, which differs from byte order only
-    for characters beyond U+FFFF; such records are put together key by key.
+    for characters beyond U+FFFF, and holds numbers of up to 38 digits; other records
+    are put together key by key, long numbers as they were written.
     """
+    long_number = text.rlike(r"[0-9.]{17}|[eE][+-]?[0-9]{3}")
+    beyond_bmp = text.rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
+
     def fields(rec: Column) -> Column:
+        literals = F.when(long_number, _raw_numbers(text))
+
         def field(k: Column) -> Column:
             key = F.regexp_extract(F.to_json(F.create_map(k, F.lit(0))), r"(?s)^\{(.*):0\}$", 1)
-            return F.concat(key, F.lit(":"), F.to_json(F.element_at(rec, k)))
+            value = F.to_json(F.element_at(rec, k))
+            literal = F.element_at(literals, k)
+            kept = F.when(literal.rlike(r"[0-9.]{17}|[eE][+-]?[0-9]{3}"), literal)
+            return F.concat(key, F.lit(":"), F.coalesce(kept, value))
 
         return F.transform(F.array_sort(F.map_keys(rec)), field)
 
     listed = F.array_join(let(v.cast("map<string,variant>"), fields), ",")
     rebuilt = F.concat(F.lit("{"), listed, F.lit("}"))
-    beyond_bmp = text.rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
-    return F.when(beyond_bmp, rebuilt).otherwise(F.to_json(v))
+    return F.when(beyond_bmp | long_number, rebuilt).otherwise(F.to_json(v))
 
 
 def pretty(object_text: Column) -> Column:

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.errors import InvalidInput
 from ..functions.json import last_value, let, scalar_texts
 from ..session import materialise
 
-# The key list of a dataset becomes part of the plan, so its size is checked.
+# Up to this many keys become columns of a plan; a wider table is made of text lines.
 MAX_COLUMNS = 20_000
 
 
@@ -29,12 +28,9 @@ def keys_by_file(records: DataFrame) -> DataFrame:
     return pairs.distinct().groupBy("src_file").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
-def sorted_keys(keys: DataFrame, limit: int = MAX_COLUMNS) -> list[str]:
-    """Distinct keys on the driver, in UTF-8 byte order."""
-    found = [r.key for r in keys.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise InvalidInput(f"The records have more than {limit} different keys.")
-    return sorted(found, key=lambda k: k.encode())
+def sorted_keys(keys: DataFrame) -> list[str]:
+    """Distinct keys on the driver, in UTF-8 byte order; their number is checked before."""
+    return sorted((r.key for r in keys.collect()), key=lambda k: k.encode())
 
 
 # Up to this many keys over all files, records are parsed into fixed fields.
@@ -47,7 +43,7 @@ def file_keys(records: DataFrame) -> tuple[DataFrame, list[str] | None]:
     union = keyed.select(F.explode("keys").alias("key")).distinct()
     if union.limit(FIXED_FIELDS + 1).count() > FIXED_FIELDS:
         return keyed.withColumn("positions", F.lit(None).cast("array<int>")), None
-    names = sorted_keys(union, FIXED_FIELDS)
+    names = sorted_keys(union)
     known = F.array(*map(F.lit, names))
     at = F.transform("keys", lambda k: (F.array_position(known, k) - 1).cast("int"))
     return keyed.withColumn("positions", at), names

@@ -8,19 +8,42 @@ from pyspark.sql import functions as F
 SUCCESS, FAILED, CANCELLED = "success", "failed", "cancelled"
 
 
-def record_runs(
-    path: str, action: str, files: DataFrame, rejects: DataFrame, mode: str = "append"
-) -> None:
-    """Write the outcome of one run: success for each file written, failed for the others."""
-    lost = rejects.filter(F.col("rec_no").isNull()).select("src_file").distinct()
-    rows = files.select("src_file", F.lit(SUCCESS).alias("status")).unionByName(
-        lost.select("src_file", F.lit(FAILED).alias("status"))
-    )
+def _record(path: str, action: str, rows: DataFrame, mode: str) -> None:
     rows.select(
         F.lit(action).alias("action"), "src_file", "status", F.current_timestamp().alias("at")
     ).write.mode(mode).parquet(path)
 
 
+def _with_status(files: DataFrame, status: str) -> DataFrame:
+    return files.select("src_file", F.lit(status).alias("status"))
+
+
+def record_runs(
+    path: str, action: str, files: DataFrame, rejects: DataFrame, mode: str = "append"
+) -> None:
+    """Write the outcome of one run: success for each file written whole.
+
+    A file with any reject has failed: a conversion that stops at the first fault would not
+    have counted it.
+    """
+    lost = rejects.select("src_file").distinct()
+    whole = files.join(lost, "src_file", "left_anti")
+    _record(path, action, _with_status(whole, SUCCESS).unionByName(_with_status(lost, FAILED)), mode)
+
+
+def record_failure(
+    path: str, action: str, files: DataFrame, rejects: DataFrame, mode: str = "append"
+) -> None:
+    """A run that wrote nothing: every file has failed."""
+    every = files.select("src_file").unionByName(rejects.select("src_file")).distinct()
+    _record(path, action, _with_status(every, FAILED), mode)
+
+
+def record_cancelled(path: str, action: str, files: DataFrame, mode: str = "append") -> None:
+    """A run the user gave up: a status of its own, no failure and no success."""
+    _record(path, action, _with_status(files.select("src_file").distinct(), CANCELLED), mode)
+
+
 def usage_counts(ledger: DataFrame, actions: DataFrame) -> DataFrame:
     """Successful runs per action: ``action, n``; 0 for an action never used.
 

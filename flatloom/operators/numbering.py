@@ -26,11 +26,15 @@ def carry_in(totals: DataFrame, value: str, out: str, *, block: str) -> DataFram
     return totals.withColumn(out, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
 
 
-def row_blocks(scan: DataFrame) -> DataFrame:
-    """Number of rows ``n`` and first ``ord`` of every file split of a scan."""
+def row_blocks(scan: DataFrame, **marks: Column) -> DataFrame:
+    """Number of rows ``n`` and first ``ord`` of every file split of a scan.
+
+    For each of ``marks`` the number of rows it applies to is counted too.
+    """
+    counts = [F.sum(mark.cast("bigint")).alias(name) for name, mark in marks.items()]
     return materialise(
         scan.groupBy("src_file", "split_start", "task").agg(
-            F.min("ord").alias("first_ord"), F.count("*").alias("n")
+            F.min("ord").alias("first_ord"), F.count("*").alias("n"), *counts
         ),
         "row-blocks",
     )
@@ -49,7 +53,8 @@ def number_rows(scan: DataFrame, blocks: DataFrame, out: str = "rec_no") -> Data
     other splits than the first, the query fails instead of misnumbering.
     """
     keys = ["src_file", "split_start", "task"]
-    offsets = carry_in(blocks, "n", "before", block="split_start").drop("n")
+    offsets = carry_in(blocks, "n", "before", block="split_start")
+    offsets = offsets.select(*keys, "first_ord", "before")
     number = F.col("ord") - F.col("first_ord") + F.col("before") + 1
     checked = F.when(
         F.col("first_ord").isNull(),

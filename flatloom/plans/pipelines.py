@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..functions.json import pretty, sorted_json
+from ..functions.json import parse_json, pretty, sorted_json
 from ..functions.text import base_name, csv_line_of
-from ..operators.keys import cells, file_keys, key_union, sorted_keys, values_of_file
-from ..operators.ledger import record_runs
-from ..session import broadcast_if_small, case_sensitive, configure
-from ..sinks.documents import array_lines, csv_lines, write_csv, write_documents, write_lines
+from ..operators.keys import MAX_COLUMNS, cells, file_keys, key_union, sorted_keys, values_of_file
+from ..operators.ledger import record_failure, record_runs
+from ..session import broadcast_if_small, case_sensitive, configure, materialise
+from ..sinks.documents import array_lines, csv_lines, write_csv, write_lines, write_named_documents
 from ..sources.csv_files import scan_csv
 from ..sources.files import Paths, list_files, paths_of, plain_path
 from ..sources.json_files import JsonScan, scan_json, scan_json_lines
@@ -25,7 +25,9 @@ class Conversion:
     """A planned conversion. ``output`` is lazy; ``rejects`` says what is left out and why.
 
     ``files`` has one row per converted file: src_file, out_name. ``save`` writes
-    the output in the layout it was planned for.
+    the output in the layout it was planned for. Planning scans the files several times
+    for the checks. A table of very many columns comes as text: its ``header`` and the
+    ``line`` of each record.
     """
 
     action: Action
@@ -34,6 +36,7 @@ class Conversion:
     files: DataFrame
     layout: str
     documents: DataFrame | None = None
+    header: DataFrame | None = None
 
     def check(self) -> None:
         """Strict mode: raise on the first reject."""
@@ -43,7 +46,10 @@ class Conversion:
 
     def save(self, path: str) -> None:
         if self.documents is not None:
-            write_documents(self.documents, path)
+            write_named_documents(self.documents, path)
+        elif self.header is not None:
+            # The header is the first part; all parts in the order of their names are the table.
+            write_lines(self.header.unionByName(self.output), "line", path)
         elif self.action is JSON_TO_CSV:
             with case_sensitive(self.output.sparkSession):
                 write_csv(self.output, path)
@@ -129,16 +135,22 @@ def csv_to_json(
 
 
 def _json_scan(spark: SparkSession, paths: Paths, lines: bool, numbered: bool) -> JsonScan:
-    return scan_json_lines(spark, paths) if lines else scan_json(spark, paths, numbered=numbered)
+    return scan_json_lines(spark, paths, numbered=numbered) if lines else scan_json(spark, paths, numbered=numbered)
 
 
 def json_to_csv(
-    spark: SparkSession, src: Paths, *, layout: str = "dataset", lines: bool = False
+    spark: SparkSession,
+    src: Paths,
+    *,
+    layout: str = "dataset",
+    lines: bool = False,
+    max_columns: int = MAX_COLUMNS,
 ) -> Conversion:
     """Flat JSON to CSV, columns in sorted order of all keys.
 
     ``layout='dataset'`` gives one table over all files; ``'per_file'`` one CSV
-    document per file with that file's own keys, in input order.
+    document per file with that file's own keys, in input order. A table of more than
+    ``max_columns`` columns, or of none, is put together as text lines.
     """
     configure(spark)
     paths, refused = _admitted(spark, src, JSON_TO_CSV)
@@ -156,6 +168,7 @@ def json_to_csv(
     )
     good = _named(sound.filter(has_keys), JSON_TO_CSV)
     rejects = refused.unionByName(scan.rejects).unionByName(barren)
+    header = None
     if per_file:
         keyed, union = file_keys(scan.records)
         keyed = good.join(keyed, "src_file").select(
@@ -169,19 +182,28 @@ def json_to_csv(
             )
         documents = csv_lines(output, keyed)
     else:
-        keys = sorted_keys(key_union(scan.records))
+        # '{}' next to records with keys is a row of empty fields, but alone in
+        # a file it is no record at all.
+        kept = scan.records
+        if not barren.isEmpty():
+            kept = kept.join(broadcast_if_small(barren.select("src_file")), "src_file", "left_anti")
+        union = materialise(key_union(scan.records), "keys")
+        n_keys = union.count()
         with case_sensitive(spark):
-            # '{}' next to records with keys is a row of empty fields, but alone in
-            # a file it is no record at all.
-            kept = scan.records
-            if not barren.isEmpty():
-                kept = kept.join(barren, "src_file", "left_anti")
-            output = kept.select(
-                *[c.alias(k) for k, c in zip(keys, cells(keys, F.col("text")), strict=True)]
-            )
+            if 0 < n_keys <= max_columns:
+                keys = sorted_keys(union)
+                output = kept.select(
+                    *[c.alias(k) for k, c in zip(keys, cells(keys, F.col("text")), strict=True)]
+                )
+            else:
+                row = union.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+                output = kept.crossJoin(F.broadcast(row)).select(
+                    csv_line_of(values_of_file(F.col("text"), None)).alias("line")
+                )
+                header = row.filter(F.size("keys") > 0).select(csv_line_of(F.col("keys")).alias("line"))
         documents = None
     return Conversion(
-        JSON_TO_CSV, output, rejects, good.select("src_file", "out_name"), layout, documents
+        JSON_TO_CSV, output, rejects, good.select("src_file", "out_name"), layout, documents, header
     )
 
 
@@ -200,14 +222,14 @@ def format_json(
     as_array = layout == "array"
     scan = _json_scan(spark, paths, lines, numbered=as_array)
     text = F.col("text")
-    output = scan.records.withColumn("json", sorted_json(F.try_parse_json(text), text)).drop("text")
+    output = scan.records.withColumn("json", sorted_json(parse_json(text), text)).drop("text")
     good = _named(scan.files.filter(F.col("error").isNull()), FORMAT_JSON)
     documents = None
     if as_array:
-        firsts = good.join(scan.firsts, "src_file", "left").select("src_file", "first_no")
+        firsts = materialise(scan.firsts, "first-numbers")
         documents = array_lines(
-            output.withColumn("json", pretty(F.col("json"))).join(firsts, "src_file"),
-            good,
+            output.withColumn("json", pretty(F.col("json"))),
+            good.join(firsts, "src_file", "left"),
             first_no=F.coalesce("first_no", F.lit(1)),
         )
     return Conversion(
@@ -245,7 +267,12 @@ def convert(
     act = action_of(action)
     planned = _PLANNERS[act](spark, src, **options)
     if mode == "strict":
-        planned.check()
+        try:
+            planned.check()
+        except errors.InvalidInput:
+            if ledger is not None:
+                record_failure(ledger, act.name, planned.files, planned.rejects, ledger_mode)
+            raise
     if dst is not None:
         planned.save(dst)
         if mode == "quarantine":

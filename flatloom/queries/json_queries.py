@@ -47,17 +47,17 @@ def json_scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROPS_SQL = f"""
-    SELECT CAST(event_id AS VARCHAR) AS event_id, props,
+    SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS VARCHAR) AS ts, event_type, CAST(value AS VARCHAR) AS value, props,
            ROW_NUMBER() OVER (PARTITION BY event_id // {_BLOCK} ORDER BY event_id) AS rec_no
     FROM events
 """
 
 
 def _events_with_braces(spark: SparkSession, sf_dir: str, **scan_options) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "props")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("string"))
     path = stage_arrays(events, "event_id", _rows(events))
     records = scan_json(spark, path, numbered=True, **scan_options).records
-    return _texts(records, ["event_id", "props"], "rec_no")
+    return _texts(records, ["event_id", "ts", "event_type", "value", "props"], "rec_no")
 
 
 @query(_PROPS_SQL)
@@ -72,21 +72,22 @@ def json_stitch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events_with_braces(spark, sf_dir, whole_file_limit=0)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
 def json_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with escaped quotes and line breaks."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = table(spark, sf_dir, "documents")
     path = stage_arrays(documents, "doc_id", _rows(documents))
-    return _texts(scan_json(spark, path).records, ["doc_id", "lang", "text"])
+    return _texts(scan_json(spark, path).records, documents.columns)
 
 
 @query("""
-    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+           CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
     FROM orders
 """)
 def json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON Lines, on request."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
     path = scratch_path(spark, "orders-lines")
     orders.write.json(path)
     return _texts(scan_json_lines(spark, path).records, orders.columns)
@@ -161,9 +162,8 @@ def _parties(spark: SparkSession, sf_dir: str) -> str:
 
 
 @query("""
-    SELECT * FROM (VALUES ('c_acctbal'), ('c_custkey'), ('c_mktsegment'), ('c_name'), ('c_nationkey'),
-        ('s_acctbal'), ('s_name'), ('s_nationkey'), ('s_suppkey')) AS t(key)
-    WHERE EXISTS (SELECT 1 FROM customer) AND EXISTS (SELECT 1 FROM supplier)
+    SELECT DISTINCT unnest(json_keys(to_json(customer))) AS key FROM customer
+    UNION SELECT DISTINCT unnest(json_keys(to_json(supplier))) FROM supplier
 """)
 def json_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keys of all records of all files."""
@@ -217,21 +217,21 @@ def json_to_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT '"' || replace(text, '"', '""') || '",' || CAST(doc_id AS VARCHAR) AS line FROM documents
-    WHERE contains(text, ',') OR contains(text, '"') OR contains(text, chr(10))
+    SELECT concat_ws(',', CAST(doc_id AS VARCHAR), '"' || replace(text, '"', '""') || '"', lang, source, CAST(n_chars AS VARCHAR)) AS line
+    FROM documents WHERE contains(text, ',') OR contains(text, '"') OR contains(text, chr(10))
     UNION ALL
-    SELECT text || ',' || CAST(doc_id AS VARCHAR) FROM documents
+    SELECT concat_ws(',', CAST(doc_id AS VARCHAR), text, lang, source, CAST(n_chars AS VARCHAR)) FROM documents
     WHERE NOT (contains(text, ',') OR contains(text, '"') OR contains(text, chr(10)))
 """)
 def csv_line_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = as_text(table(spark, sf_dir, "documents").select("text", "doc_id"))
-    return documents.select(csv_line([F.col("text"), F.col("doc_id")]).alias("line"))
+    documents = as_text(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    return documents.select(csv_line([F.col(c) for c in documents.columns]).alias("line"))
 
 
 _FORMAT_SQL = """
     SELECT CAST(CASE WHEN o_orderstatus = 'F'
-        THEN to_json({'o_custkey': o_custkey, 'o_done': true, 'o_note': NULL, 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority})
-        ELSE to_json({'o_custkey': o_custkey, 'o_done': false, 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority})
+        THEN to_json({'o_custkey': o_custkey, 'o_done': true, 'o_note': NULL, 'o_orderdate': CAST(o_orderdate AS VARCHAR), 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'o_serial': CAST('12345678901234567890123456789' || CAST(o_orderkey + 1000000000 AS VARCHAR) || '0' AS VARCHAR)})
+        ELSE to_json({'o_custkey': o_custkey, 'o_done': false, 'o_orderdate': CAST(o_orderdate AS VARCHAR), 'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'o_serial': CAST('12345678901234567890123456789' || CAST(o_orderkey + 1000000000 AS VARCHAR) || '0' AS VARCHAR)})
         END AS VARCHAR) AS json
     FROM orders
 """
@@ -251,11 +251,75 @@ def _shuffled_orders(spark: SparkSession, sf_dir: str) -> str:
         done,
         F.lit(', "o_custkey":'),
         "o_custkey",
-        F.lit(" }"),
+        F.lit(', "o_orderdate":"'),
+        F.col("o_orderdate").cast("string"),
+        F.lit('", "o_serial":"12345678901234567890123456789'),
+        F.col("o_orderkey") + 1_000_000_000,
+        F.lit('0" }'),
     )
     return stage_arrays(orders, "o_orderkey", item)
 
 
+@query("""
+    SELECT '{"a":1,"n":1234567890123456789012345678901234567890' || CAST(o_orderkey + 1000000000 AS VARCHAR)
+        || ',"p":' || CAST(o_custkey AS VARCHAR) || ',"x":-0.12345678901234567890123456789012345678901,"z":"n, 12345678901234567890123456789012345678901"}' AS json
+    FROM orders
+""")
+def format_json_long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with more digits than any number type holds keep them."""
+    item = F.concat(
+        F.lit('{"z":"n, 12345678901234567890123456789012345678901", "n" :1234567890123456789012345678901234567890'),
+        F.col("o_orderkey") + 1_000_000_000,
+        F.lit(',"x":-0.12345678901234567890123456789012345678901, "p":'),
+        F.col("o_custkey").cast("string"),
+        F.lit(', "a":1}'),
+    )
+    return format_json(spark, stage_arrays(table(spark, sf_dir, "orders"), "o_orderkey", item)).output.select("json")
+
+
+@query("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) || '0' AS price, '1e3' AS power
+    FROM orders
+""")
+def json_literals_mixed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals of records that stand between items of other kinds."""
+    item = F.concat(
+        F.lit('7,"{",[1.50],{"o_orderkey":'), "o_orderkey", F.lit(',"price":'), F.col("o_totalprice").cast("string"), F.lit('0 , "power":1e3}'),
+    )
+    records = scan_json(spark, stage_arrays(table(spark, sf_dir, "orders"), "o_orderkey", item)).records
+    return _texts(records, ["o_orderkey", "price", "power"])
+
+
+@query("""
+    SELECT repeat(',', CAST(rank - 1 AS BIGINT)) || CASE WHEN contains(text, ',') OR contains(text, '"') OR contains(text, chr(10))
+               THEN '"' || replace(text, '"', '""') || '"' ELSE text END || repeat(',', CAST(n - rank AS BIGINT)) AS line
+    FROM (SELECT text, ROW_NUMBER() OVER (ORDER BY 'k' || CAST(doc_id AS VARCHAR)) AS rank, COUNT(*) OVER () AS n FROM documents)
+""")
+def json_wide_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a column for every document, put together as text lines."""
+    text = F.regexp_extract(F.to_json(F.struct("text")), r"(?s)^\{[^:]*:(.*)\}$", 1)
+    item = F.concat(F.lit('{"k'), "doc_id", F.lit('":'), text, F.lit("}"))
+    path = stage_arrays(table(spark, sf_dir, "documents"), "doc_id", item)
+    return json_to_csv(spark, path, max_columns=10).output
+
+
+@query(f"""
+    SELECT lang || '-' || CAST(doc_id // {_BLOCK} AS VARCHAR) AS doc, CAST(COUNT(*) AS BIGINT) AS n_docs,
+           CASE lang WHEN 'en' THEN 'Invalid input: JSON has no records to convert.' ELSE 'Invalid input: JSON is malformed.' END AS error_msg
+    FROM documents GROUP BY ALL
+""")
+def json_to_csv_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of empty objects or damaged text: saved without a record, with their rejects."""
+    documents = table(spark, sf_dir, "documents")
+    item = F.when(F.col("lang") == "en", "{}").otherwise(F.concat(_rows(documents), F.lit("}")))
+    out = scratch_path(spark, "nothing")
+    convert(spark, "jsonToCSV", stage_arrays(documents, "doc_id", item, group=F.col("lang")), out)
+    sizes = documents.groupBy(F.concat("lang", F.lit("-"), F.floor(F.col("doc_id") / 50_000)).alias("doc")).agg(F.count("*").alias("n_docs"))
+    written = spark.read.text(out).count()
+    rejects = spark.read.parquet(f"{out}_rejects").select(staged_group(F.col("src_file")).alias("doc"), "error_msg")
+    return rejects.join(sizes, "doc").withColumn("n_docs", F.col("n_docs") + written)
+
+
 @query(_FORMAT_SQL, name="format_json")
 def format_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted keys; types and nulls kept, missing keys stay missing."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialise
 
 # Defaults would write \" for a quote, "" for empty text, and trim values.
 CSV_WRITE = {
@@ -17,8 +20,8 @@ CSV_WRITE = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
-# A document of more records is written as several numbered chunks.
-CHUNK_ROWS = 1_000_000
+# A document of more records is written as several numbered parts.
+CHUNK_ROWS = 250_000
 
 
 def array_lines(records: DataFrame, files: DataFrame, first_no: Column | int = 1) -> DataFrame:
@@ -28,8 +31,9 @@ def array_lines(records: DataFrame, files: DataFrame, first_no: Column | int = 1
     is_array, n_records`` and also lists files without records, which give an empty
     array. A document that was a single object stays one.
     """
-    names = files.select("src_file", "out_name", "is_array", "n_records")
-    separator = F.when(~F.col("is_array") | (F.col("rec_no") == first_no), "").otherwise(",")
+    names = files.withColumn("first", F.lit(first_no) if isinstance(first_no, int) else first_no)
+    names = materialise(names.select("src_file", "out_name", "is_array", "n_records", "first"), "array-files")
+    separator = F.when(~F.col("is_array") | (F.col("rec_no") == F.col("first")), "").otherwise(",")
     body = records.join(broadcast_if_small(names), "src_file").select(
         "out_name", F.col("rec_no").alias("line_no"), F.concat(separator, "json").alias("line")
     )
@@ -49,6 +53,7 @@ def csv_lines(records: DataFrame, files: DataFrame) -> DataFrame:
 
     ``records`` has ``src_file, rec_no, line``; ``files`` has ``src_file, out_name, header``.
     """
+    files = materialise(files.select("src_file", "out_name", "header"), "csv-heads")
     names = broadcast_if_small(files.select("src_file", "out_name"))
     body = records.join(names, "src_file").select(
         "out_name", F.col("rec_no").alias("line_no"), "line"
@@ -76,6 +81,46 @@ def write_documents(lines: DataFrame, path: str) -> None:
     )
 
 
+def write_named_documents(lines: DataFrame, path: str) -> None:
+    """Write every document to ``path/<out_name>``.
+
+    The parts are written first; then each document is moved to its name, a change of
+    names only. A document of one part is a file, one of several a folder whose parts, in
+    the order of their names, are the document; Spark reads either by its name. Nothing
+    is at ``path`` before all parts are written.
+    """
+    spark = lines.sparkSession
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    staged = target.suffix(f"-parts-{uuid.uuid4().hex}")
+    write_documents(lines, staged.toString())
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    files.mkdirs(target)
+
+    def children(folder):
+        return [f.getPath() for f in files.listStatus(folder) if f.getPath().getName()[0] not in "._"]
+
+    def move(source, *names: str) -> None:
+        to = target
+        for name in names:
+            to = jvm.org.apache.hadoop.fs.Path(to, name)
+        if not files.rename(source, to):
+            raise OSError(f"{source.toString()} cannot be renamed to {to.toString()}")
+
+    for document in children(staged):
+        name = unquote(document.getName().removeprefix("out_name="))
+        chunks = sorted(children(document), key=lambda p: int(p.getName().removeprefix("chunk=")))
+        parts = [part for chunk in chunks for part in children(chunk)]
+        if len(parts) == 1:
+            move(parts[0], name)
+        else:
+            files.mkdirs(jvm.org.apache.hadoop.fs.Path(target, name))
+            for i, part in enumerate(parts):
+                move(part, name, f"part-{i:05d}")
+    files.delete(staged, True)
+
+
 def write_lines(lines: DataFrame, column: str, path: str) -> None:
     """One text line per record, straight from the scan's partitions."""
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

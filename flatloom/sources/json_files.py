@@ -20,16 +20,18 @@ from ..functions.json import (
     FLAT_BODY,
     FLAT_OBJECT,
     WS,
+    fields_of,
     is_flat_object,
     is_object,
     json_trim,
     lead_char,
     nested_keys,
+    parse_json,
     parse_strict,
 )
 from ..functions.text import count_of
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
-from ..session import configure, materialise
+from ..session import broadcast_if_small, configure, materialise
 from . import stitch as stitching
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
 from .stitch import files_with_long_records, stitch
@@ -84,7 +86,7 @@ def _outline(piece: Column, order: Column) -> list[Column]:
         _count(shaped & (lead == "{")).alias("object_starts"),
         _count(shaped).alias("n_records"),
         _count(shaped & ~piece.rlike(r"\{[ \t\n\r]*+$")).alias("n_nonempty"),
-        _count(shaped & F.try_parse_json(_object_text(piece)).isNull()).alias("malformed"),
+        _count(shaped & parse_json(_object_text(piece)).isNull()).alias("malformed"),
         _count(tail).alias("tails"),
         _count(rest == "]").alias("array_ends"),
         F.min(F.when(shaped & (lead != ","), order)).alias("start_ord"),
@@ -183,7 +185,7 @@ def _whole_texts(spark: SparkSession, paths: Paths) -> DataFrame:
 def _inspect_whole(spark: SparkSession, paths: Paths) -> DataFrame:
     """Verdicts on files read as one text; ``flat`` where that is enough to scan them."""
     document = F.col("document")
-    broken = F.exists("texts", lambda t: F.try_parse_json(t).isNull())
+    broken = F.exists("texts", lambda t: parse_json(t).isNull())
     return materialise(
         _whole_texts(spark, paths)
         .withColumn("flat", document.rlike(_FLAT_DOCUMENT))
@@ -299,7 +301,7 @@ def _stitched(
         F.max("rec_no").alias("last_no"),
         F.max(F.when(F.col("rec_no") == 1, lead_char(F.col("text")))).alias("opening"),
     )
-    outline = outline.join(files.select("src_file", "terminated"), "src_file")
+    outline = outline.join(broadcast_if_small(files.select("src_file", "terminated")), "src_file")
     flat = _is_flat_document(
         F.col("start_ord") == F.col("min_ord"), F.col("tail_ord") == F.col("max_ord")
     )
@@ -319,7 +321,7 @@ def _stitched(
     sound = outline.filter(F.col("flat") & F.col("error").isNull()).select("src_file")
     records = (
         segments.filter(F.instr("text", "{") > 0)
-        .join(sound, "src_file", "left_semi")
+        .join(broadcast_if_small(sound), "src_file", "left_semi")
         .select(
             "src_file",
             F.lit(0).cast("bigint").alias("split_start"),
@@ -353,7 +355,7 @@ def _nested(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Array elements by bracket depth: records, rejects and verdicts."""
     base = F.when(F.col("opening") == "[", 1).otherwise(0)
-    segments = segments.join(outline.withColumn("base", base), "src_file").withColumn(
+    segments = segments.join(broadcast_if_small(outline.withColumn("base", base)), "src_file").withColumn(
         "is_tail", (F.col("rec_no") == F.col("last_no")) & ~F.col("terminated")
     )
 
@@ -428,8 +430,10 @@ def _nested(
         "n_nonempty",
     )
 
+    verdicts = materialise(verdicts, "json-verdicts")
+    sound = verdicts.filter(F.col("error").isNull()).select("src_file")
     sizes = elements.select("src_file", "elem_no", "n_items").join(
-        verdicts.filter(F.col("error").isNull()), "src_file", "left_semi"
+        broadcast_if_small(sound), "src_file", "left_semi"
     )
     counted = running_sum(sizes, "elem_no", F.col("n_items"), "n_so_far").drop("n_items")
     items = elements.join(counted, ["src_file", "elem_no"]).select(
@@ -441,8 +445,9 @@ def _nested(
     ).select(
         "src_file",
         (F.col("n_before") + F.col("pos") + 1).alias("rec_no"),
+        # An object ends its element, so it is the last item and the text at its end.
         F.when(F.col("n_items") == 1, json_trim(F.col("body")))
-        .otherwise(F.to_json("item"))
+        .otherwise(F.regexp_extract("body", rf"({FLAT_OBJECT}){WS}$", 1))
         .alias("text"),
         is_object(F.col("item")).alias("is_object"),
         F.when(is_object(F.col("item")), F.get(nested_keys(F.col("item")), F.lit(0))).alias("nested"),
@@ -495,9 +500,7 @@ def _element_bodies(elements: DataFrame) -> DataFrame:
     scalar = ~is_array & ~is_object_doc
     scalar_value = first & tail & parse_strict(text).isNotNull()
     n_items = F.coalesce(F.size("items"), F.lit(0))
-    filled = F.filter(
-        "items", lambda i: is_object(i) & (F.schema_of_variant(i) != "OBJECT<>")
-    )
+    filled = F.filter("items", lambda i: F.coalesce(F.size(fields_of(i)), F.lit(0)) > 0)
     malformed = (
         F.when(scalar, ~scalar_value)
         .when(~F.col("balanced") | F.col("items").isNull(), True)
@@ -516,8 +519,11 @@ def _element_bodies(elements: DataFrame) -> DataFrame:
     )
 
 
-def scan_json_lines(spark: SparkSession, paths: Paths) -> JsonScan:
-    """JSON Lines: one document per line, only on request. Blank lines are skipped."""
+def scan_json_lines(spark: SparkSession, paths: Paths, *, numbered: bool = False) -> JsonScan:
+    """JSON Lines: one document per line, only on request. Blank lines are skipped.
+
+    Records have numbers only on request; rejects always do.
+    """
     configure(spark)
     lines = (
         text_pieces(spark, paths, "\n")
@@ -527,33 +533,43 @@ def scan_json_lines(spark: SparkSession, paths: Paths) -> JsonScan:
         .filter(F.col("text") != "")
         .withColumn("ord", F.monotonically_increasing_id())
     )
-    blocks = row_blocks(lines)
-    lines = number_rows(lines, blocks).select(
-        "src_file", "split_start", "ord", "rec_no", "text", "valid"
-    )
     text, valid = F.col("text"), F.col("valid")
-    plain = valid & is_flat_object(text) & F.try_parse_json(text).isNotNull()
-    value = parse_strict(text)
-    failed = lines.filter(~plain).withColumn("value", F.when(valid, value)).select(
-        "src_file",
-        "rec_no",
-        F.lit(errors.INVALID_INPUT).alias("error_kind"),
-        errors.message(
-            F.when(~valid, F.lit(errors.NOT_UTF8))
-            .when(F.col("value").isNull(), F.lit(errors.MALFORMED_JSON))
-            .when(~is_object(F.col("value")), F.lit(errors.NOT_OBJECT_OR_ARRAY))
-            .otherwise(errors.nested_field(F.get(nested_keys(F.col("value")), F.lit(0))))
-        ).alias("error_msg"),
-    )
-    files = list_files(spark, paths).join(row_counts(blocks), "src_file", "left").select(
+    plain = valid & is_flat_object(text) & parse_json(text).isNotNull()
+    has_keys = plain & ~text.rlike(rf"^\{{{WS}\}}$")
+    blocks = row_blocks(lines, n_bad=~plain, n_nonempty=has_keys)
+    sums = [F.sum(c).alias(a) for c, a in (("n", "n_records"), ("n_bad", "n_bad"), ("n_nonempty", "n_nonempty"))]
+    counts = materialise(blocks.groupBy("src_file").agg(*sums), "line-counts")
+    columns = ["src_file", "split_start", "ord", "text"]
+    none_bad = counts.filter("n_bad > 0").isEmpty()
+    by_number = number_rows(lines, blocks) if numbered or not none_bad else lines
+    if none_bad:
+        failed = file_rejects(spark.createDataFrame([], "src_file string, error string"))
+        records = by_number.select(*columns, *(["rec_no"] if numbered else []))
+    else:
+        value = parse_strict(text)
+        failed = by_number.filter(~plain).withColumn("value", F.when(valid, value)).select(
+            "src_file",
+            "rec_no",
+            F.lit(errors.INVALID_INPUT).alias("error_kind"),
+            errors.message(
+                F.when(~valid, F.lit(errors.NOT_UTF8))
+                .when(F.col("value").isNull(), F.lit(errors.MALFORMED_JSON))
+                .when(~is_object(F.col("value")), F.lit(errors.NOT_OBJECT_OR_ARRAY))
+                .otherwise(errors.nested_field(F.get(nested_keys(F.col("value")), F.lit(0))))
+            ).alias("error_msg"),
+        )
+        records = (by_number if numbered else lines).filter(plain)
+        records = records.select(*columns, *(["rec_no"] if numbered else []))
+    files = list_files(spark, paths).join(counts, "src_file", "left").select(
         "src_file",
         F.lit(None).cast("string").alias("error"),
         F.lit(True).alias("is_array"),
         "n_records",
-        F.col("n_records").alias("n_nonempty"),
+        "n_nonempty",
     )
-    records = lines.filter(plain).drop("valid")
-    firsts = records.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
+    firsts = spark.createDataFrame([], "src_file string, first_no bigint")
+    if numbered:
+        firsts = records.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
     return JsonScan(records, files, failed, firsts)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.errors import InvalidInput
 from ..plans.actions import Action
 from ..plans.pipelines import convert
 from ..sources.files import paths_of
@@ -29,7 +30,9 @@ def drop_folder(
     The stream carries file names only; the content is read by the same plans as
     in a batch conversion. A batch that is run again after a failure overwrites
     its own output folder ``dst/batch=<id>`` and ledger part, so no file is
-    converted or counted twice. Rejects go to ``dst/batch=<id>_rejects``.
+    converted or counted twice. Rejects go to ``dst/batch=<id>_rejects``. With
+    ``mode='strict'`` a batch with any reject is not converted; its files are in the
+    ledger as failed, and the stream goes on.
     """
     names = (
         spark.readStream.format("binaryFile")
@@ -43,15 +46,19 @@ def drop_folder(
         paths = paths_of(batch)
         if paths:
             part = None if ledger is None else f"{ledger}/batch={batch_id}"
-            convert(
-                batch.sparkSession,
-                action,
-                paths,
-                f"{dst}/batch={batch_id}",
-                ledger=part,
-                ledger_mode="overwrite",
-                **options,
-            )
+            try:
+                convert(
+                    batch.sparkSession,
+                    action,
+                    paths,
+                    f"{dst}/batch={batch_id}",
+                    ledger=part,
+                    ledger_mode="overwrite",
+                    **options,
+                )
+            except InvalidInput:
+                if options.get("mode") != "strict":
+                    raise
 
     return (
         names.writeStream.foreachBatch(convert_batch)

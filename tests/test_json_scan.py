@@ -127,7 +127,7 @@ def test_element_too_long_for_one_row(spark, folder, monkeypatch):
 
 def test_lines(spark, folder):
     content = b'{"a":1}\n\n {"b":"}"} \n[1]\n5\n{"c":{}}\n{"a":1} x\n{"a":"\xff"}\n{"z":2}'
-    scan = scan_json_lines(spark, folder({"l.json": content}))
+    scan = scan_json_lines(spark, folder({"l.json": content}), numbered=True)
     assert by_file(scan.records.collect(), "rec_no", "text") == {
         "l": [(1, '{"a":1}'), (2, '{"b":"}"}'), (8, '{"z":2}')]
     }

@@ -12,14 +12,13 @@ import flatloom as fl
 
 
 def document(path):
-    """Content of one saved document: its chunks in order."""
-    parts = sorted(glob.glob(f"{path}/chunk=*/part-*"), key=lambda p: int(p.split("chunk=")[1].split("/")[0]))
+    """Content of one saved document: a file, or the parts of a folder in order."""
+    parts = sorted(glob.glob(f"{path}/part-*")) if os.path.isdir(path) else [path]
     return "".join(open(p, encoding="utf-8", newline="").read() for p in parts)
 
 
 def documents(out):
-    names = {d.removeprefix("out_name="): f"{out}/{d}" for d in os.listdir(out) if d.startswith("out_name=")}
-    return {n: document(p) for n, p in names.items()}
+    return {n: document(f"{out}/{n}") for n in os.listdir(out) if n[0] not in "._"}
 
 
 def lines(out):
@@ -169,7 +168,7 @@ def test_chunks_of_a_large_document(spark, folder, tmp_path, monkeypatch):
     out = str(tmp_path / "out")
     path = folder({"x.csv": "n\n" + "".join(f"{i}\n" for i in range(35))})
     fl.convert(spark, "csvToJSON", path, out, layout="array")
-    assert len(glob.glob(f"{out}/out_name=*/chunk=*")) == 4
+    assert len(glob.glob(f"{out}/x_converted.json/part-*")) == 4
     assert [int(r["n"]) for r in json.loads(documents(out)["x_converted.json"])] == list(range(35))
 
 
@@ -187,3 +186,94 @@ def test_drop_folder_converts_each_file_once(spark, folder, tmp_path):
     counts = fl.usage_counts(spark.read.parquet(ledger), fl.catalogue(spark)).collect()
     assert {r.action: r.n for r in counts}["csvToJSON"] == 2
     assert spark.read.parquet(f"{out}/batch=1_rejects").count() == 1
+
+
+@pytest.mark.parametrize("content", ["[]", "{", "[{}]", "{}"])
+@pytest.mark.parametrize("layout", ["dataset", "per_file"])
+def test_nothing_to_convert(spark, folder, tmp_path, content, layout):
+    out = str(tmp_path / "out")
+    fl.convert(spark, "jsonToCSV", folder({"x.json": content}), out, layout=layout)
+    message = "JSON is malformed." if content == "{" else "JSON has no records to convert."
+    assert [r.error_msg for r in spark.read.parquet(out + "_rejects").collect()] == [f"Invalid input: {message}"]
+    if layout == "dataset":
+        assert spark.read.text(out).collect() == []
+
+
+def test_empty_objects_as_json_lines(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    fl.convert(spark, "jsonToCSV", folder({"x.json": "{}\n{}\n"}), out, lines=True)
+    assert [r.error_msg for r in spark.read.parquet(out + "_rejects").collect()] == ["Invalid input: JSON has no records to convert."]
+
+
+def test_wide_tables_are_text(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    items = ",".join(f'{{"k{i:03d}":"v, {i}","all":{i}.50}}' for i in range(30))
+    path = folder({"x.json": f"[{items}]"})
+    fl.convert(spark, "jsonToCSV", path, out, max_columns=8)
+    wide = list(csv.reader(io.StringIO(document(out))))
+    fl.convert(spark, "jsonToCSV", path, out, max_columns=1000)
+    narrow = list(csv.reader(io.StringIO("".join(lines_of(out)))))
+    assert wide[0] == narrow[0] == ["all", *(f"k{i:03d}" for i in range(30))]
+    assert sorted(wide[1:]) == sorted(r for r in narrow[1:] if r != narrow[0])
+
+
+def lines_of(out):
+    return [open(p, encoding="utf-8", newline="").read() for p in sorted(glob.glob(f"{out}/part-*"))]
+
+
+def test_literals_and_long_values(spark, folder, tmp_path):
+    long, digits = "x" * 21_000_000, "7" * 1100
+    path = folder(
+        {
+            "mixed.json": '[7,{"k":1.50,"e":1e3},{"n":{}},"{",[1],{"k":2.50}]',
+            "long.json": f'[{{"k":"{long}"}},{{"k":"y"}}]',
+            "digits.json": f'[{{"k":{digits}}},{{"k":1}}]',
+            "deep.json": '[{"k":' + "[" * 400 + "]" * 400 + '},{"k":2}]',
+        }
+    )
+    planned = fl.json_to_csv(spark, path)
+    found = sorted(((r["e"], r["k"]) for r in planned.output.collect()), key=lambda t: (len(t[1]), t))
+    assert found == [("", "1"), ("", "2"), ("", "y"), ("", "2.50"), ("1e3", "1.50"), ("", digits), ("", long)]
+    messages = sorted((r.src_file.rsplit("/", 1)[1], r.rec_no) for r in planned.rejects.collect())
+    assert messages == [("deep.json", 1), ("mixed.json", 1), ("mixed.json", 3), ("mixed.json", 4), ("mixed.json", 5)]
+    formatted = {r.json for r in fl.format_json(spark, folder({"d.json": f'{{"b":{digits},"a":1}}'}, "one")).output.collect()}
+    assert formatted == {f'{{"a":1,"b":{digits}}}'}
+
+
+def test_drop_folder_goes_on_after_bad_files(spark, folder, tmp_path):
+    out, checkpoint, ledger = (str(tmp_path / n) for n in ("out", "checkpoint", "ledger"))
+    run = dict(dst=out, checkpoint=checkpoint, ledger=ledger)
+    inbox = folder({"bad.json": "{"})
+    fl.drop_folder(spark, "jsonToCSV", inbox, **run).awaitTermination()
+    folder({"good.json": '{"k":1}', "part.json": '[{"k":1},{"k":[]}]'})
+    fl.drop_folder(spark, "jsonToCSV", inbox, **run).awaitTermination()
+    assert [r.value for r in spark.read.text(f"{out}/batch=1").collect()].count("1") == 2
+    status = {r.src_file.rsplit("/", 1)[1]: r.status for r in spark.read.parquet(ledger).collect()}
+    assert status == {"bad.json": "failed", "good.json": "success", "part.json": "failed"}
+
+
+def test_strict_failures_are_in_the_ledger(spark, folder, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    with pytest.raises(fl.InvalidInput):
+        fl.convert(spark, "csvToJSON", folder({"a.csv": "k\n1\n", "b.csv": '"'}), str(tmp_path / "out"), mode="strict", ledger=ledger)
+    assert {r.status for r in spark.read.parquet(ledger).collect()} == {"failed"}
+    assert not os.path.exists(tmp_path / "out")
+
+
+def hash_keys_of_text_exchanges(plan):
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(src_file" in line and "split" not in line and "rec_no" not in line]
+
+
+def test_no_text_is_shuffled_by_file(spark, folder, small_splits):
+    """Small tables are broadcast by their measured size, whatever Spark would choose."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = "".join(f'{i},"a\nb{i}"\n' for i in range(600))
+        path = folder({"x.csv": "k,t\n" + rows, "y.csv": "t,k\n" + rows})
+        scan = fl.scan_csv(spark, path)
+        scan.records.collect()
+        plan = scan.records._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in hash_keys_of_text_exchanges(plan) if "text" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
