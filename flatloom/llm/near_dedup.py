@@ -2,14 +2,14 @@
 
 1. Documents of equal shingle sets form a class; only its smallest id goes on.
 2. Signatures are banded; a bucket holds the classes that agree on a band.
-3. Rounds of stars: in each bucket that still spans several components, a pivot is paired with
-   the members of other components. A large group of near copies so costs one pair per member
-   and not all pairs. A last round pairs what is still apart, so no candidate is left out.
+3. A star first: in each bucket the smallest member is paired with the others. A large group of
+   near copies so costs one pair per member and not all pairs. Buckets that then still span
+   several components are dealt out whole, in blocks of bounded size, and every pair of blocks
+   is compared by one task: no row is made for a pair, and no candidate is left out.
 4. Signature batches of a pair are compared one after the other. After each batch the posterior
    of the similarity (uniform prior) is known; a pair that reaches the threshold with less than
-   the chosen miss probability is pruned. The first batch is one bit of each of 128 hashes, and
-   is compared within the join that makes the pairs, so that members of a bucket that only share
-   a passage make no rows. The further batches are the hashes themselves.
+   the chosen miss probability is pruned. The first batch is one bit of each of 128 hashes; the
+   further batches are the hashes themselves. Pairs of one component need no comparison.
 5. Survivors are verified on their full shingle sets, made anew from the whole texts.
 6. Links give components by joins.
 
@@ -43,6 +43,8 @@ ROWS = 6
 BATCH = 24
 BITS = 128
 MISS = 1e-6
+#: Members of a block.
+BLOCK = 256
 
 _U = np.uint64
 _SEEDS = np.random.default_rng(20240607).integers(0, 1 << 31, size=(BANDS * ROWS, 2), dtype=np.uint32)
@@ -177,20 +179,25 @@ def likely(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFra
     return both.mapInArrow(scan, pairs.select("a", "b").schema).distinct()
 
 
+def _alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(one) + len(two) - common)
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    return [s for w in word_slices(texts, SPACED) for s in shingle_sets(w)]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union of their full shingle sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            both = pa.concat_arrays([batch.column(2), batch.column(3)])
-            sets = [s for w in word_slices(both, SPACED) for s in shingle_sets(w)]
-            for i in range(len(batch)):
-                one, two = sets[i], sets[len(batch) + i]
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * common >= percent * (len(one) + len(two) - common) and common:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in (batch.column(0), batch.column(1))], names=["a", "b"])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                both = zip(_sets(part.column(2)), _sets(part.column(3)), strict=True)
+                keep = pa.array([i for i, (one, two) in enumerate(both) if _alike(one, two, percent)], pa.int64())
+                yield pa.RecordBatch.from_arrays([c.take(keep) for c in (part.column(0), part.column(1))], names=["a", "b"])
 
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -198,7 +205,56 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(scan, pairs.select("a", "b").schema).distinct()
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, star_rounds: int = 2) -> DataFrame:
+def _links_of_blocks(blocks: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """Links (a, b) between members of different components, found within each pair of blocks.
+
+    A pair is compared in the first bucket it shares. Links that join nothing new within the
+    block are not looked for.
+    """
+    least, differences = least_matches(percent / 100), most_differences(percent / 100)
+
+    def group(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("doc_id")
+        n = len(table)
+        ids, here = table["doc_id"], table["bucket"][0].as_py()
+        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(n, -1)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        bits = np.stack([table[c].to_numpy() for c in ("bits_1", "bits_2")], axis=1).view(_U)
+        sizes, part = table["n_shingles"].to_numpy(), table["part"].to_numpy()
+        one, two = table["part_1"][0].as_py(), table["part_2"][0].as_py()
+        root = np.unique(table["label"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _sets(table["text"].slice(i, 1).combine_chunks())[0]
+            return sets[i]
+
+        right, links = np.flatnonzero(part == two), []
+        for i in np.flatnonzero(part == one).tolist():
+            at = right[right > i] if one == two else right
+            at = at[root[at] != root[i]]
+            low, high = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
+            at = at[100 * low >= percent * high]
+            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= differences]
+            same = bands[at] == bands[i]
+            at = at[bands[i][np.argmax(same, axis=1)] == here]
+            matches = np.zeros(len(at), dtype=np.int64)
+            for n_compared, m in least.items():
+                batch = slice(n_compared - BATCH, n_compared)
+                matches = matches + (signatures[at, batch] == signatures[i, batch]).sum(axis=1)
+                at, matches = at[matches >= m], matches[matches >= m]
+            for j in at.tolist():
+                if root[i] != root[j] and _alike(shingles(i), shingles(j), percent):
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+        ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+        return pa.table({c: ids.take(pa.array(ends[:, k])) for k, c in enumerate("ab")})
+
+    return blocks.groupBy("bucket", "part_1", "part_2").applyInArrow(group, f"a {id_type}, b {id_type}")
+
+
+def near_duplicates(documents: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest linked id) and kept."""
     found = materialise(features(documents), "near-features")
     real = found.filter("n_shingles > 0 and doc_id is not null")
@@ -208,44 +264,51 @@ def near_duplicates(documents: DataFrame, percent: int = 85, star_rounds: int =
     first = F.coalesce("first_id", "doc_id")
     classes = materialise(real.select("doc_id", *keys).join(copies, keys, "left").select("doc_id", *keys, first.alias("class_id")), "near-classes")
     # A class is its first document; rows that repeat it count once.
-    others = classes.filter("doc_id <> class_id").select("doc_id", *keys).distinct()
-    own = real.join(others, ["doc_id", *keys], "left_anti")
+    others = materialise(classes.filter("doc_id <> class_id").select("doc_id", *keys).distinct(), "near-copies")
+    own = real.join(send_if_few(others, 1 << 18), ["doc_id", *keys], "left_anti")
 
     rows = own.select("doc_id", F.explode("bands").alias("bucket"))
     pivots = rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    shared = materialise(rows.join(pivots.select("bucket"), "bucket").distinct(), "near-shared")
+    shared = materialise(rows.join(pivots.select("bucket"), "bucket"), "near-shared")
     ids = shared.select("doc_id").distinct()
-    own = own.select("doc_id", "n_shingles", "bits_1", "bits_2", "signature").distinct()
-    own = materialise(own.join(ids, "doc_id"), "near-signatures")
+    own = materialise(own.join(ids, "doc_id").dropDuplicates(["doc_id", *keys]).drop(*keys), "near-signatures")
     facts = ["n_shingles", "bits_1", "bits_2"]
     members = materialise(shared.join(own.select("doc_id", *facts), "doc_id"), "near-members")
+    all_texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        needed = send_if_few(materialise(some.distinct(), "near-needed"))
+        return all_texts.join(needed, F.col("doc_id") == F.col("id")).drop("id").distinct()
 
+    # The star.
     close = F.expr(
         f"100 * least(a.n_shingles, b.n_shingles) >= {int(percent)} * greatest(a.n_shingles, b.n_shingles) and "
         f"bit_count(a.bits_1 ^ b.bits_1) + bit_count(a.bits_2 ^ b.bits_2) <= {most_differences(percent / 100)}"
     )
-    empty = members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
-    tested, links, labels = empty, empty, components(empty)
-    for step in range(star_rounds + 1):
-        last = step == star_rounds
-        now = members.join(labels, F.col("doc_id") == F.col("node"), "left")
-        now = now.select("bucket", "doc_id", *facts, F.coalesce("component", "doc_id").alias("label"))
-        rank = F.struct(F.xxhash64("doc_id", F.lit(step)) if step else F.col("doc_id"), F.struct("doc_id", *facts, "label").alias("row"))
-        apart = now.groupBy("bucket").agg(F.min(rank).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        some = now.join(apart.select("bucket"), "bucket") if last else apart.select("bucket", "pivot.row.*")
-        order = F.expr("a.label < b.label" if last else "a.label <> b.label")
-        pairs = some.alias("a").join(now.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & order & close)
-        pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        survivors = materialise(likely(pairs, own, percent / 100), "near-survivors")
-        needed = materialise(survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct(), "near-needed")
-        texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-        texts = texts.join(send_if_few(needed), F.col("doc_id") == F.col("id")).drop("id").distinct()
-        links = materialise(links.unionByName(verified(survivors, texts, percent)), "near-links")
-        tested = tested.unionByName(pairs)
-        labels = components(links)
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("doc_id", *facts)).alias("pivot")).select("bucket", "pivot.*")
+    same_bucket = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    pairs = pivots.alias("a").join(members.alias("b"), same_bucket & close)
+    pairs = materialise(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct(), "near-pairs")
+    survivors = materialise(likely(pairs, own, percent / 100), "near-survivors")
+    ends = survivors.select(F.col("a").alias("id")).union(survivors.select("b"))
+    links = materialise(verified(survivors, texts_of(ends), percent), "near-links")
+    labels = components(links)
+
+    # The rest of the buckets that are still apart.
+    now = members.join(labels, F.col("doc_id") == F.col("node"), "left")
+    now = now.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    apart = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    apart = apart.filter("low < high").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    rest = now.join(apart, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    rest = materialise(rest, "near-rest")
+    if not rest.isEmpty():
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        blocks = rest.withColumn("other", other).select(
+            "bucket", "doc_id", "label", "part", F.least("part", "other").alias("part_1"), F.greatest("part", "other").alias("part_2")
+        )
+        blocks = blocks.join(own, "doc_id").join(texts_of(rest.select(F.col("doc_id").alias("id"))), "doc_id")
+        id_type = documents.schema["doc_id"].dataType.simpleString()
+        labels = components(links.unionByName(_links_of_blocks(blocks, percent, id_type)))
 
     labels = labels.withColumnsRenamed({"node": "class_id", "component": "component_class"})
     named = classes.select("doc_id", "class_id").distinct().join(labels, "class_id", "left")

@@ -28,7 +28,8 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block", [5, 256])
+def test_near_duplicates(spark, block):
     rng = random.Random(5)
     base, texts = text(rng, 120), {}
     for i in range(150):  # one large group of near copies, in a chain
@@ -45,7 +46,7 @@ def test_near_duplicates(spark):
     texts |= {230: None, 231: "", 232: " \t\n", 233: long, 234: long + " end", 235: "One two three", 236: "one TWO three", 237: "É É", 238: "é é"}
     rows = [(k, t, 1.5) for k, t in texts.items()]
     docs = spark.createDataFrame(rows + rows[:3] + [(None, base, 1.0)], "doc_id long, text string, bucket double")
-    found = near_duplicates(docs).collect()
+    found = near_duplicates(docs, block=block).collect()
     assert len(found) == len(rows) + 4
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == near_components(texts)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
