@@ -4,7 +4,7 @@ from .functions.errors import InvalidInput
 from .operators.ledger import usage_counts
 from .plans.actions import ACTIONS, catalogue
 from .plans.pipelines import Conversion, convert, csv_to_json, format_json, json_to_csv
-from .session import configure
+from .session import configure, release
 from .sources.csv_files import scan_csv
 from .sources.json_files import scan_json, scan_json_lines
 from .streaming.drop_folder import drop_folder
@@ -20,6 +20,7 @@ __all__ = [
     "drop_folder",
     "format_json",
     "json_to_csv",
+    "release",
     "scan_csv",
     "scan_json",
     "scan_json_lines",

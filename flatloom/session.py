@@ -51,9 +51,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/flatloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; nothing is created or deleted here."""
-    return f"{shared_folder(spark)}/flatloom/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
+
+    For callers that have written or collected what they wanted: results that are still
+    lazy read these tables.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -260,6 +260,15 @@ def test_strict_failures_are_in_the_ledger(spark, folder, tmp_path):
     assert not os.path.exists(tmp_path / "out")
 
 
+def test_release(spark, folder, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr("flatloom.session.shared_folder", lambda _: str(shared))
+    fl.convert(spark, "csvToJSON", folder({"x.csv": "a\n1\n"}), str(tmp_path / "out"))
+    assert list(shared.glob("flatloom/*/csv-files-*"))
+    fl.release(spark)
+    assert not list(shared.glob("flatloom/*"))
+
+
 def hash_keys_of_text_exchanges(plan):
     return [line for line in plan.splitlines() if "Exchange hashpartitioning(src_file" in line and "split" not in line and "rec_no" not in line]
 
