@@ -40,6 +40,8 @@ SLOT_ROWS = 200_000
 
 DIMENSIONS = ("by_size", "by_source", "by_lang", "by_id")
 _LAST = (1 << 63) - 1
+#: A unit's value in the dimension its node is split along.
+_VALUE_SQL = f"element_at(array({', '.join(DIMENSIONS)}), dimension + 1)"
 
 
 def _ordered(value: Column) -> Column:
@@ -142,14 +144,10 @@ def _split(units: DataFrame, level: list[Node]) -> tuple[DataFrame, list[Node]]:
         # Width: the node's share of what the whole table spans.
         n.dimension = max(range(len(DIMENSIONS)), key=lambda i: width(r, i) / max(whole[i], 1))
         n.span = (r[2 + 2 * n.dimension], r[3 + 2 * n.dimension], -_LAST - 1, _LAST)
-    nodes = _table(
-        units,
-        [Row(node=n.key, dimension=n.dimension, heavy=HEAVY * n.weight) for n in active.values()],
-        "node bigint, dimension int, heavy double",
-    )
-    value = F.element_at(F.array(*DIMENSIONS), F.col("dimension") + 1)
-    work = units.join(nodes, "node", "left").withColumn("v", value)
-    heavy = work.filter("weight >= heavy").select("node", "v", "tie", "k1", "k2", "weight").collect()
+    limits = [Row(at=n.key, dimension=n.dimension, heavy=HEAVY * n.weight) for n in active.values()]
+    limits = _table(units, limits, "at bigint, dimension int, heavy double")
+    heavy = units.join(limits, (F.col("node") == F.col("at")) & (F.col("weight") >= F.col("heavy")))
+    heavy = heavy.select("node", F.expr(_VALUE_SQL).alias("v"), "tie", "k1", "k2", "weight").collect()
     sides = []
     for key, n in active.items():
         lacking = [n.weight * (n.shards // 2) / n.shards, n.weight * (n.shards - n.shards // 2) / n.shards]
@@ -159,10 +157,12 @@ def _split(units: DataFrame, level: list[Node]) -> tuple[DataFrame, list[Node]]:
             lacking[side] -= r.weight
             sides.append(Row(k1=r.k1, k2=r.k2, side=side))
         n.goal = max(0.0, min(lacking[0], sum(lacking)))
-    _medians(work.filter("weight < heavy").select("node", "v", "tie", "weight"), active)
+    _medians(units, active)
 
-    cuts = _table(units, [Row(node=n.key, cut_v=n.cut[0], cut_tie=n.cut[1]) for n in active.values()], "node bigint, cut_v bigint, cut_tie bigint")
-    work = work.join(cuts, "node", "left").join(_table(units, sides, "k1 bigint, k2 bigint, side int"), ["k1", "k2"], "left")
+    cuts = [Row(node=n.key, dimension=n.dimension, cut_v=n.cut[0], cut_tie=n.cut[1]) for n in active.values()]
+    cuts = _table(units, cuts, "node bigint, dimension int, cut_v bigint, cut_tie bigint")
+    work = units.join(cuts, "node", "left").join(_table(units, sides, "k1 bigint, k2 bigint, side int"), ["k1", "k2"], "left")
+    work = work.withColumn("v", F.expr(_VALUE_SQL))
     right = F.expr("coalesce(side, if(cut_v is null or v < cut_v or v = cut_v and tie <= cut_tie, 0, 1))")
     out = work.withColumn("node", F.col("node") * 2 + 1 + right).select(*units.columns)
     children = []
@@ -174,22 +174,27 @@ def _split(units: DataFrame, level: list[Node]) -> tuple[DataFrame, list[Node]]:
     return out, children
 
 
-def _medians(light: DataFrame, nodes: dict[int, Node]) -> None:
+def _inside(units: DataFrame, nodes: dict[int, Node]) -> DataFrame:
+    """Light units of these nodes that lie in what is still searched: with v and the span."""
+    spans = [
+        Row(at=k, dimension=n.dimension, heavy=HEAVY * n.weight, v0=n.span[0], v1=n.span[1], t0=n.span[2], t1=n.span[3]) for k, n in nodes.items()
+    ]
+    spans = _table(units, spans, "at bigint, dimension int, heavy double, v0 bigint, v1 bigint, t0 bigint, t1 bigint")
+    same = F.expr(f"node = at and weight < heavy and {_VALUE_SQL} between v0 and v1 and tie between t0 and t1")
+    return units.join(spans, same).withColumn("v", F.expr(_VALUE_SQL))
+
+
+def _medians(units: DataFrame, nodes: dict[int, Node]) -> None:
     """Set each node's cut."""
     todo = dict(nodes)
     fine = max(16, SUMS // max(1, len(nodes)))
     while todo:
-        spans = _table(
-            light,
-            [Row(node=k, v0=n.span[0], v1=n.span[1], t0=n.span[2], t1=n.span[3]) for k, n in todo.items()],
-            "node bigint, v0 bigint, v1 bigint, t0 bigint, t1 bigint",
-        )
         # Intervals of values, or of hashes where one value is left. Doubles only choose the
         # interval: they keep the order, and the ends of an interval are exact.
         wide = "cast({} as double) - cast({} as double)"
         by_value = f"({wide.format('v', 'v0')}) / ({wide.format('v1', 'v0')})"
         by_tie = f"({wide.format('tie', 't0')}) / greatest(1, {wide.format('t1', 't0')})"
-        inside = light.join(spans, "node").filter("v between v0 and v1 and tie between t0 and t1")
+        inside = _inside(units, todo)
         bucket = F.expr(f"floor({fine - 1} * if(v1 > v0, {by_value}, {by_tie}))")
         found = inside.groupBy("node", bucket.alias("bucket")).agg(
             F.sum("weight").alias("w"), F.count("*").alias("n"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.min("tie").alias("t0"), F.max("tie").alias("t1")
@@ -197,7 +202,7 @@ def _medians(light: DataFrame, nodes: dict[int, Node]) -> None:
         by_node: dict[int, list[Row]] = {}
         for r in found.collect():
             by_node.setdefault(r.node, []).append(r)
-        few = []
+        few = {}
         for key, n in list(todo.items()):
             hit = None
             for r in sorted(by_node.get(key, []), key=lambda r: r.bucket):
@@ -212,13 +217,11 @@ def _medians(light: DataFrame, nodes: dict[int, Node]) -> None:
             same = hit.v0 == hit.v1
             n.span = (hit.v0, hit.v1, hit.t0 if same else -_LAST - 1, hit.t1 if same else _LAST)
             if hit.n <= fine or same and hit.t0 == hit.t1:
-                few.append(Row(node=key, v0=n.span[0], v1=n.span[1], t0=n.span[2], t1=n.span[3]))
+                few[key] = n
                 del todo[key]
         if few:
-            spans = _table(light, few, "node bigint, v0 bigint, v1 bigint, t0 bigint, t1 bigint")
-            near = light.join(spans, "node").filter("v between v0 and v1 and tie between t0 and t1")
             # Equal (value, hash) pairs are one unit, or copies of a row: they are not parted.
-            near = near.groupBy("node", "v", "tie").agg(F.sum("weight").alias("w")).collect()
+            near = _inside(units, few).groupBy("node", "v", "tie").agg(F.sum("weight").alias("w")).collect()
             for r in sorted(near, key=lambda r: (r.node, r.v, r.tie)):
                 n = nodes[r.node]
                 # The unit at the median goes where it leaves less of a difference.
