@@ -23,6 +23,9 @@ from flatloom.session import materialise
 
 #: Bytes of a shard.
 SHARD_BYTES = 16 << 20
+#: Percent of shingles of five words from which documents are near copies, and the probability
+#: with which banding may miss such a pair.
+NEAR_PERCENT, NEAR_MISS = 80, 1e-6
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; of rows that
-    repeat an id, one row. Rows without an id stay."""
-    found = near_duplicates(docs)
+    """One document of each group of near copies (a similarity of 0.8 or more links), the one with
+    the smallest id; of rows that repeat an id, one row. Rows without an id stay."""
+    found = near_duplicates(docs, percent=NEAR_PERCENT, miss=NEAR_MISS)
     gone = materialise(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
     again = materialise(again, "again")

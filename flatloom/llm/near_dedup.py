@@ -13,8 +13,9 @@
 5. Survivors are verified on their full shingle sets, made anew from the whole texts.
 6. Links give components by joins.
 
-Banding is the only step that can miss a link: with 28 bands of 6, a pair of similarity 0.85 is
-missed with probability 2e-6, a more similar one with less.
+Banding is the only step that can miss a link. The number of bands follows from the threshold and
+the chosen miss probability of a pair just there (a more similar one is missed with less): 28 bands
+of 6 for 0.85 and 2e-6, 46 for 0.8 and 1e-6.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with
 nothing; a null id links with nothing, its component is null and it is kept. Rows that repeat an
@@ -25,6 +26,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,9 @@ from .joins import send_if_few
 from .tokens import SPACED, Words, mix, windows, word_slices
 
 SHINGLE = 5
-BANDS = 28
 ROWS = 6
+#: Probability with which banding misses a pair at the threshold.
+BAND_MISS = 2e-6
 BATCH = 24
 BITS = 128
 MISS = 1e-6
@@ -47,8 +50,17 @@ MISS = 1e-6
 BLOCK = 256
 
 _U = np.uint64
-_SEEDS = np.random.default_rng(20240607).integers(0, 1 << 31, size=(BANDS * ROWS, 2), dtype=np.uint32)
-_MULTIPLY, _ADD = _SEEDS[:, 0] * np.uint32(2) + np.uint32(1), _SEEDS[:, 1] * np.uint32(2)
+
+
+def bands_needed(threshold: float, miss: float = BAND_MISS) -> int:
+    """The fewest bands that miss a pair of this similarity with at most this probability."""
+    return math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS)))
+
+
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the first n hash functions."""
+    seeds = np.random.default_rng(20240607).integers(0, 1 << 31, size=(n, 2), dtype=np.uint32)
+    return seeds[:, 0] * np.uint32(2) + np.uint32(1), seeds[:, 1] * np.uint32(2)
 
 
 def shingle_sets(w: Words, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -61,13 +73,14 @@ def shingle_sets(w: Words, n: int = SHINGLE) -> Iterator[np.ndarray]:
             yield windows(w.hash[a:b], b - a) if b > a else np.zeros(0, dtype=_U)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The minimum of each hash function over a set."""
-    low = np.full(len(_MULTIPLY), np.iinfo(np.uint32).max, dtype=np.uint32)
+    multiply, add = functions
+    low = np.full(len(multiply), np.iinfo(np.uint32).max, dtype=np.uint32)
     short = (shingles >> _U(32)).astype(np.uint32)
     for a in range(0, len(short), 256):
-        block = short[a : a + 256, None] * _MULTIPLY
-        block += _ADD
+        block = short[a : a + 256, None] * multiply
+        block += add
         np.minimum(low, block.min(axis=0), out=low)
     return low
 
@@ -82,24 +95,25 @@ def _sketches(signatures: np.ndarray) -> np.ndarray:
 
 def _bands(signatures: np.ndarray) -> np.ndarray:
     """64 bits for each band of each signature; the band's number is part of them."""
-    parts = signatures.reshape(len(signatures), BANDS, ROWS).astype(_U)
-    out = np.broadcast_to(np.arange(BANDS, dtype=_U), parts.shape[:2]) * _U(0x9E3779B97F4A7C15)
+    parts = signatures.reshape(len(signatures), -1, ROWS).astype(_U)
+    out = np.broadcast_to(np.arange(parts.shape[1], dtype=_U), parts.shape[:2]) * _U(0x9E3779B97F4A7C15)
     for i in range(ROWS):
         out = mix(out + parts[:, :, i])
     return out
 
 
-def features(documents: DataFrame) -> DataFrame:
+def features(documents: DataFrame, n_bands: int) -> DataFrame:
     """doc_id, n_shingles, a key of the shingle set, its signature and its band hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions = _functions(n_bands * ROWS)
         for batch in batches:
             for w in word_slices(batch.column(1), SPACED):
                 sizes, keys, signatures = [], [], []
                 for s in shingle_sets(w):
                     sizes.append(len(s))
                     keys.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-                    signatures.append(signature(s))
+                    signatures.append(signature(s, functions))
                 keys, signatures = np.array(keys), np.array(signatures)
                 bands, sketches = _bands(signatures).view(np.int64), _sketches(signatures)
                 yield pa.RecordBatch.from_arrays(
@@ -137,14 +151,15 @@ def most_differences(threshold: float, miss: float = MISS) -> int:
     return found
 
 
-def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
+def least_matches(threshold: float, miss: float = MISS, n_bands: int | None = None) -> dict[int, int]:
     """For each number of compared hashes, the fewest matches with which a pair is not pruned.
 
     The posterior of the similarity after m matches of n is Beta(1 + m, 1 + n - m).
     """
+    hashes = (n_bands or bands_needed(threshold)) * ROWS
     x = (np.arange(20_000) + 0.5) / 20_000
     above, found = x >= threshold, {}
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, hashes + 1, BATCH):
         for m in range(n + 1):
             log = m * np.log(x) + (n - m) * np.log1p(-x)
             density = np.exp(log - log.max())
@@ -154,9 +169,8 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return found
 
 
-def likely(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+def likely(pairs: DataFrame, signatures: DataFrame, least: dict[int, int]) -> DataFrame:
     """The pairs (a, b) that no batch of their signatures rules out."""
-    least = least_matches(threshold)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,13 +219,13 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(scan, pairs.select("a", "b").schema).distinct()
 
 
-def _links_of_blocks(blocks: DataFrame, percent: int, id_type: str) -> DataFrame:
+def _links_of_blocks(blocks: DataFrame, percent: int, least: dict[int, int], id_type: str) -> DataFrame:
     """Links (a, b) between members of different components, found within each pair of blocks.
 
     A pair is compared in the first bucket it shares. Links that join nothing new within the
     block are not looked for.
     """
-    least, differences = least_matches(percent / 100), most_differences(percent / 100)
+    differences = most_differences(percent / 100)
 
     def group(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("doc_id")
@@ -254,9 +268,11 @@ def _links_of_blocks(blocks: DataFrame, percent: int, id_type: str) -> DataFrame
     return blocks.groupBy("bucket", "part_1", "part_2").applyInArrow(group, f"a {id_type}, b {id_type}")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 85, block: int = BLOCK, miss: float = BAND_MISS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest linked id) and kept."""
-    found = materialise(features(documents), "near-features")
+    n_bands = bands_needed(percent / 100, miss)
+    least = least_matches(percent / 100, n_bands=n_bands)
+    found = materialise(features(documents, n_bands), "near-features")
     real = found.filter("n_shingles > 0 and doc_id is not null")
     keys = ["key_1", "key_2"]
     copies = real.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
@@ -289,7 +305,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, block: int = BLOCK)
     same_bucket = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.doc_id") < F.col("b.doc_id"))
     pairs = pivots.alias("a").join(members.alias("b"), same_bucket & close)
     pairs = materialise(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct(), "near-pairs")
-    survivors = materialise(likely(pairs, own, percent / 100), "near-survivors")
+    survivors = materialise(likely(pairs, own, least), "near-survivors")
     ends = survivors.select(F.col("a").alias("id")).union(survivors.select("b"))
     links = materialise(verified(survivors, texts_of(ends), percent), "near-links")
     labels = components(links)
@@ -308,7 +324,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, block: int = BLOCK)
         )
         blocks = blocks.join(own, "doc_id").join(texts_of(rest.select(F.col("doc_id").alias("id"))), "doc_id")
         id_type = documents.schema["doc_id"].dataType.simpleString()
-        labels = components(links.unionByName(_links_of_blocks(blocks, percent, id_type)))
+        labels = components(links.unionByName(_links_of_blocks(blocks, percent, least, id_type)))
 
     labels = labels.withColumnsRenamed({"node": "class_id", "component": "component_class"})
     named = classes.select("doc_id", "class_id").distinct().join(labels, "class_id", "left")

@@ -4,13 +4,15 @@ import random
 
 import numpy as np
 import pytest
+from conftest import SF_DIR
 from llm_brute import contamination as plain_contamination
 from llm_brute import near_components, smallest_reachable
 
+import corpus_pipeline
 from flatloom.llm.components import components
 from flatloom.llm.decontaminate import contamination
 from flatloom.llm.embedding_dedup import similar_embeddings, tables_needed
-from flatloom.llm.near_dedup import least_matches, most_differences, near_duplicates
+from flatloom.llm.near_dedup import bands_needed, least_matches, most_differences, near_duplicates
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -55,6 +57,33 @@ def test_near_duplicates(spark, block):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_pipeline_stage_links_from_80(spark):
+    """Pairs from 0.8 up to 0.85 are near copies for the stage, and pairs below 0.8 are not."""
+    rng, texts = random.Random(11), {}
+    for i in range(300):
+        w = text(rng, 120).split()
+        texts[2 * i] = " ".join(w)
+        n = 10 + i % 14
+        texts[2 * i + 1] = " ".join(w[:-n] + [f"y{i}z{k}" for k in range(n)])
+    at_80, at_85 = ({k for k, (_, c) in near_components(texts, p).items() if k == c} for p in (80, 85))
+    assert len(at_85) - len(at_80) > 40 and len(at_80) > 400
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == at_80
+
+
+def test_pipeline_stage_on_the_table(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = corpus_pipeline.near_dedup(spark, docs, SF_DIR)
+    assert found.columns == docs.columns
+    assert {r.doc_id for r in found.collect()} == {k for k, (_, c) in near_components(texts, 80).items() if k == c}
+
+
+def test_bands_needed():
+    assert bands_needed(0.85) == 28 and bands_needed(0.8, 1e-6) == 46
+    assert max(least_matches(0.85)) == 168 and max(least_matches(0.8, n_bands=46)) == 264
+
+
 def test_posterior_bounds():
     least = least_matches(0.85)
     assert least[24] < 20 and least[168] < 143 and least[168] / 168 > least[24] / 24
