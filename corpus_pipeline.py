@@ -8,19 +8,23 @@ repeated rows and empty tables; a stage adds what is said in its docstring.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flatloom.llm.decontaminate import contamination
 from flatloom.llm.joins import send_if_few
 from flatloom.llm.kd_shards import kd_shards
-from flatloom.llm.mixing import calibrated_cells, sampled, with_cell
+from flatloom.llm.mixing import bounded_cells, sampled, with_cell
 from flatloom.llm.near_dedup import near_duplicates
 from flatloom.llm.quality import learn, quality_score
 from flatloom.llm.queries import KEEP, remainder
 from flatloom.queries.registry import table
 from flatloom.session import materialise
 
+log = logging.getLogger(__name__)
+
 #: Bytes of a shard.
 SHARD_BYTES = 16 << 20
 #: Percent of shingles of five words from which documents are near copies, and the probability
@@ -54,9 +58,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that meets the tempered shares of sources, languages and topics."""
+    """The sample of the budget that meets the tempered shares of sources, languages and topics,
+    calibrated with the bound; targets no sample of that size meets are logged."""
     marked = with_cell(docs)
-    return sampled(marked, calibrated_cells(marked.select("mix_cell.*"))).filter("mix_sampled").select(*docs.columns)
+    cells, missed = bounded_cells(marked.select("mix_cell.*"))
+    for dimension, value, target, reached in missed:
+        log.warning("mixing: %s %r: target %.4f, reached %.4f", dimension, value, target, reached)
+    return sampled(marked, cells).filter("mix_sampled").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,15 @@ Documents of a cell are then sampled with the probability that gives the cell it
 the token budget; a cell that holds too few tokens is taken whole. A document is in the sample
 if a number made from its id lies below the probability, so a sample can be repeated.
 
-DataFrame functions only. Documents are aggregated to cells at once, so a source with a third
+`bounded_cells` calibrates with the bound: no cell gives more than it holds, and what a cell cut at
+probability 1 lacks is given by the free cells of the same source, language and topic, so that the
+sample meets the targets and the budget. A value with fewer tokens than its target is taken whole
+and the rest of its dimension is scaled up to the budget. Where cells cannot meet all targets at
+once, the last dimension and the budget are met. Every target missed by more than TOLERANCE is
+reported.
+
+DataFrame functions only, but for `bounded_cells`, which brings the table of cells (a row per
+source, language and topic that occur together, whole) to the driver. Documents are aggregated to cells at once, so a source with a third
 of all rows is a few rows; rounds work on the cells, and each is a table in the shared folder.
 
 Edge cases: null dimensions and ids count as the empty string; null and empty texts have no
@@ -19,6 +27,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +47,8 @@ TEMPER = 0.7
 ROUNDS = 8
 #: Tokens of the sample, as a share of all.
 BUDGET = 0.6
+#: A share within this of its target is met.
+TOLERANCE = 1e-4
 
 
 def topic_of(text: Column) -> Column:
@@ -96,6 +108,83 @@ def calibrated_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | Non
     return fitted.crossJoin(F.broadcast(total)).withColumn("share", share).select(*DIMENSIONS, "tokens", "share", probability.alias("probability"))
 
 
+def _filled(wanted: np.ndarray, held: np.ndarray, whole: float) -> np.ndarray:
+    """`wanted`, scaled to sum to `whole` as far as `held` allows, none above what is held."""
+    out, free = np.zeros(len(held)), wanted > 0
+    while free.any():
+        scaled = np.where(free, wanted * max(whole - out[~free].sum(), 0.0) / wanted[free].sum(), out)
+        cut = free & (scaled >= held)
+        if not cut.any():
+            return scaled
+        out[cut], free = held[cut], free & ~cut
+    return out
+
+
+def _scaled(weight: np.ndarray, held: np.ndarray, of: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """`weight`, scaled by value so that the sums of least(weight, held) are `wanted`.
+
+    Newton steps on a concave function of the scale; a value that is cut in all cells stays.
+    """
+    n = len(wanted)
+    for _ in range(100):
+        cut = weight >= held
+        bound, free = np.bincount(of, np.where(cut, held, 0), n), np.bincount(of, np.where(cut, 0, weight), n)
+        off = wanted - bound - free
+        low = wanted < bound + free
+        step = np.where(free > 0, (wanted - bound) / np.where(free > 0, free, 1), np.where(low, 0.0, 1.0))
+        step = np.where(low, np.maximum(step, wanted / np.maximum(bound + free, 1e-300)), step)
+        if (np.abs(off)[(free > 0) | low] <= 1e-12 * held.sum()).all():
+            break
+        weight = np.clip(weight * step[of], 1e-12 * held, 1e12 * held) * (weight > 0)
+    return weight
+
+
+def bounded(tokens: np.ndarray, values: list[np.ndarray], targets: list[np.ndarray], budget: float) -> np.ndarray:
+    """The tokens each cell gives. `values` has each cell's value by dimension, `targets` shares."""
+    usable = np.all([t[v] > 0 for t, v in zip(targets, values, strict=True)], axis=0)
+    held = np.where(usable, tokens, 0.0)
+    whole = min(budget * tokens.sum(), held.sum())
+    wanted = [_filled(t, np.bincount(v, held, len(t)), whole) for t, v in zip(targets, values, strict=True)]
+    weight = held * (whole / held.sum() if whole else 0.0)
+    given = np.minimum(weight, held)
+    while whole:
+        last = given
+        for v, need in zip(values, wanted, strict=True):
+            weight = _scaled(weight, held, v, need)
+        given = np.minimum(weight, held)
+        gap = max(np.abs(np.bincount(v, given, len(need)) - need).max() for v, need in zip(values, wanted, strict=True))
+        if gap <= TOLERANCE / 100 * whole or np.abs(given - last).max() <= 1e-7 * whole:
+            break
+    return given
+
+
+def bounded_cells(
+    rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET
+) -> tuple[DataFrame, list[tuple[str, str, float, float]]]:
+    """As `calibrated_cells`, with the bound: the cells (share is that of the sample), and the
+    targets that are not met: dimension, value, target and reached share."""
+    cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    found = cells.toArrow()
+    tokens = found["tokens"].to_numpy().astype(float)
+    values, names, wanted = [], [], []
+    for d in DIMENSIONS:
+        coded = found[d].combine_chunks().dictionary_encode()
+        values.append(coded.indices.to_numpy(zero_copy_only=False))
+        names.append(coded.dictionary.to_pylist())
+        sums, own = np.bincount(values[-1], tokens, len(names[-1])), (targets or {}).get(d)
+        raw = sums**TEMPER if own is None else np.array([own.get(x, 0.0) if n else 0.0 for x, n in zip(names[-1], sums, strict=True)])
+        wanted.append(raw / raw.sum() if raw.sum() else raw)
+    given = bounded(tokens, values, wanted, budget) if len(tokens) else tokens
+    share = given / given.sum() if given.sum() else np.zeros(len(tokens))
+    missed = []
+    for d, v, own, t in zip(DIMENSIONS, values, names, wanted, strict=True):
+        reached = np.bincount(v, share, len(t)) if len(v) else t
+        missed += [(d, own[i], float(t[i]), float(reached[i])) for i in np.flatnonzero(np.abs(reached - t) > TOLERANCE)]
+    probability = np.where(tokens > 0, np.minimum(given / np.where(tokens > 0, tokens, 1), 1.0), 1.0)
+    out = found.append_column("share", pa.array(share)).append_column("probability", pa.array(probability))
+    return rows.sparkSession.createDataFrame(out), missed
+
+
 def with_cell(documents: DataFrame) -> DataFrame:
     """`documents` and a struct `mix_cell`: source, lang, topic and tokens."""
     text = F.col("text").cast("string")

@@ -6,9 +6,10 @@ import zlib
 import pytest
 from llm_brute import deduped_lines
 
+import corpus_pipeline
 from flatloom.llm.kd_shards import kd_shards
 from flatloom.llm.line_dedup import dedup_lines
-from flatloom.llm.mixing import DIMENSIONS, ROUNDS, TEMPER, calibrated_cells, sampled, with_cell
+from flatloom.llm.mixing import DIMENSIONS, ROUNDS, TEMPER, bounded_cells, calibrated_cells, sampled, with_cell
 
 DOCS = "doc_id long, text string, lang string, source string, shard string, node int"
 
@@ -117,6 +118,64 @@ def test_raking(spark):
     assert sampled(none, calibrated_cells(none.select("mix_cell.*"))).collect() == []
 
 
+def reached(cells, i):
+    given, whole = {}, sum(r.tokens * r.probability for r in cells)
+    for r in cells:
+        given[r[i]] = given.get(r[i], 0) + r.tokens * r.probability / whole
+    return given, whole
+
+
+def test_bounded_cells(spark):
+    """Cells cut at probability 1 are made up for by others: marginals and budget are met."""
+    schema = "source string, lang string, topic string, tokens long"
+    rows = [("a", "en", "x", 100), ("a", "de", "x", 500), ("a", "en", "y", 500), ("a", "de", "y", 500)]
+    rows += [("b", "en", "x", 500), ("b", "de", "x", 30), ("b", "en", "y", 30), ("b", "de", "y", 500), ("b", "fr", "x", 0)]
+    frame = spark.createDataFrame(rows, schema)
+    even = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.5, "y": 0.5}}
+    total = sum(r[3] for r in rows)
+
+    def gap(cells):
+        shares = [reached(cells, i) for i in range(3)]
+        off = [abs(found.get(k, 0) - t) for (found, _), d in zip(shares, DIMENSIONS, strict=True) for k, t in even[d].items()]
+        return max(off), abs(shares[0][1] / total - 0.7)
+
+    cut = calibrated_cells(frame, even, budget=0.7).collect()
+    assert max(gap(cut)) > 1e-3
+    cells, missed = bounded_cells(frame, even, budget=0.7)
+    cells = cells.collect()
+    assert missed == [] and max(gap(cells)) < 1e-4 and sum(r.probability == 1 for r in cells) >= 2
+    assert all(0 <= r.probability <= 1 for r in cells) and len(cells) == len(rows)
+
+    # A value that holds less than its target is taken whole and reported; the budget is met.
+    cells, missed = bounded_cells(frame, {"source": {"a": 0.9, "b": 0.1}}, budget=0.7)
+    (found, whole), held = reached(cells.collect(), 0), sum(r[3] for r in rows if r[0] == "a")
+    assert abs(whole - 0.7 * total) < 1e-3 * total and abs(found["a"] - held / whole) < 1e-6
+    assert [(d, v) for d, v, _, _ in missed if d == "source"] == [("source", "a"), ("source", "b")]
+    cells, missed = bounded_cells(frame.limit(0))
+    assert cells.collect() == [] and missed == []
+
+
+def test_pipeline_mix_meets_what_can_be_met(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(6000):
+        lang = "en" if rng.random() < 0.9 else "es"
+        source = "s0" if rng.random() < (0.9 if lang == "en" else 0.2) else "s1"
+        rows.append((i, "word " * 20 + ("| " if rng.random() < (0.02 if lang == "es" else 0.3) else ""), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    marked = with_cell(docs)
+    cells, missed = bounded_cells(marked.select("mix_cell.*"))
+    cells, total = {tuple(r[d] for d in DIMENSIONS): r for r in cells.collect()}, sum(r.mix_cell.tokens for r in marked.collect())
+    kept = {r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect()}
+    taken = [r.mix_cell for r in marked.collect() if r.doc_id in kept]
+    assert abs(sum(r.tokens for r in taken) / total - 0.6) < 0.02
+    old = calibrated_cells(marked.select("mix_cell.*")).collect()
+    assert sum(r.tokens * r.probability for r in old) / total < 0.59
+    for i, d in enumerate(DIMENSIONS):
+        for value, share in reached(cells.values(), i)[0].items():
+            assert abs(sum(r.tokens for r in taken if r[d] == value) / sum(r.tokens for r in taken) - share) < 0.02
+
+
 def test_given_targets(spark):
     rows = [("a", "en", "prose", 100), ("b", "en", "prose", 300), ("c", "de", "prose", 100), ("c", "en", "prose", 0)]
     frame = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
