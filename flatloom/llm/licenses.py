@@ -3,7 +3,8 @@
 A notice with at most k edits in it still holds one of its k + 1 pieces unchanged (pigeonhole).
 One automaton finds all pieces of all notices in the lowered text; each hit gives a window in
 which the notice must lie, and windows that overlap are joined. There the regex library
-matches the notice with at most k errors, which verifies the edits and gives the span.
+matches the notice with at most k errors, which verifies the edits and gives the span; the best
+match comes first, then those in the parts of the window before and behind it.
 
 Beside the fuzzy notices, fixed phrases are counted word by word: places where their words
 stand consecutively.
@@ -102,8 +103,15 @@ class NoticeScanner:
         spans = []
         for i, parts in self._windows(text).items():
             for a, b in parts:
-                for m in self.patterns[i].finditer(text, a, b):
+                rest = [(a, b)]
+                while rest:
+                    low, high = rest.pop()
+                    m = self.patterns[i].search(text, low, high)
+                    if m is None:
+                        continue
                     spans.append((self.notices[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                    shortest = len(self.notices[i][0]) - self.edits[i]
+                    rest += [(x, y) for x, y in ((low, m.start()), (m.end(), high)) if y - x >= shortest]
         return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 

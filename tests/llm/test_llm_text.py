@@ -11,7 +11,7 @@ from llm_brute import alnum, spaced
 
 from flatloom.llm import class_lm
 from flatloom.llm.html_text import extract, main_text
-from flatloom.llm.licenses import NOTICES, edits_allowed, license_scan, pieces
+from flatloom.llm.licenses import NOTICES, NoticeScanner, edits_allowed, license_scan, pieces
 from flatloom.llm.quality import SIZE, Model, fit, learn, quality_score
 
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
@@ -132,6 +132,18 @@ def test_licenses(spark):
     assert license_scan(docs.limit(0)).collect() == []
 
 
+def test_adjacent_copies_are_all_found():
+    notice = next(iter(NOTICES))
+    first = notice.replace("licensed", "licenced").replace(", version", " version")
+    scanner = NoticeScanner(NOTICES)
+    for copies in ([first, notice], [first, notice, first], [notice, first, first, notice], [first, first, first]):
+        text = "\n".join(copies)
+        found = [(b, e, n) for label, b, e, n in scanner.scan(text) if label == "apache-2.0"]
+        begins = [sum(len(c) + 1 for c in copies[:i]) for i in range(len(copies))]
+        assert len(found) == len(copies), copies
+        assert all(abs(f[0] - b) <= 3 and f[2] == (0 if c == notice else 2) for f, b, c in zip(found, begins, copies, strict=True))
+
+
 # Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
