@@ -2,9 +2,10 @@
 
 The tags of a page make a tree of light nodes. Every paragraph passes points for its length and
 its commas to its parent, half to the next ancestor and less further up; an ancestor's points
-are discounted by the share of its text that lies in links. The best container and those of its
-siblings that score alike or hold plain paragraphs are kept. Their blocks are returned in page
-order, without what is never part of an article: menus, headers, footers, sidebars, notices,
+are discounted by the share of its text that lies in links. If the best container is or lies in an
+article, main or articleBody element, the outermost of these is kept whole. Else the best container
+is kept, and of its siblings, and of the text that stands between them, what is not mostly links or
+scores alike. Their blocks are returned in page order, without what is never part of an article: menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles.
 
 Edge cases: a null or empty page and a page without paragraphs give the empty text. Tags that are
@@ -219,17 +220,21 @@ def main_text(page: str | None) -> str:
     best = max(score, key=score.get)
     if score[best] <= 0:
         return ""
-    keep = {best}
-    if best.parent is not None:
-        enough = max(10, 0.2 * score[best])
-        for sibling in best.parent.children:
-            if isinstance(sibling, str) or sibling not in length or sibling is best:
+    keep, beside = {best}, None
+    articles = [node for node in _up(best) if node.likely]
+    if articles:
+        keep = {articles[-1]}
+    elif best.parent is not None:
+        beside, enough = best.parent, max(10, 0.2 * score[best])
+        for sibling in beside.children:
+            if isinstance(sibling, str) or sibling not in length:
                 continue
             total, linked = length[sibling]
-            plain = sibling.tag == "p" and (total > 80 and 4 * linked < total or not linked and sibling.points)
-            if score[sibling] >= enough or plain:
+            if score[sibling] >= enough or 2 * linked <= total:
                 keep.add(sibling)
-    return " ".join(text for holder, text, _ in found if any(node in keep for node in _up(holder)))
+    return " ".join(
+        text for holder, text, linked in found if holder is beside and 2 * linked <= len(text) or any(node in keep for node in _up(holder))
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -182,6 +182,23 @@ def test_best_container():
     assert main_text(page) == " ".join([("Long text, with commas, that scores. " * 5).strip()] * 3)
 
 
+@pytest.mark.parametrize("n", [1, 5, 11, 13, 40])
+@pytest.mark.parametrize("tag", ["article", "main", 'div itemprop="articleBody"'])
+def test_article_is_kept_whole(n, tag):
+    """On both sides of the points from which an inner div beats its article."""
+    para = "Long text, with commas, that scores. " * 5
+    page = f"<body><div>Outside, of it</div><{tag}><h1>Head</h1><div>{f'<p>{para}</p>' * n}</div><ul><li>one<li>two</ul><blockquote>Said</blockquote></{tag.split()[0]}></body>"
+    assert main_text(page) == " ".join(["Head", *[para.strip()] * n, "one two Said"])
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_short_siblings_are_kept(n):
+    para = "Long text, with commas, that scores. " * 5
+    links = "<ul><li><a href=x>one</a><li><a href=y>two, three</a></ul>"
+    page = f"<body><h1>Head</h1>Between<div>{f'<p>{para}</p>' * n}</div>{links}<div>Short, section</div><ul><li>one<li>two</ul><blockquote>Said</blockquote><div class=sidebar>Not</div></body>"
+    assert main_text(page) == " ".join(["Head Between", *[para.strip()] * n, "Short, section one two Said"])
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", None), (4, "u", "<p>&#xD800;a, b</p>", "x"), (1, "u", PAGE, "x")]
     rows.append((5, "u", "<article>" + "<p>some, text é</p>" * 20_000, "x"))
