@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import collocations
 from .line_dedup import SHORT
 from .mixing import BUDGET, DIMENSIONS, ROUNDS, TEMPER, TOPICS
 
@@ -118,3 +119,38 @@ LINE_DEDUP = rf"""
            md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_md5
     FROM k GROUP BY doc_id
 """
+
+
+def _collocations() -> str:
+    """Counts of all phrases, their cuts and the phrases inside longer ones."""
+    least, longest = collocations.LEAST, collocations.LONGEST
+    return rf"""
+    WITH p AS MATERIALIZED (
+        SELECT row_number() OVER () AS p, lang, regexp_extract_all(s, '[^\x20\x09]+') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents)),
+    t AS MATERIALIZED (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+    f AS MATERIALIZED (
+        SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+        FROM p, unnest(range(1, {longest + 1})) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i)
+        GROUP BY ALL HAVING count(*) >= {least}),
+    c AS MATERIALIZED (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+    k AS (
+        SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, k, CAST(n AS HUGEINT) AS n,
+               CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+        FROM c JOIN t USING (lang), unnest(range(1, c.m)) AS x(k)
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+    b AS (SELECT lang, phrase, min((score, k, a, l, r, n)) AS b FROM k GROUP BY lang, phrase),
+    i AS (
+        SELECT DISTINCT x.lang, x.phrase FROM c x JOIN c y ON x.lang = y.lang AND x.m < y.m
+        WHERE contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.a >= {collocations.INSIDE_PERCENT} * x.a),
+    o AS (
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b[1] DESC, b[3] DESC, encode(phrase)) AS rank, phrase, b
+        FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase))
+    SELECT lang, rank, phrase, CAST(b[3] AS BIGINT) AS a, CAST(b[4] AS BIGINT) AS l, CAST(b[5] AS BIGINT) AS r,
+           CAST(b[6] AS BIGINT) AS n, CAST(b[1] AS BIGINT) AS score
+    FROM o WHERE rank <= {collocations.TOP}
+"""
+
+
+COLLOCATIONS = _collocations()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.registry import Query, table
-from ..session import materialise
+from ..session import materialise, scratch_path
 from . import oracles
 from .class_lm import learn, scores
+from .collocations import collocations
 from .decontaminate import contamination
 from .embedding_dedup import similar_embeddings
 from .html_text import extract
@@ -19,6 +21,8 @@ from .mixing import calibrated_cells, sampled, with_cell
 from .near_dedup import near_duplicates
 from .quality import learn as learn_quality
 from .quality import quality_score
+from .token_ids import read_token_ids, write_token_ids
+from .whitening import fit_whitening, whiten
 
 #: Score from which a document is taken for good.
 KEEP = 0.3
@@ -125,3 +129,23 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@query()
+def op11_bit_plane_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-ids")
+    write_token_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    found = read_token_ids(spark, folder)
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint")
+    return found.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whiten(embeddings, fit_whitening(embeddings))
+
+
+@query(oracles.COLLOCATIONS)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

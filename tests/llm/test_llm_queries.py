@@ -38,7 +38,7 @@ def test_query_against_sql(spark, duck, name):
 
 
 def test_registered():
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
