@@ -15,6 +15,9 @@ FLAT_BODY = rf'(?s:(?:[^{{}}\[\]"]++|{STRING})*+)'
 FLAT_OBJECT = rf"\{{{FLAT_BODY}\}}"
 NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
 
+# A number literal that a variant may not hold as it is written.
+_LONG_NUMBER = r"[0-9.]{17}|[eE][+-]?[0-9]{3}"
+
 # U+0001 cannot occur in valid JSON text, so it is a safe marker.
 _MARK = "\u0001"
 
@@ -147,7 +150,9 @@ def sorted_json(v: Column, text: Column) -> Column:
     for characters beyond U+FFFF, and holds numbers of up to 38 digits; other records
     are put together key by key, long numbers as they were written.
     """
-    long_number = text.rlike(r"[0-9.]{17}|[eE][+-]?[0-9]{3}")
+    # Digits within strings are no numbers; strings are taken out only where digits abound.
+    bare = F.regexp_replace(text, STRING, '""')
+    long_number = text.rlike(_LONG_NUMBER) & bare.rlike(_LONG_NUMBER)
     beyond_bmp = text.rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
 
     def fields(rec: Column) -> Column:
@@ -157,7 +162,7 @@ def sorted_json(v: Column, text: Column) -> Column:
             key = F.regexp_extract(F.to_json(F.create_map(k, F.lit(0))), r"(?s)^\{(.*):0\}$", 1)
             value = F.to_json(F.element_at(rec, k))
             literal = F.element_at(literals, k)
-            kept = F.when(literal.rlike(r"[0-9.]{17}|[eE][+-]?[0-9]{3}"), literal)
+            kept = F.when(literal.rlike(_LONG_NUMBER), literal)
             return F.concat(key, F.lit(":"), F.coalesce(kept, value))
 
         return F.transform(F.array_sort(F.map_keys(rec)), field)

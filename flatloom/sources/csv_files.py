@@ -14,7 +14,7 @@ from ..operators.header import bind, bind_json, blank_text, header_names
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import broadcast_if_small, materialise, pin_splits
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
-from .stitch import stitch_lines
+from .stitch import ended, stitch_lines
 
 CSV_READ = {
     "quote": '"',
@@ -35,6 +35,8 @@ _QUOTED = r'"(?:[^"]++|"")*+'
 _FIELD = rf'(?:{_QUOTED}"[^,]*+|[^",][^,]*+|)'
 _OPENS = rf"^(?:{_FIELD},)*+{_QUOTED}$"
 _TO_CLOSING_QUOTE = r'^(?:[^"]++|"")*+"[^,]*+'
+# The bits of monotonically_increasing_id that count the rows of a task.
+_ROW_OF_TASK = (1 << 33) - 1
 # Lines of control characters, which Spark's reader takes for empty.
 _READ_AS_EMPTY = r"^[\x00-\x20]*+$"
 
@@ -75,6 +77,7 @@ def _lines(spark: SparkSession, paths: Paths, keep_crlf: bool = False) -> DataFr
         F.when(F.col("sub") < F.size("parts") - 1, "\r").otherwise(end).alias("sep"),
         (has_quote & line.rlike(_OPENS)).alias("opens"),
         (~has_quote | ~closes | after.rlike(_OPENS)).alias("stays"),
+        (~is_blank(line)).alias("filled"),
     )
 
 
@@ -86,17 +89,17 @@ def inspect_csv(spark: SparkSession, paths: Paths) -> DataFrame:
 def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
     """Verdicts by one splittable pass with map-side sums; only one row per file split is
     shuffled. Files to stitch get their names later."""
-    line, place = F.col("line"), F.struct("ord", "sub")
-    filled = ~is_blank(line)
+    line = F.col("line")
     lines = _lines(spark, paths).select(
         "src_file", "split_start", "file_size", "line", "ord", "sub", "opens",
         F.when(F.instr(line, '"') > 0, count_of(line, '"')).otherwise(0).alias("quotes"),
         F.when(~F.col("valid"), errors.NOT_UTF8).alias("fault"),
-        filled.alias("filled"),
-        ((line < "!") & line.rlike(_READ_AS_EMPTY) & filled).alias("misread"),
+        "filled",
+        ((line < "!") & line.rlike(_READ_AS_EMPTY) & F.col("filled")).alias("misread"),
     )
-    # A number of one type keeps Spark on hash aggregation.
-    place = F.col("ord") * F.lit(1 << 20) + F.col("sub")
+    # A number of one type keeps Spark on hash aggregation. A split lies in one task, of which
+    # the upper bits of `ord` are the number; the rest places the line within it.
+    place = F.shiftleft(F.col("ord").bitwiseAND(F.lit(_ROW_OF_TASK)), 30) + F.col("sub")
     per_split = lines.groupBy("src_file", "split_start").agg(
         F.max("file_size").alias("file_size"),
         F.sum("quotes").alias("quotes"),
@@ -164,7 +167,7 @@ def scan_csv(
 
     stitched, too_long = None, None
     if STITCH in fates:
-        stitched, too_long, heads = _stitched(spark, of_route(files, STITCH), keep_crlf)
+        stitched, too_long, heads = _stitched(spark, of_route(files, STITCH), keep_crlf, fates[STITCH].largest)
         found = heads.withColumnRenamed("names", "stitched_names").withColumnRenamed("error", "stitched_error")
         files = files.join(found.drop("header_no"), "src_file", "left").select(
             "src_file",
@@ -229,6 +232,7 @@ def _fates(files: DataFrame) -> dict[str, Row]:
         r.fate: r
         for r in files.groupBy(F.coalesce("error", "route").alias("fate"))
         .agg(
+            F.max("file_size").alias("largest"),
             F.max(F.size("names")).alias("width"),
             F.min("names").alias("names_min"),
             F.max("names").alias("names_max"),
@@ -261,12 +265,17 @@ def _filled(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _stitched(
-    spark: SparkSession, paths: Paths, keep_crlf: bool
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records that are not blank, rejects of records too long, and the header of each file."""
-    records, too_long, unclosed = stitch_lines(_lines(spark, paths, keep_crlf))
-    records = records.filter(~is_blank(F.col("text")))
-    heads = records.groupBy("src_file").agg(F.min_by("text", "rec_no").alias("header"), F.min("rec_no").alias("header_no"))
+    spark: SparkSession, paths: Paths, keep_crlf: bool, largest_file: int
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Records that are not blank, with the break behind them; rejects of records too long, and
+    the header of each file."""
+    records, too_long, unclosed = stitch_lines(_lines(spark, paths, keep_crlf), largest_file)
+    records = records.filter("filled").drop("filled")
+    # Only numbers are aggregated; an aggregate of texts would sort all records.
+    firsts = materialise(records.groupBy("src_file").agg(F.min("rec_no").alias("rec_no")), "first-records")
+    heads = records.join(broadcast_if_small(firsts), ["src_file", "rec_no"]).select(
+        "src_file", F.col("rec_no").alias("header_no"), ended(F.col("text")).alias("header")
+    )
     heads = unclosed.join(heads, "src_file", "left").select(
         "src_file",
         "header_no",
@@ -274,6 +283,8 @@ def _stitched(
         F.when(F.col("unclosed"), errors.UNCLOSED_QUOTE).when(F.col("header").isNull(), errors.EMPTY_CSV).alias("error"),
     )
     heads = materialise(heads, "csv-headers")
+    if too_long is None:
+        return records, None, heads
     after = F.col("rec_no") - F.coalesce("header_no", F.lit(0))
     rejects = too_long.join(heads, "src_file", "left").filter(F.col("error").isNull()).select(
         "src_file",
@@ -289,7 +300,7 @@ def _stitched_rows(records: DataFrame, heads: DataFrame, width: int) -> DataFram
     sound = broadcast_if_small(heads.filter(F.col("error").isNull()).select("src_file", "header_no"))
     body = records.join(sound, "src_file").filter(F.col("rec_no") > F.col("header_no"))
     options = {**CSV_READ, "multiLine": "true", "lineSep": "\n"}
-    rows = body.withColumn("row", F.from_csv("text", _ddl(width), options)).select(
+    rows = body.withColumn("row", F.from_csv(ended(F.col("text")), _ddl(width), options)).select(
         "src_file",
         F.lit(0).cast("bigint").alias("split_start"),
         F.col("rec_no").alias("ord"),

@@ -118,14 +118,21 @@ def _line_state(lines: Column) -> Column:
     )
 
 
-def stitch_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """CSV records as ``src_file, rec_no, text`` from lines that know what they do to quotes.
+def ended(text: Column) -> Column:
+    """The text of a record without the break behind its last line."""
+    return F.regexp_replace(text, r"(?:\r\n|\n|\r)\z", "")
 
-    Whether a line begins inside quotes follows from the lines before it; what a run
+
+def stitch_lines(lines: DataFrame, largest_file: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CSV records as ``src_file, rec_no, filled, text`` from lines that know what they do to quotes.
+
+    ``text`` still has the break behind it (``ended``); ``filled`` tells whether a line of it is
+    not blank. Whether a line begins inside quotes follows from the lines before it; what a run
     of lines does can be put together, so splits are summed up first and the lines of a
     split are placed then. The lines are shuffled once, by split; only records that cross a
     split border are shuffled again. The second result has ``src_file, rec_no`` of records
-    too long for a row, the third whether each file ends inside quotes.
+    too long for a row, if a file of more bytes than the limit is there to hold one; the third
+    whether each file ends inside quotes.
     """
     split = ["src_file", "split_start", "split_len"]
     acting = F.collect_list(F.when(F.col("opens") | ~F.col("stays"), F.struct("ord", "sub", "opens", "stays")))
@@ -139,11 +146,11 @@ def stitch_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.struct(F.lit(False).alias("s"), F.array().cast("array<boolean>").alias("ins")),
         lambda a, x: F.struct(F.when(a["s"], x["stays"]).otherwise(x["opens"]).alias("s"), F.array_append(a["ins"], a["s"]).alias("ins")),
     )
-    in_file = in_file.withColumn("fold", fold)
-    unclosed = materialise(in_file.select("src_file", F.col("fold.s").alias("unclosed")), "file-ends")
+    in_file = materialise(in_file.withColumn("fold", fold), "split-runs")
+    unclosed = in_file.select("src_file", F.col("fold.s").alias("unclosed"))
     places = in_file.select("src_file", F.explode(F.arrays_zip("runs", F.col("fold.ins").alias("ins"))).alias("x"))
     places = places.select("src_file", "x.runs.split_start", "x.runs.split_len", F.col("x.ins").alias("inside_in"))
-    places = broadcast_if_small(materialise(places, "split-states"))
+    places = broadcast_if_small(places)
 
     in_split = Window.partitionBy(*split).orderBy("ord", "sub")
     earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
@@ -172,6 +179,7 @@ def stitch_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 F.transform(F.array_sort(F.collect_list(F.struct("ord", "sub", "line", "sep"))), lambda p: F.concat(p["line"], p["sep"])), ""
             ).alias("part"),
             F.max_by("ends_inside", F.struct("ord", "sub")).alias("open_end"),
+            F.max("filled").alias("filled"),
         ),
         "record-parts",
     )
@@ -180,14 +188,14 @@ def stitch_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     numbered = parts.join(carried, split).withColumn("rec_no", F.col("before") + F.col("nth")).withColumn(
         "crosses", (F.col("nth") == 0) | F.col("open_end")
     )
-    sizes = numbered.filter("crosses").groupBy("src_file", "rec_no").agg(F.sum(F.octet_length("part")).alias("size"))
-    too_long = materialise(sizes.filter(F.col("size") > MAX_RECORD_BYTES).select("src_file", "rec_no"), "long-records")
-    joined = (
-        numbered.filter("crosses")
-        .join(broadcast_if_small(too_long), ["src_file", "rec_no"], "left_anti")
-        .groupBy("src_file", "rec_no")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split_start", "part"))), lambda p: p["part"]), "").alias("text"))
+    crossing, too_long = numbered.filter("crosses"), None
+    if largest_file > MAX_RECORD_BYTES:
+        sizes = crossing.groupBy("src_file", "rec_no").agg(F.sum(F.octet_length("part")).alias("size"))
+        too_long = materialise(sizes.filter(F.col("size") > MAX_RECORD_BYTES).select("src_file", "rec_no"), "long-records")
+        crossing = crossing.join(broadcast_if_small(too_long), ["src_file", "rec_no"], "left_anti")
+    joined = crossing.groupBy("src_file", "rec_no").agg(
+        F.max("filled").alias("filled"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split_start", "part"))), lambda p: p["part"]), "").alias("text"),
     )
-    whole = numbered.filter(~F.col("crosses")).select("src_file", "rec_no", F.col("part").alias("text"))
-    ended = F.regexp_replace("text", r"(?:\r\n|\n|\r)\z", "")
-    return whole.unionByName(joined).withColumn("text", ended), too_long, unclosed
+    whole = numbered.filter(~F.col("crosses")).select("src_file", "rec_no", "filled", F.col("part").alias("text"))
+    return whole.unionByName(joined), too_long, unclosed
