@@ -26,6 +26,10 @@ class InvalidInput(ValueError):
     """Raised in strict mode for the first rejected file or record."""
 
 
+class Cancelled(RuntimeError):
+    """Raised by a conversion that was given up; it is no failure."""
+
+
 def message(text: Column | str, kind: str = INVALID_INPUT) -> Column:
     text = F.lit(text) if isinstance(text, str) else text
     return F.concat(F.lit(f"{kind}: "), text)

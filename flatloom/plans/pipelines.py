@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +15,9 @@ from ..functions import errors
 from ..functions.json import parse_json, pretty, sorted_json
 from ..functions.text import base_name, csv_line_of
 from ..operators.keys import MAX_COLUMNS, cells, file_keys, key_union, sorted_keys, values_of_file
-from ..operators.ledger import record_failure, record_runs
+from ..operators.ledger import record_cancelled, record_failure, record_runs
 from ..session import broadcast_if_small, case_sensitive, configure, materialise
+from ..sinks.commits import save_all
 from ..sinks.documents import array_lines, csv_lines, write_csv, write_lines, write_named_documents
 from ..sources.csv_files import scan_csv
 from ..sources.files import Paths, list_files, paths_of, plain_path
@@ -44,9 +49,9 @@ class Conversion:
         for r in first.collect():
             raise errors.InvalidInput(f"{r.error_msg} ({r.src_file})")
 
-    def save(self, path: str) -> None:
+    def _write(self, path: str, chunk_rows: int | None) -> None:
         if self.documents is not None:
-            write_named_documents(self.documents, path)
+            write_named_documents(self.documents, path, chunk_rows)
         elif self.header is not None:
             # The header is the first part; all parts in the order of their names are the table.
             write_lines(self.header.unionByName(self.output), "line", path)
@@ -56,6 +61,18 @@ class Conversion:
         else:
             write_lines(self.output, "json", path)
 
+    def save(self, path: str, *, rejects: str | None = None, chunk_rows: int | None = None) -> None:
+        """Replace what is at ``path`` by the output, and at ``rejects`` by the rejects, as a whole.
+
+        Until all of it is written, the old results stand. A named document of more than
+        ``chunk_rows`` lines is a folder of parts; with as many as it can have, it is one file
+        written by one task.
+        """
+        results = {path: lambda to: self._write(to, chunk_rows)}
+        if rejects is not None:
+            results[rejects] = lambda to: self.rejects.write.parquet(to)
+        save_all(self.output.sparkSession, path, results)
+
 
 def _admitted(spark: SparkSession, src: Paths, action: Action) -> tuple[Paths, DataFrame]:
     """Paths with an extension the action accepts, and rejects for the others."""
@@ -245,6 +262,28 @@ def format_json(
 _PLANNERS = {CSV_TO_JSON: csv_to_json, JSON_TO_CSV: json_to_csv, FORMAT_JSON: format_json}
 
 
+@contextmanager
+def _cancellable(spark: SparkSession, tag: str | None) -> Iterator[None]:
+    """Jobs within bear the tag; one cancelled by it ends as ``Cancelled``."""
+    if tag is None:
+        yield
+        return
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    except (PySparkException, Py4JJavaError) as e:
+        if "SPARK_JOB_CANCELLED" in str(e):
+            raise errors.Cancelled(f"The run '{tag}' was cancelled.") from e
+        raise
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Cancel the conversions that run under the tag, from any thread."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def convert(
     spark: SparkSession,
     action: str | Action,
@@ -254,29 +293,38 @@ def convert(
     mode: str = "quarantine",
     ledger: str | None = None,
     ledger_mode: str = "append",
+    chunk_rows: int | None = None,
+    tag: str | None = None,
     **options,
 ) -> Conversion:
-    """Plan the conversion ``action`` names and, with ``dst``, save it.
+    """Plan the conversion ``action`` names and, with ``dst``, save it as a whole.
 
     ``mode='strict'`` raises on any reject and writes nothing. ``'quarantine'``
-    writes the good records, and the rejects as Parquet to ``<dst>_rejects``. With
-    ``ledger`` the outcome of every file is added to that table after saving.
+    writes the good records, and the rejects as Parquet to ``<dst>_rejects``, both or
+    neither. With ``ledger`` the outcome of every file is added to that table after saving.
+    A run with a ``tag`` can be given up by ``cancel``: it raises ``Cancelled``, leaves
+    the old results, and is ``cancelled`` in the ledger, neither success nor failure.
     """
     if mode not in ("strict", "quarantine"):
         raise errors.InvalidInput(f"Unknown mode '{mode}'.")
     act = action_of(action)
-    planned = _PLANNERS[act](spark, src, **options)
-    if mode == "strict":
-        try:
-            planned.check()
-        except errors.InvalidInput:
-            if ledger is not None:
-                record_failure(ledger, act.name, planned.files, planned.rejects, ledger_mode)
-            raise
-    if dst is not None:
-        planned.save(dst)
-        if mode == "quarantine":
-            planned.rejects.write.mode("overwrite").parquet(f"{dst.rstrip('/')}_rejects")
+    try:
+        with _cancellable(spark, tag):
+            planned = _PLANNERS[act](spark, src, **options)
+            if mode == "strict":
+                try:
+                    planned.check()
+                except errors.InvalidInput:
+                    if ledger is not None:
+                        record_failure(ledger, act.name, planned.files, planned.rejects, ledger_mode)
+                    raise
+            if dst is not None:
+                rejects = f"{dst.rstrip('/')}_rejects" if mode == "quarantine" else None
+                planned.save(dst, rejects=rejects, chunk_rows=chunk_rows)
+    except errors.Cancelled:
         if ledger is not None:
-            record_runs(ledger, act.name, planned.files, planned.rejects, ledger_mode)
+            record_cancelled(ledger, act.name, list_files(spark, src), ledger_mode)
+        raise
+    if dst is not None and ledger is not None:
+        record_runs(ledger, act.name, planned.files, planned.rejects, ledger_mode)
     return planned

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, csv_line, file_extension
 from ..operators.ledger import usage_counts
 from ..plans.actions import action_structs, catalogue, extension_error, output_name
+from ..plans.pipelines import convert
 from ..session import scratch_path
+from ..sinks.commits import save_all
+from ..sinks.documents import saved_documents
 from ..streaming.drop_folder import drop_folder
 from .registry import query, table
 from .stage import as_text, stage_lines
@@ -150,3 +155,32 @@ def drop_folder_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = scratch_path(spark, "ledger")
     drop_folder(spark, "csvToJSON", inbox, out, checkpoint, ledger=ledger).awaitTermination()
     return usage_counts(spark.read.parquet(ledger), catalogue(spark))
+
+
+class _BrokenOff(Exception):
+    """Stands for whatever ends a save half-way."""
+
+
+@query("""
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+           CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment
+    FROM customer
+""")
+def save_replaces_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents saved over older ones, then a save that breaks off; read back by their list."""
+    customer = as_text(table(spark, sf_dir, "customer"))
+    out = scratch_path(spark, "saved")
+    for names in (customer.columns[:2], customer.columns):
+        cells = csv_line([F.col(c) for c in names])
+        source = stage_lines(customer, "c_custkey", F.lit(",".join(names)), cells, group=F.col("c_mktsegment"))
+        convert(spark, "csvToJSON", source, out, layout="array")
+
+    def break_off(path: str) -> None:
+        customer.write.csv(path)
+        raise _BrokenOff
+
+    with suppress(_BrokenOff):
+        save_all(spark, out, {out: break_off})
+    files = [f"{out}/{r.file}" for r in saved_documents(spark, out).select("file").toLocalIterator()]
+    schema = ", ".join(f"{c} string" for c in customer.columns)
+    return spark.read.schema(schema).option("multiLine", "true").json(files)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialise
+from .commits import Files, recover
 
 # Defaults would write \" for a quote, "" for empty text, and trim values.
 CSV_WRITE = {
@@ -64,14 +65,14 @@ def csv_lines(records: DataFrame, files: DataFrame) -> DataFrame:
     return body.unionByName(head)
 
 
-def write_documents(lines: DataFrame, path: str) -> None:
+def write_documents(lines: DataFrame, path: str, chunk_rows: int | None = None) -> None:
     """Write ``out_name, line_no, line`` to ``path/out_name=<name>/chunk=<n>/``.
 
     One file per chunk of a document, so a large document is written by many
     tasks; its chunks in number order are the document.
     """
     (
-        lines.withColumn("chunk", F.floor(F.col("line_no") / CHUNK_ROWS))
+        lines.withColumn("chunk", F.floor(F.col("line_no") / (chunk_rows or CHUNK_ROWS)))
         .repartition("out_name", "chunk")
         .sortWithinPartitions("out_name", "chunk", "line_no")
         .select("out_name", "chunk", F.col("line").alias("value"))
@@ -81,44 +82,68 @@ def write_documents(lines: DataFrame, path: str) -> None:
     )
 
 
-def write_named_documents(lines: DataFrame, path: str) -> None:
-    """Write every document to ``path/<out_name>``.
+# Renames asked for at a time; each is a call to the file system and no work of its own.
+MOVES = 32
 
-    The parts are written first; then each document is moved to its name, a change of
-    names only. A document of one part is a file, one of several a folder whose parts, in
-    the order of their names, are the document; Spark reads either by its name. Nothing
-    is at ``path`` before all parts are written.
+
+def write_named_documents(lines: DataFrame, path: str, chunk_rows: int | None = None) -> None:
+    """Write every document to ``path/<out_name>`` and a list of them to ``path/_manifest``.
+
+    The parts are written first; then each is moved to its name, a change of names only. A
+    document of one part is a file, one of several a folder whose parts, in the order of
+    their names, are the document; Spark reads either by its name. The list has ``out_name,
+    part, file, length`` and is made by a scan of file names; it is written last, so a folder
+    with a list is whole. Callers that replace results do so by ``commits.save_all``.
     """
     spark = lines.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    staged = target.suffix(f"-parts-{uuid.uuid4().hex}")
-    write_documents(lines, staged.toString())
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    files.mkdirs(target)
-
-    def children(folder):
-        return [f.getPath() for f in files.listStatus(folder) if f.getPath().getName()[0] not in "._"]
-
-    def move(source, *names: str) -> None:
-        to = target
-        for name in names:
-            to = jvm.org.apache.hadoop.fs.Path(to, name)
-        if not files.rename(source, to):
-            raise OSError(f"{source.toString()} cannot be renamed to {to.toString()}")
-
-    for document in children(staged):
-        name = unquote(document.getName().removeprefix("out_name="))
-        chunks = sorted(children(document), key=lambda p: int(p.getName().removeprefix("chunk=")))
-        parts = [part for chunk in chunks for part in children(chunk)]
+    files = Files(spark, path)
+    staged = f"{path}/_parts"
+    write_documents(lines, staged, chunk_rows)
+
+    def seen(folder: str) -> list[str]:
+        return [n for n in files.names(folder) if n[0] not in "._"]
+
+    def name(document: str) -> None:
+        chunks = sorted(seen(f"{staged}/{document}"), key=lambda c: int(c.removeprefix("chunk=")))
+        parts = [f"{staged}/{document}/{c}/{p}" for c in chunks for p in seen(f"{staged}/{document}/{c}")]
+        to = f"{path}/{unquote(document.removeprefix('out_name='))}"
         if len(parts) == 1:
-            move(parts[0], name)
+            files.move(parts[0], to)
         else:
-            files.mkdirs(jvm.org.apache.hadoop.fs.Path(target, name))
+            files.make(to)
             for i, part in enumerate(parts):
-                move(part, name, f"part-{i:05d}")
-    files.delete(staged, True)
+                files.move(part, f"{to}/part-{i:05d}")
+
+    with ThreadPoolExecutor(MOVES) as pool:
+        list(pool.map(name, seen(staged)))
+    files.delete(staged)
+    _write_manifest(spark, files, path)
+
+
+MANIFEST = "_manifest"
+_MANIFEST_COLUMNS = "out_name string, part int, file string, length bigint"
+
+
+def _write_manifest(spark: SparkSession, files: Files, path: str) -> None:
+    """One row per part of a document, with its path within the folder."""
+    rows = spark.createDataFrame([], _MANIFEST_COLUMNS)
+    if any(n[0] not in "._" for n in files.names(path)):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+        folder = files.at(path).getName()
+        inner = F.substring_index("path", f"/{folder}/", -1)
+        out_name = F.substring_index(inner, "/", 1)
+        part = F.coalesce(F.regexp_extract(inner, r"/part-(\d+)$", 1).try_cast("int"), F.lit(0))
+        rows = found.select(out_name.alias("out_name"), part.alias("part"), inner.alias("file"), "length")
+    rows.write.parquet(f"{path}/{MANIFEST}")
+
+
+def saved_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a saved folder by its list: ``out_name, part, file, length``.
+
+    A save that broke off after its commit is finished first, so the list is that of one save.
+    """
+    recover(spark, path)
+    return spark.read.schema(_MANIFEST_COLUMNS).parquet(f"{path}/{MANIFEST}")
 
 
 def write_lines(lines: DataFrame, column: str, path: str) -> None:
