@@ -15,10 +15,12 @@ the order of the partitions, so files of lost or repeated attempts are never rea
 one partition a file. Paths are those of pyarrow's file systems, `file:` included, and must be
 shared by all executors.
 
+    df.select("doc_id", "text").write.format("id_planes").option("tokenizer", path).mode("append").save(folder)
     df.select("doc_id", "ids").write.format("id_planes").mode("append").save(folder)
     spark.read.format("id_planes").load(folder)          # doc_id, start, ids
 
-`ids` are unsigned 32-bit integers, little-endian. `start` counts the ids of all documents before.
+Options of a write: `planes`, "byte" (default) or "bit"; for texts `tokenizer`, a file all executors
+have, `end`, the id put behind each text (0), and `cut` (see `encoder.py`). `ids` are unsigned 32-bit integers, little-endian. `start` counts the ids of all documents before.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .encoder import CUT, encoded
+
 MAGIC = b"IDPLANE1"
 INDEX = "_files.json"
 #: Values of a block, and bytes of ids a reader hands on at once.
@@ -183,20 +187,25 @@ class Written(WriterCommitMessage):
 
 
 class PlaneWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, kind: str) -> None:
-        self.path, self.kind = path, kind
+    def __init__(self, path: str, options: dict[str, str], texts: bool) -> None:
+        self.path, self.options, self.texts = path, dict(options), texts
+
+    def _rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+        if not self.texts:
+            return ((b.column(0), b.column(1).to_pylist()) for b in batches)
+        return encoded(batches, self.options["tokenizer"], int(self.options.get("end", "0")), self.options.get("cut", CUT) or None)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """One file per task that has documents; the attempt's own name keeps it apart."""
         system, folder = _place(self.path)
         partition, file, name = TaskContext.get().partitionId(), None, ""
-        for batch in iterator:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for docs, rows in self._rows(iterator):
+            for doc, ids in zip(docs.to_pylist(), rows, strict=True):
                 if file is None:
                     name = f"part-{partition:06d}-{uuid.uuid4().hex}.planes"
                     system.create_dir(folder, recursive=True)
-                    file = PlaneFile(system.open_output_stream(f"{folder}/{name}"), self.kind)
-                file.append(doc, np.frombuffer(ids.as_buffer(), "<u4"))
+                    file = PlaneFile(system.open_output_stream(f"{folder}/{name}"), self.options.get("planes", "byte"))
+                file.append(doc, np.frombuffer(ids or b"", "<u4"))
         if file is None:
             return Written(partition, "", 0, 0)
         file.close()
@@ -253,8 +262,6 @@ class PlanesReader(DataSourceReader):
 
 
 class IdPlanes(DataSource):
-    """Options: `planes`, "byte" (default) or "bit"."""
-
     @classmethod
     def name(cls) -> str:
         return "id_planes"
@@ -266,9 +273,10 @@ class IdPlanes(DataSource):
         return PlanesReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> PlaneWriter:
-        if [f.dataType.simpleString() for f in schema] != ["bigint", "binary"]:
-            raise ValueError("Columns to write: an id of bigint and token ids as binary.")
-        return PlaneWriter(self.options["path"], self.options.get("planes", "byte"))
+        kinds = [f.dataType.simpleString() for f in schema]
+        if kinds not in (["bigint", "binary"], ["bigint", "string"]):
+            raise ValueError("Columns to write: an id of bigint, and token ids as binary or a text.")
+        return PlaneWriter(self.options["path"], self.options, kinds[1] == "string")
 
 
 def register(spark: SparkSession) -> None:
