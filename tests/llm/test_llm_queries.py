@@ -54,7 +54,7 @@ def test_pipeline_against_plain_versions(spark):
         kept[name] = {r.doc_id for r in docs.collect()}
         assert kept[name] <= set(before)
         if name == "MinHash near-dedup":
-            assert kept[name] == {k for k, (_, c) in near_components(before).items() if k == c}
+            assert kept[name] == {k for k, (_, c) in near_components(before, percent=corpus_pipeline.NEAR_PERCENT).items() if k == c}
         if name == "benchmark decontamination":
             assert kept[name] == {k for k, (_, hit, _) in contamination(before, items).items() if not hit}
         if name != "k-d tree sharding":
