@@ -10,39 +10,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY = 16
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 HASHES = 4
-#: The seed of Spark's xxhash64.
-_SEED = 42
 
 
 @dataclass(frozen=True)
 class Bloom:
     bits: bytes
 
-    def __contains__(self, key: bytes) -> bool:
-        h = xxhash.xxh64_intdigest(key, _SEED)
-        low, high, mask = h & 0xFFFFFFFF, h >> 32, len(self.bits) * 8 - 1
+    def names(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the 64-bit hashes the filter names."""
+        bits, mask = np.frombuffer(self.bits, np.uint8), np.uint64(len(self.bits) * 8 - 1)
+        low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
+        found = np.ones(len(hashes), bool)
         for i in range(HASHES):
-            place = (low + i * high) & mask
-            if not self.bits[place >> 3] >> (place & 7) & 1:
-                return False
-        return True
+            place = (low + np.uint64(i) * high) & mask
+            found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return found
 
 
-def bloom(keys: DataFrame, key: Column, n_keys: int) -> Bloom:
-    """The filter of a column of binary keys; one row per 32 bits comes to the driver."""
-    size = MIN_BITS
-    while size < min(n_keys * BITS_PER_KEY, MAX_BITS):
+def bloom(hashes: DataFrame, column: str = "h") -> Bloom:
+    """The filter of a column of 64-bit hashes; one row per 32 bits comes to the driver."""
+    size, n = MIN_BITS, hashes.count()
+    while size < min(n * BITS_PER_KEY, MAX_BITS):
         size *= 2
-    h = keys.select(F.xxhash64(key).alias("h"))
-    low, high = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32)
-    places = h.select(F.explode(F.array(*[(low + high * i).bitwiseAND(size - 1) for i in range(HASHES)])).alias("place"))
+    h = F.col(column)
+    low, high = h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32)
+    places = hashes.select(F.explode(F.array(*[(low + high * i).bitwiseAND(size - 1) for i in range(HASHES)])).alias("place"))
     bit = F.expr("shiftleft(1L, cast(place & 31 as int))")
     words = places.groupBy(F.shiftright("place", 5).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     filled = np.zeros(size // 32, dtype="<u4")

@@ -1,16 +1,16 @@
 """Phrase collocation mining: HAT-trie counting with spilled, sorted runs.
 
 Texts are cut at marks and line ends into pieces and these into words. Phrases of up to `longest`
-words are counted per language by three passes over the texts, for words, for pairs and for
-longer phrases. A phrase can have `least` occurrences only if all its words and pairs have, so
-each pass leaves out what the pass before rules out (Bloom filters, of bounded size).
+words are counted per language. A phrase can have `least` occurrences only if its words, its pairs
+and its own hash have, so passes over the words, the hashes of pairs and those of longer phrases
+first make filters of bounded size (`bloom.py`). They only save work: every phrase with `least`
+occurrences is named, and all that are named are counted by their words.
 
 1. A task counts in a HAT-trie over the ids of its own words. If the trie holds too many entries,
    whole subtrees leave it as runs sorted by the phrase.
-2. Runs are dealt by the prefix of their phrases: the first word, two or three words where the
-   first or first two are hot (at most `HOT` of them, by their share of all words). A partition
-   sorts its runs into one, by disk if need be, and adds up neighbours as they stream by; no
-   group is ever held. Spilled runs of one phrase from several tasks meet in its partition.
+2. Runs are dealt by the prefix of their phrases: the first word, or two where the first is hot (at
+   most `HOT` of them, by their share of all words). A partition sorts its runs into one, by disk
+   if need be, and adds up neighbours as they stream by; no group is ever held.
 3. Candidates are joined with the counts of their first and last parts for every cut; the
    arithmetic is in decimals without fractions. Candidates inside a longer one of equal count go.
 
@@ -22,10 +22,10 @@ gives an empty result. Ties are broken by count, then by the bytes of the phrase
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import compress, pairwise
-from operator import and_
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .bloom import Bloom, bloom
 from .hat_trie import HatTrie
+from .tokens import Words, byte_table, mix, windows, word_slices
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Percent of its own count that a longer candidate must have to replace a shorter one.
 INSIDE_PERCENT = 100
-#: Entries a task holds in its trie, words it holds ids of, and pairs it has asked the filter for.
-TRIE_ENTRIES, TASK_WORDS, TASK_PAIRS = 400_000, 300_000, 400_000
+#: Entries a task holds in its trie, and words it holds counts or ids of.
+TRIE_ENTRIES, TASK_WORDS = 400_000, 300_000
 #: Prefixes that hold more than this share of all words are dealt by one word more.
 HOT = 1024
 
@@ -51,13 +52,11 @@ _CUT = bytes(10 if c in b".,;:!?\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c
 _RUN = "lang string, prefix string, phrase string, f bigint"
 _SCHEMA = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 _ROWS = 1 << 16
-#: Words of a task that are counted together before they enter its trie.
-_CHUNK = 1 << 17
-
-
-def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece of a text; of ASCII white space, only spaces and tabs are left there."""
-    return map(bytes.split, text.encode().translate(_CUT).split(b"\n"))
+#: Hashes a task counts together.
+_HASHES = 1 << 21
+_MARKS = b".,;:!?\n\x0b\x0c\r"
+_WORDS = byte_table({*_MARKS, 0x20, 0x09})
+_IS_MARK = np.isin(np.arange(256), list(_MARKS))
 
 
 class Output:
@@ -112,83 +111,167 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.batch()
 
 
-class Asked(dict):
-    """Answers of a function, kept."""
+class Slice:
+    """The words of some texts: their hashes, and which windows lie in one piece.
 
-    def __init__(self, answer: Callable) -> None:
-        self.answer = answer
+    A window's hash covers its words and its language.
+    """
 
-    def __missing__(self, key: object) -> object:
-        self[key] = found = self.answer(key)
+    def __init__(self, w: Words, langs: list[str]) -> None:
+        self.words, self.n = w, len(w.start)
+        self.langs, row = langs[w.lo : w.hi], w.row
+        seeds = {lang: np.uint64(zlib.crc32(lang.encode()) * 0x9E3779B1 + 1) for lang in set(self.langs)}
+        self.seed = np.array([seeds[x] for x in self.langs], np.uint64)[row]
+        marks = np.cumsum(_IS_MARK[w.data])[w.start] if self.n else np.zeros(0, np.int64)
+        # A word goes on a piece if neither a mark nor a new text stands before it.
+        self.goes_on = (marks[1:] == marks[:-1]) & (row[1:] == row[:-1])
+
+    def hashes(self, size: int) -> np.ndarray:
+        return mix(windows(self.words.hash, size) ^ self.seed[: max(self.n - size + 1, 0)])
+
+    def linked(self, words: Bloom, pairs: Bloom | None) -> np.ndarray:
+        """Whether the pair of words from each place on lies in a piece and is named."""
+        known = words.names(self.hashes(1))
+        good = self.goes_on & known[1:] & known[:-1]
+        if pairs is not None:
+            at = np.flatnonzero(good)
+            good[at] = pairs.names(self.hashes(2)[at])
+        return good
+
+    def starts(self, linked: np.ndarray, size: int) -> np.ndarray:
+        """Where a window of linked words begins."""
+        good = linked[: max(self.n - size + 1, 0)].copy()
+        for i in range(1, size - 1):
+            good &= linked[i : len(good) + i]
+        return np.flatnonzero(good)
+
+    def text(self) -> list[bytes]:
+        """All words, in the order of the hashes."""
+        found, w = [], self.words
+        data, ends = w.data.tobytes().translate(_CUT), w.offsets
+        for a, b in pairwise(ends.tolist()):
+            found += data[a:b].split()
         return found
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for w in word_slices(batch.column(1), _WORDS):
+            yield Slice(w, langs)
+
+
+def named_windows(rows: DataFrame, sizes: range, words: Bloom, pairs: Bloom | None, least: int, n_words: int) -> Bloom:
+    """A filter that names all windows of these sizes with `least` occurrences.
+
+    Windows are counted by 40 bits of their hash, of which the first ones are the part they are
+    dealt to; few others share all 40. A part holds about a million windows at most, whatever
+    the size of the texts.
+    """
+    part_bits = min(max(n_words.bit_length() - 20, 4), 20)
+    low_bits = np.uint64(40 - part_bits)
+
+    def runs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]) >> np.uint64(24), return_counts=True)
+        parts = (keys >> low_bits).astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[len(keys) > 0], parts[1:] != parts[:-1]])[: len(keys)])
+        low = keys & np.uint64((1 << int(low_bits)) - 1)
+        kind = "<u4" if int(low_bits) <= 32 else "<u8"
+        last = [*first[1:].tolist(), len(keys)]
+        # No more is asked of a count than whether it reaches `least`.
+        counts = np.minimum(counts, least).astype("<u4" if least > 255 else "<u1")
+        columns = [[v[a:b].tobytes() for a, b in zip(first.tolist(), last)] for v in (low.astype(kind), counts)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts[first]), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "keys", "counts"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for s in _slices(batches):
+            linked = s.linked(words, pairs)
+            for size in sizes:
+                held.append(s.hashes(size)[s.starts(linked, size)])
+                n += len(held[-1])
+            if n > _HASHES:
+                yield from runs(held)
+                held, n = [], 0
+        yield from runs(held)
+
+    def frequent(table: pa.Table) -> pa.Table:
+        part, keys, counts = table["part"][0].as_py(), table["keys"].to_pylist(), table["counts"].to_pylist()
+        kind = "<u4" if int(low_bits) <= 32 else "<u8"
+        low = np.concatenate([np.frombuffer(k, kind) for k in keys])
+        n = np.concatenate([np.frombuffer(c, "<u4" if least > 255 else "<u1") for c in counts])
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        keep = np.add.reduceat(n[order].astype(np.int64), first) >= least
+        whole = (np.uint64(part) << low_bits) | low[first][keep].astype(np.uint64)
+        return pa.table({"h": pa.array(mix(whole).view(np.int64))})
+
+    parts = rows.mapInArrow(hashed, "part int, keys binary, counts binary")
+    found = parts.groupBy("part").applyInArrow(frequent, "h bigint")
+    return bloom(materialise(found, "windows"))
+
+
+def _named(windows: Bloom, hashes: np.ndarray) -> np.ndarray:
+    return windows.names(mix(hashes >> np.uint64(24)))
+
+
+class Pairs:
+    """The filter of pairs, asked for window hashes."""
+
+    def __init__(self, windows: Bloom) -> None:
+        self.windows = windows
+
+    def names(self, hashes: np.ndarray) -> np.ndarray:
+        return _named(self.windows, hashes)
+
+
 class Counting:
-    """Counts phrases of one task: words and pairs the filters do not name are left out."""
+    """Counts the phrases of one task that the filters name, in a trie of its own word ids."""
 
-    def __init__(self, shortest: int, longest: int, words: Bloom, pairs: Bloom | None, hot: frozenset) -> None:
-        self.shortest, self.longest, self.words, self.pairs = shortest, longest, words, pairs
+    def __init__(self, longest: int, words: Bloom, pairs: Pairs, longer: Pairs | None, hot: frozenset) -> None:
+        self.longest, self.words, self.pairs, self.longer = longest, words, pairs, longer
         self.out = Output(hot)
         self.reset()
 
     def reset(self) -> None:
-        self.trie, self.text, self.lang = HatTrie(), [b""], [""]
-        self.numbers, self.linked = {}, Asked(self.named)
-        self.ids = []
+        self.trie, self.text, self.lang, self.ids = HatTrie(), [b""], [""], {}
 
-    def known(self, lang: str) -> Asked:
-        """The ids of words, 0 for those too rare to be in a phrase."""
-        start = lang.encode() + b"\0"
-
-        def number(word: bytes) -> int:
-            if start + word not in self.words:
-                return 0
+    def number(self, lang: str, word: bytes) -> int:
+        found = self.ids.get((lang, word))
+        if found is None:
+            found = self.ids[lang, word] = len(self.text)
             self.text.append(word)
             self.lang.append(lang)
-            return len(self.text) - 1
-
-        return self.numbers.setdefault(lang, Asked(number))
-
-    def named(self, pair: tuple[int, int]) -> bool:
-        a, b = pair
-        return self.lang[a].encode() + b"\0" + self.text[a] + b" " + self.text[b] in self.pairs
+        return found
 
     def runs(self, keep: int = 0) -> Iterator[pa.RecordBatch]:
         for run in self.trie.spill(self.text, keep):
             yield from self.out.add(self.lang[run[0][1][0]], ((phrase, n) for phrase, _, n in run))
 
-    def count(self) -> None:
-        """Move the words read so far into the trie; 0 parts pieces and rare words."""
-        ids, self.ids = self.ids, []
-        good = list(map(bool, ids))
-        good = list(map(and_, good, good[1:]))
-        if self.pairs is not None:
-            good = [g and self.linked[p] for g, p in zip(good, pairwise(ids))]
-        # good[i]: a phrase of `size` words without a gap begins at i.
-        size, linked = 2, good
-        while size <= self.longest:
-            if size >= self.shortest:
-                windows = zip(*(ids[i:] for i in range(size)))
-                for phrase, n in Counter(compress(windows, good)).items():
-                    self.trie.add(phrase, n)
-            good = list(map(and_, good, linked[size - 1 :]))
-            size += 1
+    def add(self, s: Slice) -> None:
+        linked = s.linked(self.words, self.pairs)
+        starts = {2: np.flatnonzero(linked)}
+        for size in range(3, self.longest + 1):
+            at = s.starts(linked, size)
+            starts[size] = at if self.longer is None else at[self.longer.names(s.hashes(size)[at])]
+        used = np.zeros(s.n, bool)
+        used[starts[2]] = used[starts[2] + 1] = True
+        ids, text, row = np.zeros(s.n, np.int64), s.text(), s.words.row
+        at = np.flatnonzero(used)
+        ids[at] = [self.number(s.langs[r], text[i]) for i, r in zip(at.tolist(), row[at].tolist())]
+        for size, at in starts.items():
+            for phrase, n in Counter(zip(*(ids[at + i].tolist() for i in range(size)))).items():
+                self.trie.add(phrase, n)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, text in _texts(batches):
-            known = self.known(lang)
-            for words in pieces(text):
-                self.ids += map(known.__getitem__, words)
-                self.ids.append(0)
-                if len(self.ids) > _CHUNK:
-                    self.count()
-                    if self.trie.size > TRIE_ENTRIES:
-                        yield from self.runs(keep=TRIE_ENTRIES // 2)
-            if sum(map(len, self.numbers.values())) > TASK_WORDS or len(self.linked) > TASK_PAIRS:
-                self.count()
+        for s in _slices(batches):
+            self.add(s)
+            if self.trie.size > TRIE_ENTRIES:
+                yield from self.runs(keep=TRIE_ENTRIES // 2)
+            if len(self.ids) > TASK_WORDS:
                 yield from self.runs()
                 self.reset()
-        self.count()
         yield from self.runs()
         yield self.out.batch()
 
@@ -229,9 +312,12 @@ def _hot(counts: DataFrame, words: int) -> frozenset[tuple[str, bytes]]:
     return frozenset((r.lang, r.phrase.encode()) for r in rows)
 
 
-def _filter(counts: DataFrame) -> Bloom:
-    key = F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("phrase").cast("binary"))
-    return bloom(counts, key, counts.count())
+def _word_filter(counts: DataFrame) -> Bloom:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(s.hashes(1).view(np.int64))], names=["h"])
+
+    return bloom(materialise(counts.select("lang", "phrase").mapInArrow(hashed, "h bigint"), "words"))
 
 
 def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -245,19 +331,15 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST)
     first = counted(count_words)
     totals = first.filter("phrase = ''").select("lang", F.col("f").alias("n"))
     words = first.filter("phrase <> ''")
+    if longest < 2:
+        return words, totals
     n = int(totals.agg(F.sum("n").alias("n")).first().n or 0)
-    word_filter, hot = _filter(words), _hot(words, n)
-    found = [words]
-    if longest > 1:
-        pairs = counted(lambda batches: Counting(2, 2, word_filter, None, hot)(batches))
-        found.append(pairs)
-        if longest > 2:
-            pair_filter, hotter = _filter(pairs), hot | _hot(pairs, n)
-            found.append(counted(lambda batches: Counting(3, longest, word_filter, pair_filter, hotter)(batches)))
-    counts = found[0]
-    for more in found[1:]:
-        counts = counts.unionByName(more)
-    return counts, totals
+    word_filter, hot = _word_filter(words), _hot(words, n)
+    pairs = Pairs(named_windows(rows, range(2, 3), word_filter, None, least, n))
+    longer = None
+    if longest > 2:
+        longer = Pairs(named_windows(rows, range(3, longest + 1), word_filter, pairs, least, n))
+    return words.unionByName(counted(lambda batches: Counting(longest, word_filter, pairs, longer, hot)(batches))), totals
 
 
 def collocations(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import io
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from conftest import SF_DIR
@@ -14,8 +16,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flatloom.llm import collocations as phrases
-from flatloom.llm import queries, qdwh, token_ids, whitening
-from flatloom.llm.bit_planes import PlaneFile, PlaneReader, from_planes, to_planes
+from flatloom.llm import encoder, queries, qdwh, token_ids, whitening
+from flatloom.llm.bit_planes import PlaneFile, PlaneReader, from_planes, register, to_planes
 from flatloom.llm.bloom import bloom
 from flatloom.llm.hat_trie import HatTrie
 
@@ -64,13 +66,13 @@ _ODD = ["a", "B", "z", " ", "  ", "\n", "\t", "\r\n", " ", "\x1c", "'s", "'ll",
 @given(st.lists(st.sampled_from(_ODD) | st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_pieces_give_the_ids_of_the_whole(parts):
     text = "".join(parts)
-    cut, whole = token_ids.Encoder(BPE), token_ids.Encoder(BPE, None)
+    cut, whole = encoder.Encoder(BPE), encoder.Encoder(BPE, None)
     assert cut([text, "", text]) == [*whole.whole([text]), b"", *whole.whole([text])]
 
 
 def plain_ids(texts):
     """{id: (start, ids)} of [(id, text)] in ascending order."""
-    tokenizer, start, found = token_ids.tokenizer(BPE), 0, {}
+    tokenizer, start, found = encoder.tokenizer(BPE), 0, {}
     for doc, text in sorted(texts):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         found[doc] = (start, ids)
@@ -97,6 +99,15 @@ def test_token_files(spark, tmp_path, planes):
     assert {r.doc_id: (r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in rows} == plain_ids(texts)
 
 
+def test_ids_as_they_are(spark, tmp_path):
+    """The data source alone, with ids that come from elsewhere."""
+    register(spark)
+    rows = [(i, np.arange(i, dtype="<u4").tobytes()) for i in range(5)]
+    spark.createDataFrame(rows, "d bigint, b binary").coalesce(1).write.format("id_planes").mode("append").save(str(tmp_path / "x"))
+    found = sorted(tuple(r) for r in spark.read.format("id_planes").load(str(tmp_path / "x")).collect())
+    assert [(d, s, bytes(b)) for d, s, b in found] == [(i, i * (i - 1) // 2, b) for i, b in rows]
+
+
 def test_token_ids_edges(spark, tmp_path):
     docs = spark.createDataFrame([(5, "same"), (None, "n"), (5, "same"), (5, None), (2, ""), (None, None), (1, "x " * 300_000)], "doc_id bigint, text string")
     token_ids.write_token_ids(docs, str(tmp_path / "a"), BPE, file_bytes=100_000)
@@ -222,16 +233,17 @@ def test_trie_counts_and_spills(seen, burst, keep):
     assert found == Counter(seen)
 
 
+def plain_pieces(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return [re.findall("[^ \t]+", piece) for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lowered)]
+
+
 def plain_phrases(rows, least, longest=5, top=2000):
     """The rows of the contract, of (lang, text)."""
     f, n = Counter(), Counter()
     for lang, text in rows:
         lang = "und" if lang is None else lang
-        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-        for mark in ".,;:!?\n\x0b\x0c\r":
-            lowered = lowered.replace(mark, "\0")
-        for piece in lowered.split("\0"):
-            words = [w for w in piece.replace("\t", " ").split(" ") if w]
+        for words in plain_pieces(text or ""):
             n[lang] += len(words)
             f.update((lang, tuple(words[i : i + m])) for m in range(1, longest + 1) for i in range(len(words) - m + 1))
     kept = {k: a for k, a in f.items() if a >= least and len(k[1]) > 1}
@@ -259,7 +271,7 @@ _WORDS = ["a", "b", "Ab", "é", "x" * 40, "q r", "the", "of"]
 
 @pytest.fixture
 def small_budgets(monkeypatch):
-    for name, value in {"TRIE_ENTRIES": 60, "TASK_WORDS": 6, "TASK_PAIRS": 20, "_CHUNK": 16, "_ROWS": 7, "HOT": 6}.items():
+    for name, value in {"TRIE_ENTRIES": 60, "TASK_WORDS": 6, "_HASHES": 16, "_ROWS": 7, "HOT": 6}.items():
         monkeypatch.setattr(phrases, name, value)
 
 
@@ -282,23 +294,21 @@ def test_counting_spills_in_any_order(small_budgets):
     """A task that spills all the time hands out the same counts."""
 
     class All:
-        def __contains__(self, key):
-            return True
+        def names(self, hashes):
+            return np.ones(len(hashes), bool)
 
-    import pyarrow as pa
-
-    rows = phrase_rows(5)
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] or "und" for r in rows]), pa.array([r[1] or "" for r in rows])], names=["lang", "text"])
+    rows = [(lang or "und", text or "") for lang, text in phrase_rows(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
     found = Counter()
-    for out in phrases.Counting(2, 5, All(), All(), frozenset({("en", b"a")}))(iter([batch])):
+    for out in phrases.Counting(5, All(), All(), None, frozenset({("en", b"a")}))(iter([batch])):
         for r in out.to_pylist():
             found[r["lang"], r["phrase"]] += r["f"]
             first = r["phrase"].split(" ")
             assert r["prefix"] == " ".join(first[:2] if (r["lang"], first[0]) == ("en", "a") else first[:1])
     wanted = Counter()
     for lang, text in rows:
-        for words in phrases.pieces(text or ""):
-            wanted.update((lang or "und", b" ".join(words[i : i + m]).decode()) for m in range(2, 6) for i in range(len(words) - m + 1))
+        for piece in plain_pieces(text):
+            wanted.update((lang, " ".join(piece[i : i + m])) for m in range(2, 6) for i in range(len(piece) - m + 1))
     assert found == wanted
 
 
@@ -313,8 +323,17 @@ def test_no_phrases(spark):
     assert phrases.collocations(df.limit(0)).collect() == []
 
 
-def test_bloom_names_all_its_keys(spark):
-    keys = [f"k{i}".encode() for i in range(3000)]
-    found = bloom(spark.createDataFrame([(bytearray(k),) for k in keys], "k binary"), F.col("k"), len(keys))
-    assert all(k in found for k in keys)
-    assert sum(f"x{i}".encode() in found for i in range(5000)) < 50
+def test_bloom_names_all_its_hashes(spark):
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63, 8000)
+    found = bloom(spark.createDataFrame([(int(h),) for h in hashes[:3000]], "h bigint"))
+    named = found.names(hashes.view(np.uint64))
+    assert named[:3000].all() and named[3000:].sum() < 50
+
+
+def test_words_of_a_slice():
+    """Both ways to cut a text give the same words."""
+    texts = ["A b\t,c", "", "d", "É.e\x0b\x0cf \x85g\u2003h", " "]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 5), pa.array(texts)], names=["lang", "text"])
+    (s,) = phrases._slices([batch])
+    assert s.text() == [w.encode() for t in texts for p in plain_pieces(t) for w in p]
+    assert s.goes_on.tolist() == [True, False, False, False, False, False, True]
