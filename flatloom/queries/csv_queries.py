@@ -72,28 +72,6 @@ def csv_stitch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialise(_cells(scan_csv(spark, path).records, documents.columns), "stitched")
 
 
-_MANY_SQL = """
-    SELECT COALESCE(CAST(c_custkey AS VARCHAR), '') AS c_custkey, COALESCE(c_name, '') AS c_name, COALESCE(c_mktsegment, '') AS c_mktsegment, 'lines' AS kind
-    FROM customer
-    UNION ALL SELECT COALESCE(CAST(c_custkey AS VARCHAR), ''), COALESCE(c_name, ''), COALESCE(c_mktsegment, '') || chr(10) || '"', 'quoted' FROM customer
-"""
-
-
-@query(_MANY_SQL)
-def csv_many_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over 1,100 splits in both routes, so that the numbers of tasks need more than ten bits."""
-    customer = as_text(table(spark, sf_dir, "customer")).select("c_custkey", "c_name", "c_mktsegment")
-    quoted = customer.withColumn("c_mktsegment", F.concat("c_mktsegment", F.lit('\n"')))
-    found = []
-    for kind, rows in (("lines", customer), ("quoted", quoted)):
-        path = stage_csv(rows, f"many-{kind}")
-        size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("size")).first().size
-        with small_splits(spark, f"{max(size // 1200, 1)}b"):
-            records = _cells(scan_csv(spark, path, numbered=True).records, customer.columns)
-            found.append(materialise(records.withColumn("kind", F.lit(kind)), "many-splits"))
-    return found[0].unionByName(found[1])
-
-
 _STRAY_SQL = """
     SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents
     UNION ALL SELECT 'a"' || CAST(doc_id AS VARCHAR), lang || '"', source, 'x' FROM documents
