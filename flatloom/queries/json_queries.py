@@ -10,10 +10,10 @@ from ..functions.text import csv_line
 from ..operators.keys import cells, key_union
 from ..operators.validate import unwrap
 from ..plans.pipelines import convert, format_json, json_to_csv
-from ..session import case_sensitive, configure, scratch_path
+from ..session import case_sensitive, configure, materialise, scratch_path
 from ..sources.json_files import scan_json, scan_json_lines
 from .registry import query, table
-from .stage import as_text, stage_arrays, staged_group
+from .stage import as_text, small_splits, stage_arrays, staged_group
 
 _BLOCK = "50000"
 
@@ -72,6 +72,38 @@ def json_stitch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events_with_braces(spark, sf_dir, whole_file_limit=0)
 
 
+#: Bytes of an element from the end of the one before it on, for `json_long_elements`.
+LONG_ELEMENT = 6000
+
+
+@query(f"""
+    WITH items AS (
+        SELECT coalesce(lang, '') || '-' || CAST(doc_id // 50000 AS VARCHAR) AS part, doc_id, hex(text) AS text, lang = 'en' AS deep
+        FROM documents
+    ), numbered AS (
+        SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id) AS rec_no, doc_id, text, deep,
+               25 + length(CAST(doc_id AS VARCHAR)) + length(text) + CASE WHEN deep THEN 14 ELSE 0 END AS size
+        FROM items
+    )
+    SELECT part, rec_no,
+           CASE WHEN size > {LONG_ELEMENT} THEN 'Invalid input: A record is too long for one row.'
+                WHEN deep THEN 'Invalid input: Only flat JSON is supported. Field ''more'' contains a nested value.'
+                ELSE '{{"doc_id":' || doc_id || ',"text":"' || text || '}}"}}' END AS outcome
+    FROM numbered
+""")
+def json_long_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements over a lowered limit are rejected one by one, flat and nested, and the rest of their arrays is kept."""
+    documents = table(spark, sf_dir, "documents")
+    more = F.when(F.col("lang") == "en", F.lit(',"more":{"x":1}')).otherwise("")
+    item = F.concat(F.lit('{"doc_id":'), "doc_id", F.lit(',"text":"'), F.hex("text"), F.lit('}"'), more, F.lit("}"))
+    path = stage_arrays(documents.select("doc_id", "lang", "text"), "doc_id", item, F.coalesce("lang", F.lit("")))
+    with small_splits(spark):
+        scan = scan_json(spark, path, numbered=True, whole_file_limit=0, max_record_bytes=LONG_ELEMENT)
+        kept = scan.records.select("src_file", "rec_no", F.col("text").alias("outcome"))
+        found = kept.unionByName(scan.rejects.select("src_file", "rec_no", F.col("error_msg").alias("outcome")))
+        return materialise(found.select(staged_group(F.col("src_file")).alias("part"), "rec_no", "outcome"), "long-elements")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
 def json_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with escaped quotes and line breaks."""

@@ -34,7 +34,7 @@ from ..operators.numbering import number_rows, row_blocks, row_counts, running_s
 from ..session import broadcast_if_small, configure, materialise
 from . import stitch as stitching
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
-from .stitch import files_with_long_records, stitch
+from .stitch import stitch
 
 # A file with braces in strings is read as one text up to this size.
 WHOLE_FILE_LIMIT = 32 << 20
@@ -212,14 +212,18 @@ def scan_json(
     *,
     numbered: bool = False,
     whole_file_limit: int = WHOLE_FILE_LIMIT,
+    max_record_bytes: int | None = None,
 ) -> JsonScan:
-    """Texts of all flat records; everything else becomes a reject."""
+    """Texts of all flat records; everything else becomes a reject.
+
+    Of files that are stitched, elements of more than ``max_record_bytes`` are rejected unparsed,
+    one by one; the other elements of their file come out with the numbers they have there.
+    """
     configure(spark)
     files = materialise(inspect_json(spark, paths, whole_file_limit), "json-files")
     fate = F.when(F.col("error").isNotNull(), "error").otherwise(F.col("route"))
-    summary = files.groupBy(fate.alias("fate")).agg(F.max("file_size").alias("largest")).collect()
-    fates = {r.fate for r in summary}
-    largest_file = max((r.largest for r in summary), default=0)
+    fates = {r.fate for r in files.select(fate.alias("fate")).distinct().collect()}
+    limit = stitching.MAX_RECORD_BYTES if max_record_bytes is None else max_record_bytes
     good = files.filter(F.col("error").isNull())
     columns = ["src_file", "split_start", "ord", *(["rec_no"] if numbered else []), "text"]
 
@@ -265,7 +269,7 @@ def scan_json(
                 ).select(*columns)
             )
     if to_stitch:
-        rows, bad, checked = _stitched(spark, to_stitch, good, largest_file)
+        rows, bad, checked = _stitched(spark, to_stitch, good, limit)
         scans.append(rows.select(*columns))
         rejects.append(bad)
         firsts = rows.groupBy("src_file").agg(F.min("rec_no").alias("first_no"))
@@ -283,8 +287,24 @@ def scan_json(
     return JsonScan(records, verdicts, all_rejects, firsts)
 
 
+def _no_strings(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*+"?+', "")
+
+
+def _brackets(text: Column) -> Column:
+    """Brackets outside strings that a text opens, less those it closes."""
+    bare = _no_strings(text)
+    return F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
+
+
+def _stand_in(head: Column, end: Column) -> Column:
+    """What is left of a segment too long: how it begins, and whether it ends with a bracket."""
+    begins = F.regexp_extract(head, rf"^{WS}[\[,]?+{WS}\{{?+", 0)
+    return F.concat(begins, F.when(end.rlike(rf"\]{WS}$"), "]").otherwise(""))
+
+
 def _stitched(
-    spark: SparkSession, paths: Paths, files: DataFrame, largest_file: int
+    spark: SparkSession, paths: Paths, files: DataFrame, limit: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, rejects and file verdicts of files that are not plain flat pieces.
 
@@ -292,8 +312,8 @@ def _stitched(
     when values are flat; only files where they are not need the bracket depth.
     """
     pieces = text_pieces(spark, paths, "}")
-    segments, too_long = stitch(
-        pieces, _unescaped_quotes(F.col("piece")), "}", largest_file
+    segments = stitch(
+        pieces, _unescaped_quotes(F.col("piece")), "}", limit, _stand_in, _brackets
     )
     segments = materialise(segments, "json-segments")
     outline = segments.groupBy("src_file").agg(
@@ -316,12 +336,15 @@ def _stitched(
         .withColumn("is_array", F.col("array_starts") == 1)
         .select(*_VERDICT)
     )
-    if too_long is not None:
-        verdicts = verdicts.unionByName(_too_long(too_long))
     sound = outline.filter(F.col("flat") & F.col("error").isNull()).select("src_file")
+    objects = segments.filter(F.instr("text", "{") > 0).join(
+        broadcast_if_small(sound), "src_file", "left_semi"
+    )
+    rejects = objects.filter(F.col("long_size").isNotNull()).select(
+        "src_file", "rec_no", *_long_error()
+    )
     records = (
-        segments.filter(F.instr("text", "{") > 0)
-        .join(broadcast_if_small(sound), "src_file", "left_semi")
+        objects.filter(F.col("long_size").isNull())
         .select(
             "src_file",
             F.lit(0).cast("bigint").alias("split_start"),
@@ -332,26 +355,15 @@ def _stitched(
     )
     deep = outline.filter("not flat")
     if deep.isEmpty():
-        rejects = file_rejects(spark.createDataFrame([], "src_file string, error string"))
         return records, rejects, verdicts
-    more, rejects, checked = _nested(
-        segments, deep.select("src_file", "last_no", "opening", "terminated"), largest_file
-    )
-    return records.unionByName(more), rejects, verdicts.unionByName(checked)
-
-
-def _too_long(files: DataFrame) -> DataFrame:
-    return files.select(
-        "src_file",
-        F.lit(errors.LONG_RECORD).alias("error"),
-        F.lit(None).cast("boolean").alias("is_array"),
-        F.lit(None).cast("bigint").alias("n_records"),
-        F.lit(None).cast("bigint").alias("n_nonempty"),
+    more, bad, checked = _nested(
+        segments, deep.select("src_file", "last_no", "opening", "terminated"), limit
     )
+    return records.unionByName(more), rejects.unionByName(bad), verdicts.unionByName(checked)
 
 
 def _nested(
-    segments: DataFrame, outline: DataFrame, largest_file: int
+    segments: DataFrame, outline: DataFrame, limit: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Array elements by bracket depth: records, rejects and verdicts."""
     base = F.when(F.col("opening") == "[", 1).otherwise(0)
@@ -361,20 +373,17 @@ def _nested(
 
     # Depth of brackets outside strings after each segment. The sums run over
     # numbers only; the texts are joined to their element afterwards.
-    no_strings = F.regexp_replace(
-        F.regexp_replace("text", r"(?s)\\.", ""), r'"[^"]*+"?+', ""
-    )
-    opened = F.regexp_count(no_strings, F.lit(r"[\[{]"))
     # The separator itself closes a bracket, except after the tail.
-    closed = F.regexp_count(no_strings, F.lit(r"[\]}]")) + (~F.col("is_tail")).cast("int")
+    opened = F.coalesce("long_weight", _brackets(F.col("text")).cast("bigint"))
+    delta = opened - (~F.col("is_tail")).cast("int")
     marks = materialise(
         segments.select(
             "src_file",
             "rec_no",
             "base",
             "is_tail",
-            (opened - closed).alias("delta"),
-            F.octet_length("text").alias("size"),
+            delta.alias("delta"),
+            F.coalesce("long_size", F.octet_length("text").cast("bigint")).alias("size"),
         ),
         "json-brackets",
     )
@@ -385,18 +394,23 @@ def _nested(
         "src_file",
         "rec_no",
         "ends",
-        "depth",
         "size",
+        F.when(F.col("is_tail"), F.col("depth") == 0).otherwise(F.col("depth") >= F.col("base")).alias("in_depth"),
         (F.col("n_ended") - F.col("ends").cast("int") + 1).alias("elem_no"),
     )
-    too_long = None
-    if largest_file > stitching.MAX_RECORD_BYTES:
-        placed = materialise(placed, "json-places")
-        too_long = files_with_long_records(placed, "elem_no", F.col("size"))
-        placed = placed.join(too_long, "src_file", "left_anti")
+    placed = materialise(placed, "json-places")
+    sizes = placed.groupBy("src_file", "elem_no").agg(
+        F.sum("size").alias("size"),
+        F.min("rec_no").alias("rec_no"),
+        F.max("rec_no").alias("end_no"),
+        F.max("ends").alias("complete"),
+        F.min("in_depth").alias("balanced"),
+    )
+    long = materialise(sizes.filter(F.col("size") > limit).drop("size"), "long-elements")
     texts = segments.withColumn(
         "text", F.when(F.col("is_tail"), F.col("text")).otherwise(F.concat("text", F.lit("}")))
-    )
+    ).drop("long_size", "long_weight")
+    placed = placed.join(broadcast_if_small(long.select("src_file", "elem_no")), ["src_file", "elem_no"], "left_anti")
     placed = texts.join(placed, ["src_file", "rec_no"])
     elements = placed.groupBy("src_file", "elem_no", "opening", "terminated").agg(
         F.array_join(
@@ -407,10 +421,10 @@ def _nested(
         ).alias("text"),
         F.max("is_tail").alias("is_tail"),
         F.max("ends").alias("complete"),
-        F.min(
-            F.when(F.col("is_tail"), F.col("depth") == 0).otherwise(F.col("depth") >= F.col("base"))
-        ).alias("balanced"),
+        F.min("in_depth").alias("balanced"),
     )
+    rows, too_long = _long_elements(texts, long)
+    elements = elements.withColumn("long", F.lit(False)).unionByName(rows)
     elements = materialise(_element_bodies(elements), "json-elements")
 
     checked = elements.groupBy("src_file").agg(
@@ -430,6 +444,9 @@ def _nested(
         "n_nonempty",
     )
 
+    # A file that is malformed anyway is just that.
+    verdicts = verdicts.join(broadcast_if_small(too_long), "src_file", "left")
+    verdicts = verdicts.withColumn("error", F.coalesce("error", "long_error")).select(*_VERDICT)
     verdicts = materialise(verdicts, "json-verdicts")
     sound = verdicts.filter(F.col("error").isNull()).select("src_file")
     sizes = elements.select("src_file", "elem_no", "n_items").join(
@@ -440,11 +457,13 @@ def _nested(
         "src_file",
         "n_items",
         "body",
+        "long",
         (F.col("n_so_far") - F.col("n_items")).alias("n_before"),
         F.posexplode(_items(F.col("body"))).alias("pos", "item"),
     ).select(
         "src_file",
         (F.col("n_before") + F.col("pos") + 1).alias("rec_no"),
+        "long",
         # An object ends its element, so it is the last item and the text at its end.
         F.when(F.col("n_items") == 1, json_trim(F.col("body")))
         .otherwise(F.regexp_extract("body", rf"({FLAT_OBJECT}){WS}$", 1))
@@ -452,6 +471,8 @@ def _nested(
         is_object(F.col("item")).alias("is_object"),
         F.when(is_object(F.col("item")), F.get(nested_keys(F.col("item")), F.lit(0))).alias("nested"),
     )
+    too_long = items.filter("long").select("src_file", "rec_no", *_long_error())
+    items = items.filter("not long")
     records = items.filter(F.col("is_object") & F.col("nested").isNull()).select(
         "src_file",
         F.lit(0).cast("bigint").alias("split_start"),
@@ -462,10 +483,39 @@ def _nested(
     rejects = items.filter(~F.col("is_object") | F.col("nested").isNotNull()).select(
         "src_file", "rec_no", *_record_error(F.col("is_object"), F.col("nested"), F.col("rec_no"))
     )
-    verdicts = verdicts.select(*_VERDICT)
-    if too_long is not None:
-        verdicts = verdicts.unionByName(_too_long(too_long))
-    return records, rejects, verdicts
+    return records, rejects.unionByName(too_long), verdicts
+
+
+def _long_elements(texts: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows like elements, with an empty object in place of each one too long, and the files where
+    that is not possible.
+
+    An element that begins with a brace is one object, so it counts as one. So does the rest of
+    an array behind its last object. Where other items stand before a long object, they
+    cannot be counted without their texts, and the file is rejected.
+    """
+    ends = long.select("src_file", "elem_no", F.explode(F.array_distinct(F.array("rec_no", "end_no"))).alias("rec_no"))
+    ends = texts.join(broadcast_if_small(ends), ["src_file", "rec_no"]).groupBy("src_file", "elem_no", "opening", "terminated").agg(
+        F.min_by(F.regexp_extract("text", rf"^({WS}[\[,]?+{WS})(\{{?+)", 1), "rec_no").alias("lead"),
+        F.min_by(F.regexp_extract("text", rf"^({WS}[\[,]?+{WS})(\{{?+)", 2), "rec_no").alias("brace"),
+        F.max_by(F.when(F.col("is_tail") & F.col("text").rlike(rf"\]{WS}$"), "]").otherwise(""), "rec_no").alias("end"),
+        F.max("is_tail").alias("is_tail"),
+    )
+    found = ends.join(long.drop("rec_no", "end_no"), ["src_file", "elem_no"])
+    counted = F.col("is_tail") | (F.col("brace") == "{")
+    rows = found.select(
+        "src_file",
+        "elem_no",
+        "opening",
+        "terminated",
+        F.concat("lead", F.lit("{}"), "end").alias("text"),
+        "is_tail",
+        "complete",
+        "balanced",
+        F.lit(True).alias("long"),
+    )
+    files = found.filter(~counted).select("src_file").distinct()
+    return rows, files.withColumn("long_error", F.lit(errors.LONG_RECORD))
 
 
 def _items(body: Column) -> Column:
@@ -511,6 +561,7 @@ def _element_bodies(elements: DataFrame) -> DataFrame:
         "src_file",
         "elem_no",
         "body",
+        "long",
         F.greatest(n_items, F.lit(0)).alias("n_items"),
         F.greatest(F.coalesce(F.size(filled), F.lit(0)), F.lit(0)).alias("n_keys"),
         malformed.alias("malformed"),
@@ -573,6 +624,13 @@ def scan_json_lines(spark: SparkSession, paths: Paths, *, numbered: bool = False
     return JsonScan(records, files, failed, firsts)
 
 
+def _long_error() -> list[Column]:
+    return [
+        F.lit(errors.INVALID_INPUT).alias("error_kind"),
+        errors.message(F.lit(errors.LONG_RECORD)).alias("error_msg"),
+    ]
+
+
 def _record_error(is_obj: Column, nested: Column, position: Column) -> list[Column]:
     return [
         F.lit(errors.INVALID_INPUT).alias("error_kind"),

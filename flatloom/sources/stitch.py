@@ -7,6 +7,8 @@ the totals per split are summed first, then the pieces of each split.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,27 +17,26 @@ from ..session import broadcast_if_small, materialise
 
 
 # A quote opened early and closed late makes most of a file one record. Such a
-# record is not gathered in one task; its file is reported instead.
+# record is not gathered in one task; it is reported instead.
 MAX_RECORD_BYTES = 256 << 20
 
 
-def files_with_long_records(parts: DataFrame, record: str, size: Column) -> DataFrame:
-    """Files with a record over the size limit. The sizes are summed map-side."""
-    sizes = parts.groupBy("src_file", record).agg(F.sum(size).alias("size"))
-    return materialise(
-        sizes.filter(F.col("size") > MAX_RECORD_BYTES).select("src_file").distinct(), "long-records"
-    )
-
-
 def stitch(
-    pieces: DataFrame, n_quotes: Column, separator: str, largest_file: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Records as ``src_file, rec_no, text``; ``rec_no`` counts from 1 per file.
+    pieces: DataFrame,
+    n_quotes: Column,
+    separator: str,
+    limit: int,
+    stand_in: Callable[[Column, Column], Column],
+    weigh: Callable[[Column], Column],
+) -> DataFrame:
+    """Records as ``src_file, rec_no, text, long_size, long_weight``; ``rec_no`` counts from 1.
 
     The pieces are shuffled once, by split, so a task never holds more than one
     split of a file. Only records that cross a split border are shuffled again.
-    The second result lists files left out for a record too long, if there are any;
-    it takes a file of more bytes than the limit to hold one.
+    A record of more than ``limit`` bytes is never put together: its text is
+    ``stand_in`` of its first and last part, ``long_size`` its bytes and ``long_weight`` the sum
+    of ``weigh`` over its parts, each with a quote before it if it begins inside quotes.
+    Both are null for all other records.
     """
     split = ["src_file", "split_start", "split_len"]
     counted = pieces.withColumn("quotes", n_quotes)
@@ -80,18 +81,22 @@ def stitch(
             (F.col("nth") == 0) | ((F.col("nth") == F.col("starts")) & (F.col("odd_out") == 1)),
         )
     )
-    too_long = None
-    if largest_file > MAX_RECORD_BYTES:
-        too_long = files_with_long_records(
-            numbered.filter("crosses"), "rec_no", F.octet_length("part")
-        )
-        numbered = numbered.join(too_long, "src_file", "left_anti")
+    size, part = F.octet_length("part").cast("bigint"), F.col("part")
+    none = F.lit(None).cast("bigint")
+    too_long = size > limit
     whole = numbered.filter(~F.col("crosses")).select(
-        "src_file", "rec_no", F.col("part").alias("text")
+        "src_file",
+        "rec_no",
+        F.when(too_long, stand_in(part, part)).otherwise(part).alias("text"),
+        F.when(too_long, size).alias("long_size"),
+        F.when(too_long, weigh(part).cast("bigint")).alias("long_weight"),
     )
+    crossing, record = numbered.filter("crosses"), ["src_file", "rec_no"]
+    sizes = crossing.groupBy(*record).agg((F.sum(size) + F.count("*") - 1).alias("long_size"))
+    long = broadcast_if_small(materialise(sizes.filter(F.col("long_size") > limit), "long-records"))
     joined = (
-        numbered.filter("crosses")
-        .groupBy("src_file", "rec_no")
+        crossing.join(long, record, "left_anti")
+        .groupBy(*record)
         .agg(
             F.array_join(
                 F.transform(
@@ -101,8 +106,18 @@ def stitch(
                 separator,
             ).alias("text")
         )
+        .select(*record, "text", none.alias("long_size"), none.alias("long_weight"))
+    )
+    # Per part, so that only short texts and numbers of a long record meet.
+    outside = F.when(F.col("nth") == 0, F.concat(F.lit('"'), part)).otherwise(part)
+    kept = crossing.join(long, record).select(
+        *record, "long_size", "split_start", stand_in(part, F.lit("")).alias("head"), stand_in(F.lit(""), part).alias("end"), weigh(outside).alias("weight")
+    )
+    stood_in = kept.groupBy(*record, "long_size").agg(
+        F.concat(F.min_by("head", "split_start"), F.max_by("end", "split_start")).alias("text"),
+        F.sum("weight").cast("bigint").alias("long_weight"),
     )
-    return whole.unionByName(joined), too_long
+    return whole.unionByName(joined).unionByName(stood_in)
 
 
 def _line_state(lines: Column) -> Column:

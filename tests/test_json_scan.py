@@ -125,6 +125,57 @@ def test_element_too_long_for_one_row(spark, folder, monkeypatch):
     }
 
 
+LONG = f"Invalid input: {errors.LONG_RECORD}"
+
+
+def test_long_elements_go_alone(spark, folder, small_splits):
+    """Only the element too long is rejected; all others keep their numbers, over any splits."""
+    small = [f'{{"k":"}} {i}"}}' for i in range(300)]
+    braces = '}{ \\" ],' * 900
+    flat = [*small[:100], f'{{"long":"{braces}"}}', *small[100:]]
+    deep = [*small[:50], f'{{"x":[{{"y":"{braces}"}},[7]]}}', *small[50:90], '{"x":[1]}', "5", *small[90:]]
+    files = {
+        "flat": f"[{','.join(flat)}]",
+        "first": f"[{','.join([flat[100], *small])}]",
+        "deep": f"[{','.join(deep)}]",
+        "parts": "[" + ",".join([*small[:9], '{"z":[' + ",".join(small) + "]}", *small[9:12]]) + "]",
+        "rest": "[" + ",".join([*small[:9], "[" + ",".join(small) + "]"]) + "]",
+        "alone": flat[100],
+        "broken": f"[{','.join(flat)}",
+        "tail": f'[{",".join(small[:3])},"{braces}"]',
+    }
+    scan = scan_json(
+        spark, folder({f"{k}.json": v for k, v in files.items()}), numbered=True, whole_file_limit=0, max_record_bytes=2500
+    )
+    records = by_file(scan.records.collect(), "rec_no", "text")
+    assert records == {
+        "flat": [(i + 1, t) for i, t in enumerate(flat) if i != 100],
+        "first": [(i + 2, t) for i, t in enumerate(small)],
+        "deep": [(i + 1, t) for i, t in enumerate(deep) if i not in (50, 91, 92)],
+        "parts": [(i + 1 if i < 9 else i + 2, t) for i, t in enumerate(small[:12])],
+        "rest": [(i + 1, t) for i, t in enumerate(small[:9])],
+        "tail": [(i + 1, t) for i, t in enumerate(small[:3])],
+    }
+    assert by_file(scan.rejects.collect(), "rec_no", "error_msg") == {
+        "flat": [(101, LONG)],
+        "first": [(1, LONG)],
+        "deep": [(51, LONG), (92, NESTED.format("x")), (93, ITEM.format(93))],
+        "parts": [(10, LONG)],
+        "rest": [(10, LONG)],
+        "alone": [(1, LONG)],
+        "broken": MALFORMED,
+        "tail": [(4, LONG)],
+    }
+
+
+def test_long_element_behind_other_items(spark, folder):
+    """Items before a long object, in the same run, cannot be counted: the file is rejected."""
+    content = '[{"a":"}"},5,[{"b":1},{"b":2}],{"c":"' + "}" * 300 + '"},{"d":1}]'
+    scan = scan_json(spark, folder({"x.json": content}), whole_file_limit=0, max_record_bytes=200)
+    assert scan.records.count() == 0
+    assert by_file(scan.rejects.collect(), "rec_no", "error_msg") == {"x": [(None, LONG)]}
+
+
 def test_lines(spark, folder):
     content = b'{"a":1}\n\n {"b":"}"} \n[1]\n5\n{"c":{}}\n{"a":1} x\n{"a":"\xff"}\n{"z":2}'
     scan = scan_json_lines(spark, folder({"l.json": content}), numbered=True)
