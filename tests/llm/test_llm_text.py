@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -199,6 +200,47 @@ def test_short_siblings_are_kept(n):
     assert main_text(page) == " ".join(["Head Between", *[para.strip()] * n, "Short, section one two Said"])
 
 
+PARA = "<p>Long text, with commas, that scores. And more of it, for good measure.</p>"
+SAID = "Long text, with commas, that scores. And more of it, for good measure."
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f'<div class="content with-sidebar"><h1>H</h1>{PARA}</div>', f"H {SAID}"),
+        (f'<div class="page no-sidebar"><article><h1>H</h1>{PARA}</article></div>', f"H {SAID}"),
+        (f'<div class="sidebar"><h1>H</h1>{PARA}</div><p>x</p>', f"H {SAID} x"),
+        (f'<article>{PARA}<section id="related-work"><p>Other work.</p></section><p class="share-price">9.50</p></article>', f"{SAID} Other work. 9.50"),
+        (f'<article>{PARA}<div class="related-posts">Not</div><div id="share_buttons">Not</div><div class="comment-list">Not</div></article>', SAID),
+        (f"<body><form><h1>H</h1>{PARA}</form></body>", f"H {SAID}"),
+        (f"<body><form>{PARA}</form></body>", SAID),
+        (f"<body>{PARA}<form><p>Send, please</p></form></body>", SAID),
+        (f"<body><p>One, two</p><div id=comments><h1>Said</h1>{PARA * 30}</div></body>", "One, two"),
+        (f"<body><nav>{PARA * 30}</nav><p>One, two</p></body>", "One, two"),
+        (f"<article>{PARA}<svg><path d='x'><p>After</p></article>", f"{SAID} After"),
+        (f"<article>{PARA}<p>a <svg><title>t</title><text>no</text></svg> b</p></article>", f"{SAID} a b"),
+        (f"<article>{PARA}<div><video><source src=x></div><p>After</p></article>", f"{SAID} After"),
+        (f"<article>{PARA}<script>x</script y><p>After</p></article>", f"{SAID} After"),
+        (f"<article>{PARA}<p>In <math><mi>x</mi><mo>=</mo><mn>1</mn></math> it</p></article>", f"{SAID} In x=1 it"),
+        ("<body><h1>One</h1><h2>Two</h2></body>", "One Two"),
+        (f"<article>{PARA}<p title='a > b'>in</p><a \"<p>out</p></article>", f"{SAID} in out"),
+    ],
+)
+def test_nothing_else_is_dropped(page, expected):
+    assert main_text(page) == expected
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 40_000, "<a '>x" * 40_001, "<div>" * 40_000 + "</div>" * 40_000, "<div>" * 40_000 + "</span>" * 40_000, "<li>" * 40_000, "<" * 400_000, "<script>x</scrip " * 40_000],
+)
+def test_time_is_linear_in_the_page(page):
+    """The square of these would take minutes."""
+    began = time.monotonic()
+    main_text(page + PARA)
+    assert time.monotonic() - began < 10
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", None), (4, "u", "<p>&#xD800;a, b</p>", "x"), (1, "u", PAGE, "x")]
     rows.append((5, "u", "<article>" + "<p>some, text é</p>" * 20_000, "x"))
