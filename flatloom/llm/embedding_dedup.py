@@ -77,7 +77,7 @@ def _vectors(embeddings: DataFrame, tables: int, bits: int) -> DataFrame:
                 unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
                 buckets = sign_buckets(unit, labels[own], tables, bits)
                 keys = np.array(
-                    [np.frombuffer(hashlib.blake2b(v.tobytes(), digest_size=16, salt=b"%d" % k).digest(), np.int64) for v, k in zip(vectors, labels[own], strict=True)],
+                    [np.frombuffer(hashlib.blake2b(v.tobytes(), digest_size=16, salt=k.tobytes()).digest(), np.int64) for v, k in zip(vectors, labels[own], strict=True)],
                     dtype=np.int64,
                 ).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -94,7 +94,10 @@ def _vectors(embeddings: DataFrame, tables: int, bits: int) -> DataFrame:
     usable = embeddings.filter("vec_id is not null and label is not null and embedding is not null").filter(
         "not exists(embedding, x -> x is null)"
     )
-    usable = usable.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("bigint").alias("label"))
+    # Labels of any type; whole numbers stand for themselves, others for the hash of their text.
+    whole = embeddings.schema["label"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    label = F.col("label").cast("bigint") if whole else F.xxhash64(F.col("label").cast("string"))
+    usable = usable.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), label.alias("label"))
     id_type = embeddings.schema["vec_id"].dataType.simpleString()
     return usable.mapInArrow(scan, f"vec_id {id_type}, key_1 bigint, key_2 bigint, unit binary, buckets array<bigint>")
 

@@ -7,6 +7,7 @@ import pytest
 from conftest import SF_DIR
 from llm_brute import contamination as plain_contamination
 from llm_brute import near_components, smallest_reachable
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flatloom.llm.components import components
@@ -117,6 +118,15 @@ def test_embeddings(spark, block):
     assert similar_embeddings(table.limit(0)).collect() == []
 
 
+def test_embeddings_with_labels_of_any_type(spark):
+    """Labels are only compared: texts and numbers of any size will do."""
+    vector, big = [1.0, 2.0, 3.0], -(1 << 62)
+    texts = spark.createDataFrame([(1, vector, "a"), (2, vector, "a b"), (3, [2.0, 4.0, 6.0], "a"), (4, vector, None)], "vec_id long, embedding array<double>, label string")
+    numbers = texts.withColumn("label", F.when(F.col("label") == "a", F.lit(big)).when(F.col("label").isNotNull(), F.lit(7)))
+    for table in (texts, numbers):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in similar_embeddings(table).collect()} == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
+
+
 def test_tables_needed():
     assert tables_needed(0.98, 20) == 45
 
