@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from conftest import SF_DIR
 from llm_brute import contamination, near_components
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -72,3 +73,24 @@ def test_held_out_by_crc(spark):
     found = queries.QUERIES["op1_attention_quality"](spark, SF_DIR).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in found)
     assert all(r.predicted == int(r.score >= 0.3) for r in found)
+
+
+def test_stages_keep_clashing_columns_and_take_null_ids_and_empty_tables(spark):
+    """Columns that a stage uses itself come back as they were; repeated ids follow the stated rule."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "s"), (1, "a other", "en", "s"), (1, None, "en", "s"), (2, words, "en", "s"), (None, "no id at all", None, "s"), (None, "no id at all", "en", None), (7, None, "en", "s"), (8, "", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    extra = ("_gone", "_again", "gone_id", "Again_id", "contamination", "mix_cell", "mix_sampled", "a.b")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce("text", F.lit("-"))) for c in extra})
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, SF_DIR)
+            if name == corpus_pipeline.STAGES[-1][0]:
+                assert out.count() == given.count()
+                continue
+            assert out.columns == given.columns
+            kept = out.collect()
+            assert all(r[c] == c + (r.text or ("-" if r.text is None else "")) for r in kept for c in extra)
+            if name == "MinHash near-dedup":
+                found = sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None and r.doc_id < 7)
+                assert found == ([(1, "a other")] if given is docs else [])
