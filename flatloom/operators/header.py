@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json import let
 from ..functions.text import WHITESPACE, trim_whitespace
 from ..session import broadcast_if_small
 
@@ -25,6 +26,27 @@ def header_names(text: Column) -> Column:
     return F.transform(raw, lambda n: trim_whitespace(unquote(n)))
 
 
+_VALUE = r'(?s),("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
+_IN_QUOTES = r'(?s)^"(?:[^"]++|"")*+"'
+
+
+def fields_of_row(row: Column) -> Column:
+    """All fields of a CSV row as an array, by the rules of the reader, however many there are."""
+
+    def value(raw: Column) -> Column:
+        quoted = F.regexp_extract(raw, _IN_QUOTES, 0)
+        inner = F.replace(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit('""'), F.lit('"'))
+        # Text behind the closing quote makes all of it data.
+        more = raw.substr(F.length(quoted) + 1, F.length(raw))
+        return (
+            F.when(~raw.startswith('"') | (quoted == ""), raw)
+            .when(quoted == raw, inner)
+            .otherwise(F.concat(F.lit('"'), inner, F.lit('"'), more))
+        )
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), row), F.lit(_VALUE), F.lit(1)), value)
+
+
 def blank_text(row: Column) -> Column:
     """Every field of the raw CSV row is blank."""
     return row.rlike(rf"^{_BLANK}(?:,{_BLANK})*+$")
@@ -36,12 +58,18 @@ def record_keys(names: Column) -> Column:
 
 
 def last_positions(names: Column) -> Column:
-    """For each record key, the 0-based position of its last column: the last one wins."""
-    backwards = F.reverse(names)
-    return F.transform(
-        record_keys(names),
-        lambda k: (F.size(names) - F.array_position(backwards, k)).cast("int"),
-    )
+    """For each record key, the 0-based position of its last column: the last one wins.
+
+    Sorted by name and position, so that wide headers take no search per key.
+    """
+    places = F.array_sort(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("at"))))
+
+    def lasts(sorted_places: Column) -> Column:
+        later = lambda i: F.get(sorted_places, i + 1)["name"]
+        ends = F.filter(sorted_places, lambda p, i: later(i).isNull() | (later(i) != p["name"]))
+        return F.transform(ends, lambda p: p["at"])
+
+    return let(places, lasts)
 
 
 def bind_fields(keys: Column, positions: Column, fields: Column) -> Column:
@@ -73,13 +101,18 @@ def bind(
             F.array(*[F.lit(k) for k, _ in pairs]), F.array(*[c for _, c in pairs])
         )
         return rows.select(*others, rec.alias("rec"))
+    return bind_arrays(rows.select(*others, F.array(*cells).alias("fields")), files)
+
+
+def bind_arrays(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Replace the array ``fields`` by ``rec``, using the names of the row's own file."""
+    others = [c for c in rows.columns if c != "fields"]
     headers = files.select(
         "src_file",
         record_keys(F.col("names")).alias("keys"),
         last_positions(F.col("names")).alias("positions"),
     )
-    fields = rows.select(*others, F.array(*cells).alias("fields"))
-    return fields.join(broadcast_if_small(headers), "src_file").select(
+    return rows.join(broadcast_if_small(headers), "src_file").select(
         *others, bind_fields(F.col("keys"), F.col("positions"), F.col("fields")).alias("rec")
     )
 

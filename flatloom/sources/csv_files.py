@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors
 from ..functions.text import count_of, is_blank
-from ..operators.header import bind, bind_json, blank_text, header_names
+from ..operators.header import bind, bind_arrays, bind_json, blank_text, fields_of_row, header_names
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import broadcast_if_small, materialise, pin_splits
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
@@ -27,7 +27,11 @@ CSV_READ = {
     "columnNameOfCorruptRecord": "_ragged",
 }
 
-LINES, STITCH = "lines", "stitch"
+# Files whose lines are records are scanned by the width of their header, so that one wide file
+# does not widen the rows of all others. Beyond `COLUMNS` names, or where a line has more
+# fields than the reader takes, files are stitched and their records cut to arrays.
+LINES, WIDE_LINES, STITCH = "lines", "wide lines", "stitch"
+NARROW, COLUMNS, READER_FIELDS = 64, 2_000, 1_000_000
 
 # A field is quoted if it begins with a quote; text after its closing quote, and
 # quotes in other fields, are data.
@@ -41,6 +45,11 @@ _ROW_OF_TASK = (1 << 33) - 1
 _READ_AS_EMPTY = r"^[\x00-\x20]*+$"
 
 
+def _crowded(row: Column) -> Column:
+    """The row has more fields than the reader takes. Short rows are not counted."""
+    return (F.length(row) >= READER_FIELDS) & (F.regexp_count(row, F.lit(",")) >= READER_FIELDS)
+
+
 @dataclass
 class CsvScan:
     """``records``: src_file, split_start, ord, [rec_no], rec. ``files``: one verdict per file.
@@ -96,6 +105,7 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
         F.when(~F.col("valid"), errors.NOT_UTF8).alias("fault"),
         "filled",
         ((line < "!") & line.rlike(_READ_AS_EMPTY) & F.col("filled")).alias("misread"),
+        _crowded(line).alias("crowded"),
     )
     # A number of one type keeps Spark on hash aggregation. A split lies in one task, of which
     # the upper bits of `ord` are the number; the rest places the line within it.
@@ -105,6 +115,7 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
         F.sum("quotes").alias("quotes"),
         F.max("opens").alias("opens"),
         F.max("misread").alias("misread"),
+        F.max("crowded").alias("crowded"),
         F.min(place).alias("first"),
         F.min(F.when(F.col("filled"), place)).alias("first_filled"),
         F.min_by(line, F.when(F.col("filled"), place)).alias("first_line"),
@@ -118,6 +129,7 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
         F.sum("quotes").alias("quotes"),
         F.max("opens").alias("opens"),
         F.max("misread").alias("misread"),
+        F.max("crowded").alias("crowded"),
         F.min_by("first_line", split).alias("first_line"),
         F.min_by(F.col("first") == F.col("first_filled"), "split_start").alias("first_is_header"),
         F.flatten(F.collect_list("faults")).alias("faults"),
@@ -127,7 +139,10 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
         .when(F.col("quotes") % 2 == 1, errors.UNCLOSED_QUOTE)
         .when(F.col("first_line").isNull(), errors.EMPTY_CSV)
     )
-    plain = ~F.col("opens") & ~F.col("misread") & F.coalesce("first_is_header", F.lit(False))
+    plain = ~F.col("opens") & ~F.col("misread") & ~F.col("crowded") & F.coalesce("first_is_header", F.lit(False))
+    names = F.when(error.isNull() & plain, header_names(F.col("first_line")))
+    width = F.size("names")
+    route = F.when(width.between(0, NARROW), LINES).when(width.between(0, COLUMNS), WIDE_LINES).otherwise(STITCH)
     return materialise(
         list_files(spark, paths)
         .join(per_file, "src_file", "left")
@@ -135,9 +150,9 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
             "src_file",
             F.coalesce("file_size", F.lit(0)).alias("file_size"),
             error.alias("error"),
-            F.when(plain, LINES).otherwise(STITCH).alias("route"),
-            F.when(error.isNull() & plain, header_names(F.col("first_line"))).alias("names"),
-        ),
+            names.alias("names"),
+        )
+        .select("src_file", "file_size", "error", route.alias("route"), "names"),
         "csv-files",
     )
 
@@ -169,7 +184,7 @@ def scan_csv(
     if STITCH in fates:
         stitched, too_long, heads = _stitched(spark, of_route(files, STITCH), keep_crlf, fates[STITCH].largest)
         found = heads.withColumnRenamed("names", "stitched_names").withColumnRenamed("error", "stitched_error")
-        files = files.join(found.drop("header_no"), "src_file", "left").select(
+        files = files.join(found.drop("header_no", "crowded"), "src_file", "left").select(
             "src_file",
             "file_size",
             F.coalesce("error", "stitched_error").alias("error"),
@@ -179,15 +194,18 @@ def scan_csv(
         files = materialise(files, "csv-verdicts")
         fates = _fates(files)
     good = files.filter(F.col("error").isNull())
-    width = max((f.width or 0 for f in fates.values()), default=0)
     headers = [h for f in fates.values() if f.names_min is not None for h in (f.names_min, f.names_max)]
-    shared = headers[0] if headers and all(h == headers[0] for h in headers) else None
+    shared = headers[0] if headers and len(headers[0]) <= COLUMNS and all(h == headers[0] for h in headers) else None
 
+    order = ["src_file", "split_start", "ord", *(["rec_no"] if numbered else [])]
     scans = []
     counts = spark.createDataFrame([], "src_file string, n_records bigint")
-    if LINES in fates:
+    for route in (LINES, WIDE_LINES):
+        if route not in fates:
+            continue
+        width = fates[route].width
         reader = spark.read.options(**CSV_READ)
-        rows = reader.csv(of_route(files, LINES), schema=_ddl(width), header=True).select(
+        rows = reader.csv(of_route(files, route), schema=_ddl(width), header=True).select(
             F.col("_metadata.file_path").alias("src_file"),
             F.col("_metadata.file_block_start").alias("split_start"),
             F.spark_partition_id().alias("task"),
@@ -199,23 +217,31 @@ def scan_csv(
             blocks = row_blocks(rows)
             rows = number_rows(rows, blocks)
             counts = counts.unionByName(row_counts(blocks))
-        scans.append(rows)
+        rows = rows.select(*order, *_names_of_cells(width))
+        scans.append((bind_json if as_json else bind)(rows, width, good, shared))
     if stitched is not None and STITCH in fates:
-        rows = _stitched_rows(stitched, heads, width)
-        if numbered:
-            counts = counts.unionByName(
-                rows.groupBy("src_file").agg(F.count("*").alias("n_records"))
-            )
-            rows = running_sum(rows, "ord", F.lit(1), "rec_no")
-        scans.append(rows)
+        sound = heads.filter(F.col("error").isNull())
+        wide = F.col("crowded") | (F.size("names") > COLUMNS)
+        widths = {r.wide: r.width for r in sound.groupBy(wide.alias("wide")).agg(F.max(F.size("names")).alias("width")).collect()}
+        for is_wide, width in widths.items():
+            own = sound.filter(wide if is_wide else ~wide).select("src_file", "header_no")
+            rows = _stitched_rows(stitched, own, None if is_wide else width)
+            if numbered:
+                counts = counts.unionByName(
+                    rows.groupBy("src_file").agg(F.count("*").alias("n_records"))
+                )
+                rows = running_sum(rows, "ord", F.lit(1), "rec_no")
+            if is_wide:
+                rows = bind_arrays(rows.select(*order, "fields"), good)
+                scans.append(rows.withColumn("json", F.to_json("rec")).drop("rec") if as_json else rows)
+            else:
+                rows = rows.select(*order, *_names_of_cells(width))
+                scans.append((bind_json if as_json else bind)(rows, width, good, shared))
 
-    order = ["src_file", "split_start", "ord", *(["rec_no"] if numbered else [])]
     if scans:
-        columns = [*order, *_names_of_cells(width)]
-        rows = scans[0].select(*columns)
+        records = scans[0]
         for more in scans[1:]:
-            rows = rows.unionByName(more.select(*columns))
-        records = (bind_json if as_json else bind)(rows, width, good, shared)
+            records = records.unionByName(more)
     else:
         empty = "src_file string, split_start bigint, ord bigint, rec_no bigint, "
         empty += "json string" if as_json else "rec map<string,string>"
@@ -272,13 +298,15 @@ def _stitched(
     records, too_long, unclosed = stitch_lines(_lines(spark, paths, keep_crlf), largest_file)
     records = records.filter("filled").drop("filled")
     # Only numbers are aggregated; an aggregate of texts would sort all records.
-    firsts = materialise(records.groupBy("src_file").agg(F.min("rec_no").alias("rec_no")), "first-records")
+    firsts = records.groupBy("src_file").agg(F.min("rec_no").alias("rec_no"), F.max(_crowded(F.col("text"))).alias("crowded"))
+    firsts = materialise(firsts, "first-records")
     heads = records.join(broadcast_if_small(firsts), ["src_file", "rec_no"]).select(
-        "src_file", F.col("rec_no").alias("header_no"), ended(F.col("text")).alias("header")
+        "src_file", F.col("rec_no").alias("header_no"), "crowded", ended(F.col("text")).alias("header")
     )
     heads = unclosed.join(heads, "src_file", "left").select(
         "src_file",
         "header_no",
+        "crowded",
         header_names(F.col("header")).alias("names"),
         F.when(F.col("unclosed"), errors.UNCLOSED_QUOTE).when(F.col("header").isNull(), errors.EMPTY_CSV).alias("error"),
     )
@@ -295,16 +323,15 @@ def _stitched(
     return records, rejects, heads
 
 
-def _stitched_rows(records: DataFrame, heads: DataFrame, width: int) -> DataFrame:
-    """Cells of the records after the header."""
-    sound = broadcast_if_small(heads.filter(F.col("error").isNull()).select("src_file", "header_no"))
-    body = records.join(sound, "src_file").filter(F.col("rec_no") > F.col("header_no"))
+def _stitched_rows(records: DataFrame, heads: DataFrame, width: int | None) -> DataFrame:
+    """Cells of the records after the header, or without a width their ``fields`` as an array."""
+    body = records.join(broadcast_if_small(heads), "src_file").filter(F.col("rec_no") > F.col("header_no"))
+    place = ["src_file", F.lit(0).cast("bigint").alias("split_start"), F.col("rec_no").alias("ord")]
+    if width is None:
+        rows = body.select(*place, fields_of_row(ended(F.col("text"))).alias("fields"))
+        return rows.filter(F.exists("fields", lambda v: ~is_blank(v)))
     options = {**CSV_READ, "multiLine": "true", "lineSep": "\n"}
     rows = body.withColumn("row", F.from_csv(ended(F.col("text")), _ddl(width), options)).select(
-        "src_file",
-        F.lit(0).cast("bigint").alias("split_start"),
-        F.col("rec_no").alias("ord"),
-        *_cells(width, "row."),
-        F.col("row._ragged").alias("_ragged"),
+        *place, *_cells(width, "row."), F.col("row._ragged").alias("_ragged")
     )
     return _filled(rows, width)

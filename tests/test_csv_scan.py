@@ -98,6 +98,13 @@ def test_fixtures_with_tiny_splits(spark, fixture_folder, tiny_splits):
     check(scan_csv(spark, fixture_folder, numbered=True))
 
 
+def test_fixtures_as_arrays(spark, fixture_folder, monkeypatch):
+    """The form for headers of any width gives the same records."""
+    monkeypatch.setattr(csv_files, "NARROW", 0)
+    monkeypatch.setattr(csv_files, "COLUMNS", 0)
+    check(scan_csv(spark, fixture_folder, numbered=True))
+
+
 def reader_records(text: str) -> list[list[str]]:
     """Records by the rules for quotes, character by character."""
     rows, row, field, i, begin, n = [], [], "", 0, True, len(text)
@@ -124,7 +131,10 @@ def reader_records(text: str) -> list[list[str]]:
     return rows
 
 
-def test_random_quotes_at_any_split_size(spark, folder, tiny_splits):
+@pytest.mark.parametrize("columns", [2_000, 0])
+def test_random_quotes_at_any_split_size(spark, folder, tiny_splits, monkeypatch, columns):
+    monkeypatch.setattr(csv_files, "COLUMNS", columns)
+    monkeypatch.setattr(csv_files, "NARROW", min(csv_files.NARROW, columns))
     rng, texts = random.Random(11), {}
     for n in range(120):
         body = "".join(rng.choice(['"', '"', ",", "\n", "x", "y", '""', ' "']) for _ in range(rng.randrange(5, 90)))
@@ -229,6 +239,34 @@ def test_wide_rows_use_the_array_form(spark, folder):
     assert [r.rec for r in records] == [{n: n for n in names}]
 
 
+def test_one_wide_file_leaves_the_others_narrow(spark, folder):
+    """Headers of 2, 300 and 20,000 names in one folder: no plan has 20,000 columns."""
+    wide, middle = [f"w{i}" for i in range(20_000)], [f"m{i}" for i in range(300)]
+    files = {f"n{i}.csv": f"a,b\n{i},x\n" for i in range(3)}
+    files["middle.csv"] = ",".join(middle) + "\n" + ",".join(middle) + "\n" + "," * 400 + "\n1\n"
+    files["wide.csv"] = ",".join(wide) + ",w7\n" + ",".join(wide) + ",last\n" + "," * 20_000 + '\n"x,""y""",2\n'
+    scan = scan_csv(spark, folder(files), numbered=True)
+    routes = {r.src_file.rsplit("/", 1)[1]: r.route for r in scan.files.collect()}
+    assert routes == {"n0.csv": LINES, "n1.csv": LINES, "n2.csv": LINES, "middle.csv": csv_files.WIDE_LINES, "wide.csv": STITCH}
+    leaves = scan.records._jdf.queryExecution().analyzed().collectLeaves()
+    assert max(leaves.apply(i).output().size() for i in range(leaves.size())) == 300 + 2
+    got = by_file(scan.records.collect(), "rec_no", "rec")
+    assert [x for i in range(3) for x in got[f"n{i}"]] == [(1, {"a": str(i), "b": "x"}) for i in range(3)]
+    assert got["middle"] == [(1, {n: n for n in middle}), (2, {**dict.fromkeys(middle, ""), "m0": "1"})]
+    assert got["wide"] == [(1, {**{n: n for n in wide}, "w7": "last"}), (2, {**dict.fromkeys(wide, ""), "w0": 'x,"y"', "w1": "2"})]
+    assert {r.src_file.rsplit("/", 1)[1]: r.n_records for r in scan.counts.collect()}["wide.csv"] == 2
+
+
+def test_more_fields_than_the_reader_takes(spark, folder, monkeypatch):
+    """Such a line neither fails the job nor loses its file."""
+    monkeypatch.setattr(csv_files, "READER_FIELDS", 100)
+    monkeypatch.setitem(csv_files.CSV_READ, "maxColumns", "100")
+    scan = scan_csv(spark, folder({"x.csv": "a,b\n1,2" + ",z" * 500 + "\n3\n", "y.csv": "a,b\n5,6\n"}), numbered=True)
+    found = sorted((r.src_file.rsplit("/", 1)[1], r.rec_no, r.rec["a"], r.rec["b"]) for r in scan.records.collect())
+    assert found == [("x.csv", 1, "1", "2"), ("x.csv", 2, "3", ""), ("y.csv", 1, "5", "6")]
+    assert scan.rejects.count() == 0
+
+
 def test_lines_scan_does_not_shuffle(spark, folder):
     scan = scan_csv(spark, folder({"x.csv": b"a,b\n1,2\n"}))
     plan = scan.records._jdf.queryExecution().executedPlan().toString()
