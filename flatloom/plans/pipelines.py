@@ -293,6 +293,7 @@ def convert(
     mode: str = "quarantine",
     ledger: str | None = None,
     ledger_mode: str = "append",
+    run_id: str | None = None,
     chunk_rows: int | None = None,
     tag: str | None = None,
     **options,
@@ -302,6 +303,7 @@ def convert(
     ``mode='strict'`` raises on any reject and writes nothing. ``'quarantine'``
     writes the good records, and the rejects as Parquet to ``<dst>_rejects``, both or
     neither. With ``ledger`` the outcome of every file is added to that table after saving.
+    A run done again under its ``run_id`` counts once in ``usage_counts``.
     A run with a ``tag`` can be given up by ``cancel``: it raises ``Cancelled``, leaves
     the old results, and is ``cancelled`` in the ledger, neither success nor failure.
     """
@@ -316,15 +318,15 @@ def convert(
                     planned.check()
                 except errors.InvalidInput:
                     if ledger is not None:
-                        record_failure(ledger, act.name, planned.files, planned.rejects, ledger_mode)
+                        record_failure(ledger, act.name, planned.files, planned.rejects, ledger_mode, run_id)
                     raise
             if dst is not None:
                 rejects = f"{dst.rstrip('/')}_rejects" if mode == "quarantine" else None
                 planned.save(dst, rejects=rejects, chunk_rows=chunk_rows)
     except errors.Cancelled:
         if ledger is not None:
-            record_cancelled(ledger, act.name, list_files(spark, src), ledger_mode)
+            record_cancelled(ledger, act.name, list_files(spark, src), ledger_mode, run_id)
         raise
     if dst is not None and ledger is not None:
-        record_runs(ledger, act.name, planned.files, planned.rejects, ledger_mode)
+        record_runs(ledger, act.name, planned.files, planned.rejects, ledger_mode, run_id)
     return planned

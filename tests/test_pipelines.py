@@ -7,6 +7,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import flatloom as fl
 
@@ -188,6 +189,50 @@ def test_drop_folder_converts_each_file_once(spark, folder, tmp_path):
     assert spark.read.parquet(f"{out}/batch=1_rejects").count() == 1
 
 
+def test_drop_folder_converts_replaced_files_once_more(spark, folder, tmp_path, monkeypatch):
+    out, checkpoint, ledger = (str(tmp_path / n) for n in ("out", "checkpoint", "ledger"))
+    inbox = folder({"a.csv": "k\n1\n", "b.csv": "k\n2\n", "c.csv": "k\n3\n"})
+
+    def run():
+        fl.drop_folder(spark, "csvToJSON", inbox, out, checkpoint, ledger=ledger).awaitTermination()
+        return sorted(r.value for r in spark.read.text(f"{out}/batch=*[0-9]").collect())
+
+    first = ['{"k":"1"}', '{"k":"2"}', '{"k":"3"}']
+    assert run() == first
+    folder({"a.csv": "k\n10\n"})
+    stamp = os.stat(f"{inbox}/b.csv")
+    os.utime(f"{inbox}/c.csv", (stamp.st_atime + 60, stamp.st_mtime + 60))
+
+    # A repetition that breaks off before its files are noted is done again in its place.
+    def broken(*args, **more):
+        fl.convert(*args, **more)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr("flatloom.streaming.drop_folder.convert", broken)
+        with pytest.raises(KeyboardInterrupt):
+            run()
+    for _ in range(2):
+        assert run() == sorted([*first, '{"k":"10"}', '{"k":"3"}'])
+    folder({"a.csv": "k\n1\n", "d.csv": "k\n4\n"})
+    assert run() == run() == sorted([*first, '{"k":"10"}', '{"k":"3"}', '{"k":"1"}', '{"k":"4"}'])
+    counts = fl.usage_counts(spark.read.parquet(ledger), fl.catalogue(spark)).collect()
+    assert {r.action: r.n for r in counts}["csvToJSON"] == 7
+
+
+def test_a_run_done_again_counts_once(spark, folder, tmp_path):
+    path, ledger = folder({"a.csv": "k\n1\n", "b.csv": "k\n2\n"}), str(tmp_path / "ledger")
+
+    def usage():
+        return {r.action: r.n for r in fl.usage_counts(spark.read.parquet(ledger), fl.catalogue(spark)).collect()}["csvToJSON"]
+
+    for run_id, n in (("x", 2), ("x", 2), ("y", 4), (None, 6), (None, 8)):
+        fl.convert(spark, "csvToJSON", path, str(tmp_path / "out"), ledger=ledger, run_id=run_id)
+        assert usage() == n
+    old = spark.read.parquet(ledger).withColumn("run", F.lit(None).cast("string"))
+    assert {r.n for r in fl.usage_counts(old, fl.catalogue(spark)).collect()} == {10, 0}
+
+
 @pytest.mark.parametrize("content", ["[]", "{", "[{}]", "{}"])
 @pytest.mark.parametrize("layout", ["dataset", "per_file"])
 def test_nothing_to_convert(spark, folder, tmp_path, content, layout):
