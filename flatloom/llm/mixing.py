@@ -13,6 +13,8 @@ and the rest of its dimension is scaled up to the budget. Where cells cannot mee
 once, the last dimension and the budget are met. Every target missed by more than TOLERANCE is
 reported.
 
+`capped_cells` does the same with a fixed number of rounds of one step each.
+
 DataFrame functions only, but for `bounded_cells`, which brings the table of cells (a row per
 source, language and topic that occur together, whole) to the driver. Documents are aggregated to cells at once, so a source with a third
 of all rows is a few rows; rounds work on the cells, and each is a table in the shared folder.
@@ -45,6 +47,11 @@ TOPICS = {
 #: Without given targets, a value's target is its token share to this power, scaled to sum to 1.
 TEMPER = 0.7
 ROUNDS = 8
+#: Rounds of `capped_cells`. A round is one step by dimension; sixteen met the targets to 8e-5 of the
+#: budget on 86 cells and to 1e-7 on 180 cells and more.
+SWEEPS = 16
+#: A cell's weight stays within this factor of its tokens, both ways.
+REACH = 1e12
 #: Tokens of the sample, as a share of all.
 BUDGET = 0.6
 #: A share within this of its target is met.
@@ -108,6 +115,66 @@ def calibrated_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | Non
     return fitted.crossJoin(F.broadcast(total)).withColumn("share", share).select(*DIMENSIONS, "tokens", "share", probability.alias("probability"))
 
 
+def _held(cells: DataFrame, dimension: str, whole: float) -> DataFrame:
+    """(dimension, wanted): the tokens each value is to give, none more than it holds, `whole` in all.
+
+    A value that holds less than its share gives all; the others share what is left.
+    """
+    values = cells.groupBy(dimension).agg(F.sum("held").alias("held"), F.max(f"target_{dimension}").alias("target"))
+    values = materialise(values.filter("held > 0"), "mix-values")
+    scale, n_cut, last = 0.0, 0, -1
+    while n_cut != last:
+        cut = F.col("target") * F.lit(scale) >= F.col("held")
+        sums = values.agg(F.sum(F.when(cut, F.col("held"))), F.sum(F.when(~cut, F.col("target"))), F.count(F.when(cut, 1))).first()
+        last, n_cut = n_cut if scale else -1, sums[2]
+        if sums[1] is None:
+            break
+        scale = max(whole - (sums[0] or 0.0), 0.0) / sums[1]
+    return values.select(dimension, F.least(F.col("held"), F.col("target") * F.lit(scale)).alias(f"wanted_{dimension}"))
+
+
+def capped_cells(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
+    """As `calibrated_cells`, with the bound: the cells; share is that of the sample.
+
+    Each value's cells are scaled by one Newton step towards the sum of least(weight, tokens) that
+    the value is to give, by dimension in turn. What cells cut at their tokens lack is so given by
+    others. DataFrame functions only; numbers of the whole table are all that the driver sees.
+    """
+    cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    fitted = cells
+    for d in DIMENSIONS:
+        fitted = fitted.join(_target(cells, d, (targets or {}).get(d)), d, "left")
+    usable = F.lit(True)
+    for d in DIMENSIONS:
+        usable &= F.coalesce(F.col(f"target_{d}"), F.lit(0.0)) > 0
+    fitted = materialise(fitted.withColumn("held", F.when(usable, F.col("tokens").cast("double")).otherwise(0.0)), "mix-targets")
+    sums = fitted.agg(F.sum("tokens"), F.sum("held")).first()
+    held = sums[1] or 0.0
+    whole = min(budget * (sums[0] or 0), held)
+    for d in DIMENSIONS:
+        fitted = fitted.join(_held(fitted, d, whole), d, "left")
+    fitted = fitted.fillna(0.0, [f"wanted_{d}" for d in DIMENSIONS]).withColumn("w", F.col("held") * F.lit(whole / held if held else 0.0))
+    columns = [*DIMENSIONS, "tokens", "held", *[f"wanted_{d}" for d in DIMENSIONS], "w"]
+    fitted = materialise(fitted.select(*columns), "mix-round")
+    cut = F.col("w") >= F.col("held")
+    bound, free = F.col("bound"), F.col("free")
+    for _ in range(sweeps):
+        for d in DIMENSIONS:
+            given = fitted.groupBy(d).agg(F.sum(F.when(cut, F.col("held")).otherwise(0.0)).alias("bound"), F.sum(F.when(cut, 0.0).otherwise(F.col("w"))).alias("free"))
+            wanted = F.col(f"wanted_{d}")
+            low = wanted < bound + free
+            step = F.when(free > 0, (wanted - bound) / free).when(low, 0.0).otherwise(1.0)
+            step = F.when(low, F.greatest(step, wanted / F.greatest(bound + free, F.lit(1e-300)))).otherwise(step)
+            scaled = F.least(F.greatest(F.col("w") * step, F.col("held") / REACH), F.col("held") * REACH)
+            fitted = fitted.join(given, d).withColumn("w", F.when(F.col("w") > 0, scaled).otherwise(0.0)).select(*columns)
+        fitted = materialise(fitted, "mix-round")
+    tokens = F.least("w", "held")
+    total = fitted.agg(F.sum(tokens).alias("all_given"))
+    share = F.when(F.col("all_given") > 0, tokens / F.col("all_given")).otherwise(0.0)
+    probability = F.when(F.col("tokens") > 0, tokens / F.col("tokens")).otherwise(1.0)
+    return fitted.crossJoin(F.broadcast(total)).select(*DIMENSIONS, "tokens", share.alias("share"), probability.alias("probability"))
+
+
 def _filled(wanted: np.ndarray, held: np.ndarray, whole: float) -> np.ndarray:
     """`wanted`, scaled to sum to `whole` as far as `held` allows, none above what is held."""
     out, free = np.zeros(len(held)), wanted > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import collocations
 from .line_dedup import SHORT
-from .mixing import BUDGET, DIMENSIONS, ROUNDS, TEMPER, TOPICS
+from .mixing import BUDGET, DIMENSIONS, REACH, SWEEPS, TEMPER, TOPICS
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
@@ -70,31 +70,38 @@ def _mixing() -> str:
         f"WHEN {' OR '.join(f"contains(text, '{p}')" for p in parts)} THEN '{name}'" for name, parts in TOPICS.items()
     )
     steps, last = [], "w0"
-    for i in range(ROUNDS * len(DIMENSIONS)):
+    for i in range(SWEEPS * len(DIMENSIONS)):
         d, name = DIMENSIONS[i % len(DIMENSIONS)], f"w{i + 1}"
         steps.append(
-            f"{name} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 "
-            f"THEN w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {last})"
+            f"{name} AS MATERIALIZED (SELECT * EXCLUDE (b, f, s) REPLACE (CASE WHEN w > 0 THEN least(greatest(w * s, tokens / {REACH:.0f}), tokens * {REACH:.0f}) ELSE 0 END AS w) FROM ("
+            f"SELECT *, CASE WHEN v_{d} < b + f THEN greatest(CASE WHEN f > 0 THEN (v_{d} - b) / f ELSE 0 END, v_{d} / greatest(b + f, 1e-300)) "
+            f"WHEN f > 0 THEN (v_{d} - b) / f ELSE 1 END AS s FROM ("
+            f"SELECT *, sum(CASE WHEN w >= tokens THEN tokens ELSE 0 END) OVER (PARTITION BY {d}) AS b, "
+            f"sum(CASE WHEN w >= tokens THEN 0 ELSE w END) OVER (PARTITION BY {d}) AS f FROM {last})))"
         )
         last = name
+    # A value that holds less than its share of the budget gives all: those of the smallest n / t.
     targets = ", ".join(
-        f"t{d} AS (SELECT {d}, pow(sum(n), {TEMPER}) / sum(pow(sum(n), {TEMPER})) OVER () AS t_{d} FROM c GROUP BY {d} HAVING sum(n) > 0)" for d in DIMENSIONS
+        f"t{d} AS (SELECT {d}, sum(n) AS n, pow(sum(n), {TEMPER}) / sum(pow(sum(n), {TEMPER})) OVER () AS t FROM c GROUP BY {d} HAVING sum(n) > 0), "
+        f"x{d} AS (SELECT *, t * (m.whole - sum(n) OVER up + n) / sum(t) OVER down >= n AS cut FROM t{d}, m "
+        f"WINDOW up AS (ORDER BY n / t, {d} ROWS UNBOUNDED PRECEDING), down AS (ORDER BY n / t DESC, {d} DESC ROWS UNBOUNDED PRECEDING)), "
+        f"v{d} AS (SELECT {d}, CASE WHEN cut THEN n ELSE t * (whole - coalesce(sum(n) FILTER (cut) OVER (), 0)) / sum(t) FILTER (NOT cut) OVER () END AS v_{d} FROM x{d})"
+        for d in DIMENSIONS
     )
-    joins = " ".join(f"LEFT JOIN t{d} USING ({d})" for d in DIMENSIONS)
-    names = ", ".join(f"coalesce(t_{d}, 0) AS t_{d}" for d in DIMENSIONS)
+    joins = " ".join(f"LEFT JOIN v{d} USING ({d})" for d in DIMENSIONS)
+    names = ", ".join(f"coalesce(v_{d}, 0) AS v_{d}" for d in DIMENSIONS)
     return rf"""
     WITH d AS MATERIALIZED (
         SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {topics} ELSE 'prose' END AS topic,
                len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS n
         FROM documents),
     c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS n FROM d GROUP BY ALL),
+    m AS (SELECT {BUDGET} * sum(n) AS whole FROM c),
     {targets},
-    w0 AS MATERIALIZED (SELECT source, lang, topic, n AS tokens, n AS w, {names} FROM c {joins}),
+    w0 AS MATERIALIZED (SELECT source, lang, topic, n AS tokens, {BUDGET} * n AS w, {names} FROM c {joins}),
     {", ".join(steps)},
     p AS (
-        SELECT source, lang, topic, CASE WHEN tokens > 0
-            THEN least(1, {BUDGET} * sum(tokens) OVER () * (CASE WHEN sum(w) OVER () > 0 THEN w / sum(w) OVER () ELSE 0 END) / tokens) ELSE 1 END AS p
-        FROM {last})
+        SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(w, tokens) / tokens ELSE 1 END AS p FROM {last})
     SELECT doc_id, topic, n AS n_tokens, round(p, 6) AS probability,
            CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 < p AS sampled
     FROM d JOIN p USING (source, lang, topic)

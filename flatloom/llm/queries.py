@@ -17,7 +17,7 @@ from .html_text import extract
 from .kd_shards import kd_shards
 from .licenses import license_scan
 from .line_dedup import dedup_lines
-from .mixing import calibrated_cells, sampled, with_cell
+from .mixing import capped_cells, sampled, with_cell
 from .near_dedup import near_duplicates
 from .quality import learn as learn_quality
 from .quality import quality_score
@@ -65,7 +65,7 @@ def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_raked_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = with_cell(table(spark, sf_dir, "documents")).select("doc_id", "mix_cell")
     documents = materialise(documents, "mix-rows")
-    found = sampled(documents, calibrated_cells(documents.select("mix_cell.*")))
+    found = sampled(documents, capped_cells(documents.select("mix_cell.*")))
     return found.select(
         "doc_id", "mix_cell.topic", F.col("mix_cell.tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_sampled").alias("sampled")
     )

@@ -9,7 +9,7 @@ from llm_brute import deduped_lines
 import corpus_pipeline
 from flatloom.llm.kd_shards import kd_shards
 from flatloom.llm.line_dedup import dedup_lines
-from flatloom.llm.mixing import DIMENSIONS, ROUNDS, TEMPER, bounded_cells, calibrated_cells, sampled, with_cell
+from flatloom.llm.mixing import DIMENSIONS, ROUNDS, TEMPER, TOLERANCE, bounded_cells, calibrated_cells, capped_cells, sampled, with_cell
 
 DOCS = "doc_id long, text string, lang string, source string, shard string, node int"
 
@@ -155,6 +155,29 @@ def test_bounded_cells(spark):
     assert cells.collect() == [] and missed == []
 
 
+@pytest.mark.parametrize("targets", [None, {"source": {"a": 0.6, "b": 0.3, "absent": 0.1}, "lang": {"en": 1.0}}])
+def test_capped_cells_are_those_of_the_bound(spark, targets):
+    """Rounds of single steps end where the exact calibration does; every target that can be met is."""
+    rng = random.Random(4)
+    rows = [(s, la, t, int(rng.lognormvariate(5, 2))) for s in "abcdefgh" for la in ("en", "de", "fr") for t in ("prose", "table", "legal") for _ in range(3)]
+    rows += [("a", "en", "prose", 60_000), ("i", "en", "prose", 0)]
+    frame = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    exact = {tuple(r[d] for d in DIMENSIONS): r for r in bounded_cells(frame, targets, budget=0.4)[0].collect()}
+    found = capped_cells(frame, targets, budget=0.4).collect()
+    assert len(found) == len(exact)
+    for r in found:
+        e = exact[tuple(r[d] for d in DIMENSIONS)]
+        assert abs(r.share - e.share) < 10 * TOLERANCE and r.tokens == e.tokens and 0 <= r.probability <= 1
+        assert abs(r.probability - e.probability) * r.tokens < 10 * TOLERANCE * sum(x[3] for x in rows)
+    for i in range(3):
+        own, whole = reached(found, i)
+        for value, share in reached(exact.values(), i)[0].items():
+            assert abs(own[value] - share) < TOLERANCE
+    assert capped_cells(frame.limit(0), targets).collect() == []
+    nothing = capped_cells(frame.filter("tokens = 0")).collect()
+    assert {(r.share, r.probability) for r in nothing} == {(0.0, 1.0)}
+
+
 def test_pipeline_mix_meets_what_can_be_met(spark):
     rng = random.Random(6)
     rows = []
