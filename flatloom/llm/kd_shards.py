@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 #: Sums and units a step brings to the driver.
 SUMS = 1 << 14
@@ -44,10 +44,22 @@ _LAST = (1 << 63) - 1
 _VALUE_SQL = f"element_at(array({', '.join(DIMENSIONS)}), dimension + 1)"
 
 
-def _ordered(value: Column) -> Column:
-    """A number that orders texts by their first six bytes."""
-    digits = F.rpad(F.hex(F.substring(F.coalesce(value.cast("string"), F.lit("")).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(digits, 16, 10).cast("bigint")
+#: The bits of monotonically_increasing_id that count the rows of a partition.
+_ROW_BITS = 33
+
+
+def _codes(rows: DataFrame, column: str) -> DataFrame:
+    """(value, code): the whole values of a text column, numbered from 1 in their order.
+
+    Distinct values are sorted in ranges, each range by one task; a row per range carries the counts.
+    """
+    values = rows.select(F.col(column).alias("value")).filter("value is not null").distinct()
+    values = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("place", F.monotonically_increasing_id())
+    values = materialise(values, "kd-values").withColumn("span", F.shiftright("place", _ROW_BITS))
+    earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = values.groupBy("span").agg(F.count("*").alias("n")).select("span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    code = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    return materialise(values.join(F.broadcast(spans), "span").select("value", code.alias("code")), "kd-codes")
 
 
 @dataclass
@@ -73,18 +85,21 @@ def _rows(documents: DataFrame) -> DataFrame:
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
     digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
     half = lambda i: F.conv(F.substring("digest", i, 15), 16, 10).cast("bigint")
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    number = F.col("doc_id").cast("bigint") if kind in ("bigint", "int", "smallint", "tinyint") else _ordered(F.col("doc_id"))
+    numeric = documents.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     rows = documents.select(
         "doc_id",
         size.alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
         digest.alias("digest"),
-        F.coalesce(_ordered(F.col("source")), F.lit(0)).alias("source"),
-        F.coalesce(_ordered(F.col("lang")), F.lit(0)).alias("lang"),
-        F.coalesce(number, F.lit(0)).alias("number"),
+        F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("doc_id").cast("bigint" if numeric else "string").alias("number"),
     )
-    return rows.select("doc_id", "size", "text_crc32", "source", "lang", "number", half(1).alias("k1"), half(16).alias("k2"))
+    for column in ("source", "lang") if numeric else ("source", "lang", "number"):
+        codes = broadcast_if_small(_codes(rows, column))
+        rows = rows.join(codes, F.col(column) == F.col("value"), "left").withColumn(column, F.col("code")).drop("value", "code")
+    values = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("source", "lang", "number")]
+    return rows.select("doc_id", "size", "text_crc32", *values, half(1).alias("k1"), half(16).alias("k2"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:

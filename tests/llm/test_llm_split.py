@@ -86,6 +86,22 @@ def raked(cells, rounds):
     return weight, targets
 
 
+def test_values_that_begin_alike_are_split(spark):
+    """Sources and ids are compared whole: one that is as wide as its values is split along."""
+    sources = ["https://example.org/a", "https://example.org/b", "https://example.org/c", "https://example.org/zz"]
+    rows = [(f"https://id/{i:04}", f"text {i:04}", "en", sources[i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    found = {r.doc_id: r.shard for r in kd_shards(docs, shards=4).collect()}
+    by_shard = {}
+    for doc_id, _, _, source in rows:
+        by_shard.setdefault(found[doc_id], []).append((source, doc_id))
+    assert sorted(len(v) for v in by_shard.values()) == [100] * 4
+    # Each shard is one range of sources or one of ids.
+    for own in by_shard.values():
+        ids = sorted(d for _, d in own)
+        assert len({s for s, _ in own}) < 4 or int(ids[-1][-4:]) - int(ids[0][-4:]) < 400 / len(by_shard) * 2
+
+
 def test_raking(spark):
     rng = random.Random(3)
     texts = [(i, " ".join(["word"] * int(rng.lognormvariate(3, 1))) + rng.choice(["", " | x", "!!", " @"])) for i in range(900)]
