@@ -3,21 +3,30 @@
 Learning, over all training documents (every pass is a scan of their whole texts):
 
 1. Token counts: aggregated by Spark, kept as a table in the shared folder; its size follows
-   the corpus. The `vocabulary` most frequent words go to the executors, the rest never does.
-2. Bigram counts of the `frequent` most frequent words and the end of a text, which is also
-   what precedes a text.
-3. Exchange clustering of those words: each in turn moves to the class with the highest
-   likelihood of the class bigrams, until a sweep moves none. The matrix has `frequent` squared
-   cells, whatever the corpus.
-4. One exchange step for all other words of the vocabulary, on Spark: counts of their
-   neighbours' classes decide. Rarer words form one class of their own.
-5. Class transitions over all training tokens.
+   the corpus. The head, words from the least count at which at most `vocabulary` words are as
+   frequent, goes to the executors; the counts' histogram gives that count. All other words,
+   the tail, stay in Spark tables.
+2. Exchange clustering of the `frequent` most frequent words, one after the other, starts the
+   classes: each in turn moves to the class with the highest likelihood of the class bigrams,
+   until a sweep moves none or gains little. The matrix has `frequent` squared cells. All other
+   words start in one more class, that of unknown words.
+3. Exchange sweeps over the whole head, as Spark jobs: counts of the classes beside each word
+   are aggregated, and every word moves to its best class at once, in the first sweep by
+   neighbours among the frequent words only. Sweeps go on until none moves
+   or one gains less than `MIN_GAIN` of the information the classes share; one that loses is undone.
+4. Two exchange steps for every word of the tail, as joins: first by its neighbours in the head,
+   then by all its neighbours and their classes.
+5. Class transitions over all training tokens, those of the tail by joins.
+
+Every word of the corpus may move. To leave the class of unknown words, it must gain more than
+log(classes), the price of naming its class; words seen too rarely to tell stay there, and what
+is learned of them holds for words never seen.
 
 Scoring: log10 P = sum over tokens of log10 P(class | class before) + log10 P(token | class),
 with P(class | before) = (n(before, class) + SMOOTH * P(class)) / (n(before) + SMOOTH) and
 P(token | class) = (n(token) + 0.5) / (n(class) + 0.5 * size). Unknown tokens are one more word
-of the rare class, so that the probabilities sum to one. Counts of rare tokens come by a join on
-their hash; their part of the score is a sum, so the texts are not shuffled.
+of their class, so that the probabilities sum to one. Classes and counts of tail tokens come by
+a join on their hash; what they add to the score is a sum, so the texts are not shuffled.
 
 Edge cases: null and empty texts are one end token. Rows that repeat an id are scored each by
 its own text. With no training tokens, score equals base_score. A null id has the remainder of
@@ -40,7 +49,8 @@ from .tokens import SPACED, word_slices
 CLASSES = 64
 FREQUENT = 1024
 VOCABULARY = 1 << 18
-SWEEPS = 6
+#: A sweep that gains less than this share of what the classes tell about each other is the last.
+MIN_GAIN = 0.02
 SMOOTH = 4.0
 #: The end token, a number no word hash is expected to be.
 END = 1
@@ -131,11 +141,19 @@ def _before(ids: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
+def information(table: np.ndarray) -> float:
+    """What classes tell about the next one: sum of n log n over cells less that over margins."""
+    log = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    n = table.sum()
+    return log(table) - log(table.sum(axis=0)) - log(table.sum(axis=1)) + float(n * np.log(max(n, 1)))
+
+
+def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     """Classes of the rows of a square matrix of bigram counts, by exchange clustering.
 
     Words start, by frequency, one in each class in turn. A word moves to the class with the
-    highest sum of n log n over class bigrams less that over both class margins.
+    highest sum of n log n over class bigrams less that over both class margins. Sweeps end
+    when none moves, or one gains less than a thousandth of `information`; every move gains.
     """
     n = len(bigrams)
     weight = bigrams.sum(axis=0) + bigrams.sum(axis=1)
@@ -145,8 +163,9 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     member[np.arange(n), of] = 1
     log = lambda x: x * np.log(np.maximum(x, 1))
     table = member.T @ bigrams @ member
-    for _ in range(sweeps):
-        moved = 0
+    reached, last = information(table), -np.inf
+    while reached > last + 1e-3 * abs(reached):
+        moved, last = 0, reached
         for w in np.argsort(-weight, kind="stable"):
             if not weight[w]:
                 continue
@@ -179,17 +198,27 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
                 moved += 1
         if not moved:
             break
+        reached = information(table)
     return of
 
 
-def _assign(counts: DataFrame, transitions: np.ndarray, size: int, classes: int) -> DataFrame:
-    """One exchange step for words given by the classes of their neighbours: (id, class).
+def _gather(cells: DataFrame, word: str) -> DataFrame:
+    """One row per word with the counts of what stands beside it: at most four per class."""
+    return cells.groupBy(word).agg(F.collect_list(F.struct(F.col("key").cast("bigint"), F.col("n").cast("bigint"))).alias("near"))
+
 
-    `counts` has a row per word, side (0: class before, 1: class after) and class.
+def _assign(words: DataFrame, table: np.ndarray, told: bool = True) -> DataFrame:
+    """One exchange step: the columns of `words`, the best class of each and its count n.
+
+    `near` lists (key, n): key is the class of a neighbour plus 0 if it stands before, one number
+    of classes if after, plus two numbers of classes for neighbours of the tail. The last class is
+    that of unknown words, the others have their price. Unless `told`, neighbours of that class say nothing yet.
     """
-    smooth = transitions + 0.1
+    classes = len(table)
+    smooth = table + 0.1
     after = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     totals = np.log(smooth.sum(axis=0))
+    price = np.append(np.full(classes - 1, np.log(max(classes - 1, 1))), 0.0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,54 +227,200 @@ def _assign(counts: DataFrame, transitions: np.ndarray, size: int, classes: int)
             lists = batch.column(1)
             row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
             pairs = lists.flatten()
-            key, n = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-            near = np.zeros((len(batch), 2 * classes))
-            np.add.at(near, (row, key), n)
-            gain = near[:, :classes] @ after + near[:, classes:] @ after.T - near.sum(axis=1, keepdims=True) * totals / 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain.argmax(axis=1).astype(np.int64))], names=["id", "class"])
+            key, n = pairs.field(0).to_numpy() % (2 * classes), pairs.field(1).to_numpy()
+            near = np.bincount(row * 2 * classes + key, weights=n, minlength=len(batch) * 2 * classes).reshape(-1, 2 * classes)
+            befores = near[:, :classes].sum(axis=1)
+            if not told:
+                near[:, [classes - 1, 2 * classes - 1]] = 0
+            gain = near[:, :classes] @ (after - totals) + near[:, classes:] @ after.T - price
+            columns = [batch.column(0), lists, pa.array(gain.argmax(axis=1).astype(np.int64)), pa.array(befores.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "near", "class", "n"])
 
-    words = counts.groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("near"))
-    return words.mapInArrow(scan, "id bigint, class bigint")
+    schema = "word bigint, near array<struct<key:bigint,n:bigint>>, class bigint, n bigint"
+    return words.toDF("word", "near").mapInArrow(scan, schema)
 
 
 @dataclass
 class ClassModel:
-    """What scoring needs: the lexicon and the logarithms of transitions and emissions.
+    """What scoring needs: the head's lexicon and the logarithms of transitions and emissions.
 
-    `counts` is the table (hash, n) of all training tokens.
+    `tail` is the table (hash, n, class) of all other training words. The last class holds
+    unknown words.
     """
 
-    counts: DataFrame
+    tail: DataFrame | None
     n_tokens: int
     n_types: int
     lexicon: Lexicon
     frequency: np.ndarray
     of: np.ndarray
     transition: np.ndarray
-    emission: np.ndarray
-    rare_log: float
+    per_class: np.ndarray
 
 
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("text").cast("string").alias("text"))
 
 
+def _head(counts: DataFrame, vocabulary: int) -> pa.Table:
+    """The end token and all words from the least count at which at most `vocabulary` are as frequent.
+
+    Counts from 4,096 on are told apart by 256 steps per doubling, so the histogram is small.
+    """
+    step = F.expr("if(n < 4096, n, 4096 + cast(floor(256 * log2(n / 4096)) as bigint))")
+    steps = sorted(((r.step, r.types) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("types")).collect()), reverse=True)
+    held, least = 0, None
+    for at, types in steps:
+        held += types
+        if held > vocabulary:
+            break
+        least = at
+    wanted = F.col("hash") == END
+    return counts.filter(wanted if least is None else wanted | (step >= least)).toArrow().sort_by([("n", "descending"), ("hash", "ascending")])
+
+
+def _sweeps(texts: DataFrame, lexicon: Lexicon, of: np.ndarray, end: int, classes: int) -> np.ndarray:
+    """Classes of all words of the head, from those in `of`; the tail counts as unknown words."""
+    send = texts.sparkSession.sparkContext.broadcast
+    words = send((lexicon.order, lexicon.sorted))
+    last, kept, told = -np.inf, of, False
+    while True:
+        # The tail is one more word, which never moves.
+        now = send(np.append(of, classes - 1))
+
+        def near(tokens: np.ndarray, first: np.ndarray, now=now) -> np.ndarray:
+            ids = Lexicon(*words.value).ids(tokens)
+            before, of = _before(ids, first, end), now.value
+            return np.concatenate([ids * 2 * classes + of[before], (before * 2 + 1) * classes + of[ids]])
+
+        cells = _count(texts, near, "k").select(F.expr(f"k div {2 * classes}").alias("id"), F.expr(f"k % {2 * classes}").alias("key"), "n")
+        cells = materialise(_gather(cells, "id"), "class-neighbours")
+
+        def own(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = batch.column(1).flatten()
+                word = np.repeat(now.value[batch.column(0).to_numpy()], np.diff(batch.column(1).offsets.to_numpy()))
+                key, n = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+                use = key < classes
+                keys, where = np.unique(key[use] * classes + word[use], return_inverse=True)
+                sums = np.bincount(where, weights=n[use], minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], names=["cell", "n"])
+
+        table = _square(cells.mapInArrow(own, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), classes)
+        reached = information(table)
+        if reached < last:
+            return kept
+        if reached - last < MIN_GAIN * abs(reached):
+            return of
+        placed = _assign(cells.filter(F.col("id") < lexicon.rare), table, told).select("word", "class").toArrow()
+        kept, of = of, of.copy()
+        of[placed["word"].to_numpy()] = placed["class"].to_numpy()
+        if (of == kept).all():
+            return of
+        last, told = reached, True
+
+
+def _square(cells: DataFrame, side: int) -> np.ndarray:
+    """A matrix of side * side cells from rows (cell, n)."""
+    found, out = cells.toArrow(), np.zeros(side * side)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(side, side)
+
+
+#: Kinds of rows of the table of steps: head to head by classes, a tail word beside a class, two tail words.
+HEADS, BESIDE, TAILS = 0, 1, 2
+
+
+def _steps(texts: DataFrame, lexicon: Lexicon, of: np.ndarray, end: int, classes: int) -> DataFrame:
+    """All steps of the texts, counted: (kind, a, b, n).
+
+    HEADS: a is the cell of both classes. BESIDE: a is the tail word, b the class of the head
+    word before it, or that of the one after it plus the number of classes. TAILS: both words.
+    """
+    known = texts.sparkSession.sparkContext.broadcast((lexicon.order, lexicon.sorted, of))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, ordered, of = known.value
+        lexicon, of = Lexicon(order, ordered), np.append(of, classes - 1)
+        heads = np.zeros(classes * classes, dtype=np.int64)
+        for batch in batches:
+            for _, tokens, first in _tokens(batch.column(0)):
+                if not len(tokens):
+                    continue
+                ids = lexicon.ids(tokens)
+                before = _before(ids, first, end)
+                left = _before(tokens, first, END)
+                tail, tail_before = ids == lexicon.rare, before == lexicon.rare
+                both = ~tail & ~tail_before
+                heads += np.bincount(of[before[both]] * classes + of[ids[both]], minlength=len(heads))
+                one, two, pair = tail & ~tail_before, ~tail & tail_before, tail & tail_before
+                sizes = [int(x.sum()) for x in (one, two, pair)]
+                yield _step_rows(
+                    np.repeat([BESIDE, BESIDE, TAILS], sizes),
+                    np.concatenate([tokens[one], left[two], left[pair]]),
+                    np.concatenate([of[before[one]], of[ids[two]] + classes, tokens[pair]]),
+                    np.ones(sum(sizes), dtype=np.int64),
+                )
+        cells = np.flatnonzero(heads)
+        yield _step_rows(np.full(len(cells), HEADS), cells, np.zeros(len(cells), dtype=np.int64), heads[cells])
+
+    rows = texts.mapInArrow(scan, "kind int, a bigint, b bigint, n bigint")
+    return rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _step_rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
+
+
+def _classed(pairs: DataFrame, tail: DataFrame) -> DataFrame:
+    """Pairs (a, b, n) of tail words with the classes of both: a_class, b_class; null for unknown words."""
+    for side in ("a", "b"):
+        pairs = pairs.join(tail.select(F.col("hash").alias(side), F.col("class").alias(f"{side}_class")), side, "left")
+    return pairs
+
+
+def _tail_classes(steps: DataFrame, heads: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """The table (hash, n, class) of tail words, and `heads` with the steps from and to them."""
+    classes = len(heads)
+    rare = classes - 1
+    # All steps, with every tail word among the unknown ones.
+    start = F.expr(f"case when kind = {TAILS} then {classes * rare + rare} when b < {classes} then b * {classes} + {rare} else {rare * classes - classes} + b end")
+    start = steps.filter(F.col("kind") != HEADS).groupBy(start.cast("bigint").alias("cell")).agg(F.sum("n").alias("n"))
+    table = heads + _square(start, classes)
+    beside = steps.filter(F.col("kind") == BESIDE).select(F.col("a").alias("hash"), F.col("b").alias("key"), "n")
+    pairs = steps.filter(F.col("kind") == TAILS).select("a", "b", "n")
+    first = _assign(_gather(beside, "hash"), table).select(F.col("word").alias("hash"), "class")
+    first = materialise(first, "tail-first")
+    c = F.lit(2 * classes)
+    near = _classed(pairs, first).fillna(rare, ["a_class", "b_class"])
+    right = near.select(F.col("b").alias("hash"), (F.col("a_class") + c).alias("key"), "n")
+    left = near.select(F.col("a").alias("hash"), (F.col("b_class") + c + classes).alias("key"), "n")
+    cells = beside.unionByName(right).unionByName(left).groupBy("hash", "key").agg(F.sum("n").alias("n"))
+    tail = materialise(_assign(_gather(cells, "hash"), table).withColumnRenamed("word", "hash"), "tail-classes")
+    k = F.lit(classes)
+    own = tail.select("class", F.explode("near").alias("x")).select("class", "x.key", "x.n").filter(F.col("key") < c)
+    cell = F.when(F.col("key") < k, F.col("key") * k + F.col("class")).otherwise(F.col("class") * k + F.col("key") - k)
+    heads = heads + _square(own.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")), classes)
+    cell = F.col("a_class") * k + F.col("b_class")
+    heads = heads + _square(_classed(pairs, tail).groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")), classes)
+    return tail.select("hash", "n", "class"), heads
+
+
 def learn(training: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT, vocabulary: int = VOCABULARY) -> ClassModel:
     """Fit the model on all rows of `training` (column text)."""
-    spark = training.sparkSession
     texts = _texts(training)
     counts = materialise(_count(texts, lambda hashes, first: hashes, "hash"), "token-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_types = total.n or 0, total.v
-    top = counts.orderBy(F.desc("n"), "hash").limit(vocabulary).toArrow()
-    hashes, frequency = top["hash"].to_numpy(), top["n"].to_numpy()
-    lexicon = Lexicon.of(hashes)
-    end = int(np.flatnonzero(hashes == END)[0]) if n_tokens and (hashes == END).any() else 0
-    m, v = min(frequent, len(hashes)), len(hashes)
-    send = spark.sparkContext.broadcast
-
-    # Bigrams of the frequent words; the end token counts as frequent wherever it stands.
-    words = send((lexicon.order, lexicon.sorted))
+    head = _head(counts, vocabulary)
+    hashes, frequency = head["hash"].to_numpy(), head["n"].to_numpy()
+    lexicon, v = Lexicon.of(hashes), len(hashes)
+    k = classes + 1
+    if not n_tokens:
+        return ClassModel(None, 0, 0, lexicon, frequency, np.zeros(0, dtype=np.int64), np.full((k, k), -np.log10(k)), np.zeros(k))
+    end = int(np.flatnonzero(hashes == END)[0])
+    m = min(frequent, v)
+    words = texts.sparkSession.sparkContext.broadcast((lexicon.order, lexicon.sorted))
 
     def bigrams(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         ids = Lexicon(*words.value).ids(tokens)
@@ -253,124 +428,134 @@ def learn(training: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT,
         both = (ids < m) & (before < m)
         return before[both] * m + ids[both]
 
-    cells = _count(texts, bigrams, "cell").toArrow() if m else None
-    matrix = np.zeros(m * m)
-    if m:
-        matrix[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    matrix = matrix.reshape(m, m)
-    of = np.full(v + 1, classes, dtype=np.int64)
-    of[:m] = exchange(matrix, classes) if m else 0
-    member = np.zeros((m, classes))
-    member[np.arange(m), of[:m]] = 1
-
-    if v > m:
-        frequent_of = send(of[:m].copy())
-
-        def near(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-            ids = Lexicon(*words.value).ids(tokens)
-            before = _before(ids, first, end)
-            after_known = (before >= m) & (before < v) & (ids < m)
-            known_before = (ids >= m) & (ids < v) & (before < m)
-            one = ids[known_before] * 2 * classes + frequent_of.value[before[known_before]]
-            two = (before[after_known] * 2 + 1) * classes + frequent_of.value[ids[after_known]]
-            return np.concatenate([one, two])
-
-        sides = _count(texts, near, "k").select(
-            F.expr(f"k div {2 * classes}").alias("id"), F.expr(f"k % {2 * classes}").alias("key"), "n"
-        )
-        placed = _assign(sides, member.T @ matrix @ member, v, classes).toArrow()
-        of[placed["id"].to_numpy()] = placed["class"].to_numpy()
-    # Words of the vocabulary that never stand beside a frequent one stay with the rare words.
-    k = classes + 1
-    all_of = send(of)
-
-    def steps(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        ids = Lexicon(*words.value).ids(tokens)
-        return all_of.value[_before(ids, first, end)] * k + all_of.value[ids]
-
-    table = np.zeros(k * k)
-    if n_tokens:
-        cells = _count(texts, steps, "cell").toArrow()
-        table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    table = table.reshape(k, k)
-    in_class, sizes = table.sum(axis=0), np.bincount(of[:v], minlength=k).astype(float)
-    sizes[classes] += n_types - v + 1
+    of = np.full(v, classes, dtype=np.int64)
+    of[:m] = exchange(_square(_count(texts, bigrams, "cell"), m), classes)
+    of = _sweeps(texts, lexicon, of, end, k)
+    steps = _steps(texts, lexicon, of, end, k)
+    tail, sizes = None, np.bincount(of, minlength=k).astype(float)
+    in_class = np.bincount(of, weights=frequency, minlength=k)
+    if n_types > v:
+        steps = materialise(steps, "class-steps")
+    table = _square(steps.filter(F.col("kind") == HEADS).select(F.col("a").alias("cell"), "n"), k)
+    if n_types > v:
+        tail, table = _tail_classes(steps, table)
+        own = tail.groupBy("class").agg(F.count("*").alias("types"), F.sum("n").alias("n")).toArrow()
+        at = own["class"].to_numpy()
+        sizes[at] += own["types"].to_numpy()
+        in_class[at] += own["n"].to_numpy()
+    sizes[classes] += 1
     share = (in_class + 0.5) / (in_class + 0.5).sum()
     transition = np.log10((table + SMOOTH * share) / (table.sum(axis=1, keepdims=True) + SMOOTH))
     per_class = np.log10(in_class + 0.5 * np.maximum(sizes, 1))
-    emission = np.append(np.log10(frequency + 0.5) - per_class[of[:v]], 0.0)
-    return ClassModel(counts, n_tokens, n_types, lexicon, frequency, of, transition, emission, float(per_class[classes]))
+    return ClassModel(tail, n_tokens, n_types, lexicon, frequency, of, transition, per_class)
 
 
 def scores(documents: DataFrame, model: ClassModel) -> DataFrame:
     """Per row of `documents`: doc_id, n_tokens, n_known, base_score and score."""
     spark = documents.sparkSession
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    n, v = model.n_tokens, model.n_types
-    floor = float(np.log10(n + 0.5 * (v + 1)))
-    log_count = np.append(np.log10(model.frequency + 0.5), 0.0)
-    known = spark.sparkContext.broadcast((model.lexicon.order, model.lexicon.sorted, model.of, model.transition, model.emission, log_count))
-    end = int(np.flatnonzero(model.lexicon.sorted == END)[0]) if (model.lexicon.sorted == END).any() else -1
-    end = int(model.lexicon.order[end]) if end >= 0 else model.lexicon.rare
+    n, v, classes = model.n_tokens, model.n_types, len(model.transition)
+    floor, rare_log = float(np.log10(n + 0.5 * (v + 1))), float(np.log10(0.5))
+    log_count = np.append(np.log10(model.frequency + 0.5), rare_log)
+    # Without a tail, words beyond the head are unknown ones and have the class of these.
+    whole = model.tail is None
+    of = np.append(model.of, classes - 1)
+    known = spark.sparkContext.broadcast((model.lexicon.order, model.lexicon.sorted, of, model.transition, model.per_class, log_count))
+    at = np.flatnonzero(model.lexicon.sorted == END)
+    end = int(model.lexicon.order[at[0]]) if len(at) else model.lexicon.rare
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, ordered, of, transition, emission, log_count = known.value
+        order, ordered, of, transition, per_class, log_count = known.value
         lexicon = Lexicon(order, ordered)
         for batch in batches:
             for lo, tokens, first in _tokens(batch.column(2)):
                 if not len(tokens):
                     continue
                 ids, hi = lexicon.ids(tokens), lo + len(first) - 1
-                classes = of[ids]
-                steps = transition[of[_before(ids, first, end)], classes] + emission[ids]
-                rare, heads = ids == lexicon.rare, first[:-1]
-                places = np.flatnonzero(rare)
-                cut = np.searchsorted(places, first).astype(np.int32)
+                before, heads = _before(ids, first, end), first[:-1]
+                tail = np.zeros(len(ids), dtype=bool) if whole else ids == lexicon.rare
+                tail_before = np.zeros(len(ids), dtype=bool) if whole else before == lexicon.rare
+                own, last = of[ids], of[before]
+                steps = np.where(tail | tail_before, 0.0, transition[last, own])
+                emission = np.where(tail, 0.0, log_count[ids] - per_class[own])
+                # Per tail token the class before and after it, or -1 where a tail token stands there.
+                places, pairs = np.flatnonzero(tail), np.flatnonzero(tail & tail_before)
+                follow = np.append(own[1:], 0)[places]
+                follow = np.where(np.append(tail[1:], False)[places], -1, follow)
+                lead = np.where(tail_before[places], -1, last[places])
+                cut, pair_cut = (np.searchsorted(p, first).astype(np.int32) for p in (places, pairs))
+                lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         batch.column(1).slice(lo, hi - lo),
                         pa.array(np.diff(first)),
-                        pa.array(np.add.reduceat((~rare).astype(np.int64), heads)),
-                        pa.array(np.add.reduceat(steps, heads)),
-                        pa.array(np.add.reduceat(log_count[ids], heads)),
-                        pa.ListArray.from_arrays(pa.array(cut), pa.array(tokens[places])),
+                        pa.array(np.add.reduceat((ids != lexicon.rare).astype(np.int64), heads)),
+                        pa.array(np.add.reduceat(steps + emission, heads)),
+                        pa.array(np.add.reduceat(np.where(tail, 0.0, log_count[ids]), heads)),
+                        lists(cut, tokens[places]),
+                        lists(cut, ((lead + 1) * (classes + 1) + follow + 1).astype(np.int32)),
+                        lists(pair_cut, tokens[pairs - 1]),
+                        lists(pair_cut, tokens[pairs]),
                     ],
-                    names=["doc_id", "text_key", "n_tokens", "n_local", "local_score", "local_base", "rare"],
+                    names=["doc_id", "text_key", "n_tokens", "n_local", "local_score", "local_base", "rare", "beside", "lefts", "rights"],
                 )
 
     text = F.col("text").cast("string")
     docs = documents.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    columns = "n_tokens bigint, n_local bigint, local_score double, local_base double, rare array<bigint>"
-    local = docs.mapInArrow(scan, f"doc_id {id_type}, text_key bigint, {columns}")
-    if n <= int(model.frequency.sum()):
-        # The vocabulary holds every training token: rare ones are unknown.
-        rare_n, rare_known, rare_sum = F.size("rare"), F.lit(0), F.size("rare") * F.lit(float(np.log10(0.5)))
-        out = local
-    else:
-        local = materialise(local, "local-scores")
-        tokens = local.filter(F.size("rare") > 0).select("doc_id", "text_key", F.explode("rare").alias("hash"))
-        # One row per text and token; rows that repeat a text are told apart by dividing.
-        tokens = tokens.groupBy("doc_id", "text_key", "hash").agg(F.count("*").alias("tf"))
-        logs = tokens.join(model.counts.withColumnRenamed("n", "c"), "hash", "left")
-        logs = logs.groupBy(F.col("doc_id").alias("rare_id"), F.col("text_key").alias("rare_key")).agg(
-            F.sum("tf").alias("all_n"),
-            F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"),
-        )
-        same = F.col("doc_id").eqNullSafe(F.col("rare_id")) & (F.col("text_key") == F.col("rare_key"))
-        out = local.join(logs, same, "left")
-        copies = F.coalesce(F.col("all_n") / F.nullif(F.size("rare"), F.lit(0)), F.lit(1.0))
-        rare_n = F.size("rare")
-        rare_known = (F.coalesce("rare_known", F.lit(0)) / copies).cast("bigint")
-        rare_sum = F.coalesce("rare_sum", F.lit(0.0)) / copies
-    base = F.col("local_base") + rare_sum - F.col("n_tokens") * F.lit(floor)
-    score = F.col("local_score") + rare_sum - rare_n * F.lit(model.rare_log)
+    columns = "n_tokens bigint, n_local bigint, local_score double, local_base double"
+    columns += ", rare array<bigint>, beside array<int>, lefts array<bigint>, rights array<bigint>"
+    out = docs.mapInArrow(scan, f"doc_id {id_type}, text_key bigint, {columns}")
+    tail_known, tail_base, tail_score = F.lit(0), F.lit(0.0), F.lit(0.0)
+    if not whole:
+        out = materialise(out, "local-scores")
+        added = _tail_scores(out, model)
+        out = out.withColumn("n_rare", F.size("rare")).drop("rare", "beside", "lefts", "rights")
+        same = F.col("doc_id").eqNullSafe(F.col("tail_id")) & (F.col("text_key") == F.col("tail_key"))
+        out = out.join(added, same, "left")
+        copies = F.coalesce(F.col("tail_n") / F.nullif("n_rare", F.lit(0)), F.lit(1.0))
+        tail_known, tail_base, tail_score = (F.coalesce(c, F.lit(0)) / copies for c in ("tail_known", "tail_base", "tail_score"))
+    # Without training tokens every token has probability one.
+    base = F.col("local_base") + tail_base - F.col("n_tokens") * F.lit(floor) if n else F.lit(0.0)
+    score = F.col("local_score") + tail_score
     return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_local") + rare_known).cast("bigint").alias("n_known"),
+        (F.col("n_local") + tail_known).cast("bigint").alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
         (score if n else base).alias("score"),
     )
+
+
+def _tail_scores(local: DataFrame, model: ClassModel) -> DataFrame:
+    """What tail tokens add, per text: (tail_id, tail_key, tail_n, tail_known, tail_base, tail_score).
+
+    Rows that repeat an id and its text are summed: tail_n counts the tail tokens of all. Steps are looked up in a table of
+    classes squared rows, which goes to every executor.
+    """
+    spark, classes = local.sparkSession, len(model.transition)
+    log = [(a, b, float(model.transition[a, b])) for a in range(classes) for b in range(classes)]
+    log = F.broadcast(spark.createDataFrame(log, "x long, y long, log double"))
+    emitted = F.broadcast(spark.createDataFrame([(c, float(x)) for c, x in enumerate(model.per_class)], "class long, per_class double"))
+    text = ["doc_id", "text_key"]
+    rows = local.filter(F.size("rare") > 0).select(*text, F.explode(F.arrays_zip("rare", "beside")).alias("z"))
+    rows = rows.groupBy(*text, F.col("z.rare").alias("hash"), F.col("z.beside").alias("beside")).agg(F.count("*").alias("tf"))
+    found = rows.join(model.tail, "hash", "left").fillna(classes - 1, ["class"])
+    found = found.withColumns({"lead": F.expr(f"beside div {classes + 1} - 1"), "follow": F.expr(f"beside % {classes + 1} - 1")})
+    found = found.join(emitted, "class")
+    for x, y, name in (("lead", "class", "into"), ("class", "follow", "out_of")):
+        step = log.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("log").alias(name))
+        found = found.join(step, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left").drop("_x", "_y")
+    count = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
+    score = count - F.col("per_class") + F.coalesce("into", F.lit(0.0)) + F.coalesce("out_of", F.lit(0.0))
+    known = F.when(F.col("n") > 0, F.col("tf")).otherwise(0)
+    found = found.select(*text, F.col("tf").alias("n"), known.alias("known"), (F.col("tf") * count).alias("base"), (F.col("tf") * score).alias("score"))
+    pairs = local.filter(F.size("lefts") > 0).select(*text, F.explode(F.arrays_zip("lefts", "rights")).alias("z"))
+    pairs = pairs.groupBy(*text, F.col("z.lefts").alias("a"), F.col("z.rights").alias("b")).agg(F.count("*").alias("tf"))
+    pairs = _classed(pairs, model.tail).fillna(classes - 1, ["a_class", "b_class"])
+    pairs = pairs.join(log, (F.col("a_class") == F.col("x")) & (F.col("b_class") == F.col("y")))
+    pairs = pairs.select(*text, F.lit(0).alias("n"), F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.col("tf") * F.col("log")).alias("score"))
+    sums = [F.sum(c).alias(f"tail_{c}") for c in ("n", "known", "base", "score")]
+    both = found.unionByName(pairs).groupBy(*text).agg(*sums)
+    return both.withColumnsRenamed({"doc_id": "tail_id", "text_key": "tail_key"})

@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from llm_brute import alnum, spaced
@@ -254,7 +255,7 @@ def test_extract(spark):
 # Language model
 
 
-@pytest.mark.parametrize("vocabulary", [class_lm.VOCABULARY, 40])
+@pytest.mark.parametrize("vocabulary", [class_lm.VOCABULARY, 40, 0])
 def test_class_scores(spark, vocabulary):
     rng, rows = random.Random(6), []
     groups = [WORDS[:100], WORDS[100:200], WORDS[200:]]
@@ -276,13 +277,36 @@ def test_class_scores(spark, vocabulary):
     for k, t in tokens.items():
         assert (got[k].n_tokens, got[k].n_known) == (len(t), sum(c[w] > 0 for w in t))
         assert math.isclose(got[k].base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-    # Transitions and emissions are distributions, unknown words included.
-    assert np.allclose((10**model.transition).sum(axis=1), 1)
-    of, emission = model.of[:-1], 10 ** model.emission[:-1]
-    for k in range(3):
-        assert not (of == k).any() or math.isclose(emission[of == k].sum(), 1, rel_tol=1e-9)
-    rare = emission[of == 3].sum() + (sum(x + 0.5 for x in sorted(c.values())[: v - len(of)]) + 0.5) / 10**model.rare_log
-    assert math.isclose(rare, 1, rel_tol=1e-9)
+    # The score by its definition, from every training word's class.
+    tail = {r.hash: (r.n, r["class"]) for r in model.tail.collect()} if model.tail else {}
+    place = {int(h): i for h, i in zip(model.lexicon.sorted, model.lexicon.order, strict=True)}
+    assert len(tail) + len(place) == v and not set(tail) & set(place)
+    hash_of = {w: class_lm.END if w is None else int(next(class_lm._tokens(pa.array([w])))[1][0]) for w in {w for t in tokens.values() for w in t}}
+
+    def counted(w):
+        h = hash_of[w]
+        return (int(model.frequency[place[h]]), int(model.of[place[h]])) if h in place else tail.get(h, (0, 3))
+
+    assert all(counted(w)[0] == c[w] for w in hash_of)
+    steps, size, held_by = np.zeros((4, 4)), np.zeros(4), np.zeros(4)
+    for k, t in tokens.items():
+        if k not in held:
+            for x, y in zip([None, *t], t, strict=False):
+                steps[counted(x)[1], counted(y)[1]] += 1
+    # Row 2 stands twice among the documents but is held out.
+    for w, x in c.items():
+        size[counted(w)[1]] += 1
+        held_by[counted(w)[1]] += x
+    size[3] += 1
+    share = (held_by + 0.5) / (held_by + 0.5).sum()
+    follow = (steps + class_lm.SMOOTH * share) / (steps.sum(axis=1, keepdims=True) + class_lm.SMOOTH)
+    assert np.allclose(follow.sum(axis=1), 1) and np.allclose(10**model.transition, follow)
+    for k, t in tokens.items():
+        score = 0.0
+        for x, y in zip([None, *t], t, strict=False):
+            own = counted(y)[1]
+            score += math.log10(follow[counted(x)[1], own]) + math.log10((c[y] + 0.5) / (held_by[own] + 0.5 * max(size[own], 1)))
+        assert math.isclose(got[k].score, score, rel_tol=1e-9), k
     per_token = lambda name: sum(got[k][name] for k in held) / sum(got[k].n_tokens for k in held)
     if vocabulary > 300:
         assert per_token("score") > per_token("base_score") + 0.2
