@@ -17,9 +17,12 @@ NUMBER = r"-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
 
 # A number literal that a variant may not hold as it is written.
 _LONG_NUMBER = r"[0-9.]{17}|[eE][+-]?[0-9]{3}"
+# The same where values stand, or text in a string that looks like it.
+_LONG_VALUE = rf":{WS}-?+(?:[0-9.]{{17}}|[0-9.]*+[eE][+-]?[0-9]{{3}})"
 
 # U+0001 cannot occur in valid JSON text, so it is a safe marker.
 _MARK = "\u0001"
+_ESCAPED_MARK = r"\u0001"
 
 # Spark's JSON functions accept more than JSON by default.
 # The parser's own limits would call long texts and numbers malformed. That on depth,
@@ -130,46 +133,61 @@ def object_json(rec: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(rec))))
 
 
-def _raw_numbers(text: Column) -> Column:
-    """Map of the keys of a flat record that hold a number, to its literal; the last wins."""
-    pair = rf"({STRING}){WS}:{WS}({STRING}|[^,}}\s]++)"
-    keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(pair), F.lit(2))
-    names = F.from_json(F.concat(F.lit("["), F.array_join(keys, ","), F.lit("]")), "array<string>", LIMITS)
-    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
-    numbers = F.filter(pairs, lambda p: p["value"].rlike(f"^{NUMBER}$"))
-    known = F.transform(numbers, lambda p: p["key"])
-    last = F.filter(numbers, lambda p, i: ~F.array_contains(F.slice(known, i + 2, F.size(known)), p["key"]))
-    return F.map_from_entries(last)
+def _long_numbers_marked(text: Column) -> Column:
+    """The record with every long number as a string of its literal between two U+0001.
+
+    U+0001 that strings hold already is doubled, so nothing else looks like a mark.
+    """
+    doubled = F.replace(text, F.lit(_ESCAPED_MARK), F.lit(_ESCAPED_MARK * 2))
+    marked = F.regexp_replace(
+        doubled, rf"({STRING})|((?=[-+0-9.eE]*?(?:{_LONG_NUMBER})){NUMBER})(?=[ \t\n\r]*+[,}}])", f"$1{_MARK}$2{_MARK}"
+    )
+    unmarked = F.replace(marked, F.lit(_MARK * 2), F.lit(""))
+    escaped = _ESCAPED_MARK.replace("\\", "\\\\")
+    return F.regexp_replace(unmarked, f"{_MARK}([^{_MARK}]*+){_MARK}", f'"{escaped}$1{escaped}"')
+
+
+def is_broken(text: Column) -> Column:
+    """The text of a flat record is malformed.
+
+    The parser throws on its way through every long integer, so those are parsed as strings.
+    """
+    value = F.when(text.rlike(_LONG_VALUE), parse_json(_long_numbers_marked(text))).otherwise(parse_json(text))
+    return value.isNull()
+
+
+def _long_numbers_bare(json: Column) -> Column:
+    """The text of a marked record with the literals of its long numbers as they were written."""
+    escaped = _ESCAPED_MARK.replace("\\", "\\\\")
+    bare = F.regexp_replace(json, rf'"{escaped}([-+.0-9eE]++){escaped}"', "$1")
+    return F.replace(bare, F.lit(_ESCAPED_MARK * 2), F.lit(_ESCAPED_MARK))
 
 
 def sorted_json(v: Column, text: Column) -> Column:
     """JSON text of a flat object variant, keys in UTF-8 byte order, types kept.
 
     A variant keeps its keys in UTF-16 order, which differs from byte order only
-    for characters beyond U+FFFF, and holds numbers of up to 38 digits; other records
-    are put together key by key, long numbers as they were written.
+    for characters beyond U+FFFF; such records are put together key by key. It holds
+    numbers of up to 38 digits; longer ones pass as strings and are written as they were.
     """
-    # Digits within strings are no numbers; strings are taken out only where digits abound.
+    # Digits within strings are no numbers; strings are taken out only where a number may be long.
     bare = F.regexp_replace(text, STRING, '""')
-    long_number = text.rlike(_LONG_NUMBER) & bare.rlike(_LONG_NUMBER)
+    long_number = text.rlike(_LONG_VALUE) & bare.rlike(_LONG_NUMBER)
     beyond_bmp = text.rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
 
     def fields(rec: Column) -> Column:
-        literals = F.when(long_number, _raw_numbers(text))
-
         def field(k: Column) -> Column:
             key = F.regexp_extract(F.to_json(F.create_map(k, F.lit(0))), r"(?s)^\{(.*):0\}$", 1)
-            value = F.to_json(F.element_at(rec, k))
-            literal = F.element_at(literals, k)
-            kept = F.when(literal.rlike(_LONG_NUMBER), literal)
-            return F.concat(key, F.lit(":"), F.coalesce(kept, value))
+            return F.concat(key, F.lit(":"), F.to_json(F.element_at(rec, k)))
 
         return F.transform(F.array_sort(F.map_keys(rec)), field)
 
-    listed = F.array_join(let(v.cast("map<string,variant>"), fields), ",")
-    rebuilt = F.concat(F.lit("{"), listed, F.lit("}"))
-    return F.when(beyond_bmp | long_number, rebuilt).otherwise(F.to_json(v))
+    def render(value: Column) -> Column:
+        listed = F.array_join(let(value.cast("map<string,variant>"), fields), ",")
+        return F.when(beyond_bmp, F.concat(F.lit("{"), listed, F.lit("}"))).otherwise(F.to_json(value))
+
+    kept = _long_numbers_bare(render(parse_json(_long_numbers_marked(text))))
+    return F.when(long_number, kept).otherwise(render(v))
 
 
 def pretty(object_text: Column) -> Column:

@@ -67,7 +67,8 @@ def stage_arrays(
     body = _keyed(df, key, group, item.alias("line"))
     ends = body.groupBy("out_name").agg(F.min("line_no").alias("first_no"))
     first = F.col("line_no") == F.col("first_no")
-    items = body.join(ends, "out_name").select(
+    # One row per file: sent to the tasks, so that the items are dealt once, when they are written.
+    items = body.join(F.broadcast(ends), "out_name").select(
         "out_name", "line_no", F.concat(F.when(first, "").otherwise(","), "line").alias("line")
     )
     brackets = F.array(

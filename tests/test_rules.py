@@ -1,6 +1,7 @@
 """Column expressions: trimming, quoting, names, scalars, rendering."""
 
 import json
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -234,3 +235,30 @@ def test_header_line_round_trip(spark, rows):
     line = csv_line([F.col(c) for c in "xyz"])
     got = df.select("i", header_names(line).alias("n")).orderBy("i").collect()
     assert [r.n for r in got] == [[v.strip(" \n") for v in r] for r in rows]
+
+
+def test_sorted_json_long_numbers(spark):
+    """Long numbers keep their text at any place, and work grows with the record, not with its square."""
+    long, mark = "1234567890123456789012345678901234567890123", "\\u0001"
+    texts = [
+        f'{{"b": "x", "a":-{long}.50 , "c" :1e400}}',
+        f'{{"a":{long},"a":"x","b":{long}}}',
+        f'{{"z":"{mark}{long}{mark}","y":"{mark}","a":{long},"k{mark}":"{mark}{mark}7{mark}"}}',
+        f'{{"z":"n: {long}, ","a":1.0}}',
+        f'{{"\U0001F600":{long},"\uffff":0}}',
+        "{" + ",".join(f'"k{i:05d}":{long}{i}' for i in range(3000)) + "}",
+    ]
+    wanted = [
+        f'{{"a":-{long}.50,"b":"x","c":1e400}}',
+        f'{{"a":"x","b":{long}}}',
+        f'{{"a":{long},"k{mark}":"{mark}{mark}7{mark}","y":"{mark}","z":"{mark}{long}{mark}"}}',
+        f'{{"a":1.0,"z":"n: {long}, "}}',
+        f'{{"\uffff":0,"\U0001F600":{long}}}',
+        texts[-1],
+    ]
+    configure(spark)
+    start = time.monotonic()
+    got = column(spark, texts, lambda t: sorted_json(F.try_parse_json(t), t))
+    assert time.monotonic() - start < 30
+    assert got[:3] + got[4:] == wanted[:3] + wanted[4:]
+    assert json.loads(got[3]) == json.loads(wanted[3])
