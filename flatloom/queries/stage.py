@@ -15,16 +15,28 @@ from ..sinks.documents import write_csv, write_documents
 BLOCK = 50_000
 
 
+# Tasks that share small splits; each sends its figures to the driver.
+TASKS = 1_024
+
+
 @contextmanager
-def small_splits(spark: SparkSession, size: str = "64k") -> Iterator[None]:
-    """Cut files into many splits while a result is made, so that records cross borders."""
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
+def small_splits(spark: SparkSession, size: str = "64k", tasks: int = TASKS) -> Iterator[None]:
+    """Cut files into many splits while a result is made, so that records cross borders.
+
+    The number of splits grows with the files, that of tasks does not: one task reads many.
+    """
+    wanted = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.maxPartitionNum": str(tasks)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def as_text(df: DataFrame) -> DataFrame:
