@@ -23,9 +23,11 @@ from ..functions.json import (
     fields_of,
     is_broken,
     is_flat_object,
+    is_nested,
     is_object,
     json_trim,
     lead_char,
+    let,
     nested_keys,
     parse_strict,
 )
@@ -460,17 +462,17 @@ def _nested(
         "body",
         "long",
         (F.col("n_so_far") - F.col("n_items")).alias("n_before"),
-        F.posexplode(_items(F.col("body"))).alias("pos", "item"),
+        F.posexplode("items").alias("pos", "item"),
     ).select(
         "src_file",
         (F.col("n_before") + F.col("pos") + 1).alias("rec_no"),
         "long",
         # An object ends its element, so it is the last item and the text at its end.
         F.when(F.col("n_items") == 1, json_trim(F.col("body")))
-        .otherwise(F.regexp_extract("body", rf"({FLAT_OBJECT}){WS}$", 1))
+        .when(F.col("item.is_object"), F.regexp_extract("body", rf"({FLAT_OBJECT}){WS}$", 1))
         .alias("text"),
-        is_object(F.col("item")).alias("is_object"),
-        F.when(is_object(F.col("item")), F.get(nested_keys(F.col("item")), F.lit(0))).alias("nested"),
+        "item.is_object",
+        "item.nested",
     )
     too_long = items.filter("long").select("src_file", "rec_no", *_long_error())
     items = items.filter("not long")
@@ -520,9 +522,19 @@ def _long_elements(texts: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _items(body: Column) -> Column:
-    """Values of a comma-separated list as variants; null when it is not one."""
+    """What the values of a comma-separated list are; null when it is not one."""
     listed = F.concat(F.lit("["), body, F.lit("]"))
-    return F.try_variant_get(parse_strict(listed), "$", "array<variant>")
+
+    def judged(fields: Column) -> Column:
+        hits = F.filter(F.map_entries(fields), lambda e: is_nested(e["value"]))
+        return F.struct(
+            fields.isNotNull().alias("is_object"),
+            F.coalesce(F.size(fields) > 0, F.lit(False)).alias("filled"),
+            F.array_min(F.transform(hits, lambda e: e["key"])).alias("nested"),
+        )
+
+    values = F.try_variant_get(parse_strict(listed), "$", "array<variant>")
+    return F.transform(values, lambda v: let(fields_of(v), judged))
 
 
 def _element_bodies(elements: DataFrame) -> DataFrame:
@@ -551,7 +563,7 @@ def _element_bodies(elements: DataFrame) -> DataFrame:
     scalar = ~is_array & ~is_object_doc
     scalar_value = first & tail & parse_strict(text).isNotNull()
     n_items = F.coalesce(F.size("items"), F.lit(0))
-    filled = F.filter("items", lambda i: F.coalesce(F.size(fields_of(i)), F.lit(0)) > 0)
+    filled = F.filter("items", lambda i: i["filled"])
     malformed = (
         F.when(scalar, ~scalar_value)
         .when(~F.col("balanced") | F.col("items").isNull(), True)
@@ -562,6 +574,7 @@ def _element_bodies(elements: DataFrame) -> DataFrame:
         "src_file",
         "elem_no",
         "body",
+        "items",
         "long",
         F.greatest(n_items, F.lit(0)).alias("n_items"),
         F.greatest(F.coalesce(F.size(filled), F.lit(0)), F.lit(0)).alias("n_keys"),
