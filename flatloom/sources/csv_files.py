@@ -14,7 +14,7 @@ from ..operators.header import bind, bind_arrays, bind_json, blank_text, fields_
 from ..operators.numbering import number_rows, row_blocks, row_counts, running_sum
 from ..session import broadcast_if_small, materialise, pin_splits
 from .files import Paths, file_rejects, list_files, paths_of, text_pieces
-from .stitch import ended, stitch_lines
+from .stitch import acting_lines, ended, line_runs, stitch_lines
 
 CSV_READ = {
     "quote": '"',
@@ -96,11 +96,16 @@ def inspect_csv(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
+    return _inspect_splits(spark, paths)[0]
+
+
+def _inspect_splits(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
     """Verdicts by one splittable pass with map-side sums; only one row per file split is
-    shuffled. Files to stitch get their names later."""
+    shuffled. Files to stitch get their names later. The second result has what the lines of
+    every split do to quotes, which stitching needs."""
     line = F.col("line")
     lines = _lines(spark, paths).select(
-        "src_file", "split_start", "file_size", "line", "ord", "sub", "opens",
+        "src_file", "split_start", "split_len", "file_size", "line", "ord", "sub", "opens", "stays",
         F.when(F.instr(line, '"') > 0, count_of(line, '"')).otherwise(0).alias("quotes"),
         F.when(~F.col("valid"), errors.NOT_UTF8).alias("fault"),
         "filled",
@@ -110,7 +115,7 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
     # A number of one type keeps Spark on hash aggregation. A split lies in one task, of which
     # the upper bits of `ord` are the number; the rest places the line within it.
     place = F.shiftleft(F.col("ord").bitwiseAND(F.lit(_ROW_OF_TASK)), 30) + F.col("sub")
-    per_split = lines.groupBy("src_file", "split_start").agg(
+    per_split = lines.groupBy("src_file", "split_start", "split_len").agg(
         F.max("file_size").alias("file_size"),
         F.sum("quotes").alias("quotes"),
         F.max("opens").alias("opens"),
@@ -122,7 +127,9 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
         # A collecting aggregate also keeps Spark on hash aggregation, which
         # min_by over text alone would turn into a sort of all lines.
         F.collect_set("fault").alias("faults"),
+        acting_lines().alias("acting"),
     )
+    per_split = materialise(per_split.withColumn("run", line_runs(F.col("acting"))).drop("acting"), "csv-splits")
     split = F.when(F.col("first_line").isNotNull(), F.col("split_start"))
     per_file = per_split.groupBy("src_file").agg(
         F.max("file_size").alias("file_size"),
@@ -143,7 +150,7 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
     names = F.when(error.isNull() & plain, header_names(F.col("first_line")))
     width = F.size("names")
     route = F.when(width.between(0, NARROW), LINES).when(width.between(0, COLUMNS), WIDE_LINES).otherwise(STITCH)
-    return materialise(
+    files = materialise(
         list_files(spark, paths)
         .join(per_file, "src_file", "left")
         .select(
@@ -155,6 +162,7 @@ def _inspect(spark: SparkSession, paths: Paths) -> DataFrame:
         .select("src_file", "file_size", "error", route.alias("route"), "names"),
         "csv-files",
     )
+    return files, per_split.select("src_file", "split_start", "split_len", "run")
 
 
 def scan_csv(
@@ -173,7 +181,7 @@ def scan_csv(
     quotes becomes LF unless ``keep_crlf``.
     """
     pin_splits(spark)
-    files = _inspect(spark, paths)
+    files, runs = _inspect_splits(spark, paths)
     fates = _fates(files)
 
     def of_route(files: DataFrame, route: str) -> Paths:
@@ -182,7 +190,9 @@ def scan_csv(
 
     stitched, too_long = None, None
     if STITCH in fates:
-        stitched, too_long, heads = _stitched(spark, of_route(files, STITCH), keep_crlf, fates[STITCH].largest)
+        # Other paths may be cut into other splits.
+        known = runs if len(fates) == 1 else None
+        stitched, too_long, heads = _stitched(spark, of_route(files, STITCH), keep_crlf, fates[STITCH].largest, known)
         found = heads.withColumnRenamed("names", "stitched_names").withColumnRenamed("error", "stitched_error")
         files = files.join(found.drop("header_no", "crowded"), "src_file", "left").select(
             "src_file",
@@ -291,11 +301,11 @@ def _filled(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _stitched(
-    spark: SparkSession, paths: Paths, keep_crlf: bool, largest_file: int
+    spark: SparkSession, paths: Paths, keep_crlf: bool, largest_file: int, runs: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Records that are not blank, with the break behind them; rejects of records too long, and
     the header of each file."""
-    records, too_long, unclosed = stitch_lines(_lines(spark, paths, keep_crlf), largest_file)
+    records, too_long, unclosed = stitch_lines(_lines(spark, paths, keep_crlf), largest_file, runs)
     records = records.filter("filled").drop("filled")
     # Only numbers are aggregated; an aggregate of texts would sort all records.
     firsts = records.groupBy("src_file").agg(F.min("rec_no").alias("rec_no"), F.max(_crowded(F.col("text"))).alias("crowded"))
