@@ -1,18 +1,18 @@
 """Language-model scoring with Brown class bigrams.
 
-Learning, over all training documents (every pass is a scan of their whole texts):
+Learning, over all training documents:
 
 1. Token counts: aggregated by Spark, kept as a table in the shared folder; its size follows
    the corpus. The head, words from the least count at which at most `vocabulary` words are as
    frequent, goes to the executors; the counts' histogram gives that count. All other words,
    the tail, stay in Spark tables.
-2. Exchange clustering of the `frequent` most frequent words, one after the other, starts the
-   classes: each in turn moves to the class with the highest likelihood of the class bigrams,
+2. What stands before and after each word of the head is counted once, word by word. Exchange
+   clustering of the `frequent` most frequent words, one after the other, starts the classes: each in turn moves to the class with the highest likelihood of the class bigrams,
    until a sweep moves none or gains little. The matrix has `frequent` squared cells. All other
    words start in one more class, that of unknown words.
-3. Exchange sweeps over the whole head, as Spark jobs: counts of the classes beside each word
-   are aggregated, and every word moves to its best class at once, in the first sweep by
-   neighbours among the frequent words only. Sweeps go on until none moves
+3. Exchange sweeps over the whole head, as Spark jobs over the counted neighbours: a word's
+   neighbours lie in one row, so nothing is shuffled, and every word moves to its best class at
+   once, in the first sweep by neighbours among the frequent words only. Sweeps go on until none moves
    or one gains less than `MIN_GAIN` of the information the classes share; one that loses is undone.
 4. Two exchange steps for every word of the tail, as joins: first by its neighbours in the head,
    then by all its neighbours and their classes.
@@ -35,8 +35,9 @@ the empty string. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ SMOOTH = 4.0
 END = 1
 #: Distinct counts a task holds before it hands them on.
 HELD = 1 << 20
+#: Neighbours a task counts together, and about how many of one part are a row of their table.
+NEIGHBOURS, ENTRIES = 1 << 22, 1 << 14
 
 
 class _Counter:
@@ -207,12 +210,11 @@ def _gather(cells: DataFrame, word: str) -> DataFrame:
     return cells.groupBy(word).agg(F.collect_list(F.struct(F.col("key").cast("bigint"), F.col("n").cast("bigint"))).alias("near"))
 
 
-def _assign(words: DataFrame, table: np.ndarray, told: bool = True) -> DataFrame:
-    """One exchange step: the columns of `words`, the best class of each and its count n.
+def _best(table: np.ndarray, told: bool = True) -> Callable[[np.ndarray], np.ndarray]:
+    """The best class of words by how often each class stands before and after them.
 
-    `near` lists (key, n): key is the class of a neighbour plus 0 if it stands before, one number
-    of classes if after, plus two numbers of classes for neighbours of the tail. The last class is
-    that of unknown words, the others have their price. Unless `told`, neighbours of that class say nothing yet.
+    The last class is that of unknown words, the others have their price. Unless `told`, neighbours
+    of that class say nothing yet.
     """
     classes = len(table)
     smooth = table + 0.1
@@ -220,6 +222,23 @@ def _assign(words: DataFrame, table: np.ndarray, told: bool = True) -> DataFrame
     totals = np.log(smooth.sum(axis=0))
     price = np.append(np.full(classes - 1, np.log(max(classes - 1, 1))), 0.0)
 
+    def best(near: np.ndarray) -> np.ndarray:
+        if not told:
+            near[:, [classes - 1, 2 * classes - 1]] = 0
+        gain = near[:, :classes] @ (after - totals) + near[:, classes:] @ after.T - price
+        return gain.argmax(axis=1).astype(np.int64)
+
+    return best
+
+
+def _assign(words: DataFrame, table: np.ndarray) -> DataFrame:
+    """One exchange step: the columns of `words`, the best class of each and its count n.
+
+    `near` lists (key, n): key is the class of a neighbour plus 0 if it stands before, one number
+    of classes if after, plus two numbers of classes for neighbours of the tail.
+    """
+    classes, best = len(table), _best(table)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -230,10 +249,7 @@ def _assign(words: DataFrame, table: np.ndarray, told: bool = True) -> DataFrame
             key, n = pairs.field(0).to_numpy() % (2 * classes), pairs.field(1).to_numpy()
             near = np.bincount(row * 2 * classes + key, weights=n, minlength=len(batch) * 2 * classes).reshape(-1, 2 * classes)
             befores = near[:, :classes].sum(axis=1)
-            if not told:
-                near[:, [classes - 1, 2 * classes - 1]] = 0
-            gain = near[:, :classes] @ (after - totals) + near[:, classes:] @ after.T - price
-            columns = [batch.column(0), lists, pa.array(gain.argmax(axis=1).astype(np.int64)), pa.array(befores.astype(np.int64))]
+            columns = [batch.column(0), lists, pa.array(best(near)), pa.array(befores.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "near", "class", "n"])
 
     schema = "word bigint, near array<struct<key:bigint,n:bigint>>, class bigint, n bigint"
@@ -279,40 +295,152 @@ def _head(counts: DataFrame, vocabulary: int) -> pa.Table:
     return counts.filter(wanted if least is None else wanted | (step >= least)).toArrow().sort_by([("n", "descending"), ("hash", "ascending")])
 
 
-def _sweeps(texts: DataFrame, lexicon: Lexicon, of: np.ndarray, end: int, classes: int) -> np.ndarray:
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+
+
+#: Kinds of counts by their bytes.
+_WIDTHS = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Positive counts in as few bytes each as the largest needs."""
+    most = int(counts.max())
+    return counts.astype(next(k for k in _WIDTHS.values() if most <= np.iinfo(k).max)).tobytes()
+
+
+def _unpacked(data: bytes | pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, _WIDTHS[len(data) // n]).astype(np.int64)
+
+
+def _neighbours(texts: DataFrame, lexicon: Lexicon, end: int, n_tokens: int) -> DataFrame:
+    """What stands beside every word of the head, counted: rows of arrays, which `_entries` reads as (word, other, n).
+
+    `other` is the word before, or the one after plus the number of words; the tail is one more
+    word. Words are dealt to parts by their number, so frequent ones lie apart; a part holds what
+    stands beside its words, and a row all of that for each of its words.
+    """
+    width = lexicon.rare + 1
+    span, parts = 2 * width, min(max(n_tokens >> 18, 64), 4096)
+    slots = -(-width // parts)
+    kind = "<u4" if slots * span <= 1 << 32 else "<i8"
+    words = texts.sparkSession.sparkContext.broadcast((lexicon.order, lexicon.sorted))
+
+    def runs(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.int64), *held])
+        held.clear()
+        keys.sort()
+        first = _starts(keys)
+        counts = np.diff(first, append=len(keys))
+        part, low = np.divmod(keys[first], slots * span)
+        first, low = _starts(part), low.astype(kind)
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=False))
+        columns = [[low[a:b].tobytes() for a, b in cuts], [_packed(counts[a:b]) for a, b in cuts]]
+        columns = [pa.array(c, pa.binary()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *columns], names=["part", "keys", "counts"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, number = Lexicon(*words.value), np.arange(width)
+        base = (number % parts * slots + number // parts) * span
+        held, n = [], 0
+        for batch in batches:
+            for _, tokens, first in _tokens(batch.column(0)):
+                if not len(tokens):
+                    continue
+                ids = known.ids(tokens)
+                before = _before(ids, first, end)
+                held += [base[ids] + before, base[before] + ids + width]
+                n += 2 * len(ids)
+                if n >= NEIGHBOURS:
+                    yield runs(held)
+                    n = 0
+        yield runs(held)
+
+    def merged(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        keys = [np.frombuffer(k, kind) for k in table["keys"].to_pylist()]
+        n = np.concatenate([_unpacked(c, len(k)) for k, c in zip(keys, table["counts"].to_pylist(), strict=True)])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = _starts(keys)
+        n, (slot, other) = np.add.reduceat(n[order], first), np.divmod(keys[first].astype(np.int64), span)
+        begins = _starts(slot)
+        word, size = (slot[begins] * parts + part).astype("<i4"), np.diff(begins, append=len(slot)).astype("<i4")
+        other, begins = other.astype("<i4"), np.append(begins, len(slot))
+        cuts = np.searchsorted(begins[:-1], np.arange(0, len(slot), ENTRIES)).tolist()
+        rows = []
+        for i, j in pairwise(sorted({*cuts, len(word)})):
+            a, b = begins[i], begins[j]
+            rows.append((word[i:j].tobytes(), size[i:j].tobytes(), other[a:b].tobytes(), _packed(n[a:b])))
+        return pa.table({c: pa.array(v, pa.binary()) for c, v in zip(("word", "size", "other", "n"), zip(*rows, strict=True), strict=True)})
+
+    found = texts.mapInArrow(scan, "part int, keys binary, counts binary").groupBy("part")
+    return materialise(found.applyInArrow(merged, "word binary, size binary, other binary, n binary"), "neighbours")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(len(batch)):
+            word, size, other, n = (c[i].as_buffer() for c in batch.columns)
+            word, size, other = (np.frombuffer(v, "<i4").astype(np.int64) for v in (word, size, other))
+            yield np.repeat(word, size), other, _unpacked(n, len(other))
+
+
+def _cells(cells: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], names=["cell", "n"])
+
+
+def _frequent_bigrams(neighbours: DataFrame, m: int) -> np.ndarray:
+    """The matrix of bigram counts of the `m` first words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, other, n in _entries(batches):
+            use = (word < m) & (other < m)
+            yield _cells(other[use] * m + word[use], n[use])
+
+    return _square(neighbours.mapInArrow(scan, "cell bigint, n bigint"), m)
+
+
+def _sweeps(neighbours: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
     """Classes of all words of the head, from those in `of`; the tail counts as unknown words."""
-    send = texts.sparkSession.sparkContext.broadcast
-    words = send((lexicon.order, lexicon.sorted))
+    send, rare = neighbours.sparkSession.sparkContext.broadcast, len(of)
     last, kept, told = -np.inf, of, False
     while True:
         # The tail is one more word, which never moves.
         now = send(np.append(of, classes - 1))
 
-        def near(tokens: np.ndarray, first: np.ndarray, now=now) -> np.ndarray:
-            ids = Lexicon(*words.value).ids(tokens)
-            before, of = _before(ids, first, end), now.value
-            return np.concatenate([ids * 2 * classes + of[before], (before * 2 + 1) * classes + of[ids]])
-
-        cells = _count(texts, near, "k").select(F.expr(f"k div {2 * classes}").alias("id"), F.expr(f"k % {2 * classes}").alias("key"), "n")
-        cells = materialise(_gather(cells, "id"), "class-neighbours")
-
         def own(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pairs = batch.column(1).flatten()
-                word = np.repeat(now.value[batch.column(0).to_numpy()], np.diff(batch.column(1).offsets.to_numpy()))
-                key, n = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-                use = key < classes
-                keys, where = np.unique(key[use] * classes + word[use], return_inverse=True)
-                sums = np.bincount(where, weights=n[use], minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], names=["cell", "n"])
-
-        table = _square(cells.mapInArrow(own, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), classes)
+            of, found = now.value, np.zeros(classes * classes, np.int64)
+            for word, other, n in _entries(batches):
+                use = other <= rare
+                cell = of[other[use]] * classes + of[word[use]]
+                found += np.bincount(cell, weights=n[use], minlength=len(found)).astype(np.int64)
+            cells = np.flatnonzero(found)
+            yield _cells(cells, found[cells])
+
+        table = _square(neighbours.mapInArrow(own, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), classes)
         reached = information(table)
         if reached < last:
             return kept
         if reached - last < MIN_GAIN * abs(reached):
             return of
-        placed = _assign(cells.filter(F.col("id") < lexicon.rare), table, told).select("word", "class").toArrow()
+        best = _best(table, told)
+
+        def place(batches: Iterator[pa.RecordBatch], now=now, best=best) -> Iterator[pa.RecordBatch]:
+            of = now.value
+            for word, other, n in _entries(batches):
+                use = word < rare
+                word, other, n = word[use], other[use], n[use]
+                first = _starts(word)
+                row = np.repeat(np.arange(len(first)), np.diff(first, append=len(word)))
+                after = other > rare
+                key = of[other - after * (rare + 1)] + after * classes
+                near = np.bincount(row * 2 * classes + key, weights=n, minlength=len(first) * 2 * classes).reshape(-1, 2 * classes)
+                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(best(near))], names=["word", "class"])
+
+        placed = neighbours.mapInArrow(place, "word bigint, class bigint").toArrow()
         kept, of = of, of.copy()
         of[placed["word"].to_numpy()] = placed["class"].to_numpy()
         if (of == kept).all():
@@ -420,17 +548,10 @@ def learn(training: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT,
         return ClassModel(None, 0, 0, lexicon, frequency, np.zeros(0, dtype=np.int64), np.full((k, k), -np.log10(k)), np.zeros(k))
     end = int(np.flatnonzero(hashes == END)[0])
     m = min(frequent, v)
-    words = texts.sparkSession.sparkContext.broadcast((lexicon.order, lexicon.sorted))
-
-    def bigrams(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        ids = Lexicon(*words.value).ids(tokens)
-        before = _before(ids, first, end)
-        both = (ids < m) & (before < m)
-        return before[both] * m + ids[both]
-
+    neighbours = _neighbours(texts, lexicon, end, n_tokens)
     of = np.full(v, classes, dtype=np.int64)
-    of[:m] = exchange(_square(_count(texts, bigrams, "cell"), m), classes)
-    of = _sweeps(texts, lexicon, of, end, k)
+    of[:m] = exchange(_frequent_bigrams(neighbours, m), classes)
+    of = _sweeps(neighbours, of, k)
     steps = _steps(texts, lexicon, of, end, k)
     tail, sizes = None, np.bincount(of, minlength=k).astype(float)
     in_class = np.bincount(of, weights=frequency, minlength=k)

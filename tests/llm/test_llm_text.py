@@ -315,6 +315,33 @@ def test_class_scores(spark, vocabulary):
     assert all(r.score == r.base_score == 0 and r.n_known == 0 for r in class_lm.scores(docs, empty).collect())
 
 
+@pytest.mark.parametrize("vocabulary", [1000, 7, 0])
+def test_neighbours_are_counted_once(spark, monkeypatch, vocabulary):
+    """What sweeps read: every step of the texts from both its words, a word whole in one row."""
+    monkeypatch.setattr(class_lm, "NEIGHBOURS", 50)
+    monkeypatch.setattr(class_lm, "ENTRIES", 3)
+    rng = random.Random(3)
+    texts = [None, "", *(" ".join(rng.choice(WORDS[:20]) for _ in range(rng.randrange(30))) for _ in range(40))]
+    column = pa.array([t or "" for t in texts])
+    ((_, tokens, first),) = class_lm._tokens(column)
+    words = [h for h, _ in Counter(tokens.tolist()).most_common() if h != class_lm.END]
+    lexicon = class_lm.Lexicon.of(np.array([*words[:vocabulary], class_lm.END]))
+    ids, end, width = lexicon.ids(tokens), lexicon.rare - 1, lexicon.rare + 1
+    wanted = Counter()
+    for x, y in zip(class_lm._before(ids, first, end).tolist(), ids.tolist(), strict=True):
+        wanted.update([(y, x), (x, y + width)])
+    df = class_lm._texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    table = class_lm._neighbours(df, lexicon, end, len(tokens))
+    rows = list(class_lm._entries(table.toArrow().to_batches()))
+    found = [(int(w), int(o), int(n)) for row in rows for w, o, n in zip(*row, strict=True)]
+    assert sorted(found) == sorted((w, o, n) for (w, o), n in wanted.items())
+    assert len({w for w, _ in wanted}) == sum(len(set(word.tolist())) for word, _, _ in rows)
+    for most in (1, 255, 256, 70_000, 2**40):
+        assert class_lm._unpacked(class_lm._packed(np.array([1, most])), 2).tolist() == [1, most]
+    m = min(5, lexicon.rare)
+    assert class_lm._frequent_bigrams(table, m).tolist() == [[wanted[y, x] for y in range(m)] for x in range(m)]
+
+
 def test_exchange_finds_groups():
     rng = np.random.default_rng(2)
     group = np.arange(30) % 3
