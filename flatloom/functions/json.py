@@ -173,7 +173,9 @@ def sorted_json(v: Column, text: Column) -> Column:
     # Digits within strings are no numbers; strings are taken out only where a number may be long.
     bare = F.regexp_replace(text, STRING, '""')
     long_number = text.rlike(_LONG_VALUE) & bare.rlike(_LONG_NUMBER)
-    beyond_bmp = text.rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
+    # Such characters take more than a byte or an escape; most records have neither.
+    beyond_bmp = (F.octet_length(text) > F.length(text)) | (F.instr(text, "\\u") > 0)
+    beyond_bmp &= text.rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
 
     def fields(rec: Column) -> Column:
         def field(k: Column) -> Column:

@@ -81,8 +81,9 @@ def _outline(piece: Column, order: Column) -> list[Column]:
     """Sums over pieces that tell whether they make up one flat document."""
     lead = lead_char(piece)
     shaped = piece.rlike(_FIRST_OR_NEXT)
-    rest = F.trim(F.translate(piece, "\t\n\r", "   "))
-    tail = (rest == "") | (rest == "]")
+    # Only a piece that begins so is looked at to its end.
+    end = (lead == "]") & (F.btrim(piece, F.lit(" \t\n\r")) == "]")
+    tail = (lead == "") | end
     return [
         _count(~shaped & ~tail).alias("odd_shape"),
         _count(shaped & (lead == "[")).alias("array_starts"),
@@ -91,7 +92,7 @@ def _outline(piece: Column, order: Column) -> list[Column]:
         _count(shaped & ~piece.rlike(r"\{[ \t\n\r]*+$")).alias("n_nonempty"),
         _count(shaped & is_broken(_object_text(piece))).alias("malformed"),
         _count(tail).alias("tails"),
-        _count(rest == "]").alias("array_ends"),
+        _count(end).alias("array_ends"),
         F.min(F.when(shaped & (lead != ","), order)).alias("start_ord"),
         F.max(F.when(tail, order)).alias("tail_ord"),
         F.min(order).alias("min_ord"),
