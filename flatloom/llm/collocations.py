@@ -7,7 +7,8 @@ first make filters of bounded size (`bloom.py`). They only save work: every phra
 occurrences is named, and all that are named are counted by their words.
 
 1. A task counts in a HAT-trie over the ids of its own words. If the trie holds too many entries,
-   whole subtrees leave it as runs sorted by the phrase.
+   whole subtrees leave it as runs sorted by the phrase. Every task names most frequent phrases
+   once, so splits of the table are counted together, up to `COUNTED_WORDS` words a task.
 2. Runs are dealt by the prefix of their phrases: the first word, or two where the first is hot (at
    most `HOT` of them, by their share of all words). A partition sorts its runs into one, by disk
    if need be, and adds up neighbours as they stream by; no group is ever held.
@@ -43,6 +44,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 INSIDE_PERCENT = 100
 #: Entries a task holds in its trie, and words it holds counts or ids of.
 TRIE_ENTRIES, TASK_WORDS = 400_000, 300_000
+#: Words a task that counts phrases reads at least, once every core has two tasks.
+COUNTED_WORDS = 1 << 24
 #: Prefixes that hold more than this share of all words are dealt by one word more.
 HOT = 1024
 
@@ -306,6 +309,12 @@ def merged(runs: DataFrame, least: int) -> DataFrame:
     return dealt.select("lang", "phrase", "f").mapInArrow(add_up, "lang string, phrase string, f bigint")
 
 
+def _together(rows: DataFrame, n_words: int) -> DataFrame:
+    """The rows in fewer partitions: the rows of runs are as many as tasks times phrases."""
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, n_words // COUNTED_WORDS)
+    return rows.coalesce(tasks)
+
+
 def _hot(counts: DataFrame, words: int) -> frozenset[tuple[str, bytes]]:
     """Phrases with more than 1/HOT of all words; there are fewer than HOT of each length."""
     rows = counts.filter(F.col("f") * F.lit(HOT).cast("decimal(20,0)") > words).collect()
@@ -325,10 +334,10 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST)
     (lang, n) with the number of words of each language."""
     rows = texts.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
 
-    def counted(task: Callable) -> DataFrame:
+    def counted(rows: DataFrame, task: Callable) -> DataFrame:
         return materialise(merged(rows.mapInArrow(task, _RUN), least), "phrases")
 
-    first = counted(count_words)
+    first = counted(rows, count_words)
     totals = first.filter("phrase = ''").select("lang", F.col("f").alias("n"))
     words = first.filter("phrase <> ''")
     if longest < 2:
@@ -339,7 +348,8 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST)
     longer = None
     if longest > 2:
         longer = Pairs(named_windows(rows, range(3, longest + 1), word_filter, pairs, least, n))
-    return words.unionByName(counted(lambda batches: Counting(longest, word_filter, pairs, longer, hot)(batches))), totals
+    found = counted(_together(rows, n), lambda batches: Counting(longest, word_filter, pairs, longer, hot)(batches))
+    return words.unionByName(found), totals
 
 
 def collocations(texts: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:

@@ -290,6 +290,18 @@ def test_phrases_against_plain_version(spark, small_budgets, least, top):
     assert sorted(map(tuple, found)) == plain_phrases(rows, least, top=top)
 
 
+def test_splits_are_counted_together(spark, monkeypatch):
+    """Rows of runs are tasks times phrases: more splits alone do not make more of them."""
+    made, tasks = [], 2 * spark.sparkContext.defaultParallelism
+    kept = phrases.merged
+    monkeypatch.setattr(phrases, "merged", lambda runs, least: made.append(runs) or kept(runs, least))
+    rows = spark.range(600).selectExpr("'en' AS lang", "'a b' AS text").repartition(40)
+    found = phrases.collocations(rows).collect()
+    assert [(r.phrase, r.a, r.l, r.r, r.n) for r in found] == [("a b", 600, 600, 600, 1200)]
+    assert made[-1].filter("phrase = 'a b'").count() <= tasks < 40
+    assert phrases._together(rows, 100 * phrases.COUNTED_WORDS).rdd.getNumPartitions() == 40
+
+
 def test_counting_spills_in_any_order(small_budgets):
     """A task that spills all the time hands out the same counts."""
 
