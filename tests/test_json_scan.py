@@ -2,12 +2,11 @@
 
 import pytest
 from conftest import by_file
+from pyspark.sql import functions as F
 
 from flatloom.functions import errors
 from flatloom.sources import stitch
-from flatloom.sources.json_files import scan_json, scan_json_lines
-from flatloom.sources.json_files import _outline
-from pyspark.sql import functions as F
+from flatloom.sources.json_files import _outline, scan_json, scan_json_lines
 
 NESTED = "Invalid input: Only flat JSON is supported. Field '{}' contains a nested value."
 ITEM = "Invalid input: Array item {} is not a JSON object."
@@ -204,7 +203,7 @@ def test_flat_pieces_do_not_shuffle(spark, folder):
 
 def test_outline_of_ends(spark):
     """Only white space and one bracket end a document; no character of a record is looked up for that."""
-    pieces = ["", " \t\n\r", " ]\n", "]", "]]", "] x", "x]", " ", "] ", ',{"a":"]"', '[{"a":"é]"']
+    pieces = ["", " \t\n\r", " ]\n", "]", "]]", "] x", "x]", "\u00a0", "]\u2028", ',{"a":"]"', '[{"a":"é]"']
     sums = _outline(F.col("piece"), F.col("ord"))
     found = spark.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, ord long").agg(*sums).first()
     assert (found.tails, found.array_ends, found.odd_shape, found.n_records, found.tail_ord) == (4, 2, 5, 2, 3)
