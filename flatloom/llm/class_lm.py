@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import arrow_batches, materialise
 from .tokens import SPACED, word_slices
 
 CLASSES = 64
@@ -59,6 +59,13 @@ END = 1
 HELD = 1 << 20
 #: Neighbours a task counts together, and about how many of one part are a row of their table.
 NEIGHBOURS, ENTRIES = 1 << 22, 1 << 14
+#: Texts that go to Python at once, and keys that come back at once.
+BATCH_BYTES, BATCH_KEYS = "2m", 1 << 16
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
 
 
 class _Counter:
@@ -67,26 +74,35 @@ class _Counter:
     def __init__(self) -> None:
         self.keys, self.counts, self.held = [], [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
+    def hold(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
         self.counts.append(counts)
         self.held += len(keys)
+
+    def add(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.hold(*np.unique(keys, return_counts=True))
         if self.held > 2 * HELD:
             self.merge()
             if self.held > HELD:
                 yield from self.rest()
 
     def merge(self) -> None:
-        keys, where = np.unique(np.concatenate(self.keys), return_inverse=True)
-        sums = np.bincount(where, weights=np.concatenate(self.counts)).astype(np.int64)
-        self.keys, self.counts, self.held = [keys], [sums], len(keys)
+        """One sorted array of keys; what is not needed any more goes before the next copy is made."""
+        keys, self.keys = np.concatenate(self.keys), []
+        order = np.argsort(keys)
+        keys = keys[order]
+        counts, self.counts = np.concatenate(self.counts), []
+        counts = counts[order]
+        del order
+        first = _starts(keys)
+        self.keys, self.counts, self.held = [keys[first]], [np.add.reduceat(counts, first)], len(first)
 
     def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if self.keys:
+        if self.held:
             self.merge()
-            yield self.keys[0], self.counts[0]
+            keys, counts = self.keys[0], self.counts[0]
+            for a in range(0, len(keys), BATCH_KEYS):
+                yield keys[a : a + BATCH_KEYS], counts[a : a + BATCH_KEYS]
         self.keys, self.counts, self.held = [], [], 0
 
 
@@ -295,11 +311,6 @@ def _head(counts: DataFrame, vocabulary: int) -> pa.Table:
     return counts.filter(wanted if least is None else wanted | (step >= least)).toArrow().sort_by([("n", "descending"), ("hash", "ascending")])
 
 
-def _starts(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
-
-
 #: Kinds of counts by their bytes.
 _WIDTHS = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}
 
@@ -327,59 +338,74 @@ def _neighbours(texts: DataFrame, lexicon: Lexicon, end: int, n_tokens: int) ->
     kind = "<u4" if slots * span <= 1 << 32 else "<i8"
     words = texts.sparkSession.sparkContext.broadcast((lexicon.order, lexicon.sorted))
 
-    def runs(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.concatenate([np.zeros(0, np.int64), *held])
-        held.clear()
-        keys.sort()
-        first = _starts(keys)
-        counts = np.diff(first, append=len(keys))
-        part, low = np.divmod(keys[first], slots * span)
-        first, low = _starts(part), low.astype(kind)
-        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=False))
-        columns = [[low[a:b].tobytes() for a, b in cuts], [_packed(counts[a:b]) for a, b in cuts]]
-        columns = [pa.array(c, pa.binary()) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *columns], names=["part", "keys", "counts"])
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = Lexicon(*words.value), np.arange(width)
         base = (number % parts * slots + number // parts) * span
-        held, n = [], 0
+        held, n = np.empty(NEIGHBOURS, np.int64), 0
         for batch in batches:
             for _, tokens, first in _tokens(batch.column(0)):
                 if not len(tokens):
                     continue
                 ids = known.ids(tokens)
                 before = _before(ids, first, end)
-                held += [base[ids] + before, base[before] + ids + width]
-                n += 2 * len(ids)
-                if n >= NEIGHBOURS:
-                    yield runs(held)
-                    n = 0
-        yield runs(held)
-
-    def merged(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        keys = [np.frombuffer(k, kind) for k in table["keys"].to_pylist()]
-        n = np.concatenate([_unpacked(c, len(k)) for k, c in zip(keys, table["counts"].to_pylist(), strict=True)])
-        keys = np.concatenate(keys)
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = _starts(keys)
-        n, (slot, other) = np.add.reduceat(n[order], first), np.divmod(keys[first].astype(np.int64), span)
+                for keys in (base[ids] + before, base[before] + ids + width):
+                    if n + len(keys) > len(held):
+                        yield from _runs(held[:n], slots * span, kind)
+                        n = 0
+                    if len(keys) > len(held):
+                        yield from _runs(keys, slots * span, kind)
+                        continue
+                    held[n : n + len(keys)] = keys
+                    n += len(keys)
+        yield from _runs(held[:n], slots * span, kind)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, most, part = _Counter(), 2 * HELD, None
+        for batch in batches:
+            for i in range(len(batch)):
+                part = batch["part"][i].as_py()
+                keys = np.frombuffer(batch["keys"][i].as_buffer(), kind).astype(np.int64)
+                counter.hold(keys, _unpacked(batch["counts"][i].as_buffer(), len(keys)))
+                if counter.held > most:
+                    counter.merge()
+                    most = 2 * max(HELD, counter.held)
+        counter.merge()
+        n, (slot, other) = counter.counts[0], np.divmod(counter.keys[0], span)
         begins = _starts(slot)
         word, size = (slot[begins] * parts + part).astype("<i4"), np.diff(begins, append=len(slot)).astype("<i4")
         other, begins = other.astype("<i4"), np.append(begins, len(slot))
         cuts = np.searchsorted(begins[:-1], np.arange(0, len(slot), ENTRIES)).tolist()
-        rows = []
         for i, j in pairwise(sorted({*cuts, len(word)})):
             a, b = begins[i], begins[j]
-            rows.append((word[i:j].tobytes(), size[i:j].tobytes(), other[a:b].tobytes(), _packed(n[a:b])))
-        return pa.table({c: pa.array(v, pa.binary()) for c, v in zip(("word", "size", "other", "n"), zip(*rows, strict=True), strict=True)})
+            row = {"word": word[i:j].tobytes(), "size": size[i:j].tobytes(), "other": other[a:b].tobytes(), "n": _packed(n[a:b])}
+            yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.binary()) for c, v in row.items()})
 
     found = texts.mapInArrow(scan, "part int, keys binary, counts binary").groupBy("part")
     return materialise(found.applyInArrow(merged, "word binary, size binary, other binary, n binary"), "neighbours")
 
 
+def _runs(keys: np.ndarray, span: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows (part, keys, counts) of the keys, which are sorted in place; a part has `span` keys.
+
+    Parts go out a few at a time, so little is held besides the keys.
+    """
+    keys.sort()
+    a = 0
+    while a < len(keys):
+        last = int(keys[min(a + BATCH_KEYS, len(keys)) - 1]) // span
+        b = int(np.searchsorted(keys, (last + 1) * span))
+        own = keys[a:b]
+        first = _starts(own)
+        counts = np.diff(first, append=len(own))
+        part, low = np.divmod(own[first], span)
+        first, low = _starts(part), low.astype(kind)
+        cuts = list(pairwise([*first.tolist(), len(low)]))
+        columns = [[low[i:j].tobytes() for i, j in cuts], [_packed(counts[i:j]) for i, j in cuts]]
+        columns = [pa.array(c, pa.binary()) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *columns], names=["part", "keys", "counts"])
+        a = b
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         for i in range(len(batch)):
@@ -536,7 +562,11 @@ def _tail_classes(steps: DataFrame, heads: np.ndarray) -> tuple[DataFrame, np.nd
 
 def learn(training: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT, vocabulary: int = VOCABULARY) -> ClassModel:
     """Fit the model on all rows of `training` (column text)."""
-    texts = _texts(training)
+    with arrow_batches(training.sparkSession, BATCH_BYTES):
+        return _fit(_texts(training), classes, frequent, vocabulary)
+
+
+def _fit(texts: DataFrame, classes: int, frequent: int, vocabulary: int) -> ClassModel:
     counts = materialise(_count(texts, lambda hashes, first: hashes, "hash"), "token-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_types = total.n or 0, total.v
@@ -629,7 +659,8 @@ def scores(documents: DataFrame, model: ClassModel) -> DataFrame:
     out = docs.mapInArrow(scan, f"doc_id {id_type}, text_key bigint, {columns}")
     tail_known, tail_base, tail_score = F.lit(0), F.lit(0.0), F.lit(0.0)
     if not whole:
-        out = materialise(out, "local-scores")
+        with arrow_batches(spark, BATCH_BYTES):
+            out = materialise(out, "local-scores")
         added = _tail_scores(out, model)
         out = out.withColumn("n_rare", F.size("rare")).drop("rare", "beside", "lefts", "rights")
         same = F.col("doc_id").eqNullSafe(F.col("tail_id")) & (F.col("text_key") == F.col("tail_key"))
@@ -656,9 +687,10 @@ def _tail_scores(local: DataFrame, model: ClassModel) -> DataFrame:
     classes squared rows, which goes to every executor.
     """
     spark, classes = local.sparkSession, len(model.transition)
-    log = [(a, b, float(model.transition[a, b])) for a in range(classes) for b in range(classes)]
-    log = F.broadcast(spark.createDataFrame(log, "x long, y long, log double"))
-    emitted = F.broadcast(spark.createDataFrame([(c, float(x)) for c, x in enumerate(model.per_class)], "class long, per_class double"))
+    # As Arrow tables, which need no Python workers on the executors.
+    x, y = np.divmod(np.arange(classes * classes), classes)
+    log = F.broadcast(spark.createDataFrame(pa.table({"x": x, "y": y, "log": model.transition.ravel()})))
+    emitted = F.broadcast(spark.createDataFrame(pa.table({"class": np.arange(classes), "per_class": model.per_class})))
     text = ["doc_id", "text_key"]
     rows = local.filter(F.size("rare") > 0).select(*text, F.explode(F.arrays_zip("rare", "beside")).alias("z"))
     rows = rows.groupBy(*text, F.col("z.rare").alias("hash"), F.col("z.beside").alias("beside")).agg(F.count("*").alias("tf"))

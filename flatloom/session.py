@@ -99,6 +99,21 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Hand rows to Python in batches of at most `size` while a plan runs, a longer row by itself.
+
+    A batch is held several times over: as vectors, as a message and by Python, by every task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def case_sensitive(spark: SparkSession) -> Iterator[None]:
     """Resolve column names by exact case while a plan is built or written."""

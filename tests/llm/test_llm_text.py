@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -342,6 +343,71 @@ def test_neighbours_are_counted_once(spark, monkeypatch, vocabulary):
     assert class_lm._frequent_bigrams(table, m).tolist() == [[wanted[y, x] for y in range(m)] for x in range(m)]
 
 
+def _peak(work) -> int:
+    """Bytes held at once at most while `work` runs."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_counters_hold_few_copies_of_their_keys():
+    rng, n = np.random.default_rng(4), 1 << 20
+    counter, sizes, total = class_lm._Counter(), [], []
+
+    def count():
+        for _ in range(16):
+            for keys, counts in counter.add(rng.integers(0, 4 * n, n // 8)):
+                sizes.append(len(keys))
+                total.append(counts.sum())
+        for keys, counts in counter.rest():
+            sizes.append(len(keys))
+            total.append(counts.sum())
+
+    # 16 bytes for each of two million keys and counts, and as much again while they are put in order.
+    assert _peak(count) < 72 * n
+    assert sum(total) == 2 * n and max(sizes) <= 1 << 16
+
+
+@pytest.mark.parametrize("kind", ["<u4", "<i8"])
+def test_runs_are_made_a_few_parts_at_a_time(kind):
+    rng, span = np.random.default_rng(5), 1000
+    keys = np.where(rng.random(1 << 20) < 0.3, rng.integers(7 * span, 8 * span, 1 << 20), rng.integers(0, 2000 * span, 1 << 20))
+    wanted = dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True)), strict=True))
+    found, parts = {}, []
+
+    def run():
+        for batch in class_lm._runs(keys, span, kind):
+            for part, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low = np.frombuffer(low, kind)
+                parts.append(part)
+                found.update(zip((low.astype(np.int64) + part * span).tolist(), class_lm._unpacked(n, len(low)).tolist(), strict=True))
+
+    run()
+    assert found == wanted and parts == sorted(set(parts))
+    assert _peak(lambda: [None for _ in class_lm._runs(keys, span, kind)]) < keys.nbytes * 1.5
+    assert list(class_lm._runs(keys[:0], span, kind)) == []
+
+
+def test_scoring_takes_small_batches_and_no_python_for_its_tables(spark, monkeypatch):
+    name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    def materialise(df, step, write=class_lm.materialise):
+        sizes.append((step, spark.conf.get(name)))
+        return write(df, step)
+
+    monkeypatch.setattr(class_lm, "materialise", materialise)
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, " ".join(WORDS[i % 30 : i % 30 + 9])) for i in range(60)], "doc_id long, text string")
+    found = class_lm.scores(docs, class_lm.learn(docs, classes=3, frequent=10, vocabulary=20))
+    assert {s for s, _ in sizes} >= {"token-counts", "neighbours", "class-steps", "local-scores"}
+    assert {size for _, size in sizes} == {"2m"} and spark.conf.get(name) == before
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
 def test_exchange_finds_groups():
     rng = np.random.default_rng(2)
     group = np.arange(30) % 3
