@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flatloom.plans.pipelines import json_to_csv
 from flatloom.queries.stage import small_splits
+from flatloom.session import PAGE_CHECK, small_pages
 from flatloom.sources import csv_files
 from flatloom.sources.json_files import scan_json
 
@@ -34,6 +35,47 @@ def test_wide_lines(spark, folder):
     assert "Join Cross" not in plan_of(output)
 
 
+def test_wide_lines_are_written_in_small_pages(spark, folder, tmp_path):
+    """Pages of lines end at their size of 1 MiB, not after 100 lines: a writer holds few of them."""
+    n, rows = 30_000, 250
+    wide = "{" + ",".join(f'"k{i:05d}":"a, {i}"' for i in range(0, n, 100)) + "}"
+    items = [f'{{"k{i:05d}":{i}}}' for i in range(n)]
+    records = [wide, *items[:rows]]
+    path = folder({"t.json": f"[{','.join(records)}]", "u.json": "[{" + ",".join(i[1:-1] for i in items) + "}]"})
+    output = json_to_csv(spark, path, max_columns=2).output
+    out = str(tmp_path / "out")
+    output.coalesce(1).write.parquet(out)
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.parquet.hadoop
+    (part,) = (tmp_path / "out").glob("part-*")
+    reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(part)), conf))
+    try:
+        (block,) = reader.getFooter().getBlocks()
+        pages = reader.readOffsetIndex(block.getColumns()[0])
+        firsts = [pages.getFirstRowIndex(i) for i in range(pages.getPageCount())] + [block.getRowCount()]
+    finally:
+        reader.close()
+    lines = [r.line for r in spark.read.parquet(out).collect()]
+    assert len(lines) == firsts[-1] == rows + 2
+    sizes = [sum(map(len, lines[a:b])) for a, b in zip(firsts, firsts[1:], strict=False)]
+    assert max(sizes) <= (1 << 20) + max(map(len, lines))
+    assert [line.count(",") - line.count(", ") for line in lines] == [n - 1] * len(lines)
+    assert [line.strip(",") for line in lines[1:-1]] == [str(i) for i in range(rows)]
+    assert lines[0].startswith('"a, 0"' + "," * 100 + '"a, 100"') and lines[0].endswith(f'"a, {n - 100}"' + "," * 99)
+    assert lines[-1] == ",".join(map(str, range(n)))
+
+
+def test_page_check_of_the_session_is_kept(spark):
+    before = spark.conf.get(PAGE_CHECK, None)
+    try:
+        spark.conf.set(PAGE_CHECK, "7")
+        small_pages(spark)
+        assert spark.conf.get(PAGE_CHECK) == "7"
+    finally:
+        spark.conf.unset(PAGE_CHECK) if before is None else spark.conf.set(PAGE_CHECK, before)
+
+
 def test_items_are_parsed_once(spark, folder):
     """Records between other items come from what was found out with their element."""
     path = folder({"t.json": '[7,"{",[1.50],{"a":1.50},null,{"b":{"c":1}},{}]'})
